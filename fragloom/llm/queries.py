@@ -47,5 +47,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op4_url_filter, op5_decontaminate, op8_best_fit_packing)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_orc, op4_url_filter, op5_decontaminate, op8_best_fit_packing, op10_minhash_near_dedup)}
 SQL: dict[str, str] = {}
