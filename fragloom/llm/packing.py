@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import bound_batches, keep, only
-from .tokens import Encoder, slices
+from .tokens import Encoder, gather
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -52,21 +52,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
         from pyspark import TaskContext
 
         part, encoder, seen = TaskContext.get().partitionId(), Encoder.of(tokenizer, spaced=True), [0] * (capacity + 1)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                rows = []
-                for doc_id, data in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
-                    data += end
-                    for k, (start, length) in enumerate(cut(len(data) // 4, capacity)):
-                        crc = zlib.crc32(data[4 * start : 4 * (start + length)])
-                        rows.append((doc_id, k, start, length, crc, part, seen[length]))
-                        seen[length] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)],
-                    names=PIECES.names,
-                )
+        for batch in gather(batches):
+            ends, values = encoder.encode_column(batch.column(1), end_id)
+            data, rows = memoryview(values).cast("B"), []
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                for k, (start, length) in enumerate(cut(b - a, capacity)):
+                    crc = zlib.crc32(data[4 * (a + start) : 4 * (a + start + length)])
+                    rows.append((doc_id, k, start, length, crc, part, seen[length]))
+                    seen[length] += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)],
+                names=PIECES.names,
+            )
 
     rows = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(encode, PIECES)

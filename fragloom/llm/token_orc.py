@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import bound_batches, new_path, only
-from .tokens import Encoder, joined, slices
+from .tokens import Encoder, gather
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -56,23 +56,20 @@ def write_token_orc(
         from pyspark import TaskContext
 
         part, encoder, start = TaskContext.get().partitionId(), Encoder.of(tokenizer, spaced=False), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ends, values = joined([x + end for x in encoder.encode(texts[a:b])])
-                sizes = np.diff(ends)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(np.full(b - a, part, dtype=np.int32)),
-                        pa.array(start + ends[:-1]),
-                        pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32))),
-                    ],
-                    names=SCHEMA.names,
-                )
-                start += int(ends[-1])
+        for batch in gather(batches):
+            ends, values = encoder.encode_column(batch.column(1), end_id)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(np.full(n, part, dtype=np.int32)),
+                    pa.array(start + ends[:-1]),
+                    pa.array(np.diff(ends)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32))),
+                ],
+                names=SCHEMA.names,
+            )
+            start += int(ends[-1])
 
     (
         ordered.mapInArrow(encode, SCHEMA)
