@@ -21,6 +21,18 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents")).drop("expressions")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_scan
+
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
 #: Fixed by the contract.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Listed sites, for urls that no rule fits.
@@ -54,5 +66,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op4_url_filter, op5_decontaminate, op8_best_fit_packing, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_secret_scan, op4_url_filter, op5_decontaminate, op8_best_fit_packing, op10_minhash_near_dedup)}
 SQL: dict[str, str] = {}
