@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,29 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True where crc32 of the id's text is divisible by ``folds``; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
+
+
+def tree_sum(partials: DataFrame, most: int = 64) -> DataFrame:
+    """Sum of the ``value`` column (binary, float64 vectors of one length), in at most ``most`` rows; each level adds up about ``most`` rows a task."""
+    import pyarrow as pa
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                v = np.frombuffer(x, dtype="<f8")
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["value"])
+
+    n = partials.rdd.getNumPartitions()
+    while n > most:
+        n = -(-n // most)
+        partials = partials.repartition(n).mapInArrow(add, "value binary")
+    return partials
+
+
+def collect_sum(partials: DataFrame) -> np.ndarray | None:
+    """The sum of all ``value`` vectors on the driver, or None without rows.  Equal rows in any order give equal bits."""
+    rows = sorted(r.value for r in tree_sum(partials).collect())
+    return sum((np.frombuffer(x, dtype="<f8") for x in rows[1:]), np.frombuffer(rows[0], dtype="<f8").copy()) if rows else None
