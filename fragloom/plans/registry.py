@@ -1,10 +1,481 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL.  A query is a function of a session and a folder of tables; all run over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import maps as M
+from ..functions import probability as P
+from ..functions import scoring as S
+from ..operators import adjust, align, blocks, joint, placement, significance
+from ..params import Params
+from ..sources import writers
+from . import bridge
+from .oracle import CONTIGS, FRAGS, PLACEMENTS, dp_sql, greedy_sql, on
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+#: Both engines add this before they round to six digits, because they round exact halves differently.
+TIE = 1e-9
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- maps and sequences
+
+
+@query("""
+SELECT doc_id, count(p) AS n_sites, min(p) AS first_site, max(p) AS last_site, CAST(coalesce(sum(p), 0) AS BIGINT) AS sum_sites FROM (
+  SELECT d.doc_id, s.p FROM documents d LEFT JOIN (
+    SELECT doc_id, p FROM (SELECT doc_id, text, unnest(range(length(text) - 2)) AS p FROM documents WHERE length(text) >= 3) WHERE substr(text, p + 1, 3) = 'the') s USING (doc_id)) GROUP BY doc_id""")
+def digest_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a motif in every text."""
+    docs = bridge.table(spark, sf_dir, "documents").select("doc_id", M.sites(F.col("text"), "the").alias("s"))
+    return docs.select("doc_id", F.size("s").cast("bigint").alias("n_sites"), F.array_min("s").alias("first_site"), F.array_max("s").alias("last_site"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_sites"))
+
+
+@query("""
+WITH s AS (SELECT page_id, length(html) AS n, p FROM (SELECT page_id, html, unnest(range(length(html))) AS p FROM pages) WHERE substr(html, p + 1, 1) = '<'),
+f AS (SELECT page_id, p - lag(p, 1, 0) OVER (PARTITION BY page_id ORDER BY p) AS size FROM s UNION ALL SELECT page_id, max(n) - max(p) FROM s GROUP BY page_id)
+SELECT page_id, count(*) AS n_frags, CAST(sum(size) AS BIGINT) AS length, max(size) AS longest FROM f GROUP BY page_id""")
+def digest_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments between the sites of a motif; pages without a site have none."""
+    pages = bridge.table(spark, sf_dir, "pages")
+    frags = pages.select("page_id", M.fragments(M.sites(F.col("html"), "<"), F.length("html")).alias("f")).filter(F.size("f") > 0)
+    return frags.select("page_id", F.size("f").cast("bigint").alias("n_frags"), F.aggregate("f", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("length"), F.array_max("f").alias("longest"))
+
+
+@query(on(FRAGS, "SELECT map_id, frag_idx, size, end_bp - size AS start_bp, end_bp FROM ends"))
+def frag_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.frag_bounds(bridge.frag_rows(spark, sf_dir)).select("map_id", "frag_idx", "size", "start_bp", "end_bp")
+
+
+@query(on(FRAGS, """, both_ AS (SELECT map_id || CASE WHEN fw THEN '' ELSE '.r' END AS twin_id, fw AS forward, CASE WHEN fw THEN frag_idx ELSE num_frags - 1 - frag_idx END AS i, size, num_frags
+  FROM frags JOIN maps USING (map_id), (VALUES (TRUE), (FALSE)) t(fw))
+SELECT twin_id, forward, num_frags, max(size) FILTER (i = 0) AS first_size, CAST(sum(size * (i + 1)) AS BIGINT) AS checksum FROM both_ GROUP BY 1, 2, 3"""))
+def map_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both strands of every map."""
+    both = align.twins(bridge.reference_maps(spark, sf_dir).select("map_id", "num_frags", "frags"))
+    checksum = F.aggregate(F.transform("frags", lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return both.select("twin_id", "forward", "num_frags", F.get("frags", F.lit(0)).alias("first_size"), checksum.alias("checksum"))
+
+
+@query(on(FRAGS, "SELECT m.map_id, 2 * m.num_frags AS num_frags, 2 * m.length AS length, m.length + e.end_bp AS bp_after FROM maps m JOIN ends e ON e.map_id = m.map_id AND e.frag_idx = 9"))
+def map_circular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubled maps, and where their bounds are ten fragments past the first round."""
+    maps = bridge.reference_maps(spark, sf_dir).withColumn("b", M.bounds(M.circularised(F.col("frags"))))
+    return maps.select("map_id", (F.size("b") - 1).alias("num_frags"), F.element_at("b", -1).alias("length"), M.end_bp(F.col("b"), F.col("num_frags") + 9).alias("bp_after"))
+
+
+@query(on(FRAGS, "SELECT map_id, CASE WHEN suppkey % 5 = 0 THEN 'count' ELSE 'length' END AS reason FROM maps WHERE suppkey % 5 = 0 OR suppkey % 7 = 0"))
+def map_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps that state a wrong count or length, once every fifth count and seventh length are made wrong."""
+    maps = bridge.reference_maps(spark, sf_dir)
+    spoilt = maps.withColumn("num_frags", F.col("num_frags") + (F.pmod("suppkey", F.lit(5)) == 0).cast("int")).withColumn("length", F.col("length") - (F.pmod("suppkey", F.lit(7)) == 0).cast("int"))
+    from ..sources.readers import check_maps
+
+    return check_maps(spoilt).select("map_id", "reason")
+
+
+@query(on(FRAGS, "SELECT map_id, map_id || chr(9) || length || chr(9) || num_frags || chr(9) || string_agg(CAST(size AS VARCHAR), chr(9) ORDER BY frag_idx) AS line FROM frags JOIN maps USING (map_id, suppkey) GROUP BY map_id, length, num_frags"))
+def map_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a map file."""
+    maps = bridge.reference_maps(spark, sf_dir)
+    return writers.map_lines(maps).select(F.get(F.split("value", "\t"), F.lit(0)).alias("map_id"), F.col("value").alias("line"))
+
+
+@query(on(FRAGS, ", q AS (SELECT quantile_cont(size, 0.995) AS q FROM frags) SELECT map_id, count(*) FILTER (size > q) AS n_long FROM frags, q GROUP BY map_id HAVING count(*) FILTER (size > q) > 0"))
+def special_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps with a fragment above the 99.5th percentile."""
+    maps = bridge.reference_maps(spark, sf_dir)
+    limit = maps.select(F.explode("frags").alias("size")).agg(F.percentile("size", F.lit(0.995)).alias("q"))
+    found = placement.special_contigs(maps).join(F.broadcast(limit))
+    return found.select("map_id", F.size(F.filter("frags", lambda x: x > F.col("q"))).cast("bigint").alias("n_long"))
+
+
+# -- scores
+
+
+@query(on(FRAGS, "SELECT DISTINCT size, round(CASE WHEN size < 2000 THEN -size * 0.0015::DOUBLE END, 6) AS penalty FROM frags"))
+def gap_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = bridge.frag_rows(spark, sf_dir).select("size").distinct()
+    return sizes.select("size", F.round(S.gap_penalty(F.col("size"), Params()), 6).alias("penalty"))
+
+
+@query(on(FRAGS, "SELECT DISTINCT size, round(CASE WHEN size > 2000 THEN -3.0::DOUBLE WHEN size < 2000 THEN -size * 0.0015::DOUBLE + 0.000001::DOUBLE END, 6) AS penalty FROM frags"))
+def missed_site_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = bridge.frag_rows(spark, sf_dir).select("size").distinct()
+    return sizes.select("size", F.round(S.missed_site_penalty(F.col("size"), Params()), 6).alias("penalty"))
+
+
+BLOCKS = """, blk AS (SELECT a.map_id, a.frag_idx AS start_idx, CAST(z.frag_idx - a.frag_idx + 1 AS INTEGER) AS n, z.end_bp - (a.end_bp - a.size) AS length
+  FROM ends a JOIN ends z ON z.map_id = a.map_id AND z.frag_idx >= a.frag_idx AND z.frag_idx < a.frag_idx + {most})"""
+
+
+@query(on(FRAGS, BLOCKS.format(most=5) + " SELECT map_id, n, count(*) AS n_blocks, CAST(sum(length) AS BIGINT) AS total, max(length) AS longest FROM blk GROUP BY 1, 2"))
+def block_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks.blocks(bridge.frag_rows(spark, sf_dir), 5)
+    return rows.groupBy("map_id", "n").agg(F.count("*").alias("n_blocks"), F.sum("length").alias("total"), F.max("length").alias("longest"))
+
+
+CBLOCKS = """, csum AS (SELECT *, CAST(sum(size) OVER (PARTITION BY contig_id ORDER BY idx) AS BIGINT) AS c_end FROM contigs),
+cblk AS (SELECT a.contig_id, a.map_id AS true_map, a.idx AS c_start, CAST(z.idx - a.idx + 1 AS INTEGER) AS c_n, z.c_end - (a.c_end - a.size) AS c_len, a.c_end - a.size AS c0
+  FROM csum a JOIN csum z ON z.contig_id = a.contig_id AND z.idx >= a.idx AND z.idx < a.idx + {most})"""
+
+
+def _contig_frags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.contigs(spark, sf_dir).select("map_id", "true_map", F.posexplode("frags").alias("frag_idx", "size"))
+
+
+@query(on(CONTIGS, BLOCKS.format(most=2) + CBLOCKS.format(most=2) + """
+SELECT contig_id, map_id, count(*) AS n_pairs, CAST(sum(abs(c_len - length)) AS BIGINT) AS total_off FROM cblk JOIN blk ON (c_len - length) * (c_len - length) <= 1600 * c_len GROUP BY 1, 2"""))
+def block_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of queries and maps within the sizing tolerance, as a bucketed range join."""
+    c = blocks.blocks(_contig_frags(spark, sf_dir).drop("true_map"), 2)
+    pairs = blocks.sizing_join(c, blocks.blocks(bridge.frag_rows(spark, sf_dir), 2), 4, Params())
+    return pairs.groupBy("contig_id", "map_id").agg(F.count("*").alias("n_pairs"), F.sum(F.abs(F.col("c_len") - F.col("o_len"))).alias("total_off"))
+
+
+PAIRS = BLOCKS.format(most=3) + CBLOCKS.format(most=3) + """, prs AS (SELECT c.*, b.start_idx AS o_start, b.n AS o_n, b.length AS o_len,
+    CAST((c.c_len - b.length) * (c.c_len - b.length) AS DOUBLE) / (CAST(c.c_len AS DOUBLE) * 100.0::DOUBLE) AS chi2
+  FROM cblk c JOIN blk b ON b.map_id = c.true_map AND (c.c_len - b.length) * (c.c_len - b.length) <= 1600 * c.c_len)"""
+
+
+def _true_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block pairs within tolerance on each query's own map, with the query block's fragments."""
+    contigs = bridge.contigs(spark, sf_dir).select(F.col("map_id").alias("contig_id"), "true_map", "frags")
+    c = blocks.blocks(_contig_frags(spark, sf_dir).drop("true_map"), 3)
+    pairs = blocks.sizing_join(c, blocks.blocks(bridge.frag_rows(spark, sf_dir), 3), 4, Params())
+    own = pairs.join(contigs, (pairs["contig_id"] == contigs["contig_id"]) & (pairs["map_id"] == contigs["true_map"])).drop(contigs["contig_id"])
+    return own.withColumn("block", F.transform(F.slice("frags", F.col("c_start") + 1, F.col("c_n")), lambda x: x.cast("bigint")))
+
+
+@query(on(CONTIGS, PAIRS + """, cost AS (SELECT p.contig_id, p.c_start, p.c_n, p.o_start, p.o_n, least(s.c_end - p.c0, p.c_len - (s.c_end - p.c0)) AS d
+  FROM prs p JOIN csum s ON s.contig_id = p.contig_id AND s.idx >= p.c_start AND s.idx < p.c_start + p.c_n - 1),
+costs AS (SELECT contig_id, c_start, c_n, o_start, o_n, CASE WHEN count(*) = count(CASE WHEN d = 2000 THEN NULL ELSE 1 END) THEN sum(CASE WHEN d > 2000 THEN -3.0::DOUBLE ELSE -d * 0.0015::DOUBLE + 0.000001::DOUBLE END) END AS cost FROM cost GROUP BY ALL)
+SELECT p.contig_id, p.c_start, p.c_n, p.o_start, p.o_n, round(CASE WHEN p.c_n = 1 THEN 0.0::DOUBLE ELSE c.cost END + -5.0::DOUBLE * (p.o_n - 1) - p.chi2 + 1e-9::DOUBLE, 6) AS score FROM prs p LEFT JOIN costs c USING (contig_id, c_start, c_n, o_start, o_n)"""))
+def score_block_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _true_pairs(spark, sf_dir)
+    score = S.global_block(F.col("block"), F.col("o_len"), F.col("o_n"), F.lit(False), Params(), 4)
+    return pairs.select("contig_id", "c_start", "c_n", "o_start", "o_n", F.round(score + TIE, 6).alias("score"))
+
+
+@query(on(CONTIGS, PAIRS + " SELECT contig_id, c_start, c_n, o_start, o_n, round(-1.25::DOUBLE * (chi2 - 4.0::DOUBLE) + (-3.0::DOUBLE * (c_n - 1) - 5.0::DOUBLE * (o_n - 1)) + 1e-9::DOUBLE, 6) AS score FROM prs"))
+def score_block_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _true_pairs(spark, sf_dir)
+    score = S.local_block(F.col("c_len"), F.col("o_len"), F.col("c_n"), F.col("o_n"), Params(), 4)
+    return pairs.select("contig_id", "c_start", "c_n", "o_start", "o_n", F.round(score + TIE, 6).alias("score"))
+
+
+@query(on(CONTIGS, PAIRS + " SELECT contig_id, c_start, c_n, o_start, o_n, round(-(3.0::DOUBLE * (c_n - 1) + 5.0::DOUBLE * (o_n - 1) + chi2) + 1e-9::DOUBLE, 6) AS score FROM prs"))
+def score_block_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _true_pairs(spark, sf_dir)
+    score = S.count_block(F.col("c_len"), F.col("o_len"), F.col("c_n"), F.col("o_n"), F.lit(False), Params(), 4)
+    return pairs.select("contig_id", "c_start", "c_n", "o_start", "o_n", F.round(score + TIE, 6).alias("score"))
+
+
+# -- alignment
+
+
+def _own_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = bridge.contigs(spark, sf_dir).select(F.col("map_id").alias("contig_id"), F.col("frags").alias("c_frags"), F.col("true_map").alias("map_id"))
+    return c.join(bridge.reference_maps(spark, sf_dir).select("map_id", F.col("frags").alias("o_frags")), "map_id")
+
+
+@query(dp_sql(local=False))
+def dp_global_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best global score of each query on its own map, as it stands."""
+    return align.best_scores(_own_pairs(spark, sf_dir), bridge.PARAMS).withColumn("score", F.round(F.col("score") + TIE, 6))
+
+
+@query(dp_sql(local=True))
+def dp_local_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.best_scores(_own_pairs(spark, sf_dir), bridge.PARAMS.but(local=True)).withColumn("score", F.round(F.col("score") + TIE, 6))
+
+
+@query()
+def align_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best placement of each query over all maps and both strands."""
+    best = bridge.matches(spark, sf_dir).filter("rank = 1")
+    return best.select("contig_id", "chromosome", "forward", "op_start_index", "op_end_index", F.round("score", 6).alias("score"), "contig_hits", "contig_misses")
+
+
+@query()
+def align_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = bridge.matches(spark, sf_dir, bridge.PARAMS.but(local=True)).filter("rank = 1")
+    return best.select("contig_id", "chromosome", "forward", "op_start_index", "op_end_index", F.round("score", 6).alias("score"), "contig_hits", "contig_misses")
+
+
+@query()
+def align_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bridge.matches(spark, sf_dir).select("match_id", F.posexplode("alignment").alias("chunk", "x"))
+    return rows.select("match_id", "chunk", F.col("x.contig.start").alias("c_start"), F.col("x.contig.end").alias("c_end"), F.col("x.optical.start").alias("o_start"), F.col("x.optical.end").alias("o_end"), "x.is_contig_gap", "x.is_boundary_chunk")
+
+
+@query()
+def match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["total_hits", "total_misses", "contig_unaligned_frags", "contig_unaligned_bases", "c_aligned_bases", "op_aligned_bases"]
+    return bridge.matches(spark, sf_dir).select("match_id", *columns, F.round("chi2", 6).alias("chi2"), F.round("total_miss_rate", 6).alias("total_miss_rate"), F.round("aligned_length_ratio", 6).alias("aligned_length_ratio"))
+
+
+@query()
+def match_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.match_strings(bridge.matches(spark, sf_dir))
+
+
+@query()
+def alignment_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.alignment_tables(bridge.matches(spark, sf_dir).withColumn("pval", F.lit(0.0)))
+
+
+@query()
+def inner_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.inner_chunks(bridge.matches(spark, sf_dir))
+
+
+@query()
+def loess_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All maps corrected by what the unique good matches say."""
+    best = bridge.matches(spark, sf_dir).filter("rank = 1")
+    chunks = placement.inner_chunks(placement.adjustment_matches(best))
+    out = adjust.adjust_maps(bridge.reference_maps(spark, sf_dir), chunks)
+    return out.select("map_id", "num_frags", "length")
+
+
+# -- after the alignment, on stated placements
+
+
+@query(on(PLACEMENTS, "SELECT match_id FROM matches WHERE NOT (chi2 / inner_blocks > 10 OR aligned_length_ratio < 0.9 OR contig_miss_rate > 0.2 OR contig_hits <= 9)"))
+def match_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = bridge.placements(spark, sf_dir)
+    return m.filter(align.accepted(m, Params(max_miss_rate=0.2, min_hits=9))).select("match_id")
+
+
+@query(greedy_sql(PLACEMENTS, "chromosome || forward", "score DESC, op_start_index, op_end_index, match_id", "op_start_index", "op_end_index", "NOT (c.e <= y.s OR c.s >= y.e)", "SELECT match_id FROM steps WHERE ok"))
+def nonoverlap_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy selection on each map and strand."""
+    return align.non_overlapping(bridge.placements(spark, sf_dir), ["chromosome", "forward"]).select("match_id")
+
+
+@query(on(PLACEMENTS, "SELECT contig_id, match_id, r AS rank FROM (SELECT contig_id, match_id, CAST(row_number() OVER (PARTITION BY contig_id ORDER BY score DESC, chromosome, forward DESC, op_start_index, op_end_index) AS INTEGER) AS r FROM matches) WHERE r <= 2"))
+def topk_per_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.top_matches(bridge.placements(spark, sf_dir), 2).select("contig_id", "match_id", "rank")
+
+
+@query(on(PLACEMENTS, "SELECT match_id, pval FROM matches WHERE pval <= 0.05"))
+def significant_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.significant(bridge.placements(spark, sf_dir)).select("match_id", "pval")
+
+
+@query(on(PLACEMENTS, ", sig AS (SELECT *, count(*) OVER (PARTITION BY contig_id) AS n FROM matches WHERE pval <= 0.03) SELECT contig_id, match_id FROM sig WHERE n = 1"))
+def unique_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.unique(placement.significant(bridge.placements(spark, sf_dir), 0.03)).select("contig_id", "match_id")
+
+
+@query(on(PLACEMENTS, "SELECT count(*) AS n_matches, CAST(sum(c_aligned_bases) AS BIGINT) AS aligned_bases FROM matches"))
+def aligned_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.aligned_bases(bridge.placements(spark, sf_dir))
+
+
+@query(on(PLACEMENTS, ", few AS (SELECT * FROM matches WHERE pval <= 0.05 AND score > -12), c AS (SELECT contig_id, count(*) AS n, count(DISTINCT chromosome) AS k, string_agg(DISTINCT chromosome, ';' ORDER BY chromosome) AS chroms FROM few GROUP BY 1)"
+  " SELECT 'contig' || m.suppkey AS contig, m.length AS size, m.num_frags, coalesce(c.n, 0) AS num_alignments, coalesce(c.n, 0) = 1 AS aligned_uniquely, CAST(coalesce(c.k, 0) AS INTEGER) AS num_chroms, coalesce(c.chroms, '') AS chroms FROM maps m LEFT JOIN c ON c.contig_id = 'contig' || m.suppkey"))
+def contig_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = bridge.placements(spark, sf_dir).filter("pval <= 0.05 AND score > -12")
+    contigs = bridge.reference_maps(spark, sf_dir).withColumn("map_id", F.concat(F.lit("contig"), F.col("suppkey")))
+    return placement.contig_summary(contigs, few)
+
+
+ONE_SIDED = "NOT (c.s <= y.e OR c.e <= y.s)"
+INTERVAL = "c.s < y.e AND y.s < c.e"
+
+
+def _tiling_sql(clash: str, select: str = "SELECT match_id FROM steps WHERE ok") -> str:
+    return greedy_sql(PLACEMENTS, "chromosome", "c_aligned_bases DESC, match_id DESC", "op_start_bp", "op_end_bp", clash, select)
+
+
+@query(_tiling_sql(ONE_SIDED))
+def tiling_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.tiling(bridge.placements(spark, sf_dir), "one-sided").select("match_id")
+
+
+@query(_tiling_sql(INTERVAL))
+def tiling_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.tiling(bridge.placements(spark, sf_dir), "interval").select("match_id")
+
+
+@query(_tiling_sql(INTERVAL, """, t AS (SELECT m.* FROM matches m JOIN steps s USING (match_id) WHERE s.ok), n AS (SELECT contig_id, count(*) AS placements FROM matches GROUP BY 1)
+SELECT match_id, CAST(coalesce(lead(op_start_bp) OVER (PARTITION BY chromosome ORDER BY op_start_bp, match_id) - op_end_bp, 0) AS INTEGER) AS gap_after, placements, CASE WHEN forward THEN 'F' ELSE 'R' END AS orientation FROM t JOIN n USING (contig_id)"""))
+def gap_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = bridge.placements(spark, sf_dir)
+    return placement.scaffold_rows(placement.tiling(m, "interval"), m).select("match_id", "gap_after", "placements", "orientation")
+
+
+@query(_tiling_sql(INTERVAL, """, t AS (SELECT m.* FROM matches m JOIN steps s USING (match_id) WHERE s.ok), e AS (SELECT chromosome, count(*) AS contigs_placed, CAST(sum(op_end_bp - op_start_bp) AS BIGINT) AS covered_size FROM t GROUP BY 1)
+SELECT chromosome, contigs_placed, covered_size, length, round(covered_size::DOUBLE / length, 6) AS covered_ratio FROM e JOIN maps ON map_id = chromosome
+UNION ALL SELECT NULL, (SELECT CAST(sum(contigs_placed) AS BIGINT) FROM e), (SELECT CAST(sum(covered_size) AS BIGINT) FROM e), CAST(sum(length) AS BIGINT), round((SELECT sum(covered_size) FROM e)::DOUBLE / sum(length), 6) FROM maps"""))
+def scaffold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = placement.coverage(placement.tiling(bridge.placements(spark, sf_dir), "interval"), bridge.reference_maps(spark, sf_dir))
+    return out.withColumn("covered_ratio", F.round("covered_ratio", 6))
+
+
+@query(on(PLACEMENTS, ", g AS (SELECT *, count(*) OVER (PARTITION BY contig_id) AS n FROM matches WHERE contig_hits >= 10 AND greatest(contig_miss_rate, optical_miss_rate) <= 0.1) SELECT match_id FROM g WHERE n = 1"))
+def adjustment_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.adjustment_matches(bridge.placements(spark, sf_dir)).select("match_id")
+
+
+# -- significance
+
+
+@query(on(FRAGS, "SELECT CAST(row_number() OVER (ORDER BY map_id, frag_idx) - 1 AS BIGINT) AS place, size FROM frags"))
+def frag_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return significance.fragment_pool(bridge.reference_maps(spark, sf_dir))
+
+
+PICK = "CAST(('0x' || substr(md5({keys}), 1, 8)) AS BIGINT) % {n}"
+
+
+@query(on(FRAGS, f""", pool AS (SELECT CAST(row_number() OVER (ORDER BY map_id, frag_idx) - 1 AS BIGINT) AS place, size FROM frags), n AS (SELECT count(*) AS n FROM pool),
+draws AS (SELECT f AS num_frags, t AS trial, k FROM range(10, 20) a(f), range(50) b(t), unnest(range(f)) c(k)),
+got AS (SELECT d.*, {PICK.format(keys="concat_ws('|', num_frags, trial, k)", n="(SELECT n FROM n)")} AS place FROM draws d)
+SELECT 'random_' || num_frags || '_' || trial AS map_id, CAST(num_frags AS INTEGER) AS num_frags, CAST(trial AS INTEGER) AS trial, CAST(sum(size * (k + 1)) AS BIGINT) AS checksum FROM got JOIN pool USING (place) GROUP BY 1, 2, 3"""))
+def random_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50 random queries of each of 10 to 19 fragments."""
+    pool = significance.fragment_pool(bridge.reference_maps(spark, sf_dir))
+    drawn = significance.random_contigs(pool, spark.range(10, 20).select(F.col("id").cast("int").alias("num_frags")), 50)
+    checksum = F.aggregate(F.transform("frags", lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return drawn.select("map_id", "num_frags", "trial", checksum.alias("checksum"))
+
+
+@query()
+def null_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null scores for each number of fragments of the queries, three trials each, over all maps."""
+    p = bridge.PARAMS.but(trials=3)
+    return significance.null_table(bridge.contigs(spark, sf_dir), bridge.reference_maps(spark, sf_dir), p).withColumn("score", F.round("score", 6))
+
+
+def _stated_null(spark: SparkSession) -> DataFrame:
+    draws = spark.range(10, 20).select(F.col("id").cast("int").alias("num_frags"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("trial"))
+    return draws.withColumn("score", -significance.pick(F.lit(100), F.col("num_frags"), F.col("trial")) / 4.0)
+
+
+@query(on(PLACEMENTS, f""", null_ AS (SELECT f AS num_frags, -({PICK.format(keys="concat_ws('|', f, t)", n="100")}) / 4.0::DOUBLE AS null_score FROM range(10, 20) a(f), range(200) b(t))
+SELECT match_id, round(avg(CASE WHEN null_score >= score THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS pval FROM matches JOIN null_ USING (num_frags) GROUP BY 1"""))
+def empirical_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p-values of stated placements under a stated null distribution."""
+    out = significance.empirical_pvalues(bridge.placements(spark, sf_dir), _stated_null(spark))
+    return out.select("match_id", F.round("pval", 6).alias("pval"))
+
+
+@query(on(FRAGS, f""", pool AS (SELECT CAST(row_number() OVER (ORDER BY map_id, frag_idx) - 1 AS BIGINT) AS place, -(size % 64) / 16.0::DOUBLE AS score FROM frags), n AS (SELECT count(*) AS n FROM pool),
+draws AS (SELECT f AS num_chunks, t AS sample, k FROM range(5, 10) a(f), range(1000) b(t), unnest(range(f)) c(k)),
+sums AS (SELECT num_chunks, sample, sum(score) AS null_score FROM (SELECT d.*, {PICK.format(keys="concat_ws('|', num_chunks, sample, k)", n="(SELECT n FROM n)")} AS place FROM draws d) JOIN pool USING (place) GROUP BY 1, 2)
+SELECT map_id, CAST(num_chunks AS INTEGER) AS num_chunks, round(avg(CASE WHEN null_score >= s THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS pval FROM sums JOIN (SELECT map_id, 5 + num_frags % 5 AS num_chunks, -(length % 160) / 10.0::DOUBLE AS s FROM maps) USING (num_chunks) GROUP BY 1, 2"""))
+def chunk_bootstrap_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap p-values: 1000 sums for each number of chunks, drawn from stated chunk scores."""
+    maps = bridge.reference_maps(spark, sf_dir)
+    pool = significance.fragment_pool(maps).select("place", (-(F.col("size") % 64) / 16.0).alias("score"))
+    scored = maps.select(F.col("map_id").alias("match_id"), (-(F.col("length") % 160) / 10.0).alias("score"), F.sequence(F.lit(1), (5 + F.col("num_frags") % 5)).alias("alignment"))
+    boot = significance.bootstrap(pool, scored.select(F.size("alignment").alias("num_chunks")), 1000)
+    return significance.bootstrap_pvalues(scored, boot).select(F.col("match_id").alias("map_id"), "num_chunks", F.round("pval", 6).alias("pval"))
+
+
+@query("""
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+q AS (SELECT *, floor(greatest(1, least(n * 0.95::DOUBLE + 0.59::DOUBLE, n - 1))) AS k, n * 0.95::DOUBLE + 0.59::DOUBLE AS a FROM r)
+SELECT event_type, round(sum(CASE WHEN i = k THEN (1 - greatest(0, least(1, a - k))) * value WHEN i = k + 1 THEN greatest(0, least(1, a - k)) * value END), 6) AS quantile FROM q GROUP BY 1""")
+def null_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """95 % quantiles by plotting positions."""
+    return significance.plotting_quantile(bridge.table(spark, sf_dir, "events"), "event_type", "value", 0.95).withColumn("quantile", F.round("quantile", 6))
+
+
+@query(on("x AS (SELECT CAST(floor(l_extendedprice) AS BIGINT) AS l_map, CAST(1 + l_linenumber % 4 AS INTEGER) AS n_map, CAST(floor(l_extendedprice) AS BIGINT) + (l_partkey % 2001) - 1000 + 500 AS l_ref FROM lineitem)", """
+SELECT l_map, n_map, l_ref, count(*) AS n, round(max(-(0.000005::DOUBLE * l_map) + (n_map - 1) * ln(0.000005::DOUBLE * l_map) - ln(CASE n_map WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 6 END) + (n_map - 1) * ln(1 - 0.8::DOUBLE) + ln(0.8::DOUBLE)
+  - 0.5::DOUBLE * power((l_map - l_ref) / (sqrt(300.0::DOUBLE) * sqrt(l_ref)), 2) - 0.5::DOUBLE * ln(2 * pi()) - ln(sqrt(300.0::DOUBLE) * sqrt(l_ref))), 5) AS loglik
+FROM x GROUP BY 1, 2, 3"""))
+def alignment_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of blocks, by rule from the lineitems."""
+    l_map = F.floor("l_extendedprice")
+    x = bridge.table(spark, sf_dir, "lineitem").select(l_map.alias("l_map"), (1 + F.col("l_linenumber") % 4).alias("n_map"), (l_map + F.col("l_partkey") % 2001 - 500).alias("l_ref"))
+    score = P.block_likelihood(F.col("l_map"), F.col("n_map"), F.col("l_ref"), F.lit(1))
+    return x.groupBy("l_map", "n_map", "l_ref").agg(F.count("*").alias("n")).select("l_map", "n_map", "l_ref", "n", F.round(score, 5).alias("loglik"))
+
+
+# -- scaffolds and joint maps
+
+
+@query(_tiling_sql(INTERVAL, """, t AS (SELECT m.* FROM matches m JOIN steps s USING (match_id) WHERE s.ok),
+g AS (SELECT *, row_number() OVER w AS o, greatest(0, coalesce(lead(op_start_bp) OVER w - op_end_bp, 0)) AS gap FROM t WINDOW w AS (PARTITION BY chromosome ORDER BY op_start_bp, match_id)),
+p AS (SELECT chromosome, o, 0 AS k, contig_id, forward, c_aligned_bases AS span FROM g UNION ALL SELECT chromosome, o, 1, contig_id, forward, gap FROM g WHERE gap > 0)
+SELECT chromosome AS object, CAST(sum(span) OVER w - span + 1 AS BIGINT) AS object_begin, CAST(sum(span) OVER w AS BIGINT) AS object_end, CAST(row_number() OVER w AS INTEGER) AS part_number, CASE k WHEN 0 THEN 'W' ELSE 'N' END AS component_type,
+  CASE k WHEN 0 THEN contig_id ELSE CAST(span AS VARCHAR) END AS component, CASE k WHEN 0 THEN '1' ELSE 'fragment' END AS component_begin, CASE k WHEN 0 THEN CAST(span AS VARCHAR) ELSE 'No' END AS component_end,
+  CASE k WHEN 0 THEN CASE WHEN forward THEN '+' ELSE '-' END ELSE '' END AS orientation
+FROM p WINDOW w AS (PARTITION BY chromosome ORDER BY o, k)"""))
+def agp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = bridge.placements(spark, sf_dir)
+    rows = placement.scaffold_rows(placement.tiling(m, "interval"), m)
+    w = Window.partitionBy("chromosome").orderBy("op_start_bp", "match_id")
+    shaped = rows.select(F.col("chromosome").alias("scaffold"), F.row_number().over(w).alias("order"), "contig_id", F.when(F.col("forward"), "BE").otherwise("EB").alias("orientation"), F.col("c_aligned_bases").alias("size"), F.greatest(F.lit(0), "gap_after").alias("gap"))
+    return joint.agp(shaped)
+
+
+def _locations(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = bridge.table(spark, sf_dir, "customer").filter(F.pmod(k, F.lit(3 + which)) != 0)
+    loc = (k * 1000 + F.pmod(k * 7919 * which, F.lit(3000))).cast("double")
+    return rows.select(F.concat(F.lit("contig"), k).alias("contig_id"), F.when(F.pmod(k * which, F.lit(11)) < 7, "BE").otherwise("EB").alias("dir"), loc.alias("loc"), (30 + F.pmod(k, F.lit(70))).cast("double").alias("sd"))
+
+
+LOCATIONS = """l1 AS (SELECT 'contig' || c_custkey AS contig_id, CASE WHEN c_custkey % 11 < 7 THEN 'BE' ELSE 'EB' END AS dir, CAST(c_custkey * 1000 + (c_custkey * 7919) % 3000 AS DOUBLE) AS loc, CAST(30 + c_custkey % 70 AS DOUBLE) AS sd FROM customer WHERE c_custkey % 4 <> 0),
+l2 AS (SELECT 'contig' || c_custkey AS contig_id, CASE WHEN (c_custkey * 2) % 11 < 7 THEN 'BE' ELSE 'EB' END AS dir, CAST(c_custkey * 1000 + (c_custkey * 15838) % 3000 AS DOUBLE) AS loc, CAST(30 + c_custkey % 70 AS DOUBLE) AS sd FROM customer WHERE c_custkey % 5 <> 0)"""
+MERGED = LOCATIONS + """, j AS (SELECT coalesce(a.contig_id, b.contig_id) AS contig_id, a.dir AS d1, b.dir AS d2, a.loc AS p1, b.loc AS p2, a.sd AS s1, b.sd AS s2, abs(a.loc - b.loc) <= 12 * (a.sd + b.sd) AS near FROM l1 a FULL OUTER JOIN l2 b ON a.contig_id = b.contig_id),
+o AS (SELECT *, CASE WHEN p2 IS NULL THEN 'one' WHEN p1 IS NULL THEN 'two' WHEN d1 <> d2 THEN 'direction' WHEN near THEN 'both' ELSE 'location' END AS outcome FROM j),
+merged AS (SELECT contig_id, CASE WHEN outcome IN ('one', 'two', 'both') THEN coalesce(d2, d1) END AS dir, CASE WHEN outcome IN ('one', 'two', 'both') THEN coalesce(p2, p1) END AS loc, CASE WHEN outcome IN ('one', 'two', 'both') THEN coalesce(s2, s1) END AS sd, outcome, near FROM o)"""
+
+
+@query(on(MERGED, "SELECT contig_id, dir, loc, sd, outcome FROM merged"))
+def joint_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full outer merge of two maps' locations."""
+    return joint.merge_maps(_locations(spark, sf_dir, 1), _locations(spark, sf_dir, 2)).drop("near")
+
+
+@query(on(MERGED, """, r1 AS (SELECT 'contig' || (o_custkey) AS contig_id, CASE WHEN o_orderkey % 2 = 0 THEN 'BE' ELSE 'EB' END AS dir, floor(o_totalprice) AS loc, 40.0::DOUBLE AS sd FROM orders WHERE o_orderstatus = 'F'),
+r2 AS (SELECT 'contig' || (o_custkey) AS contig_id, CASE WHEN o_orderkey % 2 = 0 THEN 'BE' ELSE 'EB' END AS dir, floor(o_totalprice) AS loc, 40.0::DOUBLE AS sd FROM orders WHERE o_orderstatus <> 'F'),
+p AS (SELECT r1.contig_id, r1.dir, r1.loc AS a, r2.loc AS b FROM r1 JOIN r2 ON r1.contig_id = r2.contig_id AND r1.dir = r2.dir WHERE abs(r1.loc - r2.loc) <= 12 * 80 AND r1.contig_id NOT IN (SELECT contig_id FROM merged WHERE loc IS NOT NULL))
+SELECT contig_id, dir, b AS loc, 40.0::DOUBLE AS sd FROM (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY a, b, dir) AS r FROM p) WHERE r = 1"""))
+def joint_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open placements that agree on both maps."""
+    orders = bridge.table(spark, sf_dir, "orders")
+    shaped = orders.select("o_orderstatus", F.concat(F.lit("contig"), F.col("o_custkey")).alias("contig_id"), F.when(F.col("o_orderkey") % 2 == 0, "BE").otherwise("EB").alias("dir"), F.floor("o_totalprice").cast("double").alias("loc"), F.lit(40.0).alias("sd"))
+    merged = joint.merge_maps(_locations(spark, sf_dir, 1), _locations(spark, sf_dir, 2))
+    return joint.resolve_ambiguous(shaped.filter("o_orderstatus = 'F'").drop("o_orderstatus"), shaped.filter("o_orderstatus <> 'F'").drop("o_orderstatus"), merged)
+
+
+@query(on(PLACEMENTS, "SELECT CAST(count(*) FILTER (k % 3 = 0) AS BIGINT) AS matched, CAST(count(*) FILTER (k % 3 = 1) AS BIGINT) AS filtered, CAST(count(*) FILTER (k % 3 = 2) AS BIGINT) AS scheduled, round(sum(c_aligned_bases) / 1e6::DOUBLE, 6) AS mbp, round(sum(c_aligned_bases)::DOUBLE / (SELECT sum(length) FROM maps), 6) AS ratio FROM (SELECT c_aligned_bases, CAST(substr(contig_id, 7) AS BIGINT) AS k FROM matches)"))
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.substring("contig_id", 7, 20).cast("bigint") % 3
+    m = bridge.placements(spark, sf_dir).select(k.alias("k"), F.col("c_aligned_bases").alias("size"))
+    optical = bridge.frag_rows(spark, sf_dir).select(F.col("size").cast("double").alias("size"), F.lit(1.0).alias("sd"))
+    part = lambda i: m.filter(F.col("k") == i).drop("k")
+    return joint.run_summary(joint.tagged(part(0), part(1), part(2)), optical).withColumns({"mbp": F.round("mbp", 6), "ratio": F.round("ratio", 6)})
+
+
+@query()
+def joint_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged locations as one ordered, non-overlapping scaffold for each nation."""
+    customers = bridge.table(spark, sf_dir, "customer").select(F.concat(F.lit("contig"), F.col("c_custkey")).alias("contig_id"), F.col("c_nationkey").alias("scaffold"), (500 + F.pmod("c_custkey", F.lit(9)) * 400).cast("int").alias("size"))
+    merged = joint.merge_maps(_locations(spark, sf_dir, 1), _locations(spark, sf_dir, 2)).filter(F.col("loc").isNotNull())
+    return joint.emit_ordered(merged.join(customers, "contig_id"))
