@@ -123,9 +123,8 @@ def place_to_fixpoint(candidates: DataFrame, optical: DataFrame, fixed: DataFram
                 break
             status[one.record] = "placed"
             occupy(one)
-        out = cands[["map_id", "record", "contig_id"]].copy()
-        out["status"] = [status[k] for k in out["record"]]
-        return out
+        numbers = cands["record"].tolist()
+        return pd.DataFrame({"map_id": [str(x) for x in cands["map_id"]], "record": numbers, "contig_id": [str(x) for x in cands["contig_id"]], "status": [status[k] for k in numbers]}, dtype=object).astype({"record": "int64"})
 
     return rows.groupBy("map_id").applyInPandas(run, "map_id string, record bigint, contig_id string, status string")
 
@@ -254,8 +253,9 @@ def emit_ordered(placed: DataFrame, tolerance: float = TOLERANCE, by: str = "sca
 
     rows = groups.select(by, F.posexplode(F.aggregate("items", F.slice("items", 1, 0), step)).alias("i", "x")).select(by, (F.col("i") + 1).alias("order"), "x.*")
     w = Window.partitionBy(by).orderBy("order")
-    gap = F.greatest(F.lit(1.0), F.lead("loc").over(w) - F.col("loc") - F.col("size"))
-    return rows.select(by, "order", "contig_id", F.col("dir").alias("orientation"), F.col("size").cast("int").alias("size"), F.coalesce(gap, F.lit(0.0)).cast("int").alias("gap"))
+    after = F.lead("loc").over(w)
+    gap = F.when(after.isNull(), 0.0).otherwise(F.greatest(F.lit(1.0), after - F.col("loc") - F.col("size")))
+    return rows.select(by, "order", "contig_id", F.col("dir").alias("orientation"), F.col("size").cast("int").alias("size"), gap.cast("int").alias("gap"))
 
 
 def anchors(one: DataFrame, two: DataFrame) -> DataFrame:

@@ -99,11 +99,11 @@ def kb_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     rows = _lines(spark, paths)
     plain = F.regexp_extract("value", r"\d+\s+([\d.]+)\s+([\d.]+)", 1)
     xml = F.regexp_extract("value", r'S="(\d+)" STDDEV="([\d.]+)"', 1)
-    ended = F.max(F.when(F.contains("value", F.lit("</RESTRICTION_MAP>")), 1).otherwise(0)).over(Window.partitionBy("file").orderBy("line_no"))
+    rows = rows.withColumn("ended", F.max(F.when(F.contains(F.col("value"), F.lit("</RESTRICTION_MAP>")), 1).otherwise(0)).over(Window.partitionBy("file").orderBy("line_no")))
     lines = F.array_compact(F.array(
         F.when(plain != "", F.concat_ws(" ", plain, F.regexp_extract("value", r"\d+\s+([\d.]+)\s+([\d.]+)", 2))),
         F.when(xml != "", F.format_string("%.3f %s", xml.try_cast("double") / 1000, F.regexp_extract("value", r'S="(\d+)" STDDEV="([\d.]+)"', 2))),
-        F.when((ended == 1) & F.contains("value", F.lit("<RESTRICTION_MAP")), F.lit("100.000 0.000")),
+        F.when((F.col("ended") == 1) & F.contains(F.col("value"), F.lit("<RESTRICTION_MAP")), F.lit("100.000 0.000")),
     ))
     return rows.select("file", "line_no", F.posexplode(lines).alias("k", "value"))
 
