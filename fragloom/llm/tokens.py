@@ -9,6 +9,7 @@ the ids of all texts are then gathered with numpy.  Texts with any other white s
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,11 @@ import pyarrow.compute as pc
 ENCODERS: dict[tuple, "Encoder"] = {}
 
 
+def plain(word: str) -> bool:
+    """Letters only, also once a file's normaliser has composed and lower-cased them."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class Encoder:
     """``spaced``: a space belongs to the piece that follows it (byte-level files); otherwise white space has no ids.
 
@@ -121,7 +127,7 @@ class Encoder:
         rest: list[int] = []
         need_heads: set[str] = set()
         for i, w in enumerate(words):
-            if w.isalpha():
+            if plain(w):
                 plan.append((i, w, b"", ""))
                 continue
             if self.spaced and (not w or w[0].isspace() or w[-1].isspace()):
@@ -129,7 +135,7 @@ class Encoder:
                 continue
             first, end, tail = w.partition("\n")
             base, stop = (first[:-1], self.stops[first[-1]]) if first[-1:] in self.stops else (first, b"")
-            if not base.isalpha() or end and not tail.isalpha():
+            if not plain(base) or end and not plain(tail):
                 rest.append(i)
                 continue
             if end:
