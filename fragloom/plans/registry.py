@@ -433,14 +433,17 @@ def agp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _locations(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
-    k = F.col("c_custkey")
-    rows = bridge.table(spark, sf_dir, "customer").filter(F.pmod(k, F.lit(3 + which)) != 0)
+    """Stated locations on two maps: of all customers, and of all parts, whose numbers are shifted so that either side has queries of its own."""
+    if which == 1:
+        rows, k = bridge.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    else:
+        rows, k = bridge.table(spark, sf_dir, "part"), F.col("p_partkey") + 40
     loc = (k * 1000 + F.pmod(k * 7919 * which, F.lit(3000))).cast("double")
     return rows.select(F.concat(F.lit("contig"), k).alias("contig_id"), F.when(F.pmod(k * which, F.lit(11)) < 7, "BE").otherwise("EB").alias("dir"), loc.alias("loc"), (30 + F.pmod(k, F.lit(70))).cast("double").alias("sd"))
 
 
-LOCATIONS = """l1 AS (SELECT 'contig' || c_custkey AS contig_id, CASE WHEN c_custkey % 11 < 7 THEN 'BE' ELSE 'EB' END AS dir, CAST(c_custkey * 1000 + (c_custkey * 7919) % 3000 AS DOUBLE) AS loc, CAST(30 + c_custkey % 70 AS DOUBLE) AS sd FROM customer WHERE c_custkey % 4 <> 0),
-l2 AS (SELECT 'contig' || c_custkey AS contig_id, CASE WHEN (c_custkey * 2) % 11 < 7 THEN 'BE' ELSE 'EB' END AS dir, CAST(c_custkey * 1000 + (c_custkey * 15838) % 3000 AS DOUBLE) AS loc, CAST(30 + c_custkey % 70 AS DOUBLE) AS sd FROM customer WHERE c_custkey % 5 <> 0)"""
+LOCATIONS = """l1 AS (SELECT 'contig' || k AS contig_id, CASE WHEN k % 11 < 7 THEN 'BE' ELSE 'EB' END AS dir, CAST(k * 1000 + (k * 7919) % 3000 AS DOUBLE) AS loc, CAST(30 + k % 70 AS DOUBLE) AS sd FROM (SELECT c_custkey AS k FROM customer)),
+l2 AS (SELECT 'contig' || k AS contig_id, CASE WHEN (k * 2) % 11 < 7 THEN 'BE' ELSE 'EB' END AS dir, CAST(k * 1000 + (k * 15838) % 3000 AS DOUBLE) AS loc, CAST(30 + k % 70 AS DOUBLE) AS sd FROM (SELECT p_partkey + 40 AS k FROM part))"""
 MERGED = LOCATIONS + """, j AS (SELECT coalesce(a.contig_id, b.contig_id) AS contig_id, a.dir AS d1, b.dir AS d2, a.loc AS p1, b.loc AS p2, a.sd AS s1, b.sd AS s2, abs(a.loc - b.loc) <= 12 * (a.sd + b.sd) AS near FROM l1 a FULL OUTER JOIN l2 b ON a.contig_id = b.contig_id),
 o AS (SELECT *, CASE WHEN p2 IS NULL THEN 'one' WHEN p1 IS NULL THEN 'two' WHEN d1 <> d2 THEN 'direction' WHEN near THEN 'both' ELSE 'location' END AS outcome FROM j),
 merged AS (SELECT contig_id, CASE WHEN outcome IN ('one', 'two', 'both') THEN coalesce(d2, d1) END AS dir, CASE WHEN outcome IN ('one', 'two', 'both') THEN coalesce(p2, p1) END AS loc, CASE WHEN outcome IN ('one', 'two', 'both') THEN coalesce(s2, s1) END AS sd, outcome, near FROM o)"""
