@@ -132,10 +132,10 @@ def contig_summary(contigs: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def special_contigs(contigs: DataFrame, share: float = 0.995) -> DataFrame:
-    """Queries with a fragment above the given quantile of all fragments' lengths."""
-    sizes = contigs.select(F.explode("frags").alias("size"))
-    limit = sizes.agg(F.percentile("size", F.lit(share)).alias("q")).first()["q"]
-    return contigs.filter(F.exists("frags", lambda x: x > F.lit(limit))) if limit is not None else contigs.limit(0)
+    """Queries with a fragment above the given quantile of all fragments' lengths, and n_long, how many such fragments they have."""
+    limit = contigs.select(F.explode("frags").alias("size")).agg(F.percentile("size", F.lit(share)).alias("q")).first()["q"]
+    n_long = F.size(F.filter("frags", lambda x: x > F.lit(limit))) if limit is not None else F.lit(0)
+    return contigs.withColumn("n_long", n_long.cast("bigint")).filter("n_long > 0")
 
 
 def adjustment_matches(matches: DataFrame, hits: int = 10, rate: float = 0.10) -> DataFrame:

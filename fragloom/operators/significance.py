@@ -20,10 +20,14 @@ def fragment_pool(contigs: DataFrame, interior: bool = False) -> DataFrame:
     """Numbered fragments (place, size) of all queries, or of their interiors only (queries of more than two)."""
     frags = F.slice("frags", 2, F.greatest(F.size("frags") - 2, F.lit(0))) if interior else F.col("frags")
     rows = contigs.select("map_id", F.posexplode(frags).alias("i", "size"))
-    # One number for each fragment without a single-task window: counts before each map, then places within it.
-    counts = rows.groupBy("map_id").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("map_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.select("map_id", before.alias("before")), "map_id").select((F.col("before") + F.col("i")).cast("bigint").alias("place"), "size")
+    # Counts before each map, then places within it.  Maps are counted within ids of one beginning first, so that no single task sees all of them.
+    counts = rows.groupBy("map_id").agg(F.count("*").alias("n")).withColumn("head", F.substring("map_id", 1, 5))
+    heads = counts.groupBy("head").agg(F.sum("n").alias("n_head"))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = heads.select("head", earlier("n_head", Window.orderBy("head")).alias("before_head"))
+    counts = counts.withColumn("before_map", earlier("n", Window.partitionBy("head").orderBy("map_id"))).join(heads, "head")
+    starts = counts.select("map_id", (F.col("before_head") + F.col("before_map")).alias("before"))
+    return rows.join(starts, "map_id").select((F.col("before") + F.col("i")).cast("bigint").alias("place"), "size")
 
 
 def random_contigs(pool: DataFrame, sizes: DataFrame, trials: int) -> DataFrame:
