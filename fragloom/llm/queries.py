@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,4 +93,9 @@ QUERIES = {
         op9_language_id, op10_minhash_near_dedup,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_url_filter": sql.url_filter(URL_RULES, [(f"{s}.{d}", "", "block") for s in LISTED_SITES for d in LISTED_DOMAINS]),
+    "op5_decontaminate": sql.decontaminate(),
+    "op7_quality_rules": sql.quality_rules(),
+    "op10_minhash_near_dedup": sql.near_duplicates(),
+}
