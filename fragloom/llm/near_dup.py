@@ -4,8 +4,8 @@
    equal sets are one class; from here on only one row of a class counts, so groups of exact copies cost nothing.
 2. Classes that share a key meet.  No pairs are made: each key names its least class, and a class joins the least class that
    any of its keys names (its cluster).
-3. Within a cluster all pairs of sketches are compared in blocks of bounded size; only classes with a close partner go on, and
-   only their texts are read again.  Blocks then confirm links on full sets, and give a spanning forest of them instead of all pairs.
+3. Within a cluster all pairs of sketches and parity bitmaps are compared in blocks of bounded size; only classes with a possible partner
+   go on, and only their texts are read again.  Blocks then confirm links on full sets, and give a spanning forest of them instead of all pairs.
 4. Classes that share a key but neither a cluster nor, so far, a component are compared one by one.
 5. Components follow from the links.
 
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, forget, keep, only
 from .components import components
-from .shingles import Signatures, distances, linked, shingle_set
+from .shingles import Signatures, distances, linked, parity, shingle_set
 
-ROWS = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, s1 long, s2 long, keys array<long>"
+ROWS = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, s1 long, s2 long, bits array<long>, keys array<long>"
 SIGNED = np.dtype("<i8")
 
 
@@ -41,18 +41,18 @@ def signed_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures = Signatures(percent)
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
                 if len(s):
                     h = xxhash.xxh3_128_intdigest(s.tobytes())
                     keys, s1, s2 = signatures.of(s)
-                    row = (len(s), _signed(h >> 64), _signed(h & (1 << 64) - 1), s1, s2, keys)
+                    row = (len(s), _signed(h >> 64), _signed(h & (1 << 64) - 1), s1, s2, parity(s), keys)
                 else:
-                    row = (0, None, None, None, None, None)
+                    row = (0, None, None, None, None, None, None)
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in out[:5]], pa.array(out[5], pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in out[:5]], *[pa.array(c, pa.list_(pa.int64())) for c in out[5:]]], names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "s1", "s2", "bits", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, ROWS)
 
@@ -84,13 +84,14 @@ def blocks_of(members: DataFrame, block: int) -> DataFrame:
 
 
 def _close(rows: list[tuple], far: int, percent: int, side: int = 256) -> Iterator[tuple[int, int]]:
-    """Places of pairs with close sketches and sizes.  rows: (own block, cid, n, s1, s2, ...); pairs of unequal blocks cross."""
+    """Places of pairs whose sizes, sketches and parity bitmaps allow a link.  rows: (own block, cid, n, s1, s2, bits, ...); pairs of unequal blocks cross."""
     own = np.array([r[0] for r in rows])
     n = np.array([r[2] for r in rows], dtype=np.int64)
     s1 = np.array([r[3] for r in rows], dtype=SIGNED).view(np.uint64)
     s2 = np.array([r[4] for r in rows], dtype=SIGNED).view(np.uint64)
     order = np.argsort(n, kind="stable")
     own, n, s1, s2 = own[order], n[order], s1[order], s2[order]
+    bits = np.array([rows[k][5] for k in order.tolist()], dtype=SIGNED).view(np.uint64)
     crossed = own.min() != own.max()
     for a in range(0, len(n), side):
         # Sizes are in order, so partners of these rows end where sizes are too large for the last of them.
@@ -104,6 +105,9 @@ def _close(rows: list[tuple], far: int, percent: int, side: int = 256) -> Iterat
             good = p < q
             if crossed:
                 good &= own[p] != own[q]
+            p, q = p[good], q[good]
+            apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+            good = (100 + percent) * apart <= (100 - percent) * (n[p] + n[q])
             yield from zip(order[p[good]].tolist(), order[q[good]].tolist(), strict=True)
 
 
@@ -121,7 +125,7 @@ def close_members(blocks: DataFrame, far: int, percent: int) -> DataFrame:
                 clusters, cids = [], []
         yield pa.RecordBatch.from_arrays([pa.array(clusters, pa.int64()), pa.array(cids, pa.int64())], names=["cluster", "cid"])
 
-    rows = blocks.select("cluster", "i", "j", "own", "cid", "n", "s1", "s2")
+    rows = blocks.select("cluster", "i", "j", "own", "cid", "n", "s1", "s2", "bits")
     return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(find, "cluster long, cid long").distinct()
 
 
@@ -156,7 +160,7 @@ def block_links(blocks: DataFrame, far: int, percent: int, width: int) -> DataFr
 
             def of(k: int) -> np.ndarray:
                 if k not in sets:
-                    sets[k] = shingle_set(rows[k][5], width)
+                    sets[k] = shingle_set(rows[k][6], width)
                 return sets[k]
 
             for x, y in _close(rows, far, percent):
@@ -169,7 +173,7 @@ def block_links(blocks: DataFrame, far: int, percent: int, width: int) -> DataFr
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = blocks.select("cluster", "i", "j", "own", "cid", "n", "s1", "s2", "text")
+    rows = blocks.select("cluster", "i", "j", "own", "cid", "n", "s1", "s2", "bits", "text")
     return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(confirm, "a long, b long")
 
 
@@ -224,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rows = keep(signed_rows(docs, width, percent), "signed")
     full = rows.filter(F.col("n_shingles") > 0)
     rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    grouped = full.groupBy("h1", "h2").agg(F.min(rep).alias("rep"), F.first("n_shingles").alias("n"), F.first(F.struct("s1", "s2", "keys")).alias("sig"))
+    grouped = full.groupBy("h1", "h2").agg(F.min(rep).alias("rep"), F.first("n_shingles").alias("n"), F.first(F.struct("s1", "s2", "bits", "keys")).alias("sig"))
     # Class numbers ascend with ids, so that a key's least class is its earliest document.
     classes = keep(grouped.repartitionByRange("rep").sortWithinPartitions("rep").select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "rep", "n", "sig.*"), "classes")
 
@@ -232,7 +236,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     shared = keyed.groupBy("key").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter(F.col("least") < F.col("most")).select("key", "least")
     met = keep(keyed.join(shared, "key").distinct(), "met")
     clusters = keep(met.groupBy("cid").agg(F.min("least").alias("cluster")), "clusters")
-    sketches = classes.select("cid", "n", "s1", "s2")
+    sketches = classes.select("cid", "n", "s1", "s2", "bits")
     members = clusters.join(sketches, "cid")
     close = keep(close_members(blocks_of(members, 4 * block), far, percent), "close")
     texts = texts_of(docs, classes, close.select("cid").distinct())
@@ -248,14 +252,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     placed = keep(placed.join(mixed, "key").join(sketches, "cid"), "mixed")
     votes = placed.groupBy("key", "cluster").agg(F.count("*").alias("votes")).groupBy("key").agg(F.max(F.struct("votes", "cluster"))["cluster"].alias("main"))
     sided = placed.join(votes, "key")
-    few = sided.filter(F.col("cluster") != F.col("main")).select("key", *[F.col(c).alias(f"x_{c}") for c in ("cid", "cluster", "label", "n", "s1", "s2")])
+    few = sided.filter(F.col("cluster") != F.col("main")).select("key", *[F.col(c).alias(f"x_{c}") for c in ("cid", "cluster", "label", "n", "s1", "s2", "bits")])
     distance = sum(_symbols_apart(F.col(f"x_{c}"), F.col(c)) for c in ("s1", "s2"))
+    apart = sum(F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("bits", F.lit(i)))) for i in range(8))
     may = (
         (F.col("x_cluster") != F.col("cluster"))
         & (F.col("x_label") != F.col("label"))
         & ((F.col("cluster") == F.col("main")) | (F.col("x_cid") < F.col("cid")))
         & (100 * F.least("x_n", "n") >= percent * F.greatest("x_n", "n"))
         & (distance <= far)
+        & ((100 + percent) * apart <= (100 - percent) * (F.col("x_n") + F.col("n")))
     )
     pairs = few.join(sided.withColumnRenamed("key", "key_"), (F.col("key") == F.col("key_")) & may)
     pairs = keep(pairs.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct(), "pairs")
