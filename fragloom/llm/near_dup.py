@@ -83,7 +83,7 @@ def blocks_of(members: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("size", "n_blocks", "other")
 
 
-def _close(rows: list[tuple], far: int, percent: int, side: int = 256) -> Iterator[tuple[int, int]]:
+def _close(rows: list[tuple], far: int, percent: int, side: int = 64, slice_: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Places of pairs whose sizes, sketches and parity bitmaps allow a link.  rows: (own block, cid, n, s1, s2, bits, ...); pairs of unequal blocks cross."""
     own = np.array([r[0] for r in rows])
     n = np.array([r[2] for r in rows], dtype=np.int64)
@@ -106,9 +106,11 @@ def _close(rows: list[tuple], far: int, percent: int, side: int = 256) -> Iterat
             if crossed:
                 good &= own[p] != own[q]
             p, q = p[good], q[good]
-            apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
-            good = (100 + percent) * apart <= (100 - percent) * (n[p] + n[q])
-            yield from zip(order[p[good]].tolist(), order[q[good]].tolist(), strict=True)
+            for k in range(0, len(p), slice_):  # bounded memory, however many sketches are close
+                u, v = p[k : k + slice_], q[k : k + slice_]
+                apart = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64)
+                may = (100 + percent) * apart <= (100 - percent) * (n[u] + n[v])
+                yield from zip(order[u[may]].tolist(), order[v[may]].tolist(), strict=True)
 
 
 def close_members(blocks: DataFrame, far: int, percent: int) -> DataFrame:
