@@ -232,3 +232,24 @@ def best_scores(pairs: DataFrame, p: Params) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("contig_id", pa.string()), ("map_id", pa.string()), ("score", pa.float64()), ("cells", pa.int64())]))
 
     return pairs.select("contig_id", "c_frags", "map_id", "o_frags").mapInArrow(run, schema)
+
+
+def score_cells(pairs: DataFrame, p: Params, by_count: bool = False) -> DataFrame:
+    """(contig_id, map_id, i, j, score, from_i, from_j): all reachable cells of the score tables of ``pairs``, for inspection.
+
+    ``by_count`` uses costs by the number of missed sites and blocks of one fragment more.
+    """
+    from .kernel import fill
+
+    ship_package(pairs.sparkSession)
+    schema = T.StructType([T.StructField("contig_id", S), T.StructField("map_id", S), *[T.StructField(c, I) for c in ("i", "j")], T.StructField("score", D), *[T.StructField(c, I) for c in ("from_i", "from_j")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for contig_id, c, map_id, o in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                t = fill(np.array(c, np.int64), np.array(o, np.int64), len(o), p.sd_min, p, by_count)
+                i, j = np.nonzero(t.score > -np.inf)
+                n = len(i)
+                yield pa.RecordBatch.from_arrays([pa.array([contig_id] * n, pa.string()), pa.array([map_id] * n, pa.string()), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(t.score[i, j]), pa.array(t.row[i, j]), pa.array(t.col[i, j])], names=schema.names)
+
+    return pairs.select("contig_id", "c_frags", "map_id", "o_frags").mapInArrow(run, schema)

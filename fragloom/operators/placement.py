@@ -176,3 +176,29 @@ def match_strings(matches: DataFrame) -> DataFrame:
         end(shown(lambda x: indices(x, "contig"), lambda x: F.lit("")), ";").alias("contig_aligned_index"),
         F.array_join(F.transform(F.filter("alignment", lambda x: x["is_contig_gap"]), lambda x: x["contig"]["start"].cast("string")), ",").alias("contig_lost_index"),
     )
+
+
+def by_contig(matches: DataFrame) -> DataFrame:
+    """(contig_id, matches): the ids of each query's matches, best first; of equal scores the later id first."""
+    item = F.struct("score", "match_id")
+    return matches.groupBy("contig_id").agg(F.sort_array(F.collect_list(item), asc=False).getField("match_id").alias("matches"))
+
+
+def length_deviations(matches: DataFrame) -> DataFrame:
+    """Inner blocks (match_id, chunk, contig, optical) with their deviation in standard deviations, e.g. for plots."""
+    return inner_chunks(matches).withColumn("deviation", F.when(F.col("contig") > 0, (F.col("optical") - F.col("contig")) / (F.lit(0.3 * 1000**0.5) * F.sqrt("contig"))))
+
+
+def refined_lists(matches: DataFrame) -> dict[str, DataFrame]:
+    """Matches that pass the quality test, of these the refined ones, of these the best of each query and the unique ones."""
+    from .align import top_matches
+
+    good = matches.filter(is_quality())
+    fine = refine(good).persist()
+    return {"quality": good, "refined": fine, "best": top_matches(fine.drop("rank"), 1), "unique": unique(fine)}
+
+
+def fragment_lines(maps: DataFrame) -> DataFrame:
+    """(map_id, value): a map's id and size, then one fragment a line."""
+    head = F.concat_ws(" ", "map_id", F.col("length").cast("string"))
+    return maps.select("map_id", F.concat_ws("\n", head, F.transform("frags", lambda x: x.cast("string"))).alias("value"))

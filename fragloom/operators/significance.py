@@ -16,17 +16,20 @@ def pick(n: Column, *keys: Column) -> Column:
     return F.pmod(F.conv(digits, 16, 10).cast("bigint"), n.cast("bigint"))
 
 
+def _starts(counts: DataFrame) -> DataFrame:
+    """``counts`` (map_id, n) with before, the sum of all n of smaller ids.  Ids of one beginning are summed first, so that no single task sees all of them."""
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("head", F.substring("map_id", 1, 5))
+    heads = counts.groupBy("head").agg(F.sum("n").alias("n_head")).select("head", earlier("n_head", Window.orderBy("head")).alias("before_head"))
+    own = counts.withColumn("before_map", earlier("n", Window.partitionBy("head").orderBy("map_id"))).join(heads, "head")
+    return own.select("map_id", "n", (F.col("before_head") + F.col("before_map")).alias("before"))
+
+
 def fragment_pool(contigs: DataFrame, interior: bool = False) -> DataFrame:
     """Numbered fragments (place, size) of all queries, or of their interiors only (queries of more than two)."""
     frags = F.slice("frags", 2, F.greatest(F.size("frags") - 2, F.lit(0))) if interior else F.col("frags")
     rows = contigs.select("map_id", F.posexplode(frags).alias("i", "size"))
-    # Counts before each map, then places within it.  Maps are counted within ids of one beginning first, so that no single task sees all of them.
-    counts = rows.groupBy("map_id").agg(F.count("*").alias("n")).withColumn("head", F.substring("map_id", 1, 5))
-    heads = counts.groupBy("head").agg(F.sum("n").alias("n_head"))
-    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = heads.select("head", earlier("n_head", Window.orderBy("head")).alias("before_head"))
-    counts = counts.withColumn("before_map", earlier("n", Window.partitionBy("head").orderBy("map_id"))).join(heads, "head")
-    starts = counts.select("map_id", (F.col("before_head") + F.col("before_map")).alias("before"))
+    starts = _starts(rows.groupBy("map_id").agg(F.count("*").alias("n"))).select("map_id", "before")
     return rows.join(starts, "map_id").select((F.col("before") + F.col("i")).cast("bigint").alias("place"), "size")
 
 
@@ -98,3 +101,48 @@ def plotting_quantile(values: DataFrame, group: str, column: str, q: float, a: f
     rows = rows.withColumns({"k": k, "gamma": gamma})
     part = F.when(F.col("i") == F.col("k"), (1 - F.col("gamma")) * F.col(column)).when(F.col("i") == F.col("k") + 1, F.col("gamma") * F.col(column)).when(F.col("n") == 1, F.col(column))
     return rows.groupBy(group).agg(F.sum(part).alias("quantile"))
+
+
+def shuffled_maps(maps: DataFrame, trial: int = 0) -> DataFrame:
+    """``maps`` (map_id, frags) with all their fragments dealt out anew: a permutation of the whole pool, each map keeping its number of fragments.
+
+    Fragments are ordered by the md5 of (trial, place); a range shuffle and counts of ranges give new places without a single-task sort.
+    """
+    pool = fragment_pool(maps)
+    digits = F.md5(F.concat_ws("|", F.lit(trial).cast("string"), F.col("place").cast("string")).cast("binary"))
+    keyed = pool.select("size", digits.alias("h")).withColumn("head", F.substring("h", 1, 3))
+    heads = keyed.groupBy("head").agg(F.count("*").alias("n"))
+    heads = heads.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    dealt = keyed.withColumn("k", F.row_number().over(Window.partitionBy("head").orderBy("h")) - 1).join(heads, "head").select((F.col("before") + F.col("k")).cast("bigint").alias("place"), "size")
+    homes = _starts(maps.select("map_id", F.size("frags").alias("n")).filter("n > 0"))
+    placed = homes.select("map_id", F.posexplode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("i", "place"))
+    out = placed.join(dealt, "place").groupBy("map_id").agg(F.sort_array(F.collect_list(F.struct("i", "size"))).alias("s"))
+    return out.select("map_id", F.col("s.size").alias("frags"))
+
+
+def shuffle_null(contigs: DataFrame, maps: DataFrame, p: Params) -> DataFrame:
+    """(map_id, trial, score): each query's best score on maps whose fragments were dealt out anew, once for each of ``p.trials``."""
+    out = None
+    for t in range(p.trials):
+        one = null_scores(contigs, shuffled_maps(maps, t), p).withColumn("trial", F.lit(t))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def quantile_table(values: DataFrame, group: str, column: str, quantiles: list[float]) -> DataFrame:
+    """(group, q, quantile) for several quantiles, e.g. cut-off scores for each number of chunks."""
+    out = None
+    for q in quantiles:
+        one = plotting_quantile(values, group, column, q).withColumn("q", F.lit(q))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def stored(spark, path: str, build) -> DataFrame:
+    """The table at ``path``, which ``build()`` makes if it isn't there."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -61,9 +61,9 @@ steps AS (
 {select}"""
 
 
-def dp_sql(local: bool, most: int = 19, delta: int = 5) -> str:
+def dp_sql(local: bool, most: int = 19, delta: int = 5, by_count: bool = False) -> str:
     """The score table, a row of it for each query prefix, as a chain of queries over the rows before it."""
-    reach = delta + 1 if local else delta
+    reach = delta + 1 if local or by_count else delta
     cost = "CASE WHEN d > 2000 THEN -3.0::DOUBLE WHEN d < 2000 THEN -d * 0.0015::DOUBLE + 0.000001::DOUBLE END"
     blocks = f"""{CONTIGS},
 csum AS (SELECT *, CAST(sum(size) OVER (PARTITION BY contig_id ORDER BY idx) AS BIGINT) AS c_end FROM contigs),
@@ -75,8 +75,8 @@ inner_sites AS (
   FROM cblocks b JOIN csum s ON s.contig_id = b.contig_id AND s.idx >= b.k AND s.idx < b.i - 1),
 costs AS (SELECT contig_id, k, i, sum({cost}) AS cost, count(*) AS n, count({cost}) AS n_ok FROM inner_sites GROUP BY 1, 2, 3),
 cb AS (
-  SELECT b.*, {"-3.0::DOUBLE * (b.i - b.k - 1)" if local else "coalesce(c.cost, 0.0::DOUBLE)"} AS cost, b.k = 0 OR b.i = b.m AS edge
-  FROM cblocks b LEFT JOIN costs c USING (contig_id, k, i) WHERE {"b.k > 0 AND b.i < b.m" if local else "coalesce(c.n = c.n_ok, TRUE)"}),
+  SELECT b.*, {"-3.0::DOUBLE * (b.i - b.k - 1)" if local or by_count else "coalesce(c.cost, 0.0::DOUBLE)"} AS cost, b.k = 0 OR b.i = b.m AS edge
+  FROM cblocks b LEFT JOIN costs c USING (contig_id, k, i) WHERE {"b.k > 0 AND b.i < b.m" if local else "TRUE" if by_count else "coalesce(c.n = c.n_ok, TRUE)"}),
 ob AS (
   SELECT a.map_id, a.frag_idx AS o0, z.frag_idx - a.frag_idx + 1 AS w, z.end_bp - (a.end_bp - a.size) AS o_len
   FROM ends a JOIN ends z ON z.map_id = a.map_id AND z.frag_idx >= a.frag_idx AND z.frag_idx < a.frag_idx + {reach}

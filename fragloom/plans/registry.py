@@ -205,6 +205,14 @@ def dp_local_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.best_scores(_own_pairs(spark, sf_dir), bridge.PARAMS.but(local=True)).withColumn("score", F.round(F.col("score") + TIE, 6))
 
 
+@query(dp_sql(local=False, by_count=True))
+def dp_count_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best global score by the number of missed sites, from the cells of the score tables."""
+    cells = align.score_cells(_own_pairs(spark, sf_dir), bridge.PARAMS, by_count=True)
+    last = cells.join(bridge.contigs(spark, sf_dir).select(F.col("map_id").alias("contig_id"), F.size("frags").alias("i")), ["contig_id", "i"]).filter("j >= 1")
+    return last.groupBy("contig_id", "map_id").agg(F.round(F.max("score") + TIE, 6).alias("score"), F.count("*").alias("cells"))
+
+
 @query()
 def align_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best placement of each query over all maps and both strands."""
@@ -412,6 +420,21 @@ def alignment_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("l_map", "n_map", "l_ref").agg(F.count("*").alias("n")).select("l_map", "n_map", "l_ref", "n", F.round(score, 5).alias("loglik"))
 
 
+@query(on(FRAGS, f""", pool AS (SELECT CAST(row_number() OVER (ORDER BY map_id, frag_idx) - 1 AS BIGINT) AS place, map_id, frag_idx, size FROM frags),
+dealt AS (SELECT row_number() OVER (ORDER BY md5('7|' || place)) - 1 AS place, size FROM pool)
+SELECT map_id, CAST(count(*) AS INTEGER) AS num_frags, CAST(sum(d.size * (frag_idx + 1)) AS BIGINT) AS checksum FROM pool p JOIN dealt d USING (place) GROUP BY map_id"""))
+def shuffled_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fragments dealt out anew."""
+    out = significance.shuffled_maps(bridge.reference_maps(spark, sf_dir), 7)
+    checksum = F.aggregate(F.transform("frags", lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return out.select("map_id", F.size("frags").alias("num_frags"), checksum.alias("checksum"))
+
+
+@query(on(PLACEMENTS, "SELECT contig_id, string_agg(match_id, ';' ORDER BY score DESC, match_id DESC) AS matches FROM matches GROUP BY 1"))
+def matches_by_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.by_contig(bridge.placements(spark, sf_dir)).withColumn("matches", F.array_join("matches", ";"))
+
+
 # -- scaffolds and joint maps
 
 

@@ -151,3 +151,50 @@ def test_array_functions(spark):
     b = M.bounds(F.col("f"))
     r = df.select(b.alias("b"), M.start_bp(b, F.lit(0)).alias("s"), M.end_bp(b, F.lit(0), False).alias("e"), M.flags(F.col("f")).alias("l"), M.replaced(F.col("f"), F.array(F.lit(0), F.lit(9)), F.array(F.lit(7), F.lit(8))).alias("r"), M.count_char(F.lit("a;b;"), ";").alias("n")).first()
     assert (r.b, r.s, r.e, r.l, r.r, r.n) == ([0, 10, 30, 60], 0, 30, [True, False, True], [7, 20, 30], 2)
+
+
+def test_synthetic_queries_find_their_place(spark, tmp_path):
+    from fragloom.operators import placement as PL
+    from fragloom.operators.align import align
+    from fragloom.params import Params
+    from fragloom.sources.synthetic import random_maps, sampled_contigs
+
+    maps = random_maps(spark, 2, 120)
+    again = random_maps(spark, 2, 120)
+    assert sorted(maps.collect()) == sorted(again.collect())
+    contigs = sampled_contigs(maps, 4, low=14, missed=0.05)
+    sizes = {r.map_id: r.frags for r in maps.collect()}
+    for r in contigs.collect():
+        assert sum(r.frags) == sum(sizes[r.true_map][r.true_start : r.true_end]) and min(r.frags) >= 1
+    best = align(contigs.select("map_id", "frags"), maps, Params(sd_max=4)).filter("rank = 1").join(contigs.withColumnRenamed("map_id", "contig_id").drop("frags"), "contig_id").collect()
+    right = [r.chromosome == r.true_map and r.forward == r.true_forward and abs(r.op_start_index - r.true_start) <= 1 for r in best]
+    assert len(best) == 8 and sum(right) >= 7
+    assert PL.fragment_lines(maps).first().value.count("\n") == 120
+
+
+def test_shuffled_maps_keep_the_pool_and_stored_tables_are_built_once(spark, tmp_path):
+    from fragloom.params import Params
+
+    maps = spark.createDataFrame([("a", [1, 2, 3]), ("b", [4, 5]), ("c", []), ("d", [6])], "map_id string, frags array<int>")
+    got = {r.map_id: r.frags for r in G.shuffled_maps(maps, 3).collect()}
+    assert {k: len(v) for k, v in got.items()} == {"a": 3, "b": 2, "d": 1} and sorted(x for v in got.values() for x in v) == [1, 2, 3, 4, 5, 6]
+    null = G.shuffle_null(spark.createDataFrame([("q", [5000, 9000, 7000])], "map_id string, frags array<int>"), spark.createDataFrame([("m", [5000, 9000, 7000, 3000, 8000])], "map_id string, frags array<int>"), Params(trials=2))
+    assert sorted(r.trial for r in null.collect()) == [0, 1]
+    made = []
+    build = lambda: made.append(1) or spark.range(3)
+    path = str(tmp_path / "t")
+    assert G.stored(spark, path, build).count() == 3 == G.stored(spark, path, build).count() and len(made) == 1
+    table = G.quantile_table(spark.createDataFrame([("g", float(k)) for k in range(1, 12)], "g string, v double"), "g", "v", [0.5, 0.9]).collect()
+    assert {r.q: r.quantile for r in table}[0.5] == pytest.approx(6.0)
+
+
+def test_refined_lists(spark):
+    from fragloom.operators import placement as PL
+    from fragloom.plans import bridge
+
+    m = bridge.matches(spark, "/root/testdata/sf0.001").withColumn("pval", F.lit(0.0))
+    lists = PL.refined_lists(m)
+    n = {k: v.count() for k, v in lists.items()}
+    assert n["quality"] >= n["refined"] >= n["best"] >= n["unique"] and n["best"] > 0
+    assert PL.length_deviations(m).filter("abs(deviation) > 100").count() == 0
+    assert PL.by_contig(m).count() == m.select("contig_id").distinct().count()
