@@ -56,7 +56,16 @@ def fill(contig: np.ndarray, optical: np.ndarray, n_chrom: int, sd: float, p: Pa
     reach = p.delta + 1 if local or by_count else p.delta
     sums = np.concatenate([[0], np.cumsum(optical, dtype=np.int64)])
     limit = float(sd * sd)
-    lengths = [None] + [sums[w:] - sums[:-w] if w < n else np.zeros(0, np.int64) for w in range(1, reach + 1)]
+    # Row w - 1 of these is for blocks of w reference fragments that end at each column; what would begin before the map is out.
+    at = np.arange(n)
+    w = np.arange(1, reach + 1)[:, None]
+    lengths = sums[at] - sums[np.maximum(at - w, 0)]
+    outside = at < w
+    sites = -p.cost_optical * (w - 1)
+    padded = np.full((m, reach + n), NONE)
+    step = padded.strides[1]
+    before = [np.lib.stride_tricks.as_strided(padded[k, reach - 1 :], (reach, n), (-step, step)) for k in range(m)]
+    padded[0, reach:] = score[0]
     with np.errstate(divide="ignore", invalid="ignore"):
         for i in range(1, m):
             best, r, c = score[i], row[i], col[i]
@@ -70,36 +79,33 @@ def fill(contig: np.ndarray, optical: np.ndarray, n_chrom: int, sd: float, p: Pa
                 missed = -p.cost_contig * (i - k - 1) if local or by_count else block_cost(sizes, p)
                 if missed == NONE:
                     continue
-                var = c_len * p.sigma2
-                for w in range(1, reach + 1):
-                    if w >= end:
-                        break
-                    o_len = lengths[w][: end - w]
-                    d = (c_len - o_len).astype(np.float64)
-                    chi2 = d * d / var
-                    if local:
-                        value = -p.a * (chi2 - p.t2) + (missed - (w - 1) * p.cost_optical)
-                        value[chi2 > limit] = NONE
-                    else:
-                        if edge:
-                            chi2[c_len < o_len] = 0.0
-                        value = -((i - k - 1) * p.cost_contig + (w - 1) * p.cost_optical + chi2) if by_count else missed + -p.cost_optical * (w - 1) + -1.0 * chi2
-                        value[chi2 > limit] = NONE
-                    value += score[k, : end - w]
-                    better = value > best[w:end]
-                    if better.any():
-                        at = np.flatnonzero(better)
-                        best[at + w] = value[at]
-                        r[at + w] = k
-                        c[at + w] = at
+                d = (c_len - lengths).astype(np.float64)
+                chi2 = d * d / (c_len * p.sigma2)
+                if local:
+                    value = -p.a * (chi2 - p.t2) + (missed + sites)
+                else:
+                    if edge:
+                        chi2[c_len < lengths] = 0.0
+                    value = -((i - k - 1) * p.cost_contig + (w - 1) * p.cost_optical + chi2) if by_count else (missed + sites) + -1.0 * chi2
+                value[~(chi2 <= limit) | outside] = NONE  # also where 0 is divided by 0
+                value += before[k]
+                first = value.argmax(axis=0)  # of equal ones the shortest block
+                top = value[first, at]
+                better = top > best
+                better[:1] = better[end:] = False
+                here = np.flatnonzero(better)
+                best[here] = top[here]
+                r[here] = k
+                c[here] = here - first[here] - 1
             if not local:
                 gap = gap_score(contig[i - 1], p)
                 if gap > NONE:
                     value = score[i - 1, 1:end] + gap
-                    at = np.flatnonzero(value > best[1:end]) + 1
-                    best[at] = value[at - 1]
-                    r[at] = i - 1
-                    c[at] = at
+                    here = np.flatnonzero(value > best[1:end]) + 1
+                    best[here] = value[here - 1]
+                    r[here] = i - 1
+                    c[here] = here
+            padded[i, reach:] = best
     return Table(score, row, col)
 
 
