@@ -29,7 +29,7 @@ class Encoder:
     Pieces seen before, at most ``memory`` of at most ``longest`` bytes, are an Arrow array beside an array of all their ids.
     """
 
-    def __init__(self, path: str, spaced: bool, memory: int = 900_000, longest: int = 32):
+    def __init__(self, path: str, spaced: bool, memory: int = 700_000, longest: int = 32):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -170,7 +170,7 @@ class Encoder:
         return got
 
 
-def slices(texts: pa.Array, size: int = 16_000_000) -> list[tuple[int, int]]:
+def slices(texts: pa.Array, size: int = 8_000_000) -> list[tuple[int, int]]:
     """Row ranges of about ``size`` bytes each; a longer text is a range of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     out, start, total = [], 0, 0
@@ -184,7 +184,7 @@ def slices(texts: pa.Array, size: int = 16_000_000) -> list[tuple[int, int]]:
     return out
 
 
-def gather(batches, size: int = 16_000_000):
+def gather(batches, size: int = 8_000_000):
     """Record batches of about ``size`` bytes of their column 1, from batches of any size, in the same order."""
     held: list[pa.RecordBatch] = []
     total = 0
