@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keep
+from .common import keep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed by the contract: whatever is between words, once A-Z are lower-cased.
@@ -72,13 +72,17 @@ def hits(
         hash_ = F.when(F.col("at") + n <= size, F.xxhash64(F.lit(n), *joined_words(n)))
         parts = F.split("w_text", " ")
         set_ = table.filter(F.col("w_n") == n).select("w_text", "w_items", F.xxhash64(F.lit(n), *[F.get(parts, F.lit(i)) for i in range(n)]).alias("w_hash"))
-        set_ = F.broadcast(set_) if count <= broadcast_windows else set_
-        same = (F.col("hash") == F.col("w_hash")) & (F.concat_ws(" ", *joined_words(n)) == F.col("w_text"))
-        probed = each.withColumn("hash", hash_).join(set_, same, "left")
+        probed = each.withColumn("hash", hash_).withColumn("size", size)
+        if count <= broadcast_windows:
+            shown, set_ = F.concat_ws(" ", *joined_words(n)), F.broadcast(set_)
+        else:  # rows are shuffled, so they take their own window along instead of all words
+            probed = probed.withColumn("shown", F.when(F.col("hash").isNotNull(), F.concat_ws(" ", *joined_words(n)))).drop("words", "word")
+            shown = F.col("shown")
+        probed = probed.join(set_, (F.col("hash") == F.col("w_hash")) & (shown == F.col("w_text")), "left")
         # One row of each document stays from the first pass, with or without a hit.
         stays = F.coalesce(F.col("at") == 0, F.lit(True)) if k == 0 else F.lit(False)
         hit = F.when(F.col("w_hash").isNotNull(), F.struct(F.col("at"), F.lit(n).alias("n"), F.col("w_items").alias("items")))
-        probed = probed.filter(F.col("w_hash").isNotNull() | stays).select("row", "doc_id", "text_hash", size.alias("n_words"), hit.alias("hit"))
+        probed = probed.filter(F.col("w_hash").isNotNull() | stays).select("row", "doc_id", "text_hash", F.col("size").alias("n_words"), hit.alias("hit"))
         found = probed if found is None else found.unionByName(probed)
     out = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"), F.collect_set("hit").alias("hits"))
     covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1)))
@@ -119,6 +123,3 @@ def drop_spans(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame
     left = F.filter(pieces, lambda x, i: ~F.array_contains("hit_words", i))
     cleaned = F.when(F.col("hit_words").isNull(), F.col("text")).otherwise(F.concat(F.array_join(left, ""), tail))
     return numbered.join(bad, "row", "left").withColumn("text", cleaned).select(*docs.columns)
-
-
-__all__ = ["contamination", "drop_contaminated", "drop_spans", "forget", "hits", "lowered", "windows_of", "words_of"]
