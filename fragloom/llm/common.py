@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -65,6 +68,31 @@ def bound_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(name, rows)
 
 
+def tidy() -> None:
+    """Give memory that a Python worker no longer uses back to the machine: workers live on from stage to stage."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run):
+    """A function from batches to batches that tidies up now and then, and at its end."""
+
+    @functools.wraps(run)
+    def kept_small(batches):
+        try:
+            for i, out in enumerate(run(batches)):
+                yield out
+                if i % 16 == 15:
+                    tidy()
+        finally:
+            tidy()
+
+    return kept_small
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """``df`` with just the named columns, so extra columns with clashing names cannot get in the way."""
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
@@ -79,6 +107,7 @@ def tree_sum(partials: DataFrame, most: int = 64) -> DataFrame:
     """Sum of the ``value`` column (binary, float64 vectors of one length), in at most ``most`` rows; each level adds up about ``most`` rows a task."""
     import pyarrow as pa
 
+    @lean
     def add(batches):
         total = None
         for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, collect_sum, held_out, only
+from .common import bound_batches, collect_sum, held_out, lean, only
 
 FEATURES = 1 << 14
 LETTER = re.compile(r"[^\W\d_]")
@@ -100,6 +100,7 @@ def fit(docs: DataFrame, per_language: int = 300, calibrate: int = 100, epochs:
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     langs = sorted(counts)
 
+    @lean
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(FEATURES + 1)
         for batch in batches:
@@ -116,6 +117,7 @@ def fit(docs: DataFrame, per_language: int = 300, calibrate: int = 100, epochs:
     want = per_language + calibrate
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, (want + 6 * want**0.5 + 20) / counts[lang]) * (1 << 40))))])
 
+    @lean
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [ngrams(t) if LETTER.search(t) else (np.zeros(0, np.int64),) * 2 for t in batch.column(2).to_pylist()]
@@ -159,6 +161,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     model = fit(rows, **sizes)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [model.predict(t) for t in batch.column(1).to_pylist()]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, forget, keep, only
+from .common import bound_batches, forget, keep, lean, only
 from .components import components
 from .shingles import Signatures, distances, linked, parity, shingle_set
 
@@ -38,6 +38,7 @@ def signed_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, the set's hash, sketch and keys (null without words)."""
     bound_batches(docs.sparkSession)
 
+    @lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures = Signatures(percent)
         for batch in batches:
@@ -116,6 +117,7 @@ def _close(rows: list[tuple], far: int, percent: int, side: int = 64, slice_: in
 def close_members(blocks: DataFrame, far: int, percent: int) -> DataFrame:
     """(cluster, cid) of members that have a partner with a close sketch and size in their cluster."""
 
+    @lean
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clusters, cids = [], []
         for (cluster, _, _), rows in _runs(batches, 3):
@@ -154,6 +156,7 @@ class Forest:
 def block_links(blocks: DataFrame, far: int, percent: int, width: int) -> DataFrame:
     """(a, b): links confirmed on full sets, as a spanning forest of each pair of blocks."""
 
+    @lean
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for _, rows in _runs(batches, 3):
@@ -186,6 +189,7 @@ def pair_links(pairs: DataFrame, texts: DataFrame, percent: int, width: int, sal
     firsts = salted.select("a", "part").distinct().join(texts.select(F.col("cid").alias("a"), "text"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     others = salted.join(texts.select(F.col("cid").alias("b"), "text"), "b").select("a", "part", "b", "text")
 
+    @lean
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: np.ndarray = np.zeros(0, np.uint64)
         for batch in batches:

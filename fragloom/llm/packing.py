@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bound_batches, keep, only
+from .common import bound_batches, keep, lean, only
 from .tokens import Encoder, gather
 
 PIECES = T.StructType([
@@ -48,6 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     """
     bound_batches(docs.sparkSession)
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, only
+from .common import bound_batches, lean, only
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Fixed by the contract.
@@ -119,6 +119,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.int64()] + [pa.string()] * with_text
     names = [*NAMES, *["cleaned"] * with_text]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [judge(t, most_lost) for t in batch.column(1).to_pylist()]

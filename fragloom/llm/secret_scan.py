@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, only
+from .common import bound_batches, lean, only
 
 #: Fixed by the contract: kinds in their order, patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -135,6 +135,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     bound_batches(docs.sparkSession)
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -158,6 +159,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "tex
     bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
+    @lean
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()

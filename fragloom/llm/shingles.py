@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-LIMIT = 200_000
+LIMIT = 100_000
 
 
 class WordHashes(dict):

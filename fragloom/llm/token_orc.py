@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bound_batches, new_path, only
+from .common import bound_batches, lean, new_path, only
 from .tokens import Encoder, gather
 
 SCHEMA = T.StructType([
@@ -52,6 +52,7 @@ def write_token_orc(
     rows = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -109,6 +110,7 @@ def crc_of_ids(rows: DataFrame, columns: list[str]) -> DataFrame:
     bound_batches(rows.sparkSession)
     schema = T.StructType([T.StructField(c, T.LongType()) for c in [*columns, "ids_crc32"]])
 
+    @lean
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(len(columns))

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import tidy
+
 ENCODERS: dict[tuple, "Encoder"] = {}
 
 
@@ -29,7 +31,7 @@ class Encoder:
     Pieces seen before, at most ``memory`` of at most ``longest`` bytes, are an Arrow array beside an array of all their ids.
     """
 
-    def __init__(self, path: str, spaced: bool, memory: int = 700_000, longest: int = 32):
+    def __init__(self, path: str, spaced: bool, memory: int = 500_000, longest: int = 32):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -170,7 +172,7 @@ class Encoder:
         return got
 
 
-def slices(texts: pa.Array, size: int = 8_000_000) -> list[tuple[int, int]]:
+def slices(texts: pa.Array, size: int = 5_000_000) -> list[tuple[int, int]]:
     """Row ranges of about ``size`` bytes each; a longer text is a range of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     out, start, total = [], 0, 0
@@ -184,7 +186,7 @@ def slices(texts: pa.Array, size: int = 8_000_000) -> list[tuple[int, int]]:
     return out
 
 
-def gather(batches, size: int = 8_000_000):
+def gather(batches, size: int = 5_000_000):
     """Record batches of about ``size`` bytes of their column 1, from batches of any size, in the same order."""
     held: list[pa.RecordBatch] = []
     total = 0
@@ -195,6 +197,7 @@ def gather(batches, size: int = 8_000_000):
             if held and total + n > size:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, total = [], 0
+                tidy()
             held.append(part)
             total += n
     if held and (rows := pa.Table.from_batches(held)).num_rows:
