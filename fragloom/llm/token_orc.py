@@ -56,8 +56,8 @@ def write_token_orc(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, start = TaskContext.get().partitionId(), Encoder.of(tokenizer, spaced=False), 0
-        for batch in gather(batches):
+        part, encoder, start = TaskContext.get().partitionId(), Encoder.of(tokenizer, spaced=False, memory=700_000), 0
+        for batch in gather(batches, 8_000_000):
             ends, values = encoder.encode_column(batch.column(1), end_id)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(

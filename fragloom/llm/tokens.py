@@ -44,10 +44,10 @@ class Encoder:
         self.line = self.whole(["\n"])[0]
 
     @classmethod
-    def of(cls, path: str, spaced: bool) -> "Encoder":
+    def of(cls, path: str, spaced: bool, memory: int = 500_000) -> "Encoder":
         """One encoder for each file in a worker process."""
         if (path, spaced) not in ENCODERS:
-            ENCODERS[path, spaced] = cls(path, spaced)
+            ENCODERS[path, spaced] = cls(path, spaced, memory)
         return ENCODERS[path, spaced]
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -189,15 +189,16 @@ def slices(texts: pa.Array, size: int = 5_000_000) -> list[tuple[int, int]]:
 def gather(batches, size: int = 5_000_000):
     """Record batches of about ``size`` bytes of their column 1, from batches of any size, in the same order."""
     held: list[pa.RecordBatch] = []
-    total = 0
+    total = given = 0
     for batch in batches:
         for a, b in slices(batch.column(1), size):
             part = batch.slice(a, b - a)
             n = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
             if held and total + n > size:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, total = [], 0
-                tidy()
+                held, total, given = [], 0, given + 1
+                if given % 8 == 0:
+                    tidy()
             held.append(part)
             total += n
     if held and (rows := pa.Table.from_batches(held)).num_rows:
