@@ -51,8 +51,9 @@ def sites(dna: Column, motif: Column | str, first: int = 0) -> Column:
 
 def fragments(sites_: Column, length: Column) -> Column:
     """Distances between neighbouring sites and the two ends; no sites, no fragments."""
-    edges = F.concat(F.array(F.lit(0).cast("bigint")), sites_, F.array(length.cast("bigint")))
-    cut = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.get(edges, i) - F.get(edges, i - 1))
+    ends = F.concat(sites_, F.array(length.cast("bigint")))
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), sites_)
+    cut = F.zip_with(ends, starts, lambda a, b: a - b)  # each side is made once, not once for each site
     return F.when(F.size(sites_) > 0, cut).otherwise(F.array().cast("array<bigint>"))
 
 
