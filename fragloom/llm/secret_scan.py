@@ -11,8 +11,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,12 +102,14 @@ def named_spans(text: str, threshold: float = 0.9) -> list[tuple[int, str, int,
 
 
 def spans_of(text: str | None) -> tuple[list, list]:
-    """(base spans, all spans), each by start, then kind.  A named literal that base spans cover, or touch, adds nothing."""
+    """(base spans, all spans), each by start, then kind.  A named literal adds nothing only where one base value covers it entirely."""
     if not text:
         return [], []
     order = lambda x: (x[0], KINDS.index(x[1]), x[2])
     base = sorted(base_spans(text), key=order)
-    more = [x for x in named_spans(text) if all(x[2] <= b[0] or b[2] <= x[0] for b in base)]
+    values = sorted((b[3], b[4]) for b in base)
+    furthest = [0, *accumulate((b for _, b in values), max)]
+    more = [x for x in named_spans(text) if furthest[bisect_right(values, x[3], key=itemgetter(0))] < x[4]]
     return base, sorted(base + more, key=order)
 
 
