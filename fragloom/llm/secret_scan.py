@@ -12,7 +12,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
 from operator import itemgetter
@@ -31,17 +31,21 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "named")
 
+#: A name, an assignment and a quoted literal or an unquoted one's first character.  A name starts where its word does and nothing is tried twice: time is linear.
 PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]{0,80})(?P=q)[\x20\t]*(?::=|=>|==?|:)[\x20\t]*"""
-    r"""(?:"(?P<d>(?:[^"\\\n]|\\.){1,400})"|'(?P<s>(?:[^'\\\n]|\\.){1,400})'|(?P<bare>[^\s"',;(){}\[\]<>]{1,400}))"""
+    r"""(?P<q>["'])?(?<![A-Za-z0-9_$.-])(?(q)|[0-9.-]*+)(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)(?(q)(?P=q))[\x20\t]*+(?::=|=>|==?|:)[\x20\t]*+"""
+    r"""(?:"(?P<d>(?:[^"\\\n]++|\\.)++)"|'(?P<s>(?:[^'\\\n]++|\\.)++)'|(?P<bare>[^\s"',;(){}\[\]<>]))"""
 )
+BARE = re.compile(r"""[^\s"',;(){}\[\]<>]++""")
+#: What an unquoted value inside a url may hold: up to the next parameter.
+BARE_IN_URL = re.compile(r"""[^\s"',;(){}\[\]<>&#]*+""")
 #: How sensitive a part of a name is.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.6, "secret": 0.9, "token": 0.8, "apikey": 0.9, "credential": 0.8, "credentials": 0.8,
     "auth": 0.5, "private": 0.4, "access": 0.3, "api": 0.3, "signing": 0.4, "encryption": 0.5, "key": 0.4, "salt": 0.4, "dsn": 0.5, "jwt": 0.8, "bearer": 0.8,
 }
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]{0,80}")
+NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*+")
 PLAIN = frozenset({"true", "false", "null", "none", "nil", "undefined", "required", "optional", "string", "changeme", "example", "redacted"})
 
 
@@ -53,11 +57,15 @@ def sensitivity(name: str) -> float:
 
 def look(literal: str) -> float:
     """0 to 1: how much a literal looks like a secret, by its length, its kinds of characters and their entropy."""
-    n = len(literal)
-    if n < 6 or literal.lower() in PLAIN or len(set(literal)) < 4 or " " in literal.strip() and n < 20:
+    return _look(len(literal), Counter(literal), literal[:20])
+
+
+def _look(n: int, counts: Counter, head: str) -> float:
+    """The same from a literal's length, the counts of its characters and its first 20 characters."""
+    if n < 6 or n <= 20 and head.lower() in PLAIN or len(counts) < 4 or n < 20 and " " in head.strip():
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    entropy = -math.fsum(c / n * math.log2(c / n) for c in counts.values())
+    kinds = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     return min(1.0, 0.25 * (n >= 8) + 0.15 * (n >= 16) + 0.15 * kinds + 0.1 * max(0.0, entropy - 2))
 
 
@@ -78,27 +86,42 @@ def named_spans(text: str, threshold: float = 0.9) -> list[tuple[int, str, int,
     if "=" not in text and ":" not in text:
         return []
     literal_of: dict[str, tuple[int, int]] = {}
-    out: dict[tuple[int, int], float] = {}
-    at = 0
+    weights: dict[tuple[int, int], float] = {}
+    at = url_end = bare_end = 0
     while m := PAIR.search(text, at):
         at = m.end()
         name = m["name"]
-        group = "d" if m["d"] is not None else "s" if m["s"] is not None else "bare"
-        value, span = m[group], m.span(group)
-        if group == "bare":
-            if value.startswith("//"):  # a url's scheme is no name
+        if m["bare"] is None:
+            span = m.span("d" if m["d"] is not None else "s")
+        else:
+            # An unquoted value may hold pairs itself (a=b=c), which end where it does: go on behind the first sign.
+            start = at = m.start("bare")
+            if text.startswith("//", start):  # a url's scheme is no name
+                if start >= url_end:
+                    url_end, bare_end = BARE.match(text, start).end(), start
                 continue
-            if NAME.fullmatch(value) and value in literal_of:
-                span = literal_of[value]
-                value = text[span[0] : span[1]]
-            else:
-                # An unquoted value may hold a pair itself (a=b=c): go on behind the first sign.
-                at = m.start("bare")
+            if start >= bare_end:
+                bare_end = (BARE_IN_URL if start < url_end else BARE).match(text, start).end()
+            span = start, bare_end
+            if (x := NAME.match(text, start, bare_end)) and x.end() == bare_end and x[0] in literal_of:
+                span, at = literal_of[x[0]], bare_end
         literal_of[name] = span
         weight = sensitivity(name)
-        if weight and weight * 0.6 + look(value) * 0.6 >= threshold:
-            out[span] = max(out.get(span, 0.0), weight)
-    return [(a, "named", b, a, b) for a, b in out]
+        if weight:
+            weights[span] = max(weights.get(span, 0.0), weight)
+    starts = defaultdict(list)
+    for a, b in weights:
+        starts[b].append(a)
+    out = []
+    for b, own in starts.items():
+        # Spans with one end hold each other: their characters are counted once, from the end on.
+        counts, done = Counter(), b
+        for a in sorted(own, reverse=True):
+            counts.update(text[a:done])
+            done = a
+            if weights[a, b] * 0.6 + _look(b - a, counts, text[a : min(b, a + 20)]) * 0.6 >= threshold:
+                out.append((a, "named", b, a, b))
+    return out
 
 
 def spans_of(text: str | None) -> tuple[list, list]:

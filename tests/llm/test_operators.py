@@ -161,6 +161,28 @@ def test_op3_named_literals_wider_than_base_spans():
     assert [x[1] for x in S.spans_of('password = "Xk9mQ2vBtail7"')[1]] == ["assign"]
 
 
+def test_op3_literals_and_names_of_any_length():
+    import time
+
+    from fragloom.llm import secret_scan as S
+
+    long = "Ab3/x+Z9q=" * 500
+    for n in (390, 401, 5000):
+        for text in (f'private_key = "{long[:n]}" x', f"'private_key': '{long[:n]}'", f"x private_key={long[:n]}\ny"):
+            assert S.redacted(text, S.spans_of(text)[1]) == text.replace(long[:n], "[SECRET]"), (n, text[:30])
+    assert S.spans_of("password_" + "x" * 90 + ' = "Xk9!mQ2vB#tail"')[1]
+    for text, want in (
+        ("see https://h.org:80/a?user=1&auth_key=Xk9!mQ2vB-t&x=1#top now", "see https://h.org:80/a?user=1&auth_key=[SECRET]&x=1#top now"),
+        ("url = https://h.org/?q=1&db_pwd=Xk9!mQ2vB-t", "url = https://h.org/?q=1&db_pwd=[SECRET]"),
+        ("url = https://h.org/?q=&db_pwd=Xk9!mQ2vB-t&x=1", "url = https://h.org/?q=&db_pwd=[SECRET]&x=1"),
+    ):
+        assert S.redacted(text, S.spans_of(text)[1]) == want
+    start = time.process_time()
+    for text in ("token=" * 30000, "auth=" * 30000, "a" * 300000, 'k="' * 70000, "-9." * 90000, "http://" * 30000, "//a=b" * 40000, "auth=http://" * 20000, "a" + " " * 300000, "x='\\" * 60000):
+        S.spans_of(text)
+    assert time.process_time() - start < 20
+
+
 # -- 4
 
 
