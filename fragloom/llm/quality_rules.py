@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from .common import bound_batches, lean, only
 
 SPACE = b" \t\n\x0b\x0c\r"
+UPPERS = bytes(range(0x41, 0x5B))
+WIDE = bytes(range(0x80, 0x100))
 #: Fixed by the contract.
 SYMBOLS = b"#*$%&|<>"
 ENDS = (b".", b"!", b"?", b":", b";", b",", b'"', b"'", b")", "…".encode(), "”".encode(), "»".encode())
@@ -45,6 +47,17 @@ def repeated_words(words: list[bytes], window: int = 5) -> int:
     return int(np.count_nonzero(np.cumsum(edge[:-1])))
 
 
+def capitals(line: bytes) -> bool:
+    """Whether more than half of a line's characters are upper case."""
+    upper = len(line) - len(line.translate(None, UPPERS))
+    if line.isascii():
+        return upper * 2 > len(line)
+    text = line.decode("utf-8", "surrogatepass")
+    # Others are looked at one by one only if they could make the difference.
+    others = len(text) - len(line.translate(None, WIDE))
+    return (upper + others) * 2 > len(text) and sum(map(str.isupper, text)) * 2 > len(text)
+
+
 def line_fault(line: bytes, words: list[bytes]) -> str | None:
     """The rule that a line with words breaks, or None."""
     size = len(line)
@@ -58,9 +71,7 @@ def line_fault(line: bytes, words: list[bytes]) -> str | None:
         return "punctuation"
     if n >= 8 and len(set(words)) * 4 < n:
         return "repetition"
-    text = line.decode("utf-8", "replace")
-    upper = sum(map(str.isupper, text)) if any(map(str.isupper, text[:8])) else 0
-    if upper * 2 > size and size >= 20:
+    if size >= 20 and capitals(line):
         return "capitals"
     if n <= 20 and BOILERPLATE.search(line):
         return "boilerplate"

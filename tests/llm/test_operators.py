@@ -347,6 +347,19 @@ def test_op7_counts_and_verdicts(spark):
     assert Q.quality_rules(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_op7_capitals_anywhere_in_a_line():
+    from fragloom.llm.quality_rules import judge, line_fault
+
+    shouted = ("--------- BUY NOW LIMITED OFFER TODAY.", " " * 9 + "BUY NOW LIMITED OFFER TODAY.", "123456789 BUY NOW LIMITED OFFER.", "КУПИ СЕЙЧАС ТОЛЬКО СЕГОДНЯ.", "ΑΓΟΡΑΣΤΕ ΤΩΡΑ ΜΟΝΟ ΣΗΜΕΡΑ.", "ÜBER ALLE MÄRKTE GÜNSTIG.")
+    calm = ("Nobody shouts in this line today.", "Купи сейчас только сегодня.", "NASA and ESA have launched it.", "--------- buy now limited offer TODAY.")
+    for line in shouted + calm:
+        fault = line_fault(line.encode(), line.encode().split())
+        assert fault == ("capitals" if line in shouted else None), (line, fault)
+        assert (line in shouted) == (sum(map(str.isupper, line)) * 2 > len(line))
+    got = judge(PROSE + ".\n" + shouted[0])
+    assert got["kept"] and got["lost_words"] == 6 and got["cleaned"] == PROSE + "."
+
+
 def test_op7_long_vocabularies():
     from fragloom.llm.quality_rules import repeated_words
 
