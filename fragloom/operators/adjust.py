@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,53 +10,55 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 
-def local_fit(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.75) -> np.ndarray:
+def local_fit(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.75, counts: np.ndarray | None = None) -> np.ndarray:
     """Locally weighted quadratic regression with tricube weights over the ``span`` nearest points; NaN outside the range of ``x``.
 
-    Each value is fitted directly (no interpolation between grid points).
+    Each value is fitted directly (no interpolation between grid points).  With ``counts``, point i stands for that many points, whose mean is ``y[i]``:
+    the fit is that of all of them.
     """
     out = np.full(len(at), np.nan)
-    n = len(x)
+    counts = np.ones(len(x), dtype=np.int64) if counts is None else counts
+    n = int(counts.sum())
     if n < 3:
         return out
     order = np.argsort(x, kind="stable")
-    x, y = x[order].astype(float), y[order].astype(float)
+    x, y, counts = x[order].astype(float), y[order].astype(float), counts[order]
     k = min(n, max(3, int(np.floor(n * span + 1e-5))))
     for i, v in enumerate(at):
         if not x[0] <= v <= x[-1]:
             continue
         d = np.abs(x - v)
-        reach = np.partition(d, k - 1)[k - 1]
+        near = np.argsort(d, kind="stable")
+        reach = d[near[np.searchsorted(np.cumsum(counts[near]), k)]]
         w = np.where(d < reach, (1 - (d / reach) ** 3) ** 3, 0.0) if reach > 0 else (d == 0).astype(float)
         use = w > 0
         z = (x[use] - v) / (reach or 1.0)
         a = np.column_stack([np.ones_like(z), z, z * z])
-        s = np.sqrt(w[use])
+        s = np.sqrt(w[use] * counts[use])
         out[i] = np.linalg.lstsq(a * s[:, None], y[use] * s, rcond=None)[0][0]
     return out
 
 
-def adjust_maps(maps: DataFrame, chunks: DataFrame, span: float = 0.75, most: int = 200_000) -> DataFrame:
+def adjust_maps(maps: DataFrame, chunks: DataFrame, span: float = 0.75) -> DataFrame:
     """``maps`` (map_id, frags, ...) with corrected frags and length; what lies outside the fitted range stays as it is, halves round to even.
 
-    The fit of ``chunks`` (contig, optical) depends on a fragment's size only, so each distinct size is fitted once.  More than ``most`` pairs are
-    first averaged by reference length, weights aside; the number of distinct lengths in bp is bounded.
+    The fit of ``chunks`` (contig, optical) depends on a fragment's size only, so each distinct size is fitted once.  Pairs are added up by reference length, and each
+    length weighs as much as its pairs, so the fit is that of all pairs, however many.  Every fit looks at most lengths: each task gets
+    the table of sums by shuffle, a row for each distinct length in bp; nothing passes through the driver.
     """
     ship_package(maps.sparkSession)
-    pairs = chunks.groupBy("optical").agg(F.avg("contig").alias("contig"), F.count("*").alias("n"))
-    total = chunks.count()
-    rows = (chunks.select("optical", "contig") if total <= most else pairs.select("optical", "contig")).toPandas()
-    x, y = rows["optical"].to_numpy(float), rows["contig"].to_numpy(float)
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    sizes = maps.select(F.explode("frags").alias("size")).distinct()
+    parts = maps.sparkSession.sparkContext.defaultParallelism
+    pairs = chunks.filter(F.col("optical").isNotNull() & F.col("contig").isNotNull())
+    sums = pairs.groupBy(F.col("optical").cast("double").alias("optical")).agg(F.avg("contig").alias("contig"), F.count("*").alias("n"))
+    sums = sums.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("part")
+    sizes = maps.select(F.explode("frags").alias("size")).distinct().withColumn("part", F.pmod(F.xxhash64("size"), F.lit(parts)).cast("int")).groupBy("part")
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = local_fit(x, y, b["size"].to_numpy(float), span)
-            yield pd.DataFrame({"size": b["size"], "fitted": np.where(np.isnan(got), b["size"], np.rint(got)).astype("int64")})
+    def fit(own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("optical")
+        got = local_fit(table["optical"].to_numpy(), table["contig"].to_numpy(), own["size"].to_numpy(float), span, table["n"].to_numpy())
+        return pd.DataFrame({"size": own["size"], "fitted": np.where(np.isnan(got), own["size"], np.rint(got)).astype("int64")})
 
-    fitted = sizes.mapInPandas(fit, "size int, fitted bigint")
+    fitted = sizes.cogroup(sums).applyInPandas(fit, "size int, fitted bigint")
     each = maps.select("map_id", F.posexplode("frags").alias("i", "size")).join(fitted, "size")
     new = each.groupBy("map_id").agg(F.sort_array(F.collect_list(F.struct("i", "fitted"))).alias("s"), F.sum("fitted").alias("length"))
     return maps.drop("frags", "length").join(new.select("map_id", F.col("s.fitted").alias("frags"), "length"), "map_id")

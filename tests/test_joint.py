@@ -137,6 +137,23 @@ def test_local_regression(spark):
     assert (r.frags, r.length) == ([110, 210, 5000], 5320)
 
 
+def test_local_regression_weighs_lengths_by_their_pairs(spark):
+    import numpy as np
+
+    # 240,000 pairs; every fourth stands at one of 20 lengths whose sizing error differs from the others'.
+    k, one = F.col("id"), F.col("id") % 4 == 0
+    optical = F.when(one, 1000 + k % 20 * 10).otherwise(500 + k % 997)
+    chunks = spark.range(240_000).select(optical.cast("int").alias("optical"), (optical + F.when(one, 90).otherwise(k % 7 * 5)).cast("int").alias("contig"))
+    pairs = chunks.toPandas()
+    x, y = pairs["optical"].to_numpy(float), pairs["contig"].to_numpy(float)
+    frags = [600, 900, 1050, 1300, 5000]
+    want = [int(v) for v in np.rint(adjust.local_fit(x, y, np.array(frags[:4], float)))] + [5000]
+    maps = spark.createDataFrame([("m", frags, sum(frags))], "map_id string, frags array<int>, length bigint")
+    r = adjust.adjust_maps(maps, chunks).first()
+    assert (r.frags, r.length) == (want, sum(want))
+    assert adjust.adjust_maps(maps, chunks.limit(0)).first().frags == frags
+
+
 def test_quantiles_and_pool(spark):
     df = spark.createDataFrame([("g", float(k)) for k in (1, 2, 3, 4)] + [("h", 5.0)], "g string, v double")
     got = {r.g: r.quantile for r in G.plotting_quantile(df, "g", "v", 0.5).collect()}
