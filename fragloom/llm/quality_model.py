@@ -21,10 +21,13 @@ UPPERS = bytes(range(0x41, 0x5B))
 DIGITS = bytes(range(0x30, 0x3A))
 STOPS = b".,;:?"
 MARKS = b"!"
+WIDE = bytes(range(0x80, 0x100))
+#: Words in a window of the rate of near repeats.
+WINDOW = 64
 SYMBOLS = b"#*$%&|<>@^~=+_\\{}[]"
 STATS = (
     "chars", "words", "word_length", "uppers", "digits", "stops", "marks", "symbols", "bars", "wide", "distinct", "repeats", "words_per_line", "same_lines",
-    "ended_lines", "long_word", "first_repeats",
+    "ended_lines", "long_word", "near_repeats",
 )
 
 
@@ -40,12 +43,12 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in data.split(b"\n") if x.strip()]
     same = len(lines) - len(set(lines))
     ended = sum(x.rstrip().endswith((b".", b"!", b"?", b":")) and not x.rstrip().endswith(b"!!") for x in lines)
-    third = words[: max(20, n // 3)]
+    fresh = sum(len(set(words[k : k + WINDOW])) for k in range(0, n, WINDOW))  # all words, in windows one after another
     return [
         np.log1p(size), np.log1p(n), min(30.0, sum(map(len, words)) / n), without(UPPERS) / size, without(DIGITS) / size, without(STOPS) / n, min(3.0, without(MARKS) / n),
-        min(3.0, without(SYMBOLS) / n), min(1.0, data.count(b"|") / n), sum(x > 127 for x in data[:: max(1, size // 2000)]) / len(data[:: max(1, size // 2000)]),
+        min(3.0, without(SYMBOLS) / n), min(1.0, data.count(b"|") / n), without(WIDE) / size,
         distinct / n**0.85, sum(map(eq, words, words[1:])) / n, np.log1p(n / max(1, len(lines))), same / len(lines), ended / len(lines), np.log1p(max(map(len, words))),
-        1 - len(set(third)) / len(third),
+        1 - fresh / n,
     ]
 
 

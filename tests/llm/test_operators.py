@@ -276,6 +276,18 @@ def test_op5_spans_go(spark):
 # -- 6
 
 
+def test_op6_statistics_see_all_of_a_text():
+    from fragloom.llm.quality_model import STATS, statistics
+
+    of = lambda text: dict(zip(STATS, statistics(text), strict=True))
+    for text in ("abcdefé " * 2000, "x" * 9999 + " " + "é" * 7, "é" + "plain words " * 900):
+        data = text.encode()
+        assert of(text)["wide"] == pytest.approx(sum(x > 127 for x in data) / len(data))
+    own = [f"w{k}" for k in range(640)]
+    late = own[:512] + ["same"] * 128
+    assert of(" ".join(own))["near_repeats"] == 0 and of(" ".join(late))["near_repeats"] == pytest.approx(126 / 640)
+
+
 def labelled(spark, n=900):
     rng = np.random.default_rng(2)
     vocab = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
