@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and assignments whose target's name says that the literal is sensitive.
 
-The lexer reads assignments of source and configuration syntax (``name = "x"``, ``name: 'x'``, ``name := x``, ``"name" => x``, ``<name>x</name>`` is
-not among them) as pairs of a name and a literal or another name.  A name that was given a literal carries it on: where a
-sensitive name is later given that name, through any number of steps, the first literal is what counts.  A literal is reported where the
-sensitivity of the name and the look of the literal together reach the threshold.
+A lexer with states (code, strings of all kinds with escapes, comments, urls) reads source and configuration syntax as pairs of
+a name and an expression of literals and other names: ``name = "x"``, ``name: 'x'``, ``"name" => x``, ``name := x``, ``<name>x</name>``, chained and
+annotated assignments, nested keys in brackets or by indentation, lists, pieces joined by operators or by standing side by side, and
+interpolated names.  Constants are propagated to a fixpoint, wherever they are defined: a literal weighs as much as the most sensitive
+name that it reaches.  A literal is reported where that and the look of the literal together reach the threshold.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from itertools import accumulate
 from operator import itemgetter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,27 +33,46 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "named")
 
-#: A name, an assignment and a quoted literal or an unquoted one's first character.  A name starts where its word does and nothing is tried twice: time is linear.
-PAIR = re.compile(
-    r"""(?P<q>["'])?(?<![A-Za-z0-9_$.-])(?(q)|[0-9.-]*+)(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)(?(q)(?P=q))[\x20\t]*+(?::=|=>|==?|:)[\x20\t]*+"""
-    r"""(?:"(?P<d>(?:[^"\\\n]++|\\.)++)"|'(?P<s>(?:[^'\\\n]++|\\.)++)'|(?P<bare>[^\s"',;(){}\[\]<>]))"""
+#: Tokens of code.  No alternative tries a place twice, so lexing is linear.
+TOKEN = re.compile(
+    r"""(?P<space>[\x20\t\r\f\v\\]++)|(?P<line>\n)|(?P<comment>\#++|//++|/\*++|<!--|--(?=\x20))|(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)|(?P<number>[0-9.-]++)"""
+    r"""|(?P<quote>\"{3}|'{3}|["'`])|(?P<assign>:=|=>|={1,2}|:|\?=)|(?P<open>[{(\[])|(?P<close>[})\]])|(?P<join>[+&|]++=?)|(?P<other>.)""",
+    re.DOTALL,
 )
-BARE = re.compile(r"""[^\s"',;(){}\[\]<>]++""")
+#: The inside of a string, up to its closing quote or, for quotes of one line, the line's end.
+INSIDE = {
+    '"': re.compile(r'(?:[^"\\\n]++|\\.)*+', re.DOTALL), "'": re.compile(r"(?:[^'\\\n]++|\\.)*+", re.DOTALL), "`": re.compile(r"(?:[^`\\]++|\\.)*+", re.DOTALL),
+    '"""': re.compile(r'(?:[^"\\]++|\\.|"(?!""))*+', re.DOTALL), "'''": re.compile(r"(?:[^'\\]++|\\.|'(?!''))*+", re.DOTALL),
+}
+PREFIXES = frozenset({"f", "r", "b", "u", "rb", "br", "fr", "rf"})
+COMMENT_ENDS = {"/*": "*/", "<!--": "-->"}
+BARE = re.compile(r"""[^\s"',;(){}\[\]<>]*+""")
 #: What an unquoted value inside a url may hold: up to the next parameter.
 BARE_IN_URL = re.compile(r"""[^\s"',;(){}\[\]<>&#]*+""")
+NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*+")
+#: A name inside a text: ``{name}``, ``${name}``, ``$name``, ``%(name)s``.
+INSERTED = re.compile(r"\$?\{++\s*+([A-Za-z_][A-Za-z0-9_.]*+)[^{}]*+\}++|\$([A-Za-z_][A-Za-z0-9_]*+)|%\(([A-Za-z_][A-Za-z0-9_]*+)\)s")
+SECTION = re.compile(r"[\x20\t]*+\[([A-Za-z_][A-Za-z0-9_.:\x20-]*+)\][\x20\t\r]*+(?=\n|\Z)")
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_:.-]*+)(?:\s[^<>]*+)?>\s*+([^<>\s](?:[^<>]*[^<>\s])?+)\s*+</")
+SPACES, LEAD, LAST_WORD = re.compile(r"[\x20\t]*+"), re.compile(r"(?:[\x20\t\r\n]|-\x20)*+"), re.compile(r"[A-Za-z]++$")
+QUOTES = ("'", '"')
+#: Parts of strings and comments are lexed again, so deep.
+DEEPEST = 3
 #: How sensitive a part of a name is.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.6, "secret": 0.9, "token": 0.8, "apikey": 0.9, "credential": 0.8, "credentials": 0.8,
     "auth": 0.5, "private": 0.4, "access": 0.3, "api": 0.3, "signing": 0.4, "encryption": 0.5, "key": 0.4, "salt": 0.4, "dsn": 0.5, "jwt": 0.8, "bearer": 0.8,
 }
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*+")
+#: A text without any of these has no sensitive name.
+HINT = re.compile("|".join(sorted(SENSITIVE, key=len, reverse=True)), re.IGNORECASE)
 PLAIN = frozenset({"true", "false", "null", "none", "nil", "undefined", "required", "optional", "string", "changeme", "example", "redacted"})
 
 
 def sensitivity(name: str) -> float:
     """0 to 1, from the parts of a name: the strongest of them and half of the others."""
-    scores = sorted((SENSITIVE.get(p.lower(), 0.0) for p in PARTS.findall(name)), reverse=True)
+    parts = [p.lower() for p in PARTS.findall(name)]
+    scores = sorted((SENSITIVE.get(p) or SENSITIVE.get(p.removesuffix("s"), 0.0) for p in parts), reverse=True)
     return min(1.0, scores[0] + 0.5 * sum(scores[1:])) if scores else 0.0
 
 
@@ -81,38 +102,280 @@ def base_spans(text: str) -> list[tuple[int, str, int, int, int]]:
     return out
 
 
+class Lexer:
+    """Tokens (kind, start, end) of one region, with a look ahead.  ``inner`` collects the strings and comments that are to be read by themselves.
+
+    Kinds: name, string (the place of its inside), assign, join, open, close, line (end is where the next line's text begins), section, other.
+    """
+
+    def __init__(self, text: str, start: int, stop: int, depth: int):
+        self.text, self.at, self.stop, self.depth = text, start, stop, depth
+        self.inner: list[tuple[int, int, int]] = []
+        self.ahead: deque[tuple[str, int, int]] = deque()
+        self.url_end = start
+        if x := SECTION.match(text, start, stop):
+            self.ahead.append(("section", *x.span(1)))
+            self.at = x.end()
+
+    def peek(self, k: int = 0) -> tuple[str, int, int]:
+        while len(self.ahead) <= k:
+            self.ahead.append(self._read())
+        return self.ahead[k]
+
+    def next(self) -> tuple[str, int, int]:
+        self.peek()
+        return self.ahead.popleft()
+
+    def _read(self) -> tuple[str, int, int]:
+        text, stop = self.text, self.stop
+        while self.at < stop:
+            start = self.at
+            m = TOKEN.match(text, start, stop)
+            kind, self.at = m.lastgroup, m.end()
+            if kind == "space" or kind == "number":
+                continue
+            if kind == "line":
+                if x := SECTION.match(text, self.at, stop):
+                    self.at = x.end()
+                    return ("section", *x.span(1))
+                self.at = LEAD.match(text, self.at, stop).end()
+                return ("line", start, self.at)
+            if kind == "quote":
+                before = text[start - 1] if start else " "
+                if before.isalnum() or before == "_":
+                    word = LAST_WORD.search(text, max(0, start - 4), start)
+                    if not word or word[0].lower() not in PREFIXES:
+                        return ("other", start, self.at)  # an apostrophe
+                end = INSIDE[m[0]].match(text, self.at, stop).end()
+                inside = self.at, end
+                self.at = min(stop, end + len(m[0]))
+                self._later(*inside)
+                return ("string", *inside)
+            if kind == "comment":
+                if start < self.url_end or m[0][0] == "#" and start and text[start - 1] in "=:":
+                    return ("other", start, self.at)
+                if self.depth < DEEPEST:
+                    mark = COMMENT_ENDS.get(m[0], "\n")
+                    end = text.find(mark, self.at, stop)
+                    end = stop if end < 0 else end
+                    self._later(self.at, end)
+                    self.at = end if mark == "\n" else min(stop, end + len(mark))
+                continue
+            if m[0] == ":" and text.startswith("//", self.at):  # a url's scheme is no name
+                if start >= self.url_end:
+                    self.url_end = BARE.match(text, start, stop).end()
+                self.at = min(stop, self.at + 2)
+                return ("other", start, self.at)
+            if kind == "name" and m[0].lower() in PREFIXES and text[self.at : self.at + 1] in QUOTES:
+                continue
+            return (kind, start, self.at)
+        return ("end", stop, stop)
+
+    def _later(self, a: int, b: int) -> None:
+        if self.depth < DEEPEST and (self.text.find("=", a, b) >= 0 or self.text.find(":", a, b) >= 0):
+            self.inner.append((a, b, self.depth + 1))
+
+
+class Path(NamedTuple):
+    """The keys above a place: the last few of them, and the sensitivity of the most sensitive one."""
+
+    keys: tuple[str, ...] = ()
+    weight: float = 0.0
+
+    def to(self, *keys: str, most: int = 6) -> "Path":
+        return Path((*self.keys, *keys)[-most:], max([self.weight, *map(sensitivity, keys)]))
+
+
+class Pairs:
+    """The name-expression pairs of a text.  An expression is a list of pieces: (start, end, None) is a literal, (start, end, name) a name there."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.expressions: list[list[tuple[int, int, str | None]]] = []
+        self.of_name: defaultdict[str, list[int]] = defaultdict(list)
+        self.weights: list[tuple[float, int]] = []
+        todo = [(0, len(text), 0)]
+        while todo:
+            todo += self._read(*todo.pop())
+        if "</" in text:
+            for m in ELEMENT.finditer(text):
+                self._add([m[1]], Path(), [(*m.span(2), None)])
+
+    def _add(self, targets: list[str], above: "Path", pieces: list[tuple[int, int, str | None]]) -> None:
+        k = len(self.expressions)
+        self.expressions.append(pieces)
+        own = 0.0
+        for name in targets:
+            for known in {name, name.rpartition(".")[2], ".".join([*above.keys, name])}:
+                self.of_name[known].append(k)
+            own = max(own, sensitivity(name))
+        weight = max(own, 0.7 * above.weight)
+        if weight:
+            self.weights.append((weight, k))
+
+    def _string(self, a: int, b: int) -> list[tuple[int, int, str | None]]:
+        """A string's pieces: the names inserted into it, and the whole of it unless it is made of them alone."""
+        if a == b:
+            return []
+        found = list(INSERTED.finditer(self.text, a, b))
+        names = [(a, b, x[1] or x[2] or x[3]) for x in found]
+        return names + [(a, b, None)] * (sum(x.end() - x.start() for x in found) < b - a)
+
+    def _read(self, a: int, b: int, depth: int) -> list[tuple[int, int, int]]:
+        """Read one region; gives the regions inside it that are to be read by themselves."""
+        text, lexer = self.text, Lexer(self.text, a, b, depth)
+        section = Path()
+        indented: list[tuple[int, Path]] = []  # path of what stands further in, below a key without a value
+        brackets: list[tuple[Path, list[str]]] = []  # path inside a bracket, targets of a list
+
+        def above() -> Path:
+            return brackets[-1][0] if brackets else indented[-1][1] if indented else section
+
+        indent, first, bare_end, url_value_end, last = 0, True, a, a, ("", "")
+        while True:
+            kind, start, end = lexer.next()
+            if kind == "end":
+                return lexer.inner
+            if kind == "line":
+                indent, first = end - 1 - text.rfind("\n", start, end), True
+                continue
+            if kind == "section":
+                section, indented = Path().to(*text[start:end].split(".")), []
+                continue
+            leads, first = first, False
+            if kind == "open":
+                brackets.append((above(), []))
+            elif kind == "close":
+                if brackets:
+                    brackets.pop()
+            if kind not in ("name", "string"):
+                continue
+            if lexer.peek()[0] != "assign" or kind == "string" and (end - start > 200 or not NAME.search(text, start, end)):
+                if kind == "string" and brackets and brackets[-1][1]:  # an entry of a list is a value by itself
+                    self._add(brackets[-1][1], above(), self._string(start, end))
+                continue
+            if leads:
+                while indented and indented[-1][0] >= indent:
+                    indented.pop()
+            targets, sign = [text[start:end]], lexer.next()
+            while lexer.peek()[0] == "name" and lexer.peek(1)[0] == "assign":
+                _, start, end = lexer.peek(1)
+                if not (text[start - 1].isspace() or text[end : end + 1].isspace() or text[end : end + 1] in QUOTES):
+                    break  # a sign within a value
+                targets.append(text[slice(*lexer.next()[1:])])
+                sign = lexer.next()
+            within = 0
+            while lexer.peek()[0] == "open" and text[lexer.peek()[1]] == "(":
+                lexer.next()
+                brackets.append((above(), []))
+                within += 1
+                if lexer.peek()[0] == "line":
+                    lexer.next()
+            kind, start, end = lexer.peek()
+            if kind == "line":
+                if lexer.peek(1)[0] == "string" and lexer.peek(2)[0] != "assign":
+                    lexer.next()
+                    kind, start, end = lexer.peek()
+                else:
+                    if text[sign[1]] == ":":
+                        indented.append((indent, above().to(targets[-1])))
+                    continue
+            if kind == "open":
+                lexer.next()
+                brackets.append((above().to(targets[-1]), targets if text[start] == "[" else []))
+                continue
+            pieces: list[tuple[int, int, str | None]] = []
+            start = SPACES.match(text, sign[2], b).end() if kind not in ("string", "line") and not within else start
+            if kind == "string":
+                lexer.next()
+                pieces += self._string(start, end)
+            elif start < lexer.url_end:
+                if start >= url_value_end:
+                    url_value_end = BARE_IN_URL.match(text, start, b).end()
+                pieces += [(start, url_value_end, None)] * (start < url_value_end)
+            else:
+                if start >= bare_end:
+                    bare_end = BARE.match(text, start, b).end()
+                whole, inserted = NAME.match(text, start, bare_end), INSERTED.match(text, start, min(b, start + 200))
+                if inserted and text[inserted.end() : inserted.end() + 1].strip(" ,;)\r\n"):
+                    inserted = None  # more than a name
+                elif inserted:
+                    bare_end = inserted.end()
+                if inserted:
+                    pieces.append((start, bare_end, inserted[1] or inserted[2] or inserted[3]))
+                elif whole and whole.end() == bare_end:
+                    if text[bare_end : bare_end + 1] not in ("(", "["):  # what a call or an index gives isn't in the text
+                        pieces.append((start, bare_end, whole[0]))
+                elif start < bare_end:
+                    pieces.append((start, bare_end, None))
+                if inserted or whole and whole.end() == bare_end:
+                    while lexer.peek()[0] != "end" and lexer.peek()[1] < bare_end:
+                        lexer.next()
+            while pieces and (kind == "string" or pieces[0][2]):  # what is joined to it
+                step = 1 if lexer.peek()[0] == "line" else 0
+                what = lexer.peek(step)[0]
+                if what == "string" and lexer.peek(step + 1)[0] != "assign" and (not step or within) and kind == "string":
+                    step += 1
+                elif what == "join":
+                    step += 1
+                    if lexer.peek(step)[0] == "line":
+                        step += 1
+                    if lexer.peek(step)[0] not in ("string", "name"):
+                        break
+                    step += 1
+                else:
+                    break
+                for _ in range(step):
+                    more, start, end = lexer.next()
+                pieces += self._string(start, end) if more == "string" else [(start, end, text[start:end])]
+                if more == "string":
+                    kind = "string"
+                else:
+                    pieces[-1] = (start, start, text[start:end])  # a name in an expression is no literal
+            if pieces:
+                said = text[pieces[0][0] : min(pieces[0][1], pieces[0][0] + 200)]
+                if targets[0].lower() == "value" and last[0] in ("name", "key") and NAME.fullmatch(last[1]):
+                    targets.append(last[1])  # name: X, value: Y
+                self._add(targets, above(), pieces)
+                last = (targets[0].lower(), said)
+
+    def literals(self) -> Iterator[tuple[float, list[tuple[int, int]]]]:
+        """(weight, spans of an expression's literals), each expression once, by the most sensitive name that it reaches."""
+        done, names = bytearray(len(self.expressions)), set()
+        for weight, k in sorted(self.weights, key=lambda x: -x[0]):
+            todo = [k]
+            while todo:
+                k = todo.pop()
+                if done[k]:
+                    continue
+                done[k] = 1
+                spans = []
+                for a, b, name in self.expressions[k]:
+                    found = self.of_name.get(name) or self.of_name.get(name.rpartition(".")[2]) if name else None
+                    if found and name:
+                        if name not in names:
+                            names.add(name)
+                            todo += found
+                    elif a < b:  # a name that isn't defined here may be a literal without quotes
+                        spans.append((a, b))
+                if spans:
+                    yield weight, list(dict.fromkeys(spans))
+
+
 def named_spans(text: str, threshold: float = 0.9) -> list[tuple[int, str, int, int, int]]:
-    """Literals that reach a sensitive name, directly or through other names."""
-    if "=" not in text and ":" not in text:
+    """Literals that reach a sensitive name, directly or through other names.  The pieces of a joined literal are judged together."""
+    if "=" not in text and ":" not in text and "</" not in text or not HINT.search(text):
         return []
-    literal_of: dict[str, tuple[int, int]] = {}
     weights: dict[tuple[int, int], float] = {}
-    at = url_end = bare_end = 0
-    while m := PAIR.search(text, at):
-        at = m.end()
-        name = m["name"]
-        if m["bare"] is None:
-            span = m.span("d" if m["d"] is not None else "s")
-        else:
-            # An unquoted value may hold pairs itself (a=b=c), which end where it does: go on behind the first sign.
-            start = at = m.start("bare")
-            if text.startswith("//", start):  # a url's scheme is no name
-                if start >= url_end:
-                    url_end, bare_end = BARE.match(text, start).end(), start
-                continue
-            if start >= bare_end:
-                bare_end = (BARE_IN_URL if start < url_end else BARE).match(text, start).end()
-            span = start, bare_end
-            if (x := NAME.match(text, start, bare_end)) and x.end() == bare_end and x[0] in literal_of:
-                span, at = literal_of[x[0]], bare_end
-        literal_of[name] = span
-        weight = sensitivity(name)
-        if weight:
-            weights[span] = max(weights.get(span, 0.0), weight)
+    out = []
+    for weight, spans in Pairs(text).literals():
+        if len(spans) == 1:
+            weights[spans[0]] = max(weights.get(spans[0], 0.0), weight)
+        elif weight * 0.6 + look("".join(text[a:b] for a, b in spans)) * 0.6 >= threshold:
+            out += [(a, "named", b, a, b) for a, b in spans]
     starts = defaultdict(list)
     for a, b in weights:
         starts[b].append(a)
-    out = []
     for b, own in starts.items():
         # Spans with one end hold each other: their characters are counted once, from the end on.
         counts, done = Counter(), b
@@ -121,7 +384,7 @@ def named_spans(text: str, threshold: float = 0.9) -> list[tuple[int, str, int,
             done = a
             if weights[a, b] * 0.6 + _look(b - a, counts, text[a : min(b, a + 20)]) * 0.6 >= threshold:
                 out.append((a, "named", b, a, b))
-    return out
+    return sorted(set(out))
 
 
 def spans_of(text: str | None) -> tuple[list, list]:

@@ -183,6 +183,83 @@ def test_op3_literals_and_names_of_any_length():
     assert time.process_time() - start < 20
 
 
+SYNTAXES = [
+    ("B = f'{A}'\nA='Hunter2!xyzQ99'\ndb_pwd = B", 'Hunter2!xyzQ99'),
+    ("pwd='''Hunter2!\nxyzQ99$$'''", "Hunter2!\nxyzQ99$$"),
+    ("db_pwd: A\nA = 'Hunter2!xyzQ99'", 'Hunter2!xyzQ99'),
+    ('db_pwd = "Hunter2!" + "xyzQ99$$"', ('Hunter2!','xyzQ99$$')),
+    ('db_pwd = ("Hunter2!"\n   "xyzQ99$$")', ('Hunter2!','xyzQ99$$')),
+    ('db_pwd = "Hunter2!" + # it\'s\n "xyzQ99$$"', ('Hunter2!','xyzQ99$$')),
+    ('private_key: str = "Hunter2!xyzQ99"\ntitle: str = "Another Title 99 x!"', 'Hunter2!xyzQ99'),
+    ('{"passwords": {"prod": "Xk9mQ2vB#tail-7Za!"}}', 'Xk9mQ2vB#tail-7Za!'),
+    ('passphrase:\n  prod: Xk9mQ2vB#tail-7Za!\nother: Xk9mQ2vB#tail-7Zb!', 'Xk9mQ2vB#tail-7Za!'),
+    ('[db.passwd]\nprod = Xk9mQ2vB#tail-7Za!\n', 'Xk9mQ2vB#tail-7Za!'),
+    ('- name: DB_PWD\n  value: "Xk9mQ2vB#tail"', 'Xk9mQ2vB#tail'),
+    ('<db_pwd>Xk9mQ2vB#tail</db_pwd>', 'Xk9mQ2vB#tail'),
+    ('# db_pwd = "Xk9mQ2vB#tail"', 'Xk9mQ2vB#tail'),
+    ('pwds = "x"; jwt = ["Xk9mQ2vB#tail-1", "Yk9mQ2vB#tail-2"]', ("Xk9mQ2vB#tail-1", "Yk9mQ2vB#tail-2")),
+    ('const a = b = "Xk9mQ2vB#tail"; db_pwd = a', "Xk9mQ2vB#tail"),
+    ('db_pwd = os.environ["DB_PASS_WORD_X9"]', ()),
+    ('db_pwd = getenv("DB_PASS_WORD_X9!")', ()),
+    ('conn = "host=x;db_pwd=Xk9mQ2vB!tail;y=1"', 'Xk9mQ2vB!tail'),
+    ('db_pwd = "Xk9\\"mQ2vB!tail"', 'Xk9\\"mQ2vB!tail'),
+    ('DB_PWD=${A}\nA=Xk9mQ2vB!tail', 'Xk9mQ2vB!tail'),
+    ('let s = `Xk9mQ2\nvB!tail`;\ndb_pwd = s', 'Xk9mQ2\nvB!tail'),
+    ('private_key = """-----BEGIN\nabcDEF123\n-----END"""', "-----BEGIN\nabcDEF123\n-----END"),
+    ('db_pwd=#Xk9mQ2vB!tail', '#Xk9mQ2vB!tail'),
+    ("the users' pass: nothing here, see key: value", ()),
+]
+
+
+@pytest.mark.parametrize("text,want", SYNTAXES)
+def test_op3_syntaxes(text, want):
+    from fragloom.llm import secret_scan as S
+
+    named = [text[a:b] for _, kind, _, a, b in S.spans_of(text)[1] if kind == "named"]
+    assert sorted(named) == sorted([want] if isinstance(want, str) else want)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_op3_constants_reach_sensitive_names_in_any_order(seed):
+    """Random programs against reachability worked out by hand: a literal counts if a sensitive name reaches it."""
+    import random
+
+    from fragloom.llm import secret_scan as S
+
+    rng = random.Random(seed)
+    names = ["db_pwd", "jwt", "passphrase"] + [f"n{k}" for k in range(9)]
+    value, code = {}, []
+    forms = ['{n} = "{v}"', "{n}: '{v}'", "{n} := `{v}`", '"{n}" => "{v}",', "<{n}>{v}</{n}>", 'const {n} = """{v}""";', "# {n} = '{v}'", "{n}={v}"]
+    for k, n in enumerate(names):
+        if rng.random() < 0.5:
+            value[n] = v = f"Lit{k}x!" + "".join(rng.choice("abcDEF789#-") for _ in range(12))
+            code.append(rng.choice(forms[:-1] if "#" in v else forms).format(n=n, v=v))
+        else:
+            value[n] = other = rng.choice(names)
+            code.append(rng.choice(["{n} = {o}", "{n}: {o}", "{n} = ${{{o}}}", 'let {n} = f"{{{o}}}"']).format(n=n, o=other))
+    rng.shuffle(code)
+    text = "\n".join(code)
+    want = set()
+    for n in names[:3]:
+        seen = set()
+        while n in value and n not in seen:
+            seen.add(n)
+            n = value[n]
+        want |= {n} - set(names)
+    assert {text[a:b] for _, kind, _, a, b in S.spans_of(text)[1] if kind == "named"} == want, text
+
+
+def test_op3_lexing_takes_linear_time():
+    import time
+
+    from fragloom.llm import secret_scan as S
+
+    start = time.process_time()
+    for bit in ('token="\\"', "token='''", "# token=1 ", "{token:", "token=(", "token:\n ", 'token="a"+', "/* token=b ", "token = ", "[a", "token=${", 'token = [ "x" ', "a:\n" + " " * 50):
+        S.spans_of(bit * 20000 + "token=1")
+    assert time.process_time() - start < 40
+
+
 # -- 4
 
 
