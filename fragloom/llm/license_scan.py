@@ -1,8 +1,8 @@
 """Licence scans: an Aho-Corasick automaton over words, and a shunting-yard evaluation of licence expressions.
 
-A text's words are found by its bytes (A-Z lower-cased) and joined by single spaces, so the automaton sees every phrase as
-one string and a hit is a phrase where it begins and ends at a word's edge.  Tags (``SPDX-License-Identifier:`` and the like) are found
-in the text itself; what follows them is parsed as an expression of names, ``AND``, ``OR``, ``WITH`` and brackets.
+A text's words are found by its bytes (A-Z lower-cased) and joined by single spaces, so the automaton sees every phrase and every
+identifier tag (``SPDX-License-Identifier:`` and the like) as one string and a hit is one where it begins and ends at a word's edge.  What follows
+a tag and its colon on the line is parsed as an expression of licence ids, ``AND``, ``OR`` (or ``/``), ``WITH`` and brackets; prose gives no label.
 """
 
 from __future__ import annotations
@@ -26,17 +26,41 @@ NOTICES = {
     "affero general public license": ("agpl", 0.9), "gnu general public license": ("gpl", 1.0), "cc by sa": ("cc-by-sa", 0.8),
     "cc by nc": ("cc-by-nc", 0.8), "cc by nd": ("cc-by-nd", 0.8), "cc0": ("cc0", 0.7), "public domain": ("public-domain", 0.5),
     "creative commons attribution": ("cc-by", 0.9), "proprietary and confidential": ("proprietary", 0.8),
+    "cc by nc sa": ("cc-by-nc-sa", 0.8), "cc by nc nd": ("cc-by-nc-nd", 0.8), "creative commons zero": ("cc0", 0.9), "isc license": ("isc", 0.9), "zlib license": ("zlib", 0.9),
+    "boost software license": ("bsl", 0.9), "artistic license": ("artistic", 0.8), "sil open font license": ("ofl", 0.9), "server side public license": ("sspl", 0.9),
+    "business source license": ("busl", 0.9), "elastic license": ("elastic", 0.9), "european union public licence": ("eupl", 0.9), "microsoft public license": ("ms-pl", 0.9),
+    "common development and distribution license": ("cddl", 0.9), "gnu free documentation license": ("gfdl", 1.0), "open database license": ("odbl", 0.9), "unlicense": ("unlicense", 0.6),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", 1.0), "this is free and unencumbered software": ("unlicense", 1.0),
+    "use of this source code is governed by": ("other", 0.4), "no part of this publication may be reproduced": ("reserved", 0.9),
 }
 BASE_STRENGTH = {"cc-by": 0.8, "gpl": 0.9, "reserved": 0.7}
-TAG = re.compile(rb"(?i)(?:spdx-license-identifier|license-expression)[\x20\t]*:[\x20\t]*([^\r\n]*)")
-TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
-#: Names an expression may use; others are an unknown licence and count half.
-NAMES = frozenset({
-    "0bsd", "afl-3.0", "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later", "apache-2.0", "artistic-2.0", "bsd-2-clause", "bsd-3-clause", "bsl-1.0",
-    "cc-by-4.0", "cc-by-nc-4.0", "cc-by-sa-4.0", "cc0-1.0", "epl-2.0", "gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later",
-    "isc", "lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later", "mit", "mpl-2.0", "unlicense", "zlib",
-})
-STRENGTH = {"or": 1, "and": 2, "with": 3}
+#: Words of identifier tags.
+TAGS = ("spdx license identifier", "license expression", "packagelicensedeclared", "packagelicenseconcluded", "licenseinfoinfile")
+AFTER_TAG = re.compile(rb"""["']?[\x20\t]*:[\x20\t]*["']?([^\r\n]*)""")
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
+TOKEN = re.compile(r"[()]|(?<=[A-Za-z0-9.+)])/(?=[A-Za-z0-9(])|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.-]*\Z")
+OWN_ID = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+\Z")
+#: Families of public licence ids and their versions; those of GNU come as they are, ``-only`` and ``-or-later``.
+GNU = {"agpl": "1.0 3.0", "gpl": "1.0 2.0 3.0", "lgpl": "2.0 2.1 3.0", "gfdl": "1.1 1.2 1.3"}
+FAMILIES = {
+    "afl": "1.1 1.2 2.0 2.1 3.0", "apache": "1.0 1.1 2.0", "apsl": "1.0 1.1 1.2 2.0", "artistic": "1.0 2.0", "bsl": "1.0", "busl": "1.1", "bsd": "1-clause 2-clause 2-clause-patent 3-clause 3-clause-clear 4-clause",
+    "cc-by": "1.0 2.0 2.5 3.0 4.0", "cc-by-nc": "1.0 2.0 2.5 3.0 4.0", "cc-by-nc-nd": "1.0 2.0 2.5 3.0 4.0", "cc-by-nc-sa": "1.0 2.0 2.5 3.0 4.0", "cc-by-nd": "1.0 2.0 2.5 3.0 4.0",
+    "cc-by-sa": "1.0 2.0 2.5 3.0 4.0", "cc0": "1.0", "cddl": "1.0 1.1", "cecill": "1.0 1.1 2.0 2.1 b c", "cpl": "1.0", "ecl": "1.0 2.0", "efl": "1.0 2.0", "elastic": "2.0", "epl": "1.0 2.0",
+    "eupl": "1.0 1.1 1.2", "ipl": "1.0", "lppl": "1.0 1.1 1.2 1.3a 1.3c", "mit": "0 cmu modern-variant", "mpl": "1.0 1.1 2.0", "mulanpsl": "1.0 2.0", "npl": "1.0 1.1", "odc-by": "1.0",
+    "odbl": "1.0", "ofl": "1.0 1.1", "oldap": "2.8", "osl": "1.0 1.1 2.0 2.1 3.0", "php": "3.0 3.01", "psf": "2.0", "python": "2.0 2.0.1", "qpl": "1.0", "sspl": "1.0", "upl": "1.0", "vsl": "1.0",
+    "w3c": "19980720 20150513", "zpl": "1.1 2.0 2.1",
+}
+SINGLE = "0bsd aal beerware blueoak-1.0.0 curl fsfap fsful ftl gl2ps hpnd icu ijg imagemagick info-zip intel isc jasper-2.0 json libpng libtiff mit miros mirros ms-pl ms-rl naist-2003 ncsa ntp openssl pddl-1.0 postgresql ruby sleepycat tcl unicode-dfs-2016 unlicense vim w3c wtfpl x11 xnet zlib zlib-acknowledgement".split()
+
+
+def license_ids() -> frozenset[str]:
+    ids = {*SINGLE, *(f"{f}-{v}" for f, versions in FAMILIES.items() for v in versions.split())}
+    return frozenset(ids | {f"{f}-{v}{end}" for f, versions in GNU.items() for v in versions.split() for end in ("", "-only", "-or-later")})
+
+
+NAMES = license_ids()
+STRENGTH = {"or": 1, "/": 1, "and": 2, "with": 3}
 SEPARATE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else (c + 32 if 0x41 <= c <= 0x5A else 0x20) for c in range(256))
 
 
@@ -45,30 +69,36 @@ def words_text(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(SEPARATE).split())
 
 
-def postfix(expression: str) -> list[str] | None:
-    """Postfix form by the shunting-yard method, or None if the expression isn't one.
+def strength_of(name: str) -> float:
+    """1 for a public id (a final ``+`` allowed), less for one of somebody's own, 0 for what is no licence id."""
+    name = name.lower()
+    return 1.0 if name.removesuffix("+") in NAMES else 0.6 if OWN_ID.match(name) else 0.0
+
+
+def postfix(expression: str) -> tuple[list[str], bool] | None:
+    """Postfix form by the shunting-yard method and whether the expression was whole; None where it has no licence id.
 
-    ``WITH`` binds more strongly than ``AND``, and that than ``OR``; operators are read in either case.  What follows a complete expression
-    (other than an operator) ends it, so trailing prose is left out.
+    ``WITH`` binds more strongly than ``AND``, and that than ``OR``; operators are read in either case.  What follows a complete expression ends it.  Where one breaks
+    off (a missing bracket, an operator without a right side, a word that is no id), what was read so far stands.
     """
     out: list[str] = []
     held: list[str] = []
-    want_name = True
+    want_name = whole = True
     for token in TOKEN.findall(expression):
         low = token.lower()
         if want_name:
             if token == "(":
                 held.append(token)
-            elif token == ")" or low in STRENGTH:
-                return None
-            else:
+            elif strength_of(low) or held[-1:] == ["with"] and ID.match(token) and low not in STRENGTH:
                 out.append(low)
                 want_name = False
+            else:
+                break
         elif token == ")":
-            while held and held[-1] != "(":
-                out.append(held.pop())
-            if not held:
+            if "(" not in held:
                 break
+            while held[-1] != "(":
+                out.append(held.pop())
             held.pop()
         elif low in STRENGTH:
             while held and held[-1] != "(" and STRENGTH[held[-1]] >= STRENGTH[low]:
@@ -77,30 +107,35 @@ def postfix(expression: str) -> list[str] | None:
             want_name = True
         else:
             break
-    if want_name or "(" in held:
+    if not out:
         return None
-    return out + held[::-1]
+    if want_name:  # the last operator has no right side
+        whole = False
+        while held.pop() == "(":
+            pass
+    whole &= "(" not in held
+    return out + [x for x in held[::-1] if x != "("], whole
 
 
 def evaluate(expression: str) -> tuple[set[str], float] | None:
-    """(labels, strength) of an expression: ``OR`` takes the stronger side's strength, ``AND`` the weaker's, ``WITH`` the licence's.
+    """(labels, strength) of an expression: ``OR`` takes the stronger side's strength, ``AND`` the weaker's, ``WITH`` the licence's; a broken one counts half.
 
-    The name after ``WITH`` is an exception and gives no label.  None if the expression can't be parsed.
+    The name after ``WITH`` is an exception and gives no label.  None where there is no licence id.
     """
-    steps = postfix(expression)
-    if steps is None:
+    found = postfix(expression)
+    if found is None:
         return None
     stack: list[tuple[set[str], float]] = []
-    for step in steps:
+    for step in found[0]:
         if step not in STRENGTH:
-            stack.append(({step}, 1.0 if step in NAMES else 0.5))
+            stack.append(({step}, strength_of(step)))
             continue
         right, left = stack.pop(), stack.pop()
         if step == "with":
             stack.append(left)
         else:
-            stack.append((left[0] | right[0], (max if step == "or" else min)(left[1], right[1])))
-    return stack[0]
+            stack.append((left[0] | right[0], (min if step == "and" else max)(left[1], right[1])))
+    return stack[0][0], stack[0][1] * (1.0 if found[1] else 0.5)
 
 
 def automaton(phrases: dict[str, object]):
@@ -121,7 +156,7 @@ class Scanner:
         self.base = BASE if base is None else base
         self.notices = NOTICES if notices is None else notices
         # A phrase of both kinds is one word of the automaton.  Hits overlap in the space between them, which the automaton allows.
-        self.automaton = automaton({**self.base, **self.notices})
+        self.automaton = automaton({**self.base, **self.notices, **dict.fromkeys(TAGS)})
 
     def scan(self, text: str | None) -> dict:
         """n_words, places (base phrase, first word), base_labels, labels, score and expressions.  Null and empty texts have none."""
@@ -129,6 +164,7 @@ class Scanner:
         found: list[tuple[str, int]] = []
         labels: dict[str, float] = {}
         base_labels: set[str] = set()
+        tags: list[int] = []  # last words of tags
         seen, at = 0, 0  # spaces before place `at` of the string
         string = " " + joined.decode("latin-1") + " "
         for end, phrase in self.automaton.iter(string):
@@ -140,13 +176,13 @@ class Scanner:
                 label = self.base[phrase]
                 base_labels.add(label)
                 labels[label] = max(labels.get(label, 0), BASE_STRENGTH.get(label, 0.7))
+            if phrase in TAGS:
+                tags.append(seen + phrase.count(" "))
             if phrase in self.notices:
                 label, strength = self.notices[phrase]
                 labels[label] = max(labels.get(label, 0), strength)
         expressions = []
-        raw = (text or "").encode("utf-8", "surrogatepass") if b"license" in joined else b""
-        for m in TAG.finditer(raw):
-            shown = m[1].decode("utf-8", "replace").strip()
+        for shown in self._after(text, tags) if tags else ():
             got = evaluate(shown)
             if got is not None:
                 expressions.append(shown)
@@ -157,6 +193,16 @@ class Scanner:
             score *= 1 - strength
         return {"n_words": joined.count(b" ") + 1 if joined else 0, "places": found, "base_labels": sorted(base_labels), "labels": sorted(labels), "score": 1 - score if labels else 0.0, "expressions": expressions}
 
+    @staticmethod
+    def _after(text: str, tags: list[int]) -> Iterator[str]:
+        """The rest of the line behind each of the given words that a colon follows."""
+        raw, wanted = text.encode("utf-8", "surrogatepass"), set(tags)
+        for k, m in enumerate(WORD.finditer(raw)):
+            if k in wanted and (x := AFTER_TAG.match(raw, m.end())):
+                yield x[1].decode("utf-8", "replace").strip()
+            if k >= tags[-1]:
+                return
+
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
 
