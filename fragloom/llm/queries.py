@@ -37,16 +37,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fixed by the contract.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Listed sites, for urls that no rule fits.
+#: Sites whose pages make up the listing, for urls that no rule fits.
 LISTED_SITES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-LISTED_DOMAINS = ["example.com", "example.net", "example.org"]
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import rule_table, url_verdicts
+    from .common import keep
+    from .url_filter import listing, rule_table, url_verdicts
 
-    listed = rule_table(spark, [(f"{s}.{d}", "", "block") for s in LISTED_SITES for d in LISTED_DOMAINS])
-    return url_verdicts(_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES), listed)
+    pages = _table(spark, sf_dir, "pages")
+    return url_verdicts(pages, rule_table(spark, URL_RULES), keep(listing(pages, LISTED_SITES), "listing"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ QUERIES = {
     )
 }
 SQL: dict[str, str] = {
-    "op4_url_filter": sql.url_filter(URL_RULES, [(f"{s}.{d}", "", "block") for s in LISTED_SITES for d in LISTED_DOMAINS]),
+    "op4_url_filter": sql.url_filter(URL_RULES, LISTED_SITES),
     "op5_decontaminate": sql.decontaminate(),
     "op7_quality_rules": sql.quality_rules(),
     "op10_minhash_near_dedup": sql.near_duplicates(),

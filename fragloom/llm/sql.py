@@ -9,20 +9,27 @@ def lowered(column: str) -> str:
     return f"translate({column}, '{UPPER}', '{LOWER}')"
 
 
-def url_filter(rules: list[tuple[str, str, str]], listed: list[tuple[str, str, str]]) -> str:
-    def rows(x: list[tuple[str, str, str]]) -> str:
-        return ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in x)
-
-    def best(name: str) -> str:
-        return f"""SELECT u.rid, arg_max(struct_pack(key := r.host || r.path, verdict := r.verdict), length(r.host || r.path) * 1000 + length(r.host)) AS hit
-  FROM u JOIN {name} r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) WHERE u.host <> '' GROUP BY u.rid"""
-
-    return f"""WITH rules(host, path, verdict) AS (VALUES {rows(rules)}), listed(host, path, verdict) AS (VALUES {rows(listed)}),
-r0 AS (SELECT page_id, row_number() OVER () AS rid, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+def url_filter(rules: list[tuple[str, str, str]], sites: list[str]) -> str:
+    """The rules that fit are found by comparing hosts and paths; the canonical form is worked out step by step."""
+    shown = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
+    unreserved = "^(?:2[DEde]|3[0-9]|[46][1-9A-Fa-f]|[57][0-9Aa]|5[Ff]|7[Ee])"
+    decoded = lambda c: f"""array_to_string(list_transform(string_split({c}, '%'), lambda x, i: CASE WHEN i = 1 THEN x WHEN regexp_matches(x, '{unreserved}') THEN chr(CAST('0x' || x[1:2] AS INTEGER)) || x[3:]
+    WHEN regexp_matches(x, '^[0-9A-Fa-f]{{2}}') THEN '%' || upper(x[1:2]) || x[3:] ELSE '%' || x END), '')"""
+    return f"""WITH rules(host, path, verdict) AS (VALUES {shown}),
+r0 AS (SELECT page_id, row_number() OVER () AS rid, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 r1 AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM r0),
-u AS (SELECT page_id, rid, {lowered("raw")} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM r1),
-b AS ({best("rules")}), l AS ({best("listed")})
-SELECT page_id, host, path, b.hit.key AS rule, coalesce(b.hit.verdict, l.hit.verdict, 'allow') AS verdict, CASE WHEN b.hit IS NULL THEN l.hit.key END AS listed
+u AS (SELECT page_id, rid, scheme, raw, {lowered("raw")} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path,
+  list_filter(string_split(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[A-Za-z]+|gclid|fbclid|msclkid)(?:=|$)')) AS params FROM r1),
+c0 AS (SELECT rid, scheme, {lowered("regexp_replace(raw, '^.*@', '')")} AS server, {decoded("CASE WHEN path = '' THEN '/' ELSE path END")} AS path, {decoded("array_to_string(params, '&')")} AS query FROM u),
+c1 AS (SELECT *, regexp_replace(regexp_extract(server, '^(\\[[^\\]]*\\]|[^:]*)', 1), '\\.+$', '') AS name, regexp_replace(regexp_extract(server, ':([0-9]*)$', 1), '^0+', '') AS port, string_split(substr(path || CASE WHEN regexp_matches(path, '/\\.{{1,2}}$') THEN '/' ELSE '' END, 2), '/') AS steps FROM c0),
+c2 AS (SELECT rid, name, name || CASE WHEN port = '' OR port = CASE scheme WHEN 'http' THEN '80' WHEN 'https' THEN '443' ELSE '' END THEN '' ELSE ':' || port END
+  || CASE WHEN contains(path, '/.') THEN array_to_string(list_reduce(list_prepend([''], list_transform(steps, lambda x: [x])), lambda a, x: CASE x[1] WHEN '.' THEN a WHEN '..' THEN a[1:greatest(1, len(a) - 1)] ELSE list_concat(a, x) END), '/') ELSE path END
+  || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical FROM c1 WHERE name <> ''),
+listing AS (SELECT DISTINCT canonical FROM c2 WHERE list_has_any(string_split(name, '.'), {sites!r})),
+b AS (SELECT u.rid, arg_max(struct_pack(key := r.host || r.path, verdict := r.verdict), length(r.host || r.path) * 1000 + length(r.host)) AS hit
+  FROM u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) WHERE u.host <> '' GROUP BY u.rid),
+l AS (SELECT rid, canonical FROM c2 JOIN listing USING (canonical))
+SELECT page_id, host, path, b.hit.key AS rule, coalesce(b.hit.verdict, CASE WHEN l.rid IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN b.hit IS NULL THEN l.canonical END AS listed
 FROM u LEFT JOIN b USING (rid) LEFT JOIN l USING (rid)"""
 
 
