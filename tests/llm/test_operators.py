@@ -111,9 +111,38 @@ def test_op2_places_and_expressions(spark):
     tag = got[23, len(WORD.findall(lower(rows[-1][1])))]
     assert tag.labels == "apache-2.0,gpl-2.0-only,mit" and tag.score == 1.0
     assert L.license_scan(docs_of(spark, rows).limit(0)).count() == 0
-    assert L.postfix("a AND b OR c WITH d") == ["a", "b", "and", "c", "d", "with", "or"] and L.postfix("(a OR b) AND c") == ["a", "b", "or", "c", "and"]
-    assert [L.postfix(x) for x in ("", "AND a", "a OR", "(a", "a AND )")] == [None] * 5 and L.postfix("MIT is what we use") == ["mit"]
-    assert L.evaluate("MIT AND Foo-1.0") == ({"mit", "foo-1.0"}, 0.5) and L.evaluate("MIT OR Foo-1.0")[1] == 1.0
+    assert L.postfix("MIT AND ISC OR Zlib WITH d") == (["mit", "isc", "and", "zlib", "d", "with", "or"], True) and L.postfix("(MIT OR ISC) AND Zlib") == (["mit", "isc", "or", "zlib", "and"], True)
+    assert [L.postfix(x) for x in ("", "AND MIT", "(", "see LICENSE file", "proprietary")] == [None] * 5 and L.postfix("MIT is what we use") == (["mit"], True)
+    assert [L.postfix(x) for x in ("MIT OR", "(MIT", "MIT AND )", "MIT OR (")] == [(["mit"], False)] * 4 and L.postfix("MIT OR ISC AND") == (["mit", "isc", "or"], False)
+    assert L.evaluate("MIT AND Foo-1.0") == ({"mit"}, 0.5) and L.evaluate("MIT/Apache-2.0") == ({"mit", "apache-2.0"}, 1.0) and L.evaluate("GPL-2.0+") == ({"gpl-2.0+"}, 1.0)
+    assert L.evaluate("LicenseRef-Own OR MIT")[1] == 1.0 and L.evaluate("LicenseRef-Own AND MIT") == ({"licenseref-own", "mit"}, 0.6)
+
+
+def test_op2_tags_and_labels_against_plain_scan(spark):
+    """All labels by plain searches: each phrase in the list of words, each tag by looking at every word."""
+    import random
+
+    from fragloom.llm import license_scan as L
+
+    rng = random.Random(8)
+    bits = ["MIT", "license", "apache", "License,", "SPDX-License-Identifier:", "SPDX-license-identifier", ":", " Apache-2.0", "OR", "and", "(", ")", "\n", "cc", "by", "NC", "sa", "all rights reserved", "é", "GPL-2.0+", "public", "domain", "see", "License-Expression: ISC", "with Foo-exception", "/"]
+    scanner = L.Scanner()
+    for _ in range(600):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(30)))
+        words = WORD.findall(lower(text))
+        has = lambda p: any(words[k : k + len(p.split())] == p.split() for k in range(len(words)))
+        want = {label for p, label in L.BASE.items() if has(p)} | {label for p, (label, _) in L.NOTICES.items() if has(p)}
+        places = [m for m in re.finditer(WORD.pattern, lower(text))]
+        for k in range(len(places)):
+            for tag in L.TAGS:
+                n = len(tag.split())
+                if [m[0] for m in places[k : k + n]] == tag.split():
+                    rest = text[places[k + n - 1].end() :].split("\n")[0].lstrip(" ")
+                    if rest.startswith(":"):
+                        want |= (L.evaluate(rest[1:]) or (set(), 0))[0]
+        got = scanner.scan(text)
+        assert got["labels"] == sorted(want), text
+    assert scanner.scan("x SPDX-License-Identifier: see LICENSE file")["labels"] == [] and len(L.NAMES) > 150
 
 
 # -- 3
@@ -269,7 +298,7 @@ def test_op4_rules(spark):
 
     urls = [None, "", "no scheme", "http://Example.COM/en/x?y#z", "https://www.example.com/en/", "http://a.www.example.com/en/1", "http://b.net", "http://b.net/es/1", "http://NET/fr/", "ftp://x.org/", "http://xexample.com/en/", "http://a.com:80/", "http://spam-farm.example.org/q", "http://é.net/es/", "x://y://z.com/en/", "http://?a", "http://example.com/en", "http://a.b.c.d.e.f.example.com/en/deep/er"]
     pages = spark.createDataFrame([(None if k == 3 else k // 2, u) for k, u in enumerate(urls * 3)], "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "path", "key", "block", "row", "slot", "verdict")}).repartition(4)
-    listed = U.rule_table(spark, [("spam-farm.example.org", "", "block"), ("net", "/es/", "allow")])
+    listed = spark.createDataFrame([("https://user:pw@SPAM-farm.example.org.:443/./x/../%71?utm_source=a#top", "block"), ("http://b.net:80/es/1", "block"), (None, "block"), ("no url", "block"), ("http://b.net/es/1", "block")], "url string, verdict string")
 
     def plain(u):
         if u is None or "://" not in u:
@@ -281,7 +310,7 @@ def test_op4_rules(spark):
         fits = [(len(h + p), len(h), h + p, v) for h, p, v in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         if fits:
             return host, path, max(fits)[2], max(fits)[3]
-        return host, path, None, "block" if host.endswith("spam-farm.example.org") else "allow"
+        return host, path, None, "block" if host == "spam-farm.example.org" else "allow"
 
     want = Counter((None if k == 3 else k // 2, *plain(u)) for k, u in enumerate(urls * 3))
     for size in (64, 0):  # broadcast, and shuffled
@@ -293,6 +322,24 @@ def test_op4_rules(spark):
     assert none.count() == 54 and none.filter("verdict <> 'allow' or rule is not null").count() == 0
 
 
+def test_op4_canonical_urls(spark):
+    from fragloom.llm import url_filter as U
+
+    cases = {
+        "http://Example.COM": "example.com/", "https://a.b./x": "a.b/x", "http://u:p@h.org:80/": "h.org/", "http://h.org:8080/a": "h.org:8080/a", "https://h.org:443/a?b=1&utm_source=x#f": "h.org/a?b=1", "http://h.org:443/": "h.org:443/",
+        "http://h.org/a/./b/../c": "h.org/a/c", "http://h.org/../..": "h.org/", "http://h.org/a/..": "h.org/", "http://h.org/a/.b": "h.org/a/.b", "http://h.org/%7euser/%2f%zz%E9?q=%41": "h.org/~user/%2F%zz%E9?q=A",
+        "http://[::1]:80/a": "[::1]/a", "ftp://h.org:0021/": "h.org:21/", "http://h.org?x": "h.org/?x", "http://h.org/?gclid=1&&a": "h.org/?a", "http://:80/x": None, "nothing": None, "http://": None, "http://É.net/": "É.net/",
+    }
+    df = spark.createDataFrame([(u, c) for u, c in cases.items()] + [(None, None)], "url string, want string")
+    assert [r for r in U.with_canonical(df, name="got").collect() if r.got != r.want] == []
+    # A listed url is found under every other spelling.
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(cases)] + [(99, "http://h.org/a/c/d")], "page_id long, url string")
+    want = "h.org/"
+    listed = spark.createDataFrame([(f"http://{want}", "block")], "url string, verdict string")
+    got = {r.page_id for r in U.url_verdicts(pages, U.rule_table(spark, []), listed).filter("verdict = 'block'").collect()}
+    assert got == {k for k, c in enumerate(cases.values()) if c == want}
+
+
 def test_op4_filter_has_false_positives_only(spark):
     from fragloom.llm import url_filter as U
 
@@ -300,6 +347,8 @@ def test_op4_filter_has_false_positives_only(spark):
     pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id"), F.lit(".org/a/b")).alias("url"))
     for bits in (24, 1):
         assert U.url_verdicts(pages, rules, bits_per_key=bits).filter("verdict = 'block'").count() == 400
+        listed = pages.filter("page_id < 300").select(F.concat("url", F.lit("#x")).alias("url"), F.lit("block").alias("verdict"))
+        assert U.url_verdicts(pages, rules.limit(0), listed, bits_per_key=bits, broadcast_mb=0).filter("verdict = 'block'").count() == 300
 
 
 # -- 5
