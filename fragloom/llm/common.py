@@ -9,9 +9,9 @@ import tempfile
 import uuid
 
 import numpy as np
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship_package
 
@@ -41,17 +41,32 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    KEPT.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
 
 
+#: Folders written by :func:`keep` and not deleted yet.
+KEPT: list[str] = []
+
+
+def forget_since(spark: SparkSession, mark: int, *but: DataFrame) -> None:
+    """Delete what :func:`keep` wrote since there were ``mark`` folders, except the tables named; for callers that have read all results made of the others."""
+    spared = {getattr(df, "kept_at", None) for df in but}
+    for path in [x for x in KEPT[mark:] if x not in spared]:
+        drop_path(spark, path)
+        KEPT.remove(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by :func:`keep` that no later step reads."""
     for df in tables:
         path = getattr(df, "kept_at", None)
         if path:
             drop_path(df.sparkSession, path)
+            if path in KEPT:
+                KEPT.remove(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -60,12 +75,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bound_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Whole texts pass to Python in small Arrow batches, so that long ones do not add up; the workers get this package."""
+def bound_batches(spark: SparkSession, rows: int = 256, megabytes: int = 16) -> None:
+    """Whole texts pass to Python in Arrow batches of few rows and bytes, so that long ones do not add up; the workers get this package.
+
+    Both bounds are settings of the session and stay, because results are worked out later; smaller ones that are set already are left.  A batch has one row at least.
+    """
     ship_package(spark)
+    conf = spark.conf
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, rows)
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, rows)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, "64m").rstrip("b").replace("m", "0" * 6)) > megabytes << 20:
+        conf.set(name, megabytes << 20)
 
 
 def tidy() -> None:
@@ -98,6 +120,22 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
+def id_type(df: DataFrame, id_col: str) -> T.DataType:
+    """Type of an id column in results: long for any integer, else the column's own."""
+    kind = df.schema[id_col].dataType
+    return T.LongType() if isinstance(kind, T.IntegralType) else kind
+
+
+def with_id(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``df`` with its id column in the type that results have."""
+    return df.withColumn(id_col, F.col(id_col).cast(id_type(df, id_col)))
+
+
+def masked(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ..., so that no name of an operator's own can clash; ``toDF`` with the old names undoes it."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True where crc32 of the id's text is divisible by ``folds``; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0

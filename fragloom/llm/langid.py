@@ -1,44 +1,47 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-N-grams are of one to three bytes of the lower-cased text, hashed to a fixed number of features.  Document frequencies cover all rows that
+N-grams are of one to three characters (code points) of the lower-cased text, hashed to a fixed number of features.  Document frequencies cover all rows that
 may be learned from.  The weights are trained by follow-the-regularised-leader with elastic-net penalties (many stay exactly 0)
 on a bounded sample of each language, a second bounded sample sets the temperature of the probabilities.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, collect_sum, held_out, lean, only
+from .common import bound_batches, collect_sum, held_out, id_type, lean, only, with_id
 
 FEATURES = 1 << 14
-LETTER = re.compile(r"[^\W\d_]")
 
 
-def ngrams(text: str, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter in Unicode's sense; figures and enclosed signs are none."""
+    return any(map(str.isalpha, text))
+
+
+def ngrams(text: str, features: int = FEATURES, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(features, counts) of the n-grams of a whole text, in blocks, so that memory is bounded for any length."""
-    data = text.lower().encode("utf-8", "surrogatepass")
+    text = text.lower()
     total = np.zeros(features, dtype=np.int64)
-    for a in range(0, len(data), 1 << 20):
-        # Blocks overlap by two bytes; an n-gram belongs to the block where it begins.
-        b = np.frombuffer(data[a : a + (1 << 20) + 2], dtype=np.uint8).astype(np.uint32)
-        n = min(len(b), 1 << 20)
-        total[:256] += np.bincount(b[:n], minlength=256)
-        for k in (2, 3):
-            m = min(n, len(b) - k + 1)
+    for a in range(0, len(text), block):
+        # Blocks overlap by two characters; an n-gram belongs to the block where it begins.
+        c = np.frombuffer(text[a : a + block + 2].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        n = min(len(c), block)
+        for k in (1, 2, 3):
+            m = min(n, len(c) - k + 1)
             if m > 0:
                 h = np.full(m, k, dtype=np.uint32)
                 for i in range(k):
                     h *= np.uint32(0x01000193)
-                    h ^= b[i : i + m]
+                    h ^= c[i : i + m]
                 h *= np.uint32(0x9E3779B1)
-                total += np.bincount((h >> np.uint32(8)) % np.uint32(features - 256) + np.uint32(256), minlength=features)
+                total += np.bincount((h >> np.uint32(8)) % np.uint32(features), minlength=features)
     at = np.flatnonzero(total)
     return at, total[at]
 
@@ -81,7 +84,7 @@ class Model:
         self.langs, self.idf, self.weights, self.temperature = langs, idf.astype(np.float32), weights.astype(np.float32), temperature
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not LETTER.search(text):
+        if not self.langs or not text or not has_letter(text):
             return "und", 0.0
         at, counts = ngrams(text)
         p = softmax((weighted(at, counts, self.idf) @ self.weights[at]).astype(float) / self.temperature)
@@ -120,7 +123,7 @@ def fit(docs: DataFrame, per_language: int = 300, calibrate: int = 100, epochs:
     @lean
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [ngrams(t) if LETTER.search(t) else (np.zeros(0, np.int64),) * 2 for t in batch.column(2).to_pylist()]
+            got = [ngrams(t) if has_letter(t) else (np.zeros(0, np.int64),) * 2 for t in batch.column(2).to_pylist()]
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tolist() for x, _ in got], kind), pa.array([x.tolist() for _, x in got], kind)], names=["lang", "order", "at", "counts"])
 
@@ -158,7 +161,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     bound_batches(docs.sparkSession)
     rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = with_id(rows)
     model = fit(rows, **sizes)
 
     @lean
@@ -167,5 +170,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             got = [model.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    found = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = rows.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", id_type(rows, "doc_id")), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
