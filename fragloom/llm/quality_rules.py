@@ -10,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, lean, only
+from .common import bound_batches, id_type, lean, only, with_id
 
 SPACE = b" \t\n\x0b\x0c\r"
 UPPERS = bytes(range(0x41, 0x5B))
 WIDE = bytes(range(0x80, 0x100))
+CONTINUED = bytes(range(0x80, 0xC0))
 #: Fixed by the contract.
 SYMBOLS = b"#*$%&|<>"
 ENDS = (b".", b"!", b"?", b":", b";", b",", b'"', b"'", b")", "…".encode(), "”".encode(), "»".encode())
@@ -60,9 +61,9 @@ def capitals(line: bytes) -> bool:
 
 def line_fault(line: bytes, words: list[bytes]) -> str | None:
     """The rule that a line with words breaks, or None."""
-    size = len(line)
+    size = len(line) if line.isascii() else len(line.translate(None, CONTINUED))  # characters
     n = len(words)
-    symbols = size - len(line.translate(None, SYMBOLS))
+    symbols = len(line) - len(line.translate(None, SYMBOLS))
     if line.count(b"|") >= 3 or line.count(b">") >= 3 or line.count(" » ".encode()) >= 2:
         return "navigation"
     if symbols * 10 > size:
@@ -137,5 +138,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[c] for x in got], k) for c, k in zip(names, kinds, strict=True)]], names=["doc_id", *names])
 
     rows = only(docs, doc_id=id_col, text=text_col)
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_words long" + ", cleaned string" * with_text
-    return rows.select(rows["doc_id"].cast("long"), "text").mapInArrow(run, schema)
+    kind = id_type(rows, "doc_id").simpleString()
+    schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_words long" + ", cleaned string" * with_text
+    return with_id(rows).select("doc_id", "text").mapInArrow(run, schema)

@@ -63,9 +63,10 @@ def quality_rules() -> str:
     count = lambda what: f"(length(line) - length(replace(line, '{what}', ''))) // {len(what)}"
     symbols = lambda column: f"length({column}) - length(regexp_replace({column}, '[#*$%&|<>]', '', 'g'))"
     phrases = "(?i)\\b(?:cookie policy|use cookies|terms of (?:use|service)|privacy policy|all rights reserved|click here|read more|sign (?:in|up)|log ?in|subscribe|enable javascript|share this|skip to content|lorem ipsum)\\b"
-    fault = f"""again OR {count("|")} >= 3 OR {count(">")} >= 3 OR {count(" » ")} >= 2 OR ({symbols("line")}) * 10 > strlen(line) OR {count("!!")} >= 3 OR {count("??")} >= 3
+    upper = "[\\p{Lu}\\x{2160}-\\x{216F}\\x{24B6}-\\x{24CF}\\x{1F130}-\\x{1F149}\\x{1F150}-\\x{1F169}\\x{1F170}-\\x{1F189}]"
+    fault = f"""again OR {count("|")} >= 3 OR {count(">")} >= 3 OR {count(" » ")} >= 2 OR ({symbols("line")}) * 10 > length(line) OR {count("!!")} >= 3 OR {count("??")} >= 3
     OR (n >= 8 AND len(list_distinct(w)) * 4 < n)
-    OR (regexp_matches(substr(line, 1, 8), '\\p{{Lu}}') AND (length(line) - length(regexp_replace(line, '\\p{{Lu}}', '', 'g'))) * 2 > strlen(line) AND strlen(line) >= 20)
+    OR (length(line) >= 20 AND (length(line) - length(regexp_replace(line, '{upper}', '', 'g'))) * 2 > length(line))
     OR (n <= 20 AND regexp_matches(line, '{phrases}'))
     OR (n < 4 AND NOT regexp_matches(line, '[.!?:;,"'')…”»][\\x20\\x09-\\x0D]*$'))"""
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, {word}), []) AS w FROM documents),
