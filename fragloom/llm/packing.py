@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .common import bound_batches, keep, lean, only
+from .common import bound_batches, id_type, keep, lean, only, with_id
 from .tokens import Encoder, gather
 
+#: The id's own type replaces the first one.
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("piece", T.IntegerType()),
@@ -62,12 +64,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                     rows.append((doc_id, k, start, length, crc, part, seen[length]))
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)],
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (id_kind, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)],
                 names=PIECES.names,
             )
 
-    rows = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(encode, PIECES)
+    rows = with_id(only(docs, doc_id=id_col, text=text_col))
+    kind = id_type(rows, "doc_id")
+    id_kind = to_arrow_type(kind)
+    return rows.mapInArrow(encode, T.StructType([T.StructField("doc_id", kind), *PIECES.fields[1:]]))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -143,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every row of ``docs`` is packed, rows with equal or null ids too; a null or empty text is the end id alone.  An empty table
-    gives no rows.  Other columns are not read.  Pieces are written once to the shared folder, so their ranks hold
+    gives no rows.  Ids may be of any type; other columns are not read.  Pieces are written once to the shared folder, so their ranks hold
     when a task is run again.
     """
     spark = docs.sparkSession
@@ -155,7 +159,23 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = each.select("length", "part", F.coalesce(before, F.lit(0)).alias("rank_before"))
     ranked = rows.join(offsets, ["length", "part"]).withColumn("rank", F.col("rank_before") + F.col("local_rank"))
-    places = spark.createDataFrame(table, "length long, lo long, hi long, first_sequence long, offset long")
-    # The plan's size depends on the capacity, not on the corpus: a few slots for each length.
-    got = ranked.join(F.broadcast(places), "length").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return got.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    # The plan's size depends on the capacity and the counts' spread, not on the corpus: slots of a length are looked up by binary search, not joined.
+    columns = np.array(table, dtype=np.int64).reshape(-1, 5)
+    columns = columns[np.lexsort((columns[:, 1], columns[:, 0]))]
+    lookup = spark.sparkContext.broadcast(columns)
+    kind = id_type(rows, "doc_id")
+
+    @lean
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots_ = lookup.value
+        span = np.int64(1) << 40
+        keys = slots_[:, 0] * span + slots_[:, 1]  # ascending by length, then rank
+        for batch in batches:
+            length, rank = (batch.column(k).to_numpy() for k in (3, 5))
+            at = np.searchsorted(keys, length * span + rank, side="right") - 1
+            sequence = slots_[at, 3] + rank - slots_[at, 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(slots_[at, 4])], names=names)
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    schema = T.StructType([T.StructField("doc_id", kind), *PIECES.fields[1:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(placed, schema)
