@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, lean, only
+from .common import bound_batches, id_type, lean, only, with_id
 
 #: Fixed by the contract: phrase, label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -204,7 +204,7 @@ class Scanner:
                 return
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
+SCHEMA = "doc_id {}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] | None = None, notices: dict[str, tuple[str, float]] | None = None) -> DataFrame:
@@ -229,6 +229,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions"])
 
     rows = only(docs, doc_id=id_col, text=text_col)
-    return rows.select(rows["doc_id"].cast("long"), "text").mapInArrow(scan, SCHEMA)
+    return with_id(rows).select("doc_id", "text").mapInArrow(scan, SCHEMA.format(id_type(rows, "doc_id").simpleString()))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean, only
+from .common import bound_batches, id_type, lean, only, with_id
 
 #: Fixed by the contract: kinds in their order, patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -415,7 +415,7 @@ def redacted(text: str, spans: list, mark: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_named long"
+SCHEMA = "doc_id {}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_named long"
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -439,7 +439,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_named"])
 
     rows = only(docs, doc_id=id_col, text=text_col)
-    return rows.select(rows["doc_id"].cast("long"), "text").mapInArrow(scan, SCHEMA)
+    return with_id(rows).select("doc_id", "text").mapInArrow(scan, SCHEMA.format(id_type(rows, "doc_id").simpleString()))
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:

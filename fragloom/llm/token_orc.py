@@ -19,16 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bound_batches, lean, new_path, only
+from .common import bound_batches, id_type, keep, lean, new_path, only, with_id
 from .tokens import Encoder, gather
 
-SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("part", T.IntegerType()),
-    T.StructField("local_start", T.LongType()),
-    T.StructField("n_tokens", T.LongType()),
-    T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
-])
+
+def store_schema(id_kind: T.DataType | None = None) -> T.StructType:
+    return T.StructType([
+        T.StructField("doc_id", id_kind or T.LongType()),
+        T.StructField("part", T.IntegerType()),
+        T.StructField("local_start", T.LongType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
+    ])
+
 
 
 def write_token_orc(
@@ -44,13 +47,15 @@ def write_token_orc(
     """Encode every whole text, append ``end_id`` and write the store at ``path`` in ascending id order.
 
     A null text counts as empty: its only id is ``end_id``.  Rows with a null id come first; rows with equal ids
-    stand in the order of their texts, and equal rows are all written.  An empty table gives an empty store.  Other
+    stand in the order of their texts' hashes, and equal rows are all written; ids may be of any type with an order.  An empty table gives an empty store.  Other
     columns are not read.  One range shuffle of (id, text) is all that moves; encoding follows it, so that a retried task
     writes the same rows.
     """
     bound_batches(docs.sparkSession)
-    rows = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = with_id(only(docs, doc_id=id_col, text=text_col))
+    schema = store_schema(id_type(rows, "doc_id"))
+    # Rows with one id, or with none, are dealt out by their texts.
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,12 +73,12 @@ def write_token_orc(
                     pa.array(np.diff(ends)),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32))),
                 ],
-                names=SCHEMA.names,
+                names=schema.names,
             )
             start += int(ends[-1])
 
     (
-        ordered.mapInArrow(encode, SCHEMA)
+        ordered.mapInArrow(encode, schema)
         .write.option("compression", "zstd")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", row_stride)
@@ -84,31 +89,34 @@ def write_token_orc(
     )
 
 
-def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """Rows of a store; ``doc_ids`` reaches the ORC reader, which skips stripes and row groups without them."""
-    rows = spark.read.schema(SCHEMA).orc(path)
-    return rows if doc_ids is None else rows.filter(F.col("doc_id").isin([int(x) for x in doc_ids]))
+def read_token_orc(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
+    """Rows of a store, none for a store without any; ``doc_ids`` reaches the ORC reader, which skips stripes and row groups without them.
+
+    Rows with a null id are never asked for by ``doc_ids``; of repeated ids all rows are read.
+    """
+    rows = spark.read.orc(path)
+    return rows if doc_ids is None else rows.filter(F.col("doc_id").isin(doc_ids))
 
 
 def with_starts(spark: SparkSession, path: str, rows: DataFrame | None = None) -> DataFrame:
     """Rows of a store with ``start``: the ids of all documents before them.
 
-    Only the ``part`` and ``n_tokens`` columns are read for the sums of the ranges: one row for each file, broadcast only
-    while that is under a million rows.
+    Only the ``part`` and ``n_tokens`` columns are read for the sums of the ranges: one row for each range, that is for each task of the writing job; these few
+    rows are summed up in one task and broadcast only while they are under a million.
     """
     store = read_token_orc(spark, path)
     sums = store.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = F.sum("part_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select("part", F.coalesce(before, F.lit(0)).alias("part_start"))
-    files = len(store.inputFiles())
-    starts = F.broadcast(starts) if files < 1_000_000 else starts
+    starts = keep(starts, "starts")
+    starts = F.broadcast(starts) if starts.count() < 1_000_000 else starts
     return (store if rows is None else rows).join(starts, "part").withColumn("start", F.col("part_start") + F.col("local_start"))
 
 
 def crc_of_ids(rows: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` (longs) and ``ids_crc32``, the unsigned crc32 of ``ids`` as little-endian unsigned 32-bit integers."""
     bound_batches(rows.sparkSession)
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in [*columns, "ids_crc32"]])
+    schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField("ids_crc32", T.LongType())])
 
     @lean
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
