@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, collect_sum, held_out, keep, lean, only
+from .common import bound_batches, collect_sum, held_out, keep, lean, masked, only, with_id
 
 UPPERS = bytes(range(0x41, 0x5B))
 DIGITS = bytes(range(0x30, 0x3A))
@@ -90,18 +91,23 @@ def pooled(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.
     return np.array([a / w for a, _, w in blocks]), np.array([b / w for _, b, w in blocks])
 
 
-def stats_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id and stats (array of doubles), written to the shared folder."""
+def with_stats(docs: DataFrame, text_col: str = "text", name: str = "stats") -> DataFrame:
+    """``docs`` with ``stats`` (array of doubles) of each text."""
     bound_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), got], names=["doc_id", "stats"])
+            got = pa.array([statistics(t) for t in batch.column(at).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+
 
-    rows = only(docs, doc_id=id_col, text=text_col)
-    return keep(rows.select(rows["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, stats array<double>"), "stats")
+def stats_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id and stats, written to the shared folder."""
+    return keep(with_stats(with_id(only(docs, doc_id=id_col, text=text_col))).select("doc_id", "stats"), "stats")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -114,7 +120,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, width: float =
     Null labels and ids count for nothing; a document labelled more than once has the mean of its labels, and repeated rows count each.  A
     quarter of the documents (by a hash of the id) calibrates; if there are none, scores are not calibrated.
     """
-    quality = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
+    quality = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast(stats.schema["doc_id"].dataType).alias("doc_id")).agg(F.avg("quality").alias("y"))
     joined = stats.join(quality, "doc_id").filter(~held_out(F.col("doc_id")))
     table = keep(joined.select("stats", "y", (F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0).alias("calibrate")), "labelled")
     train = table.filter(~F.col("calibrate"))
@@ -171,22 +177,28 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
             s = model.score(_matrix(batch.column(1))) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = stats.mapInArrow(run, T.StructType([stats.schema["doc_id"], T.StructField("score", T.DoubleType())]))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the documents whose score is under ``threshold``."""
-    model = fit(stats_table(docs), labels)
+def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns and in their order, without the documents whose score is under ``threshold``.
+
+    Null and empty texts are judged by their statistics; of repeated rows all go or all stay; an empty table gives no rows; without any usable label all stay; names of
+    other columns cannot clash.  Documents are written once beside their statistics, which serve both the fit and the scores.
+    """
+    own_id, own_text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    rows = keep(with_stats(masked(docs), own_text), "documents-stats")
+    model = fit(with_id(rows.select(F.col(own_id).alias("doc_id"), "stats")), labels)
     if model is None:
         return docs
-    at = docs.columns.index(text_col)
+    at = len(docs.columns)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                stats = np.array([statistics(t) for t in batch.column(at).to_pylist()])
-                yield batch.filter(pa.array(model.score(stats) >= threshold))
+                good = pa.array(model.score(_matrix(batch.column(at))) >= threshold)
+                yield pa.RecordBatch.from_arrays(batch.columns[:at], names=batch.schema.names[:at]).filter(good)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.drop("stats").schema).toDF(*docs.columns)
