@@ -54,11 +54,14 @@ def test_op1_store_and_digest(spark, tmp_path):
     docs = docs_of(spark, EDGE)
     got = sorted(map(tuple, T.token_digests(docs, path, 1).collect()), key=lambda r: r[1])
     want, start = [], 0
-    for i, t in sorted(EDGE, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    order = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    for i, t in sorted(EDGE, key=lambda r: (r[0] is not None, r[0] or 0, order[r])):
         ids = [*enc(t), 1]
         want.append((i, start, len(ids), crc(ids)))
         start += len(ids)
     assert got == want
+    named = T.token_digests(docs.withColumn("doc_id", F.concat(F.lit("id"), "doc_id")), path, 1).collect()
+    assert Counter((r.n_tokens, r.ids_crc32) for r in named) == Counter(r[2:] for r in want) and {r.doc_id for r in named} == {None if i is None else f"id{i}" for i, _ in EDGE}
     assert T.token_digests(docs.limit(0), path, 1).count() == 0
 
     many = spark.range(5000).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
@@ -70,6 +73,13 @@ def test_op1_store_and_digest(spark, tmp_path):
     ids = [x for f in files for x in orc.ORCFile(str(f)).read(columns=["doc_id"]).column(0).to_pylist()]
     assert ids == sorted(ids) and len(ids) == 5000
     assert all(orc.ORCFile(str(f)).row_index_stride == 1000 for f in files)
+    jvm = spark.sparkContext._jvm
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(files[0])), jvm.org.apache.orc.OrcFile.readerOptions(spark.sparkContext._jsc.hadoopConfiguration()))
+    stripe = reader.getStripes().get(0)
+    footer = reader.rows().readStripeFooter(stripe)
+    kinds = [(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()]
+    assert (1, "BLOOM_FILTER_UTF8") in kinds and (1, "ROW_INDEX") in kinds  # of doc_id
+    assert {footer.getColumns(k).getKind().toString() for k in (1, 4, 6)} == {"DIRECT_V2"}  # run-length encoded integers
     assert T.read_token_orc(spark, where, [3, 14997, 4]).select("doc_id").orderBy("doc_id").collect() == [(3,), (14997,)]
     plan = T.read_token_orc(spark, where, [3])._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,3)]" in plan or "PushedFilters: [In(doc_id" in plan
@@ -380,9 +390,10 @@ def test_op5_hits(spark):
     for i, t in BENCH_DOCS:
         n, hit, found = brute_hits(t, ITEMS, 10)
         want[i, n, len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)] += 1
-    for limit in (1000, 0):  # broadcast, and shuffled
-        got = D.hits(docs_of(spark, BENCH_DOCS), items, 10, broadcast_windows=limit)
-        assert got.count() == len(BENCH_DOCS)
+    full = Counter((i, n, tuple(sorted(hit)), tuple(sorted(found))) for i, t in BENCH_DOCS for n, hit, found in [brute_hits(t, ITEMS, 10)])
+    for limit in (64, 0):  # broadcast, and shuffled
+        got = D.hits(docs_of(spark, BENCH_DOCS), items, 10, broadcast_mb=limit)
+        assert Counter((r.doc_id, r.n_words, tuple(r.hit_words), tuple(r.hit_items)) for r in got.collect()) == full
     out = D.contamination(docs_of(spark, BENCH_DOCS), items, 10)
     assert Counter(map(tuple, out.collect())) == want
     assert D.contamination(docs_of(spark, BENCH_DOCS).limit(0), items).count() == 0
@@ -396,6 +407,11 @@ def test_op5_spans_go(spark):
 
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {(r.doc_id, r.text) for r in D.drop_spans(docs_of(spark, BENCH_DOCS), items).collect()}
+    clashing = docs_of(spark, BENCH_DOCS).withColumns({"hit_words": F.lit(3), "bad_id": F.lit(4), "w_id": F.lit(5), "at": F.lit(6), "doc": F.col("doc_id").cast("string")})
+    for out in (D.drop_spans(clashing, items), D.drop_contaminated(clashing, items, id_col="doc")):
+        assert out.dtypes == clashing.dtypes
+        assert {(r.row, r.hit_words, r.bad_id, r.w_id, r["at"]) for r in out.collect()} == {(7, 3, 4, 5, 6)}
+    assert D.drop_spans(docs_of(spark, BENCH_DOCS).limit(0), items).count() == 0 == D.drop_contaminated(docs_of(spark, BENCH_DOCS).limit(0), items).count()
     assert (40, "xx yy") in got and (41, "a and a") in got and (8, "") in got and (1, None) in got and (4, "One, two.") in got and (45, "word") in got
 
 
@@ -489,6 +505,7 @@ def test_op7_capitals_anywhere_in_a_line():
     from fragloom.llm.quality_rules import judge, line_fault
 
     shouted = ("--------- BUY NOW LIMITED OFFER TODAY.", " " * 9 + "BUY NOW LIMITED OFFER TODAY.", "123456789 BUY NOW LIMITED OFFER.", "КУПИ СЕЙЧАС ТОЛЬКО СЕГОДНЯ.", "ΑΓΟΡΑΣΤΕ ΤΩΡΑ ΜΟΝΟ ΣΗΜΕΡΑ.", "ÜBER ALLE MÄRKTE GÜNSTIG.")
+    assert line_fault("ш # ж & щ | ю # я.".encode(), "ш # ж & щ | ю # я.".encode().split()) == "symbols"
     calm = ("Nobody shouts in this line today.", "Купи сейчас только сегодня.", "NASA and ESA have launched it.", "--------- buy now limited offer TODAY.")
     for line in shouted + calm:
         fault = line_fault(line.encode(), line.encode().split())
@@ -568,7 +585,7 @@ def test_op9_accuracy_and_cases(spark):
 
     rng = np.random.default_rng(4)
     rows = [(k, " ".join(rng.choice(LANGS[lang].split(), 30)), lang) for k in range(400) for lang in [list(LANGS)[k % 3]]]
-    odd = [(1000, None, "en"), (1001, "", None), (1002, "123 456 !!", "fr"), (1003, "the and of that", None), (None, "le de et que dans", "fr"), (1003, "the and of that", None)]
+    odd = [(1000, None, "en"), (1001, "", None), (1002, "123 456 ²½①", "fr"), (1003, "the and of that", None), (None, "le de et que dans", "fr"), (1003, "the and of that", None)]
     df = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("order", "at", "counts", "score")}).repartition(3)
     got = {r.doc_id: r for r in L.identify(df, per_language=50, calibrate=20).collect()}
     held = [k for k, _, _ in rows if got[k].held_out]
@@ -587,8 +604,15 @@ def test_op9_ngrams_of_any_length():
 
     text = "abc déf " * 200_000  # more than one block
     at, counts = ngrams(text)
-    n = len(text.lower().encode())
+    n = len(text.lower())
     assert counts.sum() == n + (n - 1) + (n - 2)
+    for block in (7, 64):  # the same in blocks of any size
+        assert [x.tolist() for x in ngrams(text[:500], block=block)] == [x.tolist() for x in ngrams(text[:500])]
+    # A letter of several bytes is one character: two of them make two single ones and a pair.
+    assert ngrams("шш")[1].sum() == 3 and len(ngrams("шш")[0]) == 2 and ngrams("漢字")[1].sum() == 3
+    from fragloom.llm.langid import has_letter
+
+    assert not any(map(has_letter, ("²½①", "12 !?", "٣", "€"))) and all(map(has_letter, ("1é", "漢", "ш", "ª")))
     leader = Leader(4, 2, l1=0.5)
     for _ in range(50):
         leader.learn(np.array([0, 1]), np.array([1.0, 0.01]), 0)
