@@ -59,44 +59,45 @@ def fill(contig: np.ndarray, optical: np.ndarray, n_chrom: int, sd: float, p: Pa
     # Row w - 1 of these is for blocks of w reference fragments that end at each column; what would begin before the map is out.
     at = np.arange(n)
     w = np.arange(1, reach + 1)[:, None]
-    lengths = sums[at] - sums[np.maximum(at - w, 0)]
+    lengths = (sums[at] - sums[np.maximum(at - w, 0)]).astype(np.float64)
     outside = at < w
     sites = -p.cost_optical * (w - 1)
+    starts = np.concatenate([[0], np.cumsum(contig, dtype=np.int64)])
     padded = np.full((m, reach + n), NONE)
-    step = padded.strides[1]
-    before = [np.lib.stride_tricks.as_strided(padded[k, reach - 1 :], (reach, n), (-step, step)) for k in range(m)]
+    down, step = padded.strides
     padded[0, reach:] = score[0]
     with np.errstate(divide="ignore", invalid="ignore"):
         for i in range(1, m):
             best, r, c = score[i], row[i], col[i]
             end = min(n, n_chrom + 1) if i == 1 else n
-            for k in range(i - 1, max(0, i - reach) - 1, -1):
-                edge = (k == 0 or i == m - 1) and p.boundaries
-                if local and edge:
-                    continue
-                sizes = contig[k:i]
-                c_len = int(sizes.sum())
-                missed = -p.cost_contig * (i - k - 1) if local or by_count else block_cost(sizes, p)
-                if missed == NONE:
-                    continue
-                d = (c_len - lengths).astype(np.float64)
-                chi2 = d * d / (c_len * p.sigma2)
+            # All blocks that end at this row at once, the shortest first.
+            ks = [k for k in range(i - 1, max(0, i - reach) - 1, -1) if not (local and p.boundaries and (k == 0 or i == m - 1))]
+            if ks:
+                c_len = (starts[i] - starts[ks]).astype(np.float64)[:, None, None]
+                missed = np.array([-p.cost_contig * (i - k - 1) if local or by_count else block_cost(contig[k:i], p) for k in ks])[:, None, None]
+                chi2 = c_len - lengths
+                chi2 *= chi2
+                chi2 /= c_len * p.sigma2
                 if local:
                     value = -p.a * (chi2 - p.t2) + (missed + sites)
                 else:
-                    if edge:
-                        chi2[c_len < lengths] = 0.0
-                    value = -((i - k - 1) * p.cost_contig + (w - 1) * p.cost_optical + chi2) if by_count else (missed + sites) + -1.0 * chi2
+                    if p.boundaries:
+                        for e, k in enumerate(ks):
+                            if k == 0 or i == m - 1:
+                                chi2[e][c_len[e] < lengths] = 0.0
+                    used = (i - np.array(ks) - 1)[:, None, None]
+                    value = -(used * p.cost_contig + (w - 1) * p.cost_optical + chi2) if by_count else (missed + sites) - chi2
                 value[~(chi2 <= limit) | outside] = NONE  # also where 0 is divided by 0
-                value += before[k]
-                first = value.argmax(axis=0)  # of equal ones the shortest block
+                value += np.lib.stride_tricks.as_strided(padded[ks[0], reach - 1 :], (len(ks), reach, n), (-down, -step, step))
+                value = value.reshape(-1, n)
+                first = value.argmax(axis=0)  # of equal ones the shortest query block, then the shortest reference block
                 top = value[first, at]
                 better = top > best
                 better[:1] = better[end:] = False
                 here = np.flatnonzero(better)
                 best[here] = top[here]
-                r[here] = k
-                c[here] = here - first[here] - 1
+                r[here] = np.array(ks)[first[here] // reach]
+                c[here] = here - first[here] % reach - 1
             if not local:
                 gap = gap_score(contig[i - 1], p)
                 if gap > NONE:
@@ -197,10 +198,10 @@ def passes(s: dict, p: Params) -> bool:
     return not (s["length_ratio"] < p.min_length_ratio or s["c_miss_rate"] > p.max_miss_rate or few)
 
 
-def chunk_parts(x: Chunk, contig: np.ndarray, p: Params) -> tuple[float, float, float]:
-    """(query, reference, sizing) parts of a chunk's score."""
+def chunk_parts(x: Chunk, contig: np.ndarray, optical: np.ndarray, p: Params) -> tuple[float, float, float]:
+    """(query, reference, sizing) parts of a chunk's score, by its fragments: a boundary chunk's coordinates are no lengths."""
     sizes = contig[x.c_start : x.c_end]
-    c, o = int(sizes.sum()), x.o_end_bp - x.o_start_bp
+    c, o = int(sizes.sum()), int(optical[x.o_start : x.o_end].sum())
     if x.gap:
         return (gap_score(c, p) if not p.local else 0.0, 0.0, 0.0)
     optical = -p.cost_optical * (x.o_end - x.o_start - 1)
@@ -243,7 +244,7 @@ def matches_of(contig: np.ndarray, optical: np.ndarray, n_chrom: int, sd: float,
         elif any(not (last <= x.chunks[0].o_start or first >= x.chunks[-1].o_end - 1) for x in out):
             continue
         for x in chunks:
-            x.parts = chunk_parts(x, contig, p)
+            x.parts = chunk_parts(x, contig, optical, p)
         out.append(Match(float(table.score[i[k], j[k]]), chunks, s))
     return out
 

@@ -102,6 +102,33 @@ def test_chunk_scores_add_up_and_twins_agree(local):
     assert one == pytest.approx(two)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_chunk_scores_add_up_with_boundaries_and_gaps(seed):
+    rng, optical = make(seed)
+    start = rng.randrange(0, 180)
+    contig = [x + rng.randrange(-40, 40) for x in optical[start : start + 15].tolist()]
+    contig[0] += rng.choice([-900, 300, 0])  # an end may stick out or fall short
+    contig[-1] += rng.choice([-900, 250, 0])
+    contig.insert(rng.randrange(3, 12), rng.randrange(50, 800))  # a fragment that the map doesn't have
+    contig = np.array(contig if seed % 2 else contig[::-1])
+    p = Params(sd_max=4)
+    found = K.align_pair(contig, optical, p)
+    assert found
+    for _, _, m in found:
+        assert sum(map(sum, (x.parts for x in m.chunks))) == pytest.approx(m.score, abs=1e-6)
+    assert any(x.boundary for _, _, m in found for x in m.chunks)
+
+
+def test_ends_that_are_too_long_cost():
+    _, optical = make(4)
+    contig = optical[50:64].copy()
+    contig[0] += 300
+    contig[-1] += 250
+    best = max(K.align_pair(contig, optical, Params(sd_max=4)), key=lambda x: x[2].score)[2]
+    want = -(300**2) / (100 * contig[0]) - 250**2 / (100 * contig[-1])
+    assert best.score == pytest.approx(want) == pytest.approx(best.chunks[0].parts[2] + best.chunks[-1].parts[2])
+
+
 def test_wider_tolerance_never_scores_less():
     rng, optical = make(5)
     contig = np.array([rng.randrange(500, 70000) for _ in range(12)])
