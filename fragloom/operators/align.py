@@ -7,6 +7,7 @@ block table is joined by block number, broadcast while it is small and shuffled
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,21 +40,24 @@ def twins(contigs: DataFrame) -> DataFrame:
     return contigs.select(*others, F.explode(strands).alias("strand")).select(*others, "strand.*")
 
 
-def with_queries(maps: DataFrame, contigs: DataFrame, block_frags: int = 20_000, broadcast_mb: int = 32) -> DataFrame:
-    """Each map with each block of queries: map_id, frags, queries (array of map_id, frags).
+def with_queries(maps: DataFrame, contigs: DataFrame, block_frags: int = 20_000, broadcast_mb: int = 32, by: str | None = None, more: tuple[str, ...] = (), task_cells: int = 50_000_000) -> DataFrame:
+    """Each map with each block of queries (``by``: of its own group): map_id, frags, queries (array of map_id, frags) and ``more`` columns of the maps.
 
-    Blocks follow the running number of fragments, so none is much larger than ``block_frags``.  The total decides on the broadcast.
+    Blocks follow the number of fragments, so none is much larger than ``block_frags``; the queries' total decides on the broadcast.  Pairs are dealt out to as many tasks as the
+    cells of their score tables ask for, ``task_cells`` each, and to all cores where they are few, because the kernel's work is far larger than its rows.
     """
-    short = contigs.select(F.col("map_id").alias("q_id"), F.col("frags").alias("q_frags"))
-    total = short.agg(F.coalesce(F.sum(F.size("q_frags")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-total // block_frags))
-    block = F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int")
-    tables = short.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("q_id", "q_frags"))).alias("queries"))
-    tables = F.broadcast(tables) if total * 4 <= broadcast_mb << 20 else tables
-    pairs = maps.select("map_id", "frags", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    # The kernel's work is far larger than its rows, so small tables too are dealt out over all cores.
-    tasks = max(8, 4 * maps.sparkSession.sparkContext.defaultParallelism)
-    return pairs.repartition(tasks, "map_id", "block").join(tables, "block").select("map_id", "frags", "queries")
+    group = [F.col(by).alias("group")] if by else [F.lit(0).alias("group")]
+    short = contigs.select(*group, F.col("map_id").alias("q_id"), F.col("frags").alias("q_frags"))
+    sizes = short.groupBy("group").agg(F.sum(F.size("q_frags")).alias("n_q"), F.sum(F.octet_length("q_id") + 16).alias("ids"))
+    cells = sizes.join(maps.select(*group, F.size("frags").alias("n_o")).groupBy("group").agg(F.sum("n_o").alias("n_o")), "group")
+    facts = cells.agg(F.coalesce(F.sum(F.col("n_q").cast("double") * F.col("n_o")), F.lit(0.0)).alias("cells"), F.coalesce(F.sum("n_q"), F.lit(0)).alias("frags"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids")).first()
+    sizes = sizes.select("group", F.greatest(F.lit(1), F.ceil(F.col("n_q") / block_frags)).cast("int").alias("blocks"))
+    short = short.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("q_id"), F.col("blocks")).cast("int"))
+    tables = short.groupBy("group", "block").agg(F.sort_array(F.collect_list(F.struct("q_id", "q_frags"))).alias("queries"))
+    tables = F.broadcast(tables) if facts["frags"] * 4 + facts["ids"] <= broadcast_mb << 20 else tables
+    pairs = maps.select(*group, "map_id", "frags", *more).join(sizes, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = max(8, 4 * maps.sparkSession.sparkContext.defaultParallelism, int(facts["cells"] // task_cells))
+    return pairs.repartition(min(tasks, 200_000), "map_id", "block", *more).join(tables, ["group", "block"]).select("map_id", "frags", "queries", *more)
 
 
 def _row(contig_id: str, contig: np.ndarray, map_id: str, optical: np.ndarray, forward: bool, sd: int, m: Match) -> dict:
@@ -66,10 +70,11 @@ def _row(contig_id: str, contig: np.ndarray, map_id: str, optical: np.ndarray, f
     return {"contig_id": contig_id, "contig_length": int(contig.sum()), "num_frags": len(contig), "chromosome": map_id, "forward": forward, "sd": sd, "score": m.score, "alignment": chunks}
 
 
-def place(contigs: DataFrame, maps: DataFrame, p: Params) -> DataFrame:
+def place(contigs: DataFrame, maps: DataFrame, p: Params, by: str | None = None) -> DataFrame:
     """All accepted matches, as :data:`PLACED`.  Queries of two fragments or fewer are left out unless ``one_to_one``.
 
-    Inputs have map_id and frags; a null or an empty list of fragments gives no match.
+    Inputs have map_id and frags; a null or an empty list of fragments gives no match.  ``by`` names a column of both, such as the genome: queries go to maps of
+    their own group only.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -89,7 +94,7 @@ def place(contigs: DataFrame, maps: DataFrame, p: Params) -> DataFrame:
                     rows += [_row(q["q_id"], contig, map_id, shown, f, sd, m) for f, sd, m in align_pair(contig, optical, p)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return with_queries(maps, queries).mapInArrow(run, PLACED)
+    return with_queries(maps, queries, by=by).mapInArrow(run, PLACED)
 
 
 def with_statistics(placed: DataFrame, p: Params) -> DataFrame:
@@ -160,34 +165,39 @@ def top_matches(matches: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k) if k > 0 else ranked
 
 
-def align(contigs: DataFrame, maps: DataFrame, p: Params | None = None) -> DataFrame:
+def align(contigs: DataFrame, maps: DataFrame, p: Params | None = None, by: str | None = None) -> DataFrame:
     """Placements with statistics, at most ``max_matches`` for each query; ``pval`` is 0 until :mod:`significance` sets it."""
     p = p or Params()
-    return top_matches(with_statistics(place(contigs, maps, p), p), p.max_matches).withColumn("pval", F.lit(0.0))
+    return top_matches(with_statistics(place(contigs, maps, p, by), p), p.max_matches).withColumn("pval", F.lit(0.0))
 
 
-def null_scores(random_contigs: DataFrame, maps: DataFrame, p: Params) -> DataFrame:
-    """Per random query (map_id, frags): its best score over all maps and both strands at the largest tolerance, always global; null if there is none."""
+def null_scores(random_contigs: DataFrame, maps: DataFrame, p: Params, by: str | None = None) -> DataFrame:
+    """Per random query (map_id, frags): its best score over all maps and both strands at the largest tolerance, always global; null if there is none.
+
+    ``by`` names an integer column of the maps, such as a trial's number: then a score for each of its values.
+    """
     ship_package(maps.sparkSession)
-    schema = T.StructType([T.StructField("map_id", S), T.StructField("score", D)])
+    schema = T.StructType([T.StructField("map_id", S), T.StructField("by", I), T.StructField("score", D)])
+    maps = maps.withColumn("_by", F.col(by).cast("int") if by else F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best: dict[str, float] = {}
-            for _, frags, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            best: dict[tuple[str, int], float] = {}
+            for _, frags, block, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 optical = np.array(frags or [], dtype=np.int64)
                 n = len(optical)
                 if p.circular:
                     optical = np.concatenate([optical, optical])
                 for q in block:
-                    contig = np.array(q["q_frags"], dtype=np.int64)
+                    contig, key = np.array(q["q_frags"], dtype=np.int64), (q["q_id"], value)
                     score = max(best_score(contig, optical, n, p.sd_max, p), best_score(contig[::-1].copy(), optical, n, p.sd_max, p))
-                    best[q["q_id"]] = max(best.get(q["q_id"], -np.inf), score)
+                    best[key] = max(best.get(key, -np.inf), score)
             scores = [None if x == -np.inf else x for x in best.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array(scores, pa.float64())], names=["map_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in best], pa.string()), pa.array([v for _, v in best], pa.int32()), pa.array(scores, pa.float64())], names=schema.names)
 
-    each = with_queries(maps, random_contigs).mapInArrow(run, schema)
-    return each.groupBy("map_id").agg(F.max("score").alias("score"))
+    each = with_queries(maps, random_contigs, more=("_by",)).mapInArrow(run, schema)
+    best = each.groupBy("map_id", "by").agg(F.max("score").alias("score"))
+    return best.withColumnRenamed("by", by) if by else best.drop("by")
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -195,23 +205,55 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return ~((a_end <= b_start) | (a_start >= b_end))
 
 
-def non_overlapping(matches: DataFrame, by: list[str] | None = None, k: int = -1) -> DataFrame:
-    """Greedy selection, best score first, within ``by`` (query, map and strand): a match stays unless it overlaps one that stayed.
+def islands(matches: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """``matches`` with island: numbers, within ``by``, of the runs of intervals that no gap divides; intervals of different islands don't overlap."""
+    w = Window.partitionBy(*by).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col(start) >= reach), 1).otherwise(0)
+    return matches.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
-    The order makes it a fold over a sorted array of one group's matches; a group is what one query finds on one strand of one map.
+
+def greedy_ids(ranked: DataFrame, by: list[str]) -> DataFrame:
+    """(match_id) of the rows of ``ranked`` (by, rank, s, e, match_id) that stay when taken by rank within ``by``: one goes if it overlaps any that stayed.
+
+    Islands are sorted by rank and read as a stream; what stayed in the island at hand, intervals without overlap, is all that is held in memory, and each row is
+    tested against its neighbours there only.
     """
-    by = by or ["contig_id", "chromosome", "forward"]
-    item = F.struct((-F.col("score")).alias("o"), F.col("op_start_index").alias("s"), F.col("op_end_index").alias("e"), F.col("match_id").alias("id"))
-    groups = matches.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    empty = F.slice("items", 1, 0)
+    ship_package(ranked.sparkSession)
+    kind = ranked.schema["match_id"].dataType
+    rows = islands(ranked, by, "s", "e").select(F.xxhash64(*by).alias("g"), *[F.col(c).cast("string").alias(f"b{i}") for i, c in enumerate(by)], "island", "rank", "s", "e", "match_id")
+    keys = ["g", *[f"b{i}" for i in range(len(by))], "island"]
 
-    def step(acc: Column, x: Column) -> Column:
-        clash = F.exists(acc, lambda y: overlaps(x["s"], x["e"], y["s"], y["e"]))
-        full = F.size(acc) >= k if k >= 0 else F.lit(False)
-        return F.when(clash | full, acc).otherwise(F.concat(acc, F.array(x)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, stayed = None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[: len(keys) + 3]]
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for i, (*key, _, s, e) in enumerate(zip(*columns, strict=True)):
+                if key != last:
+                    last, stayed = key, []
+                k = bisect_right(stayed, (s, e))
+                # Intervals that stayed are in order; only those next to this one can overlap it.
+                if any(not (e <= x or s >= y) for x, y in stayed[max(0, k - 1) : k + 1]):
+                    continue
+                good[i] = True
+                stayed.insert(k, (s, e))
+            yield batch.select([batch.num_columns - 1]).filter(pa.array(good))
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "rank")
+    return dealt.mapInArrow(run, T.StructType([T.StructField("match_id", kind)]))
 
-    kept = groups.select(F.explode(F.aggregate("items", empty, step)).alias("x")).select(F.col("x.id").alias("match_id"))
-    return matches.join(kept, "match_id", "left_semi")
+
+def non_overlapping(matches: DataFrame, by: list[str] | None = None, k: int = -1) -> DataFrame:
+    """Greedy selection, best score first, within ``by`` (query, map and strand): a match stays unless it overlaps one that stayed; at most ``k`` stay if that isn't negative."""
+    by = by or ["contig_id", "chromosome", "forward"]
+    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "op_start_index", "op_end_index", "match_id")
+    ranked = matches.select(*by, "match_id", F.row_number().over(order).alias("rank"), F.col("op_start_index").alias("s"), F.col("op_end_index").alias("e"))
+    stay = greedy_ids(ranked, by)
+    if k >= 0:
+        best = ranked.join(stay, "match_id", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("rank")))
+        stay = best.filter(F.col("place") <= k).select("match_id")
+    return matches.join(stay, "match_id", "left_semi")
 
 
 def best_scores(pairs: DataFrame, p: Params) -> DataFrame:

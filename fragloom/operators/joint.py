@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import cut
 from ..session import ship_package
 
 TOLERANCE = 12  # standard deviations
@@ -180,9 +182,10 @@ def agp(rows: DataFrame, group: str = "scaffold") -> DataFrame:
     )
 
 
-def anchored(records: DataFrame, optical: DataFrame, anchor: str, least: int = 800) -> DataFrame:
+def anchored(records: DataFrame, optical: DataFrame, anchor: str | DataFrame, least: int = 800) -> DataFrame:
     """Per record of each circular map that has ``anchor``: contig_id, size, dir (BE or EB, as the anchor sees it), loc and sd from the anchor.
 
+    ``anchor`` is a query's id, or a table of them (contig_id): then the rows of every anchor, and a column anchor.
     Going round the map in the anchor's direction, a query's location is the span from the anchor's last matched site to its own first one, less both overhangs; the
     anchor's own is minus its size.  Spans are prefix sums modulo the map's length.
     """
@@ -190,7 +193,9 @@ def anchored(records: DataFrame, optical: DataFrame, anchor: str, least: int = 8
     n = optical.groupBy("map_id").agg(F.count("*").alias("n_opt"), F.sum("size").alias("whole"), F.sum(250 + F.col("size") * F.col("size") * 0.0004).alias("whole_var"))
     w = Window.partitionBy("map_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     sums = optical.select("map_id", "place", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("b"), F.coalesce(F.sum(250 + F.col("size") * F.col("size") * 0.0004).over(w), F.lit(0)).alias("v"))
-    a = rows.filter(F.col("contig_id") == anchor).select("map_id", F.when(F.col("forward"), 1).otherwise(-1).alias("way"), F.col("record").alias("a_record"), F.col("o_first").alias("a_first"), F.col("o_last").alias("a_last"), F.col("c_start").alias("a_start"), F.col("c_end").alias("a_end"))
+    many = not isinstance(anchor, str)
+    a = rows.join(anchor.select("contig_id").distinct(), "contig_id", "left_semi") if many else rows.filter(F.col("contig_id") == anchor)
+    a = a.select("map_id", F.col("contig_id").alias("anchor"), F.when(F.col("forward"), 1).otherwise(-1).alias("way"), F.col("record").alias("a_record"), F.col("o_first").alias("a_first"), F.col("o_last").alias("a_last"), F.col("c_start").alias("a_start"), F.col("c_end").alias("a_end"))
     rows = rows.join(a, "map_id").join(n, "map_id")
     up = F.col("way") > 0
     # Fragments from .. to - 1 are crossed going up; going down the same span lies between the query's last and the anchor's first site.
@@ -206,23 +211,25 @@ def anchored(records: DataFrame, optical: DataFrame, anchor: str, least: int = 8
     is_anchor = F.col("record") == F.col("a_record")
     same = F.when(F.col("forward"), 1).otherwise(-1) * F.col("way") == 1
     return rows.select(
-        "map_id", "contig_id", "size", F.when(same, "BE").otherwise("EB").alias("dir"), F.when(is_anchor, -F.col("size")).otherwise(F.greatest(F.lit(0), span - own - other)).cast("double").alias("loc"),
+        *["anchor"] * many, "map_id", "contig_id", "size", F.when(same, "BE").otherwise("EB").alias("dir"), F.when(is_anchor, -F.col("size")).otherwise(F.greatest(F.lit(0), span - own - other)).cast("double").alias("loc"),
         F.when(is_anchor, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), var))).alias("sd"),
     )
 
 
-def merge_maps(one: DataFrame, two: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+def merge_maps(one: DataFrame, two: DataFrame, tolerance: float = TOLERANCE, by: tuple[str, ...] = ()) -> DataFrame:
     """Full outer merge of two maps' locations (contig_id, dir, loc, sd): outcome ``one``, ``two``, ``both``, ``direction`` or ``location``; the last two have no loc.
 
     Where both place a query in the same direction and no further apart than ``tolerance`` times the sum of deviations, the second map's values hold.
+    ``by`` names further columns of both that a query is merged within, such as the anchor.
     """
-    a = one.select("contig_id", *[F.col(c).alias(f"{c}1") for c in ("dir", "loc", "sd")])
-    b = two.select("contig_id", *[F.col(c).alias(f"{c}2") for c in ("dir", "loc", "sd")])
-    rows = a.join(b, "contig_id", "full_outer")
+    key = [*by, "contig_id"]
+    a = one.select(*key, *[F.col(c).alias(f"{c}1") for c in ("dir", "loc", "sd")])
+    b = two.select(*key, *[F.col(c).alias(f"{c}2") for c in ("dir", "loc", "sd")])
+    rows = a.join(b, key, "full_outer")
     near = F.abs(F.col("loc1") - F.col("loc2")) <= tolerance * (F.col("sd1") + F.col("sd2"))
     outcome = F.when(F.col("loc2").isNull(), "one").when(F.col("loc1").isNull(), "two").when(F.col("dir1") != F.col("dir2"), "direction").when(near, "both").otherwise("location")
     kept = outcome.isin("one", "two", "both")
-    return rows.withColumn("outcome", outcome).select("contig_id", F.when(kept, F.coalesce("dir2", "dir1")).alias("dir"), F.when(kept, F.coalesce("loc2", "loc1")).alias("loc"), F.when(kept, F.coalesce("sd2", "sd1")).alias("sd"), "outcome", near.alias("near"))
+    return rows.withColumn("outcome", outcome).select(*key, F.when(kept, F.coalesce("dir2", "dir1")).alias("dir"), F.when(kept, F.coalesce("loc2", "loc1")).alias("loc"), F.when(kept, F.coalesce("sd2", "sd1")).alias("sd"), "outcome", near.alias("near"))
 
 
 def resolve_ambiguous(rest1: DataFrame, rest2: DataFrame, merged: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -241,17 +248,27 @@ def resolve_ambiguous(rest1: DataFrame, rest2: DataFrame, merged: DataFrame, tol
 def emit_ordered(placed: DataFrame, tolerance: float = TOLERANCE, by: str = "scaffold") -> DataFrame:
     """(by, order, contig_id, orientation, size, gap): queries in order of location; one that begins inside the last kept one is skipped unless it reaches beyond
     its end and its begin may, within tolerance, lie there.  Gaps are 1 at least, the last is 0.  ``placed``: by, contig_id, dir, loc, sd, size."""
-    item = F.struct("loc", "contig_id", "dir", "sd", F.col("size").cast("double").alias("size"))
-    groups = placed.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias("items"))
-
-    # try_element_at: the accumulator is empty at first
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        end = last["loc"] + last["size"]
-        fits = (x["loc"] >= end) | ((x["loc"] + x["size"] > end) & (x["loc"] + tolerance * (x["sd"] + last["sd"]) > end))
-        return F.when(last.isNull() | fits, F.concat(acc, F.array(x))).otherwise(acc)
-
-    rows = groups.select(by, F.posexplode(F.aggregate("items", F.slice("items", 1, 0), step)).alias("i", "x")).select(by, (F.col("i") + 1).alias("order"), "x.*")
+    ship_package(placed.sparkSession)
+    w = Window.partitionBy(by).orderBy("loc", "contig_id")
+    rows = placed.select(by, "contig_id", "dir", F.col("loc").cast("double").alias("loc"), F.col("sd").cast("double").alias("sd"), F.col("size").cast("double").alias("size"))
+    # A query that begins behind all ends before it is kept whatever was kept there, so the scan may start anew with it.
+    reach = F.max(F.col("loc") + F.col("size")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("opens", (reach.isNull() | (F.col("loc") >= reach)).cast("int")).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, end, sd = None, 0.0, 0.0
+        for batch in batches:
+            good = []
+            for group, loc, own, size, number in zip(*(batch.column(c).to_pylist() for c in (by, "loc", "sd", "size", "run")), strict=True):
+                # All of a query's values are compared with those of the one kept last.
+                keep = (group, number) != run or loc >= end or (loc + size > end and loc + tolerance * (own + sd) > end)
+                good.append(keep)
+                if keep:
+                    run, end, sd = (group, number), loc + size, own
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    rows = rows.repartition(by, "run").sortWithinPartitions(by, "run", "loc", "contig_id").mapInArrow(scan, rows.schema)
+    rows = rows.withColumn("order", F.row_number().over(w))
     w = Window.partitionBy(by).orderBy("order")
     after = F.lead("loc").over(w)
     gap = F.when(after.isNull(), 0.0).otherwise(F.greatest(F.lit(1.0), after - F.col("loc") - F.col("size")))
@@ -263,16 +280,40 @@ def anchors(one: DataFrame, two: DataFrame) -> DataFrame:
     return one.select("contig_id", "size").distinct().join(two.select("contig_id").distinct(), "contig_id", "left_semi")
 
 
-def try_anchor(records1: DataFrame, optical1: DataFrame, records2: DataFrame, optical2: DataFrame, anchor: str, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row for an anchor: contigs, bases, direction and location mismatches."""
-    merged = merge_maps(anchored(records1, optical1, anchor), anchored(records2, optical2, anchor), tolerance)
+def try_anchors(records1: DataFrame, optical1: DataFrame, records2: DataFrame, optical2: DataFrame, tried: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row for each anchor (of all queries that both maps place, or those of ``tried``): contigs, bases, direction and location mismatches.
+
+    All anchors are one plan, with the anchor as a column of each step.
+    """
+    tried = anchors(records1, records2).select("contig_id") if tried is None else tried
+    merged = cut(merge_maps(anchored(records1, optical1, tried), anchored(records2, optical2, tried), tolerance, ("anchor",)), "anchors")
     sizes = records1.select("contig_id", "size").union(records2.select("contig_id", "size")).groupBy("contig_id").agg(F.max("size").alias("size"))
-    rows = merged.join(sizes, "contig_id")
-    kept = emit_ordered(rows.filter(F.col("loc").isNotNull()).withColumn("scaffold", F.lit("all")), tolerance)
-    count = kept.agg(F.count("*").alias("contigs"), F.coalesce(F.sum("size"), F.lit(0)).alias("bases"))
-    bad = merged.agg(F.count_if(F.col("outcome") == "direction").alias("direction_mismatch"), F.count_if((F.col("outcome") == "location") | ((F.col("outcome") == "direction") & ~F.col("near"))).alias("location_mismatch"))
-    one = lambda df: df.withColumn("anchor", F.lit(anchor))  # noqa: E731  both are one row
-    return one(count).join(one(bad), "anchor")
+    rows = merged.filter(F.col("loc").isNotNull()).join(sizes, "contig_id")
+    kept = emit_ordered(rows, tolerance, by="anchor")
+    count = kept.groupBy("anchor").agg(F.count("*").alias("contigs"), F.sum("size").alias("bases"))
+    bad = merged.groupBy("anchor").agg(F.count_if(F.col("outcome") == "direction").alias("direction_mismatch"), F.count_if((F.col("outcome") == "location") | ((F.col("outcome") == "direction") & ~F.col("near"))).alias("location_mismatch"))
+    return bad.join(count, "anchor", "left").select("anchor", F.coalesce("contigs", F.lit(0)).alias("contigs"), F.coalesce("bases", F.lit(0)).alias("bases"), "direction_mismatch", "location_mismatch")
+
+
+def placed_records(records: DataFrame, optical: DataFrame) -> DataFrame:
+    """Records (contig_id unique or not) of each map with status: unambiguous ones are MATCH, those placed in turns FILTER, the others conflict or rest.
+
+    Queries with one record on a map are placed first and occupy its fragments; the others are worked off to a fixpoint.
+    """
+    once = records.withColumn("_n", F.count("*").over(Window.partitionBy("map_id", "contig_id")))
+    single, several = once.filter("_n = 1").drop("_n"), once.filter("_n > 1").drop("_n")
+    status = place_to_fixpoint(overhangs(several, optical), optical, overhangs(single, optical)).select("map_id", "record", "status")
+    later = several.drop("type").join(status, ["map_id", "record"]).withColumn("type", F.when(F.col("status") == "placed", "FILTER").otherwise(F.col("status"))).drop("status")
+    return single.drop("type").withColumn("type", F.lit("MATCH")).unionByName(later)
+
+
+def legacy_chain(records: DataFrame, optical: DataFrame) -> dict[str, DataFrame]:
+    """From placement records to scaffolds, their text, AGP rows and a summary of the run."""
+    every = cut(placed_records(records, optical), "placed-records")
+    placed = every.filter(F.col("type").isin("MATCH", "FILTER"))
+    rows = cut(scaffolds(placed, optical), "scaffolds")
+    named = rows.withColumn("object", F.concat_ws("_", "map_id", F.concat(F.lit("scaff"), "scaffold")))
+    return {"records": every, "scaffolds": rows, "lines": scaffold_lines(rows), "agp": agp(named, "object"), "summary": run_summary(placed, optical)}
 
 
 def tagged(matched: DataFrame, filtered: DataFrame, scheduled: DataFrame | None = None) -> DataFrame:
@@ -290,12 +331,12 @@ def run_summary(placed: DataFrame, optical: DataFrame) -> DataFrame:
 
 
 def figure_layout(placed: DataFrame, optical: DataFrame, row_bp: int = 1_000_000, scale: float = 0.01) -> DataFrame:
-    """(kind, label, page_row, x0, x1, y): boxes of map fragments and placed queries, in rows of ``row_bp`` bp.  Drawing them is left to other tools."""
+    """(map_id, kind, label, page_row, x0, x1, y): boxes of map fragments and placed queries, in rows of ``row_bp`` bp.  Drawing them is left to other tools."""
     w = Window.partitionBy("map_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     at = optical.withColumn("bp", F.coalesce(F.sum("size").over(w), F.lit(0.0)))
     row = lambda c: F.floor(c / row_bp)
-    box = lambda kind, label, a, b, lift: [F.lit(kind).alias("kind"), label.cast("string").alias("label"), row(a).alias("page_row"), (F.pmod(a, F.lit(row_bp)) * scale).alias("x0"), ((F.pmod(a, F.lit(row_bp)) + b - a) * scale).alias("x1"), (row(a) * 3 + lift).cast("double").alias("y")]
+    box = lambda kind, label, a, b, lift: ["map_id", F.lit(kind).alias("kind"), label.cast("string").alias("label"), row(a).alias("page_row"), (F.pmod(a, F.lit(row_bp)) * scale).alias("x0"), ((F.pmod(a, F.lit(row_bp)) + b - a) * scale).alias("x1"), (row(a) * 3 + lift).cast("double").alias("y")]
     frags = at.select(*box("fragment", F.col("place"), F.col("bp"), F.col("bp") + F.col("size"), 0))
     starts = at.select(F.col("map_id").alias("_m"), F.col("place").alias("_p"), "bp")
-    shown = placed.join(starts, (placed["map_id"] == F.col("_m")) & (placed["op_start"] == F.col("_p")))
+    shown = placed.join(starts, (placed["map_id"] == F.col("_m")) & (placed["op_start"] == F.col("_p"))).drop("_m", "_p")
     return frags.unionByName(shown.select(*box("contig", F.col("contig_id"), F.col("bp"), F.col("bp") + F.col("size"), 1)))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .align import greedy_ids, top_matches
+
 
 def significant(matches: DataFrame, p: float = 0.05) -> DataFrame:
     return matches.filter(F.col("pval") <= p)
@@ -60,41 +62,34 @@ def one_to_one_order() -> list[Column]:
     return [F.col("one_to_one_ratio").desc(), F.col("match_id")]
 
 
-def greedy(matches: DataFrame, by: list[str], order: list[Column], start: str, end: str, clash, keep_all: bool = False) -> DataFrame:
-    """``matches`` that stay when taken in order within ``by``: one goes if it clashes with any that stayed.
-
-    ``clash(x, y)``: candidate ``x`` against accepted ``y``, structs with s and e.  The order is a rank from a window, the fold runs over one group's
-    sorted array, and only ids and two numbers of a match are in it.
-    """
-    if keep_all:
-        return matches
-    ranked = matches.select("match_id", *by, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("r"), F.col(start).alias("s"), F.col(end).alias("e"))
-    groups = ranked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("r", "s", "e", "match_id"))).alias("items"))
-    step = lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.concat(acc, F.array(x)))
-    kept = groups.select(F.explode(F.aggregate("items", F.slice("items", 1, 0), step)).alias("x")).select(F.col("x.match_id").alias("match_id"))
-    return matches.join(kept, "match_id", "left_semi")
-
-
 def refine(matches: DataFrame) -> DataFrame:
     """Per query, the non-overlapping matches of two sites or more, best first; half-open intervals on one map."""
     some = one_to_one(matches).filter(F.col("contig_hits") >= 2)
-    clash = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
-    return greedy(some, ["contig_id", "chromosome"], quality_order(), "op_start_bp", "op_end_bp", clash)
+    return _tiled(some, ["contig_id", "chromosome"], quality_order())
+
+
+def _tiled(matches: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    ranked = matches.select("match_id", *by, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("rank"), F.col("op_start_bp").alias("s"), F.col("op_end_bp").alias("e"))
+    return matches.join(greedy_ids(ranked, by), "match_id", "left_semi")
 
 
 def tiling(matches: DataFrame, overlap: str = "one-sided", allow_overlaps: bool = False) -> DataFrame:
     """Per map, matches taken by aligned bases, largest first.
 
     ``one-sided``: a candidate goes if it begins behind the end of an accepted match and ends behind that one's start, so only what lies wholly to the right of an
-    accepted match is left out; this reproduces tilings made so.  ``interval``: a candidate goes if the two intervals overlap.
+    accepted match is left out; this reproduces tilings made so.  What goes ends behind the first end accepted so far, so the least end of all earlier candidates
+    is that of the accepted ones, and a window function decides.  ``interval``: a candidate goes if the two intervals overlap.
     """
-    if overlap == "one-sided":
-        clash = lambda x, y: ~((x["s"] <= y["e"]) | (x["e"] <= y["s"]))
-    elif overlap == "interval":
-        clash = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
-    else:
+    if overlap not in ("one-sided", "interval"):
         raise ValueError(overlap)
-    return greedy(matches, ["chromosome"], [F.col("c_aligned_bases").desc(), F.col("match_id").desc()], "op_start_bp", "op_end_bp", clash, allow_overlaps)
+    if allow_overlaps:
+        return matches
+    order = [F.col("c_aligned_bases").desc(), F.col("match_id").desc()]
+    if overlap == "interval":
+        return _tiled(matches, ["chromosome"], order)
+    w = Window.partitionBy("chromosome").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    first_end = F.min("op_end_bp").over(w)
+    return matches.withColumn("_end", first_end).filter(F.col("_end").isNull() | (F.col("op_start_bp") <= F.col("_end"))).drop("_end")
 
 
 def scaffold_rows(placed: DataFrame, all_matches: DataFrame) -> DataFrame:
@@ -178,6 +173,12 @@ def match_strings(matches: DataFrame) -> DataFrame:
     )
 
 
+def last_by_contig(matches: DataFrame) -> DataFrame:
+    """Each query's last match in the order of a file, here that of match_id, as readers keep it that map a query to one match."""
+    last = matches.groupBy("contig_id").agg(F.max("match_id").alias("match_id"))
+    return matches.join(last, ["contig_id", "match_id"], "left_semi")
+
+
 def by_contig(matches: DataFrame) -> DataFrame:
     """(contig_id, matches): the ids of each query's matches, best first; of equal scores the later id first."""
     item = F.struct("score", "match_id")
@@ -191,8 +192,6 @@ def length_deviations(matches: DataFrame) -> DataFrame:
 
 def refined_lists(matches: DataFrame) -> dict[str, DataFrame]:
     """Matches that pass the quality test, of these the refined ones, of these the best of each query and the unique ones."""
-    from .align import top_matches
-
     good = matches.filter(is_quality())
     fine = refine(good).persist()
     return {"quality": good, "refined": fine, "best": top_matches(fine.drop("rank"), 1), "unique": unique(fine)}

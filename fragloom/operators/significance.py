@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..params import Params
+from ..scratch import cut
+from ..session import ship_package
 from .align import null_scores
 
 
@@ -17,12 +21,15 @@ def pick(n: Column, *keys: Column) -> Column:
 
 
 def _starts(counts: DataFrame) -> DataFrame:
-    """``counts`` (map_id, n) with before, the sum of all n of smaller ids.  Ids of one beginning are summed first, so that no single task sees all of them."""
+    """``counts`` (map_id, n) with before, the sum of all n of smaller ids.
+
+    Ids are dealt out in ranges and written; the sums of the ranges, one row for each task, are all that one task sees.
+    """
     earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("head", F.substring("map_id", 1, 5))
-    heads = counts.groupBy("head").agg(F.sum("n").alias("n_head")).select("head", earlier("n_head", Window.orderBy("head")).alias("before_head"))
-    own = counts.withColumn("before_map", earlier("n", Window.partitionBy("head").orderBy("map_id"))).join(heads, "head")
-    return own.select("map_id", "n", (F.col("before_head") + F.col("before_map")).alias("before"))
+    ranged = cut(counts.select("map_id", "n").repartitionByRange("map_id").withColumn("part", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("n_part")).select("part", earlier("n_part", Window.orderBy("part")).alias("before_part"))
+    own = ranged.withColumn("before_map", earlier("n", Window.partitionBy("part").orderBy("map_id"))).join(parts, "part")
+    return own.select("map_id", "n", (F.col("before_part") + F.col("before_map")).alias("before"))
 
 
 def fragment_pool(contigs: DataFrame, interior: bool = False) -> DataFrame:
@@ -50,20 +57,48 @@ def null_table(contigs: DataFrame, maps: DataFrame, p: Params, sizes: DataFrame
     return drawn.select("map_id", "num_frags", "trial").join(null_scores(drawn, maps, p), "map_id").select("num_frags", "trial", "score")
 
 
+def share_reaching(rows: DataFrame, null: DataFrame, key: str, strict: bool = False, most: int = 20_000_000) -> DataFrame:
+    """``rows`` (``key``, score) with share: how much of the ``null`` (``key``, null_score) values of its key is not below its score (``strict``: is above it).
+
+    Null values count as below everything; a key without any gives null.  A null distribution is stated, not found in the data, so its size is a number of draws for each key:
+    up to ``most`` values it goes to the tasks as one sorted array for each key, which is searched in halves; beyond that a join counts.
+    """
+    values = null.select(F.col(key).alias("k"), F.coalesce(F.col("null_score").cast("double"), F.lit(float("-inf"))).alias("v"))
+    if values.count() > most:
+        table = values.groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("values"))
+        joined = rows.join(table, rows[key] == table["k"], "left").drop("k")
+        reach = F.size(F.filter("values", lambda v: (v > F.col("score")) if strict else (v >= F.col("score"))))
+        return joined.withColumn("share", F.when(F.col("values").isNotNull(), reach / F.size("values"))).drop("values")
+    ship_package(rows.sparkSession)
+    pairs = values.toPandas()
+    arrays = rows.sparkSession.sparkContext.broadcast({k: np.sort(v.to_numpy()) for k, v in pairs.groupby("k")["v"]})
+
+    @F.pandas_udf("double")
+    def share(keys: pd.Series, scores: pd.Series) -> pd.Series:
+        out = np.full(len(keys), np.nan)
+        kinds, score = keys.to_numpy(), scores.to_numpy(float)
+        for k in pd.unique(keys.dropna()):
+            at, v = kinds == k, arrays.value.get(k)
+            if v is not None:
+                out[at] = 1 - np.searchsorted(v, score[at], side="right" if strict else "left") / len(v)
+        return pd.Series(out).where(~np.isnan(out), None)
+
+    return rows.withColumn("share", share(F.col(key), F.col("score")))
+
+
 def empirical_pvalues(matches: DataFrame, null: DataFrame) -> DataFrame:
-    """``matches`` with pval: the share of the null scores of its number of fragments that are not below its score.
+    """``matches`` with pval: the share of the null scores of its number of fragments that are not below its score; 0 where there are none.
 
-    The null table is summed up per match by a join on the number of fragments; scores of null count as below everything.
+    Scores of null count as below everything.
     """
-    scores = null.groupBy("num_frags").agg(F.sort_array(F.collect_list(F.coalesce("score", F.lit(float("-inf"))))).alias("scores"))
-    joined = matches.drop("pval").join(scores, "num_frags", "left")
-    better = F.size(F.filter("scores", lambda s: s >= F.col("score")))
-    return joined.withColumn("pval", F.when(F.col("scores").isNull(), 0.0).otherwise(better / F.size("scores"))).drop("scores")
+    joined = share_reaching(matches.drop("pval"), null.withColumnRenamed("score", "null_score"), "num_frags")
+    return joined.withColumn("pval", F.coalesce("share", F.lit(0.0))).drop("share")
 
 
-def strict_pvalue(score: Column, scores: Column) -> Column:
-    """Share of ``scores`` strictly above ``score``."""
-    return F.size(F.filter(scores, lambda s: s > score)) / F.size(scores)
+def strict_pvalues(matches: DataFrame, null: DataFrame) -> DataFrame:
+    """``matches`` with pval: the share of the null scores of its number of fragments strictly above its score; 0 where there are none."""
+    joined = share_reaching(matches.drop("pval"), null.withColumnRenamed("score", "null_score"), "num_frags", strict=True)
+    return joined.withColumn("pval", F.coalesce("share", F.lit(0.0))).drop("share")
 
 
 def chunk_scores(matches: DataFrame) -> DataFrame:
@@ -87,8 +122,8 @@ def bootstrap(pool: DataFrame, sizes: DataFrame, samples: int = 10_000) -> DataF
 def bootstrap_pvalues(matches: DataFrame, boot: DataFrame) -> DataFrame:
     """(match_id, num_chunks, pval): share of the bootstrap sums for the match's number of chunks, gaps included, that reach its score."""
     rows = matches.select("match_id", "score", F.size("alignment").alias("num_chunks"))
-    sums = boot.select("num_chunks", F.col("score").alias("null_score"))
-    return rows.join(sums, "num_chunks").groupBy("match_id", "num_chunks").agg(F.avg((F.col("null_score") >= F.col("score")).cast("double")).alias("pval"))
+    out = share_reaching(rows, boot.withColumnRenamed("score", "null_score"), "num_chunks")
+    return out.filter(F.col("share").isNotNull()).select("match_id", "num_chunks", F.col("share").alias("pval"))
 
 
 def plotting_quantile(values: DataFrame, group: str, column: str, q: float, a: float = 0.4, b: float = 0.4) -> DataFrame:
@@ -103,30 +138,32 @@ def plotting_quantile(values: DataFrame, group: str, column: str, q: float, a: f
     return rows.groupBy(group).agg(F.sum(part).alias("quantile"))
 
 
-def shuffled_maps(maps: DataFrame, trial: int = 0) -> DataFrame:
+def shuffled_maps(maps: DataFrame, trial: int = 0, trials: int | None = None) -> DataFrame:
     """``maps`` (map_id, frags) with all their fragments dealt out anew: a permutation of the whole pool, each map keeping its number of fragments.
 
-    Fragments are ordered by the md5 of (trial, place); a range shuffle and counts of ranges give new places without a single-task sort.
+    With ``trials``, one such permutation for each trial from 0 on, and a column trial; else the permutation of ``trial``.
+    Fragments are ordered by the md5 of (trial, place); ranges of it and their counts give new places without a single-task sort.
     """
     pool = fragment_pool(maps)
-    digits = F.md5(F.concat_ws("|", F.lit(trial).cast("string"), F.col("place").cast("string")).cast("binary"))
-    keyed = pool.select("size", digits.alias("h")).withColumn("head", F.substring("h", 1, 3))
-    heads = keyed.groupBy("head").agg(F.count("*").alias("n"))
-    heads = heads.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    dealt = keyed.withColumn("k", F.row_number().over(Window.partitionBy("head").orderBy("h")) - 1).join(heads, "head").select((F.col("before") + F.col("k")).cast("bigint").alias("place"), "size")
+    numbers = F.sequence(F.lit(0), F.lit(trials - 1)) if trials is not None else F.array(F.lit(trial))
+    pool = pool.withColumn("trial", F.explode(numbers))
+    digits = F.md5(F.concat_ws("|", F.col("trial").cast("string"), F.col("place").cast("string")).cast("binary"))
+    keyed = pool.select("trial", "size", digits.alias("h")).withColumn("head", F.substring("h", 1, 3))
+    heads = keyed.groupBy("trial", "head").agg(F.count("*").alias("n"))
+    heads = heads.select("trial", "head", F.coalesce(F.sum("n").over(Window.partitionBy("trial").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    dealt = keyed.withColumn("k", F.row_number().over(Window.partitionBy("trial", "head").orderBy("h")) - 1).join(heads, ["trial", "head"])
+    dealt = dealt.select("trial", (F.col("before") + F.col("k")).cast("bigint").alias("place"), "size")
     homes = _starts(maps.select("map_id", F.size("frags").alias("n")).filter("n > 0"))
     placed = homes.select("map_id", F.posexplode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("i", "place"))
-    out = placed.join(dealt, "place").groupBy("map_id").agg(F.sort_array(F.collect_list(F.struct("i", "size"))).alias("s"))
-    return out.select("map_id", F.col("s.size").alias("frags"))
+    out = placed.join(dealt, "place").groupBy("trial", "map_id").agg(F.sort_array(F.collect_list(F.struct("i", "size"))).alias("s"))
+    return out.select("map_id", *["trial"] * (trials is not None), F.col("s.size").alias("frags"))
 
 
 def shuffle_null(contigs: DataFrame, maps: DataFrame, p: Params) -> DataFrame:
-    """(map_id, trial, score): each query's best score on maps whose fragments were dealt out anew, once for each of ``p.trials``."""
-    out = None
-    for t in range(p.trials):
-        one = null_scores(contigs, shuffled_maps(maps, t), p).withColumn("trial", F.lit(t))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(map_id, trial, score): each query's best score on maps whose fragments were dealt out anew, once for each of ``p.trials``; one plan for all trials."""
+    if p.trials <= 0:
+        return contigs.select("map_id", F.lit(0).alias("trial"), F.lit(None).cast("double").alias("score")).limit(0)
+    return null_scores(contigs, shuffled_maps(maps, trials=p.trials), p, by="trial")
 
 
 def quantile_table(values: DataFrame, group: str, column: str, quantiles: list[float]) -> DataFrame:

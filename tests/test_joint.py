@@ -100,6 +100,110 @@ def test_merge_resolve_emit(spark):
     assert [(r.contig_id, r.gap) for r in out] == [("x", 1), ("z", 105), ("w", 0)]
 
 
+def test_all_anchors_are_tried_at_once(spark):
+    rows = [ROW, ("m1", 1, "c1", 9000, False, 8, 11, "1 ;2 3 ;4", "1000 ;3000 4000 ;1000", [1000, 4000, 8000], ""), ("m1", 2, "c2", 9000, True, 13, 16, "1 ;2 3 ;4", "1000 ;3000 4000 ;1000", [1000, 4000, 8000], "")]
+    two = [("m2", *r[1:]) for r in rows[:2]]
+    opt = optical(spark)
+    one_map, two_map = opt.filter("map_id = 'm1'"), opt.filter("map_id = 'm2'")
+    got = {r.anchor: r for r in joint.try_anchors(records(spark, rows), one_map, records(spark, two), two_map).collect()}
+    assert set(got) == {"c0", "c1"}  # c2 is on one map only
+    for a in got:
+        merged = joint.merge_maps(joint.anchored(records(spark, rows), one_map, a), joint.anchored(records(spark, two), two_map, a)).collect()
+        sizes = {"c0": 12000, "c1": 9000, "c2": 9000}
+        placed = spark.createDataFrame([("s", r.contig_id, r.dir, r.loc, r.sd, sizes[r.contig_id]) for r in merged if r.loc is not None], "scaffold string, contig_id string, dir string, loc double, sd double, size int")
+        kept = joint.emit_ordered(placed).collect()
+        assert (got[a].contigs, got[a].bases) == (len(kept), sum(r["size"] for r in kept))
+        assert got[a].direction_mismatch == sum(r.outcome == "direction" for r in merged)
+    assert joint.try_anchors(records(spark, rows), one_map, records(spark, two).limit(0), two_map).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ordered_scan_against_a_loop(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(f"s{rng.randrange(3)}", f"c{k}", "BE", float(rng.randrange(0, 4000)), float(rng.randrange(0, 9)), rng.randrange(1, 300)) for k in range(120)]
+    want = {}
+    for s in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == s), key=lambda r: (r[3], r[1])):
+            end = kept[-1][3] + kept[-1][5] if kept else None
+            if not kept or r[3] >= end or (r[3] + r[5] > end and r[3] + 12 * (r[4] + kept[-1][4]) > end):
+                kept.append(r)
+        want[s] = [r[1] for r in kept]
+    out = joint.emit_ordered(spark.createDataFrame(rows, "scaffold string, contig_id string, dir string, loc double, sd double, size int")).collect()
+    assert {s: [r.contig_id for r in sorted(out, key=lambda r: r.order) if r.scaffold == s] for s in want} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_choices_against_loops(spark, seed):
+    import random
+
+    from fragloom.operators import align
+    from fragloom.operators import placement as PL
+
+    rng = random.Random(seed)
+    rows = []
+    for k in range(150):
+        a = rng.randrange(0, 400)
+        rows.append((f"m{k:03}", f"chr{rng.randrange(2)}", a, a + rng.choice([0, 1, 5, 30, 60]), float(rng.randrange(20)), rng.randrange(40)))
+    df = spark.createDataFrame(rows, "match_id string, chromosome string, op_start_bp int, op_end_bp int, score double, c_aligned_bases int").withColumns({"op_start_index": F.col("op_start_bp"), "op_end_index": F.col("op_end_bp")})
+
+    def loop(order, clash, most=10**9):
+        kept = []
+        for r in sorted(rows, key=order):
+            if sum(x[1] == r[1] for x in kept) < most and not any(x[1] == r[1] and clash(r, x) for x in kept):
+                kept.append(r)
+        return sorted(r[0] for r in kept)
+
+    ids = lambda out: sorted(r.match_id for r in out.select("match_id").collect())
+    by_bases = lambda r: (-r[5], [-ord(c) for c in r[0]])
+    assert ids(PL.tiling(df, "one-sided")) == loop(by_bases, lambda x, y: not (x[2] <= y[3] or x[3] <= y[2]))
+    assert ids(PL.tiling(df, "interval")) == loop(by_bases, lambda x, y: not (x[3] <= y[2] or x[2] >= y[3]))
+    by_score = lambda r: (-r[4], r[2], r[3], r[0])
+    assert ids(align.non_overlapping(df, ["chromosome"])) == loop(by_score, lambda x, y: not (x[3] <= y[2] or x[2] >= y[3]))
+    assert ids(align.non_overlapping(df, ["chromosome"], 5)) == loop(by_score, lambda x, y: not (x[3] <= y[2] or x[2] >= y[3]), 5)
+    assert ids(PL.tiling(df, allow_overlaps=True)) == sorted(r[0] for r in rows)
+
+
+def test_legacy_chain(spark):
+    rows = [ROW, ("m1", 1, "c1", 9000, False, 6, 9, "1 ;2 3 ;4", "1000 ;3000 4000 ;1000", [1000, 4000, 8000], ""), ("m1", 2, "c2", 9000, True, 6, 9, "1 ;2 3 ;4", "1000 ;3000 4000 ;1000", [1000, 4000, 8000], ""), ("m1", 3, "c2", 9000, True, 13, 16, "1 ;2 3 ;4", "1000 ;3000 4000 ;1000", [1000, 4000, 8000], "")]
+    out = joint.legacy_chain(records(spark, rows), optical(spark).filter("map_id = 'm1'"))
+    assert {r.record: r.type for r in out["records"].collect()} == {0: "MATCH", 1: "MATCH", 2: "conflict", 3: "FILTER"}
+    assert [r.contig_id for r in out["scaffolds"].orderBy("scaffold", "order").collect()] == ["c0", "c1", "c2"]
+    s = out["summary"].first()
+    assert (s.matched, s.filtered, s.mbp) == (2, 1, pytest.approx(0.03)) and out["lines"].count() == 2
+    assert {r.object for r in out["agp"].collect()} == {"m1_scaff0", "m1_scaff1"}
+
+
+def test_p_values_and_starts(spark):
+    null = spark.createDataFrame([(3, -1.0), (3, -2.0), (3, -2.0), (3, None), (4, 0.0)], "num_frags int, score double")
+    matches = spark.createDataFrame([("a", 3, -2.0), ("b", 3, -1.0), ("c", 3, 0.0), ("d", 4, -9.0), ("e", 5, 1.0)], "match_id string, num_frags int, score double").withColumn("pval", F.lit(9.0))
+    assert {r.match_id: r.pval for r in G.empirical_pvalues(matches, null).collect()} == {"a": 0.75, "b": 0.25, "c": 0.0, "d": 1.0, "e": 0.0}
+    assert {r.match_id: r.pval for r in G.strict_pvalues(matches, null).collect()} == {"a": 0.25, "b": 0.0, "c": 0.0, "d": 1.0, "e": 0.0}
+    shared = G.share_reaching(matches, null.withColumnRenamed("score", "null_score"), "num_frags", most=0)
+    assert {r.match_id: r.share for r in shared.collect()} == {"a": 0.75, "b": 0.25, "c": 0.0, "d": 1.0, "e": None}
+    names = spark.createDataFrame([(f"contig{k}", [1] * (k % 4)) for k in range(300)], "map_id string, frags array<int>")
+    want, total = {}, 0
+    for k in sorted(range(300), key=lambda k: f"contig{k}"):
+        if k % 4:
+            want[f"contig{k}"] = total
+            total += k % 4
+    counts = names.select("map_id", F.size("frags").alias("n")).filter("n > 0")
+    assert {r.map_id: r.before for r in G._starts(counts).collect()} == want
+    two = {(r.trial, r.map_id): r.frags for r in G.shuffled_maps(spark.createDataFrame([("a", [1, 2, 3]), ("b", [4, 5])], "map_id string, frags array<int>"), trials=3).collect()}
+    assert len(two) == 6 and all(sorted(two[t, "a"] + two[t, "b"]) == [1, 2, 3, 4, 5] for t in range(3))
+
+
+def test_long_sequences_take_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([("AC" * 1_000_000,)], "dna string")
+    start = time.time()
+    n, last = df.select(F.size(M.sites(F.col("dna"), "CA")), F.element_at(M.fragments(M.sites(F.col("dna"), "CA"), F.length("dna")), -1)).first()
+    assert (n, last) == (999_999, 1) and time.time() - start < 60
+
+
 def test_special_functions():
     for a in (0.5, 1.0, 3.7, 20.0):
         for x in (0.01, 0.5, 1.0, 5.0, 30.0):
