@@ -90,7 +90,13 @@ def scaffold_chain(spark: SparkSession, optical_file: str, fasta: str, enzymes:
     single = placement.unique(good)
     for label, part in (("all", matches), ("sig", good), ("unique", single)):
         part.write.mode("overwrite").parquet(f"{output}/{label}")
-    writers.info_lines(single).select("value").write.mode("overwrite").text(f"{output}/info")
+    writers.write_info(single, f"{output}/info", placement.chromosome_order(), mode="overwrite")
+    ranked = placement.one_to_one(single)
+    for label, order in (("quality", placement.quality_order()), ("one_to_one", placement.one_to_one_order()), ("location", placement.chromosome_order())):
+        writers.write_info(ranked, f"{output}/sorted_{label}", order, True, "overwrite")
+    strict = ranked.filter(placement.is_strict_quality())
+    writers.write_info(strict, f"{output}/strict", placement.quality_order(), True, "overwrite")
+    writers.write_matched_chunks(single, f"{output}/chunks", "overwrite")
     writers.write_contig_summary(placement.contig_summary(contigs, good), f"{output}/summary", "overwrite")
     writers.alignment_tables(single).select("value").write.mode("overwrite").text(f"{output}/tables")
     for label, part in (("sig", good), ("unique", single)):

@@ -16,11 +16,17 @@ def _whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, line_no, value) of all lines; for formats whose lines belong together, so a file is one row first."""
+    """(file, line_no, value) of all lines; only for formats whose lines are told apart by their number, so a file is one row first (2 GB at most)."""
     rows = _whole(spark, paths).select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
     return rows
 
 
+def _single_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, place, value) of lines that stand alone; large files are read in parallel.  ``place`` orders the lines of a file: by block, then within it."""
+    rows = spark.read.text(paths).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.rtrim("value").alias("value"))
+    return rows.select("file", F.struct("block", F.monotonically_increasing_id().alias("row")).alias("place"), "value")
+
+
 def read_maps(spark: SparkSession, paths: str | list[str], mode: str = "strict", circular: bool = False) -> DataFrame:
     """Tab-separated maps, one a line: id, length, number of fragments, fragments.  -> map_id, length, num_frags, frags, is_circular.
 
@@ -48,8 +54,8 @@ def read_maps(spark: SparkSession, paths: str | list[str], mode: str = "strict",
 
 def read_maps_by_id(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Maps split at any white space; of lines with the same id in a file the last one counts."""
-    rows = _lines(spark, paths).filter(F.trim("value") != "").select("file", "line_no", F.split(F.trim("value"), r"\s+").alias("f"))
-    last = rows.groupBy(F.get("f", F.lit(0)).alias("map_id")).agg(F.max_by("f", F.struct("file", "line_no")).alias("f"))
+    rows = _single_lines(spark, paths).filter(F.trim("value") != "").select("file", "place", F.split(F.trim("value"), r"\s+").alias("f"))
+    last = rows.groupBy(F.get("f", F.lit(0)).alias("map_id")).agg(F.max_by("f", F.struct("file", "place")).alias("f"))
     frags = F.transform(F.slice("f", 4, F.greatest(F.size("f") - 3, F.lit(0))), lambda x: x.cast("int"))
     return last.select("map_id", F.get("f", F.lit(1)).cast("int").alias("length"), F.get("f", F.lit(2)).cast("int").alias("num_frags"), frags.alias("frags"))
 
@@ -63,8 +69,8 @@ def check_maps(maps: DataFrame) -> DataFrame:
 
 def read_kb_sizes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``size sd`` in kb, one fragment a line; the file's name is the map's id.  Sizes are rounded to bp, deviations are not kept."""
-    rows = _lines(spark, paths).filter(F.trim("value") != "").select("file", "line_no", kb_to_bp(F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)).cast("double"), True).alias("size"))
-    return _gathered(rows.withColumnRenamed("file", "map_id"), "line_no")
+    rows = _single_lines(spark, paths).filter(F.trim("value") != "").select("file", "place", kb_to_bp(F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)).cast("double"), True).alias("size"))
+    return _gathered(rows.withColumnRenamed("file", "map_id"), "place")
 
 
 def _gathered(rows: DataFrame, order: str, *more: str) -> DataFrame:
@@ -118,7 +124,7 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_enzymes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(enzyme, motifs): ``NAME/SEQ'/.../SEQ//`` lines, cut marks taken out, upper case; a name that comes again adds its motifs; other lines are comments."""
-    rows = _lines(spark, paths).select("file", "line_no", F.trim("value").alias("v")).filter(F.col("v").endswith("//") & (F.length("v") >= 2))
+    rows = _single_lines(spark, paths).select("file", F.col("place").alias("line_no"), F.trim("value").alias("v")).filter(F.col("v").endswith("//") & (F.length("v") >= 2))
     f = F.split("v", "/")
     motifs = F.filter(F.transform(F.slice(f, 2, F.size(f)), lambda x: F.upper(F.replace(x, F.lit("'"), F.lit("")))), lambda x: x != "")
     each = rows.select("file", "line_no", F.upper(F.get(f, F.lit(0))).alias("enzyme"), motifs.alias("motifs"))

@@ -51,6 +51,20 @@ INFO = (
 INFO_HEADER = "#contigId,chromosome,cStartIndex,cEndIndex,cStartBp,cEndBp,cAlignedBases,opStartIndex,opEndIndex,opStartBp,opEndBp,opAlignedBases,contigMisses,contigMissRate,opticalMisses,opticalMissRate,totalHits,totalMisses,totalMissRate,score"
 
 
+#: Fixed by the format: names and widths of the columns of :func:`fixed_info_lines`.
+FIXED_INFO = (
+    ("contigName", 15), ("chrom", 15), ("start", 5), ("end", 5), ("Forwd", 5), ("sites", 5), ("size", 10), ("Cmiss", 4), ("Omiss", 4), ("missr", 5), ("fragMiss", 8), ("unalignedBaseRatio", 20), ("score", 10),
+    ("pval", 6), ("meanSD", 6), ("medSD", 6), ("minSD", 6), ("maxSD", 6), ("lRat", 6), ("1to2b", 10), ("1to1r", 6),
+)
+
+
+def write_info(matches: DataFrame, path: str, order: list[Column], fixed: bool = False, mode: str = "errorifexists") -> None:
+    """An info file in order: the header line in the folder ``0``, the lines behind it in ``1``, whose files follow each other."""
+    matches.sparkSession.range(1).select(F.lit("\t".join(name.rjust(width) for name, width in FIXED_INFO) if fixed else INFO_HEADER).alias("value")).coalesce(1).write.mode(mode).text(f"{path}/0")
+    lines = (fixed_info_lines if fixed else info_lines)(matches)
+    matches.join(lines, "match_id").orderBy(*order).select("value").write.mode(mode).text(f"{path}/1")
+
+
 def info_lines(matches: DataFrame) -> DataFrame:
     """(match_id, value): 20 comma-separated columns, floats with three digits."""
     kinds = dict(matches.dtypes)

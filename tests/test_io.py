@@ -107,6 +107,27 @@ def test_reports(spark):
     assert sum(r.chromosome is None for r in text) == 1 and "Covered bases" in next(r.value for r in text if r.chromosome is None)
 
 
+def test_info_files_have_headers_and_an_order(spark, tmp_path):
+    from fragloom.operators import placement as P
+    from fragloom.plans import bridge
+
+    m = bridge.matches(spark, "/root/testdata/sf0.001").withColumn("pval", F.lit(0.0)).filter("rank = 1")
+    W.write_info(m, str(tmp_path / "a"), P.chromosome_order())
+    W.write_info(P.one_to_one(m), str(tmp_path / "b"), P.one_to_one_order(), fixed=True)
+    head = [r.value for r in spark.read.text(str(tmp_path / "a" / "0")).collect()]
+    assert head == [W.INFO_HEADER] and spark.read.text(str(tmp_path / "a" / "1")).count() == m.count()
+    fixed = spark.read.text(str(tmp_path / "b" / "0")).first().value
+    lines = [x for f in sorted((tmp_path / "b" / "1").glob("part*")) for x in f.read_text().split("\n") if x]
+    assert len(fixed.split("\t")) == 21 == len(lines[0].split("\t")) and fixed.split("\t")[0] == "     contigName"
+    shares = [float(x.split("\t")[-1]) for x in lines]
+    assert shares == sorted(shares, reverse=True)
+    strict = P.one_to_one(m).filter(P.is_strict_quality())
+    assert strict.count() <= m.count() and strict.filter("one_to_one_ratio < 0.7").count() == 0
+    W.write_matched_chunks(m, str(tmp_path / "c"))
+    assert spark.read.option("header", "true").option("sep", "\t").csv(str(tmp_path / "c")).columns == ["contig", "optical"]
+    assert P.last_by_contig(m.unionByName(m.withColumn("match_id", F.concat("contig_id", F.lit("/9"))))).select("match_id").collect() == m.select(F.concat("contig_id", F.lit("/9"))).collect()
+
+
 def test_null_scores_round_trip(spark, tmp_path):
     null = spark.createDataFrame([(3, 0, -1.5), (3, 1, -2.0), (4, 0, -0.25)], "num_frags int, trial int, score double")
     W.null_lines(null).write.text(str(tmp_path / "n"))
