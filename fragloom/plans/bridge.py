@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.align import place, top_matches, with_statistics
+from ..operators.align import align
 from ..params import Params
 
 #: Both engines order fragments by these.
@@ -36,14 +36,22 @@ def reference_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.withColumn("num_frags", F.size("frags")).withColumn("length", F.aggregate("frags", F.lit(0).cast("bigint"), lambda a, x: a + x))
 
 
+def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(suppkey, genome): a supplier's map belongs to the genome of its nation."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_nationkey").alias("genome"))
+
+
+def genome_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reference_maps(spark, sf_dir).join(genomes(spark, sf_dir), "suppkey")
+
+
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query of each nation's first supplier: map_id, frags, and its true map, start and strand.
+    """A query of every supplier with more than 40 fragments: map_id, frags, genome, and its true map, start and strand.
 
     The slice begins at (37 * key) mod (n - 20) and has 10 + key mod 10 fragments, each changed by (7 * place) mod 11 - 5 bp; every third
     query has its third and fourth fragments merged (a missed cut), every second one is reversed.
     """
-    firsts = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("suppkey"))
-    maps = reference_maps(spark, sf_dir).join(F.broadcast(firsts), "suppkey")  # a row for each nation
+    maps = genome_maps(spark, sf_dir).filter("num_frags > 40")
     start = F.pmod(F.col("suppkey") * 37, F.col("num_frags") - 20).cast("int")
     n = (10 + F.pmod("suppkey", F.lit(10))).cast("int")
     cut = maps.withColumn("true_start", start).withColumn("n", n)
@@ -55,23 +63,14 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         F.concat(F.lit("contig"), F.col("suppkey")).alias("map_id"),
         F.when(forward, F.col("f")).otherwise(F.reverse("f")).alias("frags"),
-        F.col("map_id").alias("true_map"), "true_start", "n", forward.alias("true_forward"),
+        "genome", F.col("map_id").alias("true_map"), "true_start", "n", forward.alias("true_forward"),
     )
 
 
 def matches(spark: SparkSession, sf_dir: str, p: Params = PARAMS) -> DataFrame:
-    """All contigs against all maps, with statistics and a ``match_id``; what later steps share is computed once for each session and folder.
-
-    The table is cached: it has a few rows for each query, not for each pair.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, p)
-    if key not in CACHE:
-        placed = top_matches(with_statistics(place(contigs(spark, sf_dir), reference_maps(spark, sf_dir), p), p), p.max_matches)
-        CACHE[key] = placed.withColumn("match_id", F.concat_ws("/", "contig_id", F.col("rank").cast("string"))).persist()
-    return CACHE[key]
-
-
-CACHE: dict = {}
+    """All contigs against all maps of their genome, both strands, with statistics and a ``match_id``.  Nothing is kept from one query to the next."""
+    placed = align(contigs(spark, sf_dir), genome_maps(spark, sf_dir), p, by="genome")
+    return placed.withColumn("match_id", F.concat_ws("/", "contig_id", F.col("rank").cast("string")))
 
 
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,29 +11,38 @@ ends AS (
   SELECT *, CAST(sum(size) OVER (PARTITION BY map_id ORDER BY frag_idx) AS BIGINT) AS end_bp FROM frags),
 maps AS (SELECT map_id, suppkey, CAST(count(*) AS INTEGER) AS num_frags, CAST(sum(size) AS BIGINT) AS length FROM frags GROUP BY 1, 2)"""
 
-#: Contig fragments after noise and merge, in the contig's own order: contig_id, idx (from 0), size; and contig facts.
+#: Contig fragments after noise and merge, in the contig's own order: contig_id, idx (from 0), size; in the map's order: i; and contig facts.
 CONTIGS = f"""{FRAGS},
-firsts AS (SELECT min(s_suppkey) AS suppkey FROM supplier GROUP BY s_nationkey),
 cuts AS (
-  SELECT m.suppkey, m.map_id AS true_map, (m.suppkey * 37) % (m.num_frags - 20) AS true_start, 10 + m.suppkey % 10 AS n
-  FROM maps m JOIN firsts USING (suppkey)),
+  SELECT m.suppkey, m.map_id AS true_map, s.s_nationkey AS genome, (m.suppkey * 37) % (m.num_frags - 20) AS true_start, 10 + m.suppkey % 10 AS n
+  FROM maps m JOIN supplier s ON s.s_suppkey = m.suppkey WHERE m.num_frags > 40),
 noisy AS (
-  SELECT c.suppkey, c.n, f.frag_idx - c.true_start AS i, f.size + ((f.frag_idx - c.true_start) * 7) % 11 - 5 AS size
-  FROM cuts c JOIN frags f ON f.map_id = c.true_map AND f.frag_idx >= c.true_start AND f.frag_idx < c.true_start + c.n),
+  SELECT c.suppkey, c.n, c.genome, f.frag_idx - c.true_start AS i, f.frag_idx, f.size AS o_size, f.end_bp, f.size + ((f.frag_idx - c.true_start) * 7) % 11 - 5 AS size
+  FROM cuts c JOIN ends f ON f.map_id = c.true_map AND f.frag_idx >= c.true_start AND f.frag_idx < c.true_start + c.n),
 joined AS (
-  SELECT suppkey, n, CASE WHEN suppkey % 3 = 0 AND i >= 3 THEN i - 1 ELSE i END AS i, size FROM noisy),
-merged AS (SELECT suppkey, i, CAST(sum(size) AS BIGINT) AS size, CASE WHEN suppkey % 3 = 0 THEN n - 1 ELSE n END AS m FROM joined GROUP BY suppkey, i, n),
+  SELECT suppkey, n, genome, CASE WHEN suppkey % 3 = 0 AND i >= 3 THEN i - 1 ELSE i END AS i, size, frag_idx, o_size, end_bp FROM noisy),
+merged AS (
+  SELECT suppkey, genome, i, CAST(sum(size) AS BIGINT) AS size, CASE WHEN suppkey % 3 = 0 THEN n - 1 ELSE n END AS m,
+         min(frag_idx) AS o_start, max(frag_idx) + 1 AS o_end, CAST(sum(o_size) AS BIGINT) AS o_size, max(end_bp) AS o_end_bp, string_agg(CAST(o_size AS VARCHAR), '  ' ORDER BY frag_idx) AS o_text
+  FROM joined GROUP BY suppkey, genome, i, n),
 contigs AS (
-  SELECT 'contig' || suppkey AS contig_id, 'map' || suppkey AS map_id, CAST(CASE WHEN suppkey % 2 = 0 THEN i ELSE m - 1 - i END AS INTEGER) AS idx, size, CAST(m AS INTEGER) AS m FROM merged)"""
+  SELECT 'contig' || suppkey AS contig_id, 'map' || suppkey AS map_id, genome, CAST(CASE WHEN suppkey % 2 = 0 THEN i ELSE m - 1 - i END AS INTEGER) AS idx, size, CAST(m AS INTEGER) AS m FROM merged)"""
+
+#: What the best alignment is by construction: a chunk for each query fragment, on the fragments that it was made of, in the map's order.
+TRUTH = f"""{CONTIGS},
+truth AS (
+  SELECT 'contig' || suppkey AS contig_id, 'contig' || suppkey || '/1' AS match_id, 'map' || suppkey AS chromosome, suppkey % 2 = 0 AS forward, i, m, size AS c, o_size AS o, o_start, o_end, o_text,
+    i = 0 OR i = m - 1 AS boundary, CAST((size - o_size) * (size - o_size) AS DOUBLE) / (CAST(size AS DOUBLE) * 100.0::DOUBLE) AS chi2, -5.0::DOUBLE * (o_end - o_start - 1) AS optical
+  FROM merged)"""
 
 PLACEMENTS = f"""{FRAGS},
 n_sup AS (SELECT count(*) AS n FROM supplier),
 base AS (
   SELECT s_suppkey AS k, j, (s_suppkey + 3 * j) % (SELECT n FROM n_sup) AS suppkey FROM supplier, (VALUES (0), (1), (2), (3)) t(j)),
-placed AS (
+placed AS MATERIALIZED (
   SELECT b.k, b.j, m.map_id, CAST((37 * b.k + 101 * b.j) % (m.num_frags - 20) AS INTEGER) AS s, CAST(10 + (b.k + b.j) % 10 AS INTEGER) AS len
   FROM base b JOIN maps m USING (suppkey)),
-matches AS (
+matches AS MATERIALIZED (
   SELECT p.k || '/' || p.j AS match_id, 'contig' || p.k AS contig_id, p.len AS num_frags, p.map_id AS chromosome, (p.k + p.j) % 2 = 0 AS forward,
     -CAST((p.k * 31 + p.j * 17) % 97 AS DOUBLE) / 4.0 AS score, CAST((p.k * 13 + p.j * 29) % 100 AS DOUBLE) / 1000.0 AS pval, p.s AS op_start_index, p.s + p.len - 1 AS op_end_index,
     CAST(a.end_bp - a.size AS INTEGER) AS op_start_bp, CAST(z.end_bp AS INTEGER) AS op_end_bp, CAST(z.end_bp - (a.end_bp - a.size) + p.k % 7 AS INTEGER) AS c_aligned_bases,

@@ -15,12 +15,15 @@ from ..operators import adjust, align, blocks, joint, placement, significance
 from ..params import Params
 from ..sources import writers
 from . import bridge
-from .oracle import CONTIGS, FRAGS, PLACEMENTS, dp_sql, greedy_sql, on
+from .oracle import CONTIGS, FRAGS, PLACEMENTS, TRUTH, dp_sql, greedy_sql, on
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Trials of the registered null distribution; each is aligned to all maps.
+NULL_TRIALS = 10
+
 #: Both engines add this before they round to six digits, because they round exact halves differently.
 TIE = 1e-9
 
@@ -130,60 +133,74 @@ def block_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("map_id", "n").agg(F.count("*").alias("n_blocks"), F.sum("length").alias("total"), F.max("length").alias("longest"))
 
 
+#: Blocks have as many fragments as an alignment's.
+MOST = Params().delta
 CBLOCKS = """, csum AS (SELECT *, CAST(sum(size) OVER (PARTITION BY contig_id ORDER BY idx) AS BIGINT) AS c_end FROM contigs),
 cblk AS (SELECT a.contig_id, a.map_id AS true_map, a.idx AS c_start, CAST(z.idx - a.idx + 1 AS INTEGER) AS c_n, z.c_end - (a.c_end - a.size) AS c_len, a.c_end - a.size AS c0
   FROM csum a JOIN csum z ON z.contig_id = a.contig_id AND z.idx >= a.idx AND z.idx < a.idx + {most})"""
 
 
 def _contig_frags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.contigs(spark, sf_dir).select("map_id", "true_map", F.posexplode("frags").alias("frag_idx", "size"))
+    return bridge.contigs(spark, sf_dir).select("map_id", "true_map", "genome", F.posexplode("frags").alias("frag_idx", "size"))
 
 
-@query(on(CONTIGS, BLOCKS.format(most=2) + CBLOCKS.format(most=2) + """
-SELECT contig_id, map_id, count(*) AS n_pairs, CAST(sum(abs(c_len - length)) AS BIGINT) AS total_off FROM cblk JOIN blk ON (c_len - length) * (c_len - length) <= 1600 * c_len GROUP BY 1, 2"""))
+@query(on(CONTIGS, BLOCKS.format(most=MOST) + CBLOCKS.format(most=MOST) + """
+SELECT contig_id, b.map_id, count(*) AS n_pairs, CAST(sum(abs(c_len - length)) AS BIGINT) AS total_off FROM cblk c JOIN (SELECT DISTINCT contig_id, genome FROM contigs) USING (contig_id)
+JOIN (SELECT map_id, s_nationkey AS genome FROM maps JOIN supplier ON s_suppkey = suppkey) g USING (genome) JOIN blk b ON b.map_id = g.map_id AND (c_len - length) * (c_len - length) <= 1600 * c_len GROUP BY 1, 2"""))
 def block_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of queries and maps within the sizing tolerance, as a bucketed range join."""
-    c = blocks.blocks(_contig_frags(spark, sf_dir).drop("true_map"), 2)
-    pairs = blocks.sizing_join(c, blocks.blocks(bridge.frag_rows(spark, sf_dir), 2), 4, Params())
+    """Blocks of queries and of the maps of their genome within the sizing tolerance, as a bucketed range join."""
+    frags, maps = _contig_frags(spark, sf_dir), bridge.genomes(spark, sf_dir).select(F.concat(F.lit("map"), "suppkey").alias("map_id"), "genome")
+    c = blocks.blocks(frags.select("map_id", "frag_idx", "size"), MOST).join(frags.select("map_id", "genome").distinct(), "map_id")
+    r = blocks.blocks(bridge.frag_rows(spark, sf_dir), MOST).join(maps, "map_id")
+    pairs = blocks.sizing_join(c, r, 4, Params(), by="genome")
     return pairs.groupBy("contig_id", "map_id").agg(F.count("*").alias("n_pairs"), F.sum(F.abs(F.col("c_len") - F.col("o_len"))).alias("total_off"))
 
 
-PAIRS = BLOCKS.format(most=3) + CBLOCKS.format(most=3) + """, prs AS (SELECT c.*, b.start_idx AS o_start, b.n AS o_n, b.length AS o_len,
-    CAST((c.c_len - b.length) * (c.c_len - b.length) AS DOUBLE) / (CAST(c.c_len AS DOUBLE) * 100.0::DOUBLE) AS chi2
-  FROM cblk c JOIN blk b ON b.map_id = c.true_map AND (c.c_len - b.length) * (c.c_len - b.length) <= 1600 * c.c_len)"""
+PAIRS = BLOCKS.format(most=MOST) + CBLOCKS.format(most=MOST) + """, edges AS (SELECT c.*, c.c_start = 0 OR c.c_start + c.c_n = k.m AS edge FROM cblk c JOIN (SELECT DISTINCT contig_id, m FROM contigs) k USING (contig_id)),
+prs AS (SELECT c.*, b.start_idx AS o_start, b.n AS o_n, b.length AS o_len, CAST((c.c_len - b.length) * (c.c_len - b.length) AS DOUBLE) / (CAST(c.c_len AS DOUBLE) * 100.0::DOUBLE) AS chi2
+  FROM edges c JOIN blk b ON b.map_id = c.true_map AND (c.c_len - b.length) * (c.c_len - b.length) <= 1600 * c.c_len)"""
+#: Scores summed up as whole millionths, which no order of addition can change.
+SUMMED = " SELECT contig_id, c_n, o_n, count(score) AS n_scored, max(score) AS best, CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS BIGINT) AS millionths FROM scored GROUP BY 1, 2, 3"
 
 
 def _true_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block pairs within tolerance on each query's own map, with the query block's fragments."""
+    """Block pairs within tolerance on each query's own map, with the query block's fragments and whether it holds the query's first or last."""
     contigs = bridge.contigs(spark, sf_dir).select(F.col("map_id").alias("contig_id"), "true_map", "frags")
-    c = blocks.blocks(_contig_frags(spark, sf_dir).drop("true_map"), 3)
-    pairs = blocks.sizing_join(c, blocks.blocks(bridge.frag_rows(spark, sf_dir), 3), 4, Params())
-    own = pairs.join(contigs, (pairs["contig_id"] == contigs["contig_id"]) & (pairs["map_id"] == contigs["true_map"])).drop(contigs["contig_id"])
-    return own.withColumn("block", F.transform(F.slice("frags", F.col("c_start") + 1, F.col("c_n")), lambda x: x.cast("bigint")))
+    c = blocks.blocks(_contig_frags(spark, sf_dir).select("map_id", "frag_idx", "size"), MOST).join(contigs.select(F.col("contig_id").alias("map_id"), "true_map"), "map_id")
+    r = blocks.blocks(bridge.frag_rows(spark, sf_dir), MOST).withColumn("true_map", F.col("map_id"))
+    pairs = blocks.sizing_join(c, r, 4, Params(), by="true_map").join(contigs.drop("true_map"), "contig_id")
+    edge = (F.col("c_start") == 0) | (F.col("c_start") + F.col("c_n") == F.size("frags"))
+    return pairs.withColumns({"block": F.transform(F.slice("frags", F.col("c_start") + 1, F.col("c_n")), lambda x: x.cast("bigint")), "edge": edge})
+
+
+def _summed(pairs: DataFrame, score) -> DataFrame:
+    scored = pairs.select("contig_id", "c_n", "o_n", F.round(score + TIE, 6).alias("score"))
+    return scored.groupBy("contig_id", "c_n", "o_n").agg(F.count("score").alias("n_scored"), F.max("score").alias("best"), F.sum(F.round(F.col("score") * 1000000).cast("bigint")).alias("millionths"))
+
+
+FREE = "CASE WHEN edge AND c_len < o_len THEN 0.0::DOUBLE ELSE chi2 END"
 
 
-@query(on(CONTIGS, PAIRS + """, cost AS (SELECT p.contig_id, p.c_start, p.c_n, p.o_start, p.o_n, least(s.c_end - p.c0, p.c_len - (s.c_end - p.c0)) AS d
-  FROM prs p JOIN csum s ON s.contig_id = p.contig_id AND s.idx >= p.c_start AND s.idx < p.c_start + p.c_n - 1),
-costs AS (SELECT contig_id, c_start, c_n, o_start, o_n, CASE WHEN count(*) = count(CASE WHEN d = 2000 THEN NULL ELSE 1 END) THEN sum(CASE WHEN d > 2000 THEN -3.0::DOUBLE ELSE -d * 0.0015::DOUBLE + 0.000001::DOUBLE END) END AS cost FROM cost GROUP BY ALL)
-SELECT p.contig_id, p.c_start, p.c_n, p.o_start, p.o_n, round(CASE WHEN p.c_n = 1 THEN 0.0::DOUBLE ELSE c.cost END + -5.0::DOUBLE * (p.o_n - 1) - p.chi2 + 1e-9::DOUBLE, 6) AS score FROM prs p LEFT JOIN costs c USING (contig_id, c_start, c_n, o_start, o_n)"""))
+@query(on(CONTIGS, PAIRS + f""", cost AS (SELECT p.contig_id, p.c_start, p.c_n, least(s.c_end - p.c0, p.c_len - (s.c_end - p.c0)) AS d
+  FROM cblk p JOIN csum s ON s.contig_id = p.contig_id AND s.idx >= p.c_start AND s.idx < p.c_start + p.c_n - 1),
+costs AS (SELECT contig_id, c_start, c_n, CASE WHEN count(*) = count(CASE WHEN d = 2000 THEN NULL ELSE 1 END) THEN sum(CASE WHEN d > 2000 THEN -3.0::DOUBLE ELSE -d * 0.0015::DOUBLE + 0.000001::DOUBLE END) END AS cost FROM cost GROUP BY ALL),
+scored AS (SELECT p.contig_id, p.c_n, p.o_n, round(CASE WHEN p.c_n = 1 THEN 0.0::DOUBLE ELSE c.cost END + -5.0::DOUBLE * (p.o_n - 1) - {FREE} + 1e-9::DOUBLE, 6) AS score FROM prs p LEFT JOIN costs c USING (contig_id, c_start, c_n))""" + SUMMED))
 def score_block_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all block pairs; those at a query's end cost nothing where they are too short."""
     pairs = _true_pairs(spark, sf_dir)
-    score = S.global_block(F.col("block"), F.col("o_len"), F.col("o_n"), F.lit(False), Params(), 4)
-    return pairs.select("contig_id", "c_start", "c_n", "o_start", "o_n", F.round(score + TIE, 6).alias("score"))
+    return _summed(pairs, S.global_block(F.col("block"), F.col("o_len"), F.col("o_n"), F.col("edge"), Params(), 4))
 
 
-@query(on(CONTIGS, PAIRS + " SELECT contig_id, c_start, c_n, o_start, o_n, round(-1.25::DOUBLE * (chi2 - 4.0::DOUBLE) + (-3.0::DOUBLE * (c_n - 1) - 5.0::DOUBLE * (o_n - 1)) + 1e-9::DOUBLE, 6) AS score FROM prs"))
+@query(on(CONTIGS, PAIRS + ", scored AS (SELECT contig_id, c_n, o_n, round(-1.25::DOUBLE * (chi2 - 4.0::DOUBLE) + (-3.0::DOUBLE * (c_n - 1) - 5.0::DOUBLE * (o_n - 1)) + 1e-9::DOUBLE, 6) AS score FROM prs)" + SUMMED))
 def score_block_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _true_pairs(spark, sf_dir)
-    score = S.local_block(F.col("c_len"), F.col("o_len"), F.col("c_n"), F.col("o_n"), Params(), 4)
-    return pairs.select("contig_id", "c_start", "c_n", "o_start", "o_n", F.round(score + TIE, 6).alias("score"))
+    return _summed(pairs, S.local_block(F.col("c_len"), F.col("o_len"), F.col("c_n"), F.col("o_n"), Params(), 4))
 
 
-@query(on(CONTIGS, PAIRS + " SELECT contig_id, c_start, c_n, o_start, o_n, round(-(3.0::DOUBLE * (c_n - 1) + 5.0::DOUBLE * (o_n - 1) + chi2) + 1e-9::DOUBLE, 6) AS score FROM prs"))
+@query(on(CONTIGS, PAIRS + f", scored AS (SELECT contig_id, c_n, o_n, round(-(3.0::DOUBLE * (c_n - 1) + 5.0::DOUBLE * (o_n - 1) + {FREE}) + 1e-9::DOUBLE, 6) AS score FROM prs)" + SUMMED))
 def score_block_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _true_pairs(spark, sf_dir)
-    score = S.count_block(F.col("c_len"), F.col("o_len"), F.col("c_n"), F.col("o_n"), F.lit(False), Params(), 4)
-    return pairs.select("contig_id", "c_start", "c_n", "o_start", "o_n", F.round(score + TIE, 6).alias("score"))
+    return _summed(pairs, S.count_block(F.col("c_len"), F.col("o_len"), F.col("c_n"), F.col("o_n"), F.col("edge"), Params(), 4))
 
 
 # -- alignment
@@ -213,34 +230,57 @@ def dp_count_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("contig_id", "map_id").agg(F.round(F.max("score") + TIE, 6).alias("score"), F.count("*").alias("cells"))
 
 
-@query()
+BEST = """ SELECT contig_id, chromosome, forward, CAST(min(o_start) AS INTEGER) AS op_start_index, CAST(max(o_end) - 1 AS INTEGER) AS op_end_index, round({score} + 1e-9::DOUBLE, 6) AS score,
+  CAST(max(m) - 1 AS INTEGER) AS contig_hits, 0 AS contig_misses, CAST(sum(o_end - o_start - 1) AS INTEGER) AS optical_misses FROM truth WHERE {where} GROUP BY 1, 2, 3"""
+
+
+def _best(matches: DataFrame) -> DataFrame:
+    best = matches.filter("rank = 1")
+    return best.select("contig_id", "chromosome", "forward", "op_start_index", "op_end_index", F.round(F.col("score") + TIE, 6).alias("score"), "contig_hits", "contig_misses", "optical_misses")
+
+
+@query(on(TRUTH, BEST.format(score="sum(optical - CASE WHEN boundary AND c < o THEN 0.0::DOUBLE ELSE chi2 END)", where="TRUE")))
 def align_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best placement of each query over all maps and both strands."""
-    best = bridge.matches(spark, sf_dir).filter("rank = 1")
-    return best.select("contig_id", "chromosome", "forward", "op_start_index", "op_end_index", F.round("score", 6).alias("score"), "contig_hits", "contig_misses")
+    """Best placement of every query over all maps of its genome and both strands; the SQL states where each query was taken from and what its known changes cost."""
+    return _best(bridge.matches(spark, sf_dir))
 
 
-@query()
+@query(on(TRUTH, BEST.format(score="sum(-1.25::DOUBLE * (chi2 - 4.0::DOUBLE) + optical)", where="NOT boundary")))
 def align_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = bridge.matches(spark, sf_dir, bridge.PARAMS.but(local=True)).filter("rank = 1")
-    return best.select("contig_id", "chromosome", "forward", "op_start_index", "op_end_index", F.round("score", 6).alias("score"), "contig_hits", "contig_misses")
+    """Best local placement; end fragments belong to no block there."""
+    return _best(bridge.matches(spark, sf_dir, bridge.PARAMS.but(local=True)))
 
 
-@query()
+@query(on(TRUTH, " SELECT match_id, CAST(i AS INTEGER) AS chunk, CAST(i AS INTEGER) AS c_start, CAST(i + 1 AS INTEGER) AS c_end, CAST(o_start AS INTEGER) AS o_start, CAST(o_end AS INTEGER) AS o_end, FALSE AS is_contig_gap, boundary AS is_boundary_chunk FROM truth"))
 def align_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bridge.matches(spark, sf_dir).select("match_id", F.posexplode("alignment").alias("chunk", "x"))
+    """The chunks of every query's best placement."""
+    rows = bridge.matches(spark, sf_dir).filter("rank = 1").select("match_id", F.posexplode("alignment").alias("chunk", "x"))
     return rows.select("match_id", "chunk", F.col("x.contig.start").alias("c_start"), F.col("x.contig.end").alias("c_end"), F.col("x.optical.start").alias("o_start"), F.col("x.optical.end").alias("o_end"), "x.is_contig_gap", "x.is_boundary_chunk")
 
 
-@query()
+@query(on(TRUTH, " SELECT match_id, CAST(i AS INTEGER) AS chunk, 0.0::DOUBLE AS contig, optical, round(CASE WHEN boundary AND c < o THEN 0.0::DOUBLE ELSE -chi2 END + 1e-9::DOUBLE, 6) AS sizing FROM truth"))
+def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three parts of the score of each chunk of every query's best placement, the end chunks' too."""
+    rows = bridge.matches(spark, sf_dir).filter("rank = 1").select("match_id", F.posexplode("alignment").alias("chunk", "x"))
+    return rows.select("match_id", "chunk", (F.col("x.score.contig") + 0.0).alias("contig"), (F.col("x.score.optical") + 0.0).alias("optical"), F.round(F.col("x.score.sizing") + TIE, 6).alias("sizing"))
+
+
+@query(on(TRUTH, """ SELECT match_id, CAST(2 * (max(m) - 1) AS INTEGER) AS total_hits, CAST(sum(o_end - o_start - 1) AS INTEGER) AS total_misses, 0 AS contig_unaligned_frags, 0 AS contig_unaligned_bases,
+  CAST(sum(c) AS INTEGER) AS c_aligned_bases, CAST(sum(CASE WHEN boundary THEN c ELSE o END) AS INTEGER) AS op_aligned_bases, round(sum(chi2) FILTER (NOT boundary) + 1e-9::DOUBLE, 6) AS chi2,
+  round(sum(o_end - o_start - 1)::DOUBLE / (2 * (max(m) - 1) + sum(o_end - o_start - 1)) + 1e-9::DOUBLE, 6) AS total_miss_rate,
+  round(least(sum(c) FILTER (NOT boundary), sum(o) FILTER (NOT boundary))::DOUBLE / greatest(sum(c) FILTER (NOT boundary), sum(o) FILTER (NOT boundary)) + 1e-9::DOUBLE, 6) AS aligned_length_ratio FROM truth GROUP BY 1"""))
 def match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every query's best placement."""
     columns = ["total_hits", "total_misses", "contig_unaligned_frags", "contig_unaligned_bases", "c_aligned_bases", "op_aligned_bases"]
-    return bridge.matches(spark, sf_dir).select("match_id", *columns, F.round("chi2", 6).alias("chi2"), F.round("total_miss_rate", 6).alias("total_miss_rate"), F.round("aligned_length_ratio", 6).alias("aligned_length_ratio"))
+    rounded = [F.round(F.col(c) + TIE, 6).alias(c) for c in ("chi2", "total_miss_rate", "aligned_length_ratio")]
+    return bridge.matches(spark, sf_dir).filter("rank = 1").select("match_id", *columns, *rounded)
 
 
-@query()
+@query(on(TRUTH, """ SELECT match_id, string_agg(' ' || o_text || ' ', '; ' ORDER BY i) AS optical_match_string, string_agg(array_to_string(range(o_start, o_end), ','), ';' ORDER BY i) AS optical_aligned_index,
+  string_agg(' ' || c || ', ', '; ' ORDER BY i) AS contig_match_string, string_agg(CAST(i AS VARCHAR), ';' ORDER BY i) AS contig_aligned_index, '' AS contig_lost_index FROM truth GROUP BY 1"""))
 def match_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placement.match_strings(bridge.matches(spark, sf_dir))
+    """Every query's best placement as strings; that of the scores is held against its format in a test."""
+    return placement.match_strings(bridge.matches(spark, sf_dir).filter("rank = 1")).drop("score_string")
 
 
 @query()
@@ -248,9 +288,10 @@ def alignment_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.alignment_tables(bridge.matches(spark, sf_dir).withColumn("pval", F.lit(0.0)))
 
 
-@query()
+@query(on(TRUTH, " SELECT match_id, CAST(i AS INTEGER) AS chunk, CAST(c AS INTEGER) AS contig, CAST(o AS INTEGER) AS optical FROM truth WHERE NOT boundary"))
 def inner_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placement.inner_chunks(bridge.matches(spark, sf_dir))
+    """Lengths of the blocks between two sites of every query's best placement."""
+    return placement.inner_chunks(bridge.matches(spark, sf_dir).filter("rank = 1"))
 
 
 @query()
@@ -355,30 +396,30 @@ PICK = "CAST(('0x' || substr(md5({keys}), 1, 8)) AS BIGINT) % {n}"
 
 
 @query(on(FRAGS, f""", pool AS (SELECT CAST(row_number() OVER (ORDER BY map_id, frag_idx) - 1 AS BIGINT) AS place, size FROM frags), n AS (SELECT count(*) AS n FROM pool),
-draws AS (SELECT f AS num_frags, t AS trial, k FROM range(10, 20) a(f), range(50) b(t), unnest(range(f)) c(k)),
+draws AS (SELECT f AS num_frags, t AS trial, k FROM range(10, 20) a(f), range(1000) b(t), unnest(range(f)) c(k)),
 got AS (SELECT d.*, {PICK.format(keys="concat_ws('|', num_frags, trial, k)", n="(SELECT n FROM n)")} AS place FROM draws d)
 SELECT 'random_' || num_frags || '_' || trial AS map_id, CAST(num_frags AS INTEGER) AS num_frags, CAST(trial AS INTEGER) AS trial, CAST(sum(size * (k + 1)) AS BIGINT) AS checksum FROM got JOIN pool USING (place) GROUP BY 1, 2, 3"""))
 def random_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """50 random queries of each of 10 to 19 fragments."""
+    """1000 random queries of each of 10 to 19 fragments."""
     pool = significance.fragment_pool(bridge.reference_maps(spark, sf_dir))
-    drawn = significance.random_contigs(pool, spark.range(10, 20).select(F.col("id").cast("int").alias("num_frags")), 50)
+    drawn = significance.random_contigs(pool, spark.range(10, 20).select(F.col("id").cast("int").alias("num_frags")), 1000)
     checksum = F.aggregate(F.transform("frags", lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return drawn.select("map_id", "num_frags", "trial", checksum.alias("checksum"))
 
 
 @query()
 def null_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null scores for each number of fragments of the queries, three trials each, over all maps."""
-    p = bridge.PARAMS.but(trials=3)
+    """Null scores for each number of fragments of the queries, over all maps; the dearest query, so it has a number of trials of its own."""
+    p = bridge.PARAMS.but(trials=NULL_TRIALS)
     return significance.null_table(bridge.contigs(spark, sf_dir), bridge.reference_maps(spark, sf_dir), p).withColumn("score", F.round("score", 6))
 
 
 def _stated_null(spark: SparkSession) -> DataFrame:
-    draws = spark.range(10, 20).select(F.col("id").cast("int").alias("num_frags"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("trial"))
+    draws = spark.range(10, 20).select(F.col("id").cast("int").alias("num_frags"), F.explode(F.sequence(F.lit(0), F.lit(999))).alias("trial"))
     return draws.withColumn("score", -significance.pick(F.lit(100), F.col("num_frags"), F.col("trial")) / 4.0)
 
 
-@query(on(PLACEMENTS, f""", null_ AS (SELECT f AS num_frags, -({PICK.format(keys="concat_ws('|', f, t)", n="100")}) / 4.0::DOUBLE AS null_score FROM range(10, 20) a(f), range(200) b(t))
+@query(on(PLACEMENTS, f""", null_ AS (SELECT f AS num_frags, -({PICK.format(keys="concat_ws('|', f, t)", n="100")}) / 4.0::DOUBLE AS null_score FROM range(10, 20) a(f), range(1000) b(t))
 SELECT match_id, round(avg(CASE WHEN null_score >= score THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS pval FROM matches JOIN null_ USING (num_frags) GROUP BY 1"""))
 def empirical_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p-values of stated placements under a stated null distribution."""
@@ -387,15 +428,15 @@ def empirical_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(on(FRAGS, f""", pool AS (SELECT CAST(row_number() OVER (ORDER BY map_id, frag_idx) - 1 AS BIGINT) AS place, -(size % 64) / 16.0::DOUBLE AS score FROM frags), n AS (SELECT count(*) AS n FROM pool),
-draws AS (SELECT f AS num_chunks, t AS sample, k FROM range(5, 10) a(f), range(1000) b(t), unnest(range(f)) c(k)),
+draws AS (SELECT f AS num_chunks, t AS sample, k FROM range(5, 10) a(f), range(10000) b(t), unnest(range(f)) c(k)),
 sums AS (SELECT num_chunks, sample, sum(score) AS null_score FROM (SELECT d.*, {PICK.format(keys="concat_ws('|', num_chunks, sample, k)", n="(SELECT n FROM n)")} AS place FROM draws d) JOIN pool USING (place) GROUP BY 1, 2)
 SELECT map_id, CAST(num_chunks AS INTEGER) AS num_chunks, round(avg(CASE WHEN null_score >= s THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS pval FROM sums JOIN (SELECT map_id, 5 + num_frags % 5 AS num_chunks, -(length % 160) / 10.0::DOUBLE AS s FROM maps) USING (num_chunks) GROUP BY 1, 2"""))
 def chunk_bootstrap_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bootstrap p-values: 1000 sums for each number of chunks, drawn from stated chunk scores."""
+    """Bootstrap p-values: 10,000 sums for each number of chunks, drawn from stated chunk scores."""
     maps = bridge.reference_maps(spark, sf_dir)
     pool = significance.fragment_pool(maps).select("place", (-(F.col("size") % 64) / 16.0).alias("score"))
     scored = maps.select(F.col("map_id").alias("match_id"), (-(F.col("length") % 160) / 10.0).alias("score"), F.sequence(F.lit(1), (5 + F.col("num_frags") % 5)).alias("alignment"))
-    boot = significance.bootstrap(pool, scored.select(F.size("alignment").alias("num_chunks")), 1000)
+    boot = significance.bootstrap(pool, scored.select(F.size("alignment").alias("num_chunks")))
     return significance.bootstrap_pvalues(scored, boot).select(F.col("match_id").alias("map_id"), "num_chunks", F.round("pval", 6).alias("pval"))
 
 
@@ -497,7 +538,15 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joint.run_summary(joint.tagged(part(0), part(1), part(2)), optical).withColumns({"mbp": F.round("mbp", 6), "ratio": F.round("ratio", 6)})
 
 
-@query()
+@query(on(MERGED, """, s AS (SELECT 'contig' || c_custkey AS contig_id, c_nationkey AS scaffold, 500 + c_custkey % 9 * 400 AS size FROM customer),
+p AS (SELECT s.scaffold, m.contig_id, m.dir, m.loc, m.sd, CAST(s.size AS DOUBLE) AS size, row_number() OVER (PARTITION BY s.scaffold ORDER BY m.loc, m.contig_id) AS r FROM merged m JOIN s USING (contig_id) WHERE m.loc IS NOT NULL),
+steps AS (
+  SELECT scaffold, r, contig_id, dir, loc, size, TRUE AS ok, loc + size AS last_end, sd AS last_sd FROM p WHERE r = 1
+  UNION ALL
+  SELECT p.scaffold, p.r, p.contig_id, p.dir, p.loc, p.size, f.ok, CASE WHEN f.ok THEN p.loc + p.size ELSE t.last_end END, CASE WHEN f.ok THEN p.sd ELSE t.last_sd END
+  FROM steps t JOIN p ON p.scaffold = t.scaffold AND p.r = t.r + 1, LATERAL (SELECT p.loc >= t.last_end OR (p.loc + p.size > t.last_end AND p.loc + 12 * (p.sd + t.last_sd) > t.last_end) AS ok) f)
+SELECT scaffold, CAST(row_number() OVER w AS INTEGER) AS "order", contig_id, dir AS orientation, CAST(size AS INTEGER) AS size, CAST(trunc(CASE WHEN lead(loc) OVER w IS NULL THEN 0 ELSE greatest(1, lead(loc) OVER w - loc - size) END) AS INTEGER) AS gap
+FROM steps WHERE ok WINDOW w AS (PARTITION BY scaffold ORDER BY r)""", recursive=True))
 def joint_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merged locations as one ordered, non-overlapping scaffold for each nation."""
     customers = bridge.table(spark, sf_dir, "customer").select(F.concat(F.lit("contig"), F.col("c_custkey")).alias("contig_id"), F.col("c_nationkey").alias("scaffold"), (500 + F.pmod("c_custkey", F.lit(9)) * 400).cast("int").alias("size"))

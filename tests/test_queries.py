@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from fragloom.plans.registry import QUERIES, SQL
+from fragloom.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,13 +42,22 @@ def test_others_give_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-def test_queries_find_their_true_place(spark):
-    from fragloom.plans import bridge
+def test_circular_maps_and_wider_tolerances(spark):
+    """Queries across a circular map's origin, with sizing errors that need a wider tolerance, are found where they were taken."""
+    import random
+
+    from fragloom.operators.align import align
+    from fragloom.params import Params
 
-    best = QUERIES["align_best"](spark, SF)
-    truth = bridge.contigs(spark, SF).withColumnRenamed("map_id", "contig_id")
-    rows = best.join(truth, "contig_id").collect()
-    assert rows and all((r.chromosome, r.forward, r.op_start_index) == (r.true_map, r.true_forward, r.true_start) for r in rows)
+    rng = random.Random(4)
+    frags = [rng.randrange(3000, 60000) for _ in range(70)]
+    turned = frags[-6:] + frags[:9]
+    off = [x + int(6.5 * (100 * x) ** 0.5) if k == 7 else x for k, x in enumerate(frags[20:36])]  # beyond four deviations at one place
+    maps = spark.createDataFrame([("m", frags)], "map_id string, frags array<int>")
+    queries = spark.createDataFrame([("round", turned), ("off", off[::-1])], "map_id string, frags array<int>")
+    got = {r.contig_id: r for r in align(queries, maps, Params(circular=True, sd_min=4, sd_max=8)).filter("rank = 1").collect()}
+    assert (got["round"].op_start_index, got["round"].op_end_index, got["round"].sd) == (64, 78, 4) and got["round"].op_end_bp > sum(frags)
+    assert (got["off"].op_start_index % 70, got["off"].forward) == (20, False) and 4 <= got["off"].sd <= 8
 
 
 def test_statistics_from_chunks_agree_with_the_kernel(spark):
