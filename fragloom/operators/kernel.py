@@ -23,10 +23,10 @@ def missed_score(distance: float, p: Params) -> float:
     return -p.cost_contig if distance > p.small else gap_score(distance, p) + 1e-6
 
 
-def block_cost(sizes: np.ndarray, p: Params) -> float:
+def block_cost(sizes: list[int], p: Params) -> float:
     """Cost of the inner sites of a block of query fragments."""
-    total, at, cost = int(sizes.sum()), 0, 0.0
-    for x in sizes[:-1].tolist():
+    total, at, cost = sum(sizes), 0, 0.0
+    for x in sizes[:-1]:
         at += x
         cost += missed_score(min(at, total - at), p)
     return cost
@@ -62,7 +62,7 @@ def fill(contig: np.ndarray, optical: np.ndarray, n_chrom: int, sd: float, p: Pa
     lengths = (sums[at] - sums[np.maximum(at - w, 0)]).astype(np.float64)
     outside = at < w
     sites = -p.cost_optical * (w - 1)
-    starts = np.concatenate([[0], np.cumsum(contig, dtype=np.int64)])
+    own, starts = contig.tolist(), np.concatenate([[0], np.cumsum(contig, dtype=np.int64)])
     padded = np.full((m, reach + n), NONE)
     down, step = padded.strides
     padded[0, reach:] = score[0]
@@ -74,7 +74,7 @@ def fill(contig: np.ndarray, optical: np.ndarray, n_chrom: int, sd: float, p: Pa
             ks = [k for k in range(i - 1, max(0, i - reach) - 1, -1) if not (local and p.boundaries and (k == 0 or i == m - 1))]
             if ks:
                 c_len = (starts[i] - starts[ks]).astype(np.float64)[:, None, None]
-                missed = np.array([-p.cost_contig * (i - k - 1) if local or by_count else block_cost(contig[k:i], p) for k in ks])[:, None, None]
+                missed = np.array([-p.cost_contig * (i - k - 1) if local or by_count else block_cost(own[k:i], p) for k in ks])[:, None, None]
                 chi2 = c_len - lengths
                 chi2 *= chi2
                 chi2 /= c_len * p.sigma2
@@ -208,7 +208,39 @@ def chunk_parts(x: Chunk, contig: np.ndarray, optical: np.ndarray, p: Params) ->
     chi2 = (c - o) ** 2 / (p.sigma2 * c) if c else 0.0
     if p.local:
         return (-p.cost_contig * (x.c_end - x.c_start - 1), optical, -p.a * (chi2 - p.t2))
-    return (block_cost(sizes, p), optical, 0.0 if x.boundary and c < o else -chi2)
+    return (block_cost(sizes.tolist(), p), optical, 0.0 if x.boundary and c < o else -chi2)
+
+
+def may_pass(table: Table, i: np.ndarray, j: np.ndarray, c_bounds: np.ndarray, o_bounds: np.ndarray, p: Params) -> np.ndarray:
+    """Whether the trails that end in the cells (i, j) pass the acceptance test; all trails are followed at once, a step at a time."""
+    last, n = len(c_bounds) - 1, len(i)
+    chi2, c_inner, o_inner = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    blocks, hits, c_misses = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at, i, j = np.arange(n), i.astype(np.int64), j.astype(np.int64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        while len(at):
+            k, q = table.row[i, j].astype(np.int64), table.col[i, j].astype(np.int64)
+            on = (k >= 0) & (q >= 0)
+            at, i, j, k, q = at[on], i[on], j[on], k[on], q[on]
+            if not len(at):
+                break
+            solid = j != q
+            edge = ((k == 0) | (i == last)) & p.boundaries
+            c, o = c_bounds[i] - c_bounds[k], o_bounds[j] - o_bounds[q]
+            inner, x = solid & ~edge, at[solid & ~edge]
+            chi2[x] += ((o - c)[inner].astype(float) ** 2) / (p.sigma2 * c[inner])
+            c_inner[x] += c[inner]
+            o_inner[x] += o[inner]
+            blocks[x] += 1
+            c_misses[at[solid]] += (i - k - 1)[solid]
+            hits[at[solid & ~(edge & (k > 0))]] += 1
+            begins = (table.row[k, q] < 0) | (table.col[k, q] < 0)
+            hits[at[begins & solid & ~edge]] += 1
+            i, j = k, q
+        ratio = np.minimum(c_inner, o_inner) / np.maximum(c_inner, o_inner)
+        few = hits < p.min_hits if p.local else hits <= p.min_hits
+        bad = (chi2 / blocks > p.max_avg_chi2) & (blocks > 0) | (ratio < p.min_length_ratio) | few
+        return ~(bad | (c_misses > 0) & (c_misses / (hits + c_misses) > p.max_miss_rate))
 
 
 def matches_of(contig: np.ndarray, optical: np.ndarray, n_chrom: int, sd: float, p: Params) -> list[Match]:
@@ -221,9 +253,11 @@ def matches_of(contig: np.ndarray, optical: np.ndarray, n_chrom: int, sd: float,
     else:
         j = np.flatnonzero(table.score[m - 1, 1:] > NONE) + 1
         i = np.full(len(j), m - 1)
+    c_sums, o_sums = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (contig, optical))
+    good = may_pass(table, i, j, c_sums, o_sums, p)
+    i, j = i[good], j[good]
     order = np.lexsort((j, i, table.score[i, j]))[::-1]
-    c_bounds = [0, *np.cumsum(contig).tolist()]
-    o_bounds = [0, *np.cumsum(optical).tolist()]
+    c_bounds, o_bounds = c_sums.tolist(), o_sums.tolist()
     out: list[Match] = []
     used: set[tuple[int, int]] = set()
     for k in order.tolist():

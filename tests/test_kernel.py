@@ -129,6 +129,25 @@ def test_ends_that_are_too_long_cost():
     assert best.score == pytest.approx(want) == pytest.approx(best.chunks[0].parts[2] + best.chunks[-1].parts[2])
 
 
+@pytest.mark.parametrize("seed", range(10))
+@pytest.mark.parametrize("local", [False, True])
+@pytest.mark.parametrize("boundaries", [False, True])
+def test_trails_judged_at_once_are_judged_alike(seed, local, boundaries):
+    rng, optical = make(seed, 90)
+    contig = np.array([rng.randrange(100, 40000) for _ in range(11)] if seed % 2 else [max(1, x + rng.randrange(-2500, 2500)) for x in optical[20:32].tolist()])
+    p = Params(local=local, boundaries=boundaries, min_hits=2 + seed % 3, min_length_ratio=0.97, max_miss_rate=0.1)
+    table = K.fill(contig, optical, 90, 6, p)
+    cells = table.score > 0 if local else table.score > -np.inf
+    i, j = np.nonzero(cells[1:, 1:])
+    i, j = i + 1, j + 1
+    c, o = ([0, *np.cumsum(x).tolist()] for x in (contig, optical))
+    got = K.may_pass(table, i, j, np.array(c), np.array(o), p)
+    for a, b, good in zip(i.tolist(), j.tolist(), got.tolist(), strict=True):
+        chunks = K.chunks_of(K.trail(table, a, b), c, o, p)
+        # A boundary chunk's coordinates are the query's, so inner lengths are the fragments' on both ways.
+        assert good == (bool(chunks) and K.passes(K.statistics(chunks, c[-1], p), p)), (a, b)
+
+
 def test_wider_tolerance_never_scores_less():
     rng, optical = make(5)
     contig = np.array([rng.randrange(500, 70000) for _ in range(12)])
