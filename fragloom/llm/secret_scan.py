@@ -445,6 +445,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """``docs``, all columns and rows, with secrets in the text replaced by ``mark``; texts without any stay as they are.
 
+    Null and empty texts stay null and empty, repeated rows are each cleaned, an empty table gives no rows, other columns stay as they are, whatever their names.
     ``n_chars``, if there is such a column, then counts the new text's characters; null texts keep theirs.
     """
     bound_batches(docs.sparkSession)

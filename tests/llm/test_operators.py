@@ -466,6 +466,47 @@ def test_op6_accuracy_and_cases(spark):
     assert with_edge.filter("score is null or score < 0 or score > 1").count() == 0
 
 
+def test_op6_against_one_solve_of_all_rows(spark):
+    """Scores from one matrix of all training rows, solved at once, and violators pooled one by one."""
+    from fragloom.llm import quality_model as Q
+
+    docs, labels, rows = labelled(spark, 400)
+    got = {r.doc_id: r.score for r in Q.quality_scores(docs, labels).collect()}
+    y = defaultdict(list)
+    for r in labels.filter("doc_id is not null and quality is not null").collect():
+        y[r.doc_id].append(r.quality)
+    text = dict(rows)
+    learn = [i for i in y if i in text and zlib.crc32(str(i).encode()) % 5]
+    side = {r.i: r.c for r in spark.createDataFrame([(i,) for i in learn], "i long").select("i", (F.pmod(F.xxhash64(F.lit("calibrate"), "i"), F.lit(4)) == 0).alias("c")).collect()}
+    train, tune = [i for i in learn if not side[i]], [i for i in learn if side[i]]
+    x = np.array([Q.statistics(text[i]) for i in train])
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd = np.where(sd > 1e-6, sd, 1.0)
+    rng = np.random.Generator(np.random.PCG64(5))
+    directions = rng.standard_normal((x.shape[1], 256)) / (0.7 * np.sqrt(x.shape[1]))
+    phases = rng.uniform(0, 2 * np.pi, 256)
+    of = lambda t: np.append(np.cos(np.clip((np.array(Q.statistics(t)) - mean) / sd, -8, 8) @ directions + phases) * np.sqrt(2 / 256), 1.0)
+    z = np.array([of(text[i]) for i in train])
+    penalty = 1e-3 * len(train) / 256 * np.eye(257)
+    penalty[-1, -1] = 0
+    w = np.linalg.solve(z.T @ z + penalty + 1e-9 * np.eye(257), z.T @ np.array([np.mean(y[i]) for i in train]))
+    raw = {i: float(np.clip(of(t) @ w, -0.5, 1.5)) for i, t in text.items()}
+    bins = defaultdict(list)
+    for i in tune:
+        bins[round(raw[i] * 1000)].append(np.mean(y[i]))
+    blocks = [[k / 1000 * len(v), sum(v), len(v)] for k, v in sorted(bins.items())]
+    k = 0
+    while k + 1 < len(blocks):  # plain pooling: join the first pair that falls, start anew
+        if blocks[k][1] / blocks[k][2] >= blocks[k + 1][1] / blocks[k + 1][2]:
+            blocks[k : k + 2] = [[a + b for a, b in zip(blocks[k], blocks[k + 1], strict=True)]]
+            k = 0
+        else:
+            k += 1
+    for i in text:
+        want = np.interp(raw[i], [a / n for a, _, n in blocks], [b / n for _, b, n in blocks])
+        assert got[i] == pytest.approx(want, abs=2e-3), i
+
+
 def test_op6_pooling():
     from fragloom.llm.quality_model import pooled
 
@@ -621,6 +662,33 @@ def test_op9_ngrams_of_any_length():
     assert w[0, 0] > w[0, 1] and w[2, 1] > w[2, 0] and (w[1] == 0).all() and (w[3] == 0).all()
 
 
+def test_op9_leader_and_frequencies_against_dense_ones(spark):
+    from fragloom.llm.langid import FEATURES, Leader, fit, ngrams
+
+    rng = np.random.default_rng(6)
+    leader, z, n = Leader(12, 3, l1=0.05), np.zeros((12, 3)), np.zeros((12, 3))
+    weights = lambda: np.where(np.abs(z) <= 0.05, 0.0, -(z - np.sign(z) * 0.05) / ((1.0 + np.sqrt(n)) / 1.0 + 0.01))
+    for _ in range(200):
+        at = np.sort(rng.choice(12, rng.integers(1, 6), replace=False))
+        x, label = rng.uniform(0, 1, len(at)), int(rng.integers(3))
+        leader.learn(at, x, label)
+        dense = np.zeros(12)
+        dense[at] = x
+        w = weights()
+        e = np.exp(dense @ w - (dense @ w).max())
+        g = np.outer(dense, e / e.sum() - np.eye(3)[label])
+        step = np.sqrt(n + g * g) - np.sqrt(n)
+        z, n = z + g - step * w, n + g * g
+    assert np.allclose(leader.weights(slice(None)), weights()) and (weights() == 0).any()
+    rows = [(k, f"{lang} {LANGS[lang]} {k % 7}", lang) for k in range(60) for lang in [list(LANGS)[k % 3]]]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), per_language=5, calibrate=2)
+    known = [t for k, t, _ in rows if zlib.crc32(str(k).encode()) % 5]
+    df = np.zeros(FEATURES)
+    for t in known:
+        df[ngrams(t)[0]] += 1
+    assert np.allclose(model.idf, np.log((1 + len(known)) / (1 + df)) + 1, atol=1e-5) and model.langs == sorted(LANGS)
+
+
 # -- 10
 
 
@@ -707,6 +775,22 @@ def test_op10_pigeonhole_and_bitmaps():
         assert found == 200
 
 
+def test_op10_representatives_pivots_and_chains(spark):
+    """Families that only chains hold together: what the representative doesn't reach must come by pivots or blocks."""
+    from fragloom.llm import near_dup as N
+
+    rng = np.random.default_rng(9)
+    vocab = [f"w{k}" for k in range(4000)]
+    rows = []
+    for f in range(3):
+        words = rng.choice(vocab, 90).tolist()
+        for step in range(40):  # each copy differs from the one before it by a word; the ends have little in common
+            rows.append((f * 1000 + step, " ".join(words)))
+            words[(step * 7) % 90] = rng.choice(vocab)
+    out = N.near_duplicates(docs_of(spark, rows), 3, 85, block=6)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()) == brute_components(rows, 3, 85)
+
+
 def test_components_of_a_long_path(spark):
     from fragloom.llm.components import components
 
