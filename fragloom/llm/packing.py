@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
         from pyspark import TaskContext
 
         part, encoder, seen = TaskContext.get().partitionId(), Encoder.of(tokenizer, spaced=True), [0] * (capacity + 1)
-        for batch in gather(batches):
+        for batch in gather(batches, 3_000_000):
             ends, values = encoder.encode_column(batch.column(1), end_id)
             data, rows = memoryview(values).cast("B"), []
             for doc_id, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
