@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions without the setting, by application.
+FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it is unset and the master is local (tests), a temporary folder takes its place."""
+    """The session's ``spark.checkpoint.dir``; only where it is unset and the master is local (tests), a temporary folder of the application takes its place."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
-    where = f"file://{tempfile.mkdtemp(prefix='fragloom-')}"
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    app = spark.sparkContext.applicationId
+    if app not in FOLDERS:
+        FOLDERS[app] = f"file://{tempfile.mkdtemp(prefix='fragloom-')}"
+    return FOLDERS[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
