@@ -86,11 +86,29 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_duplicates
+
+    return simhash_duplicates(_table(spark, sf_dir, "documents"), width=4, distance=4)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence_report
+
+    return divergence_report(_table(spark, sf_dir, "documents"), least_docs=3, most_terms=200)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_orc, op2_license_scan, op3_secret_scan, op4_url_filter, op5_decontaminate, op6_quality_classifier, op7_quality_rules, op8_best_fit_packing,
-        op9_language_id, op10_minhash_near_dedup,
+        op9_language_id, op10_minhash_near_dedup, op11_simhash_near_dedup, op12_fill_in_middle, op13_source_divergence,
     )
 }
 SQL: dict[str, str] = {
@@ -98,4 +116,6 @@ SQL: dict[str, str] = {
     "op5_decontaminate": sql.decontaminate(),
     "op7_quality_rules": sql.quality_rules(),
     "op10_minhash_near_dedup": sql.near_duplicates(),
+    "op12_fill_in_middle": sql.fill_in_middle(),
+    "op13_source_divergence": sql.source_divergence(),
 }
