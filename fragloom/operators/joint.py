@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..scratch import cut
 from ..session import ship_package
+from . import fixpoint
 
 TOLERANCE = 12  # standard deviations
 
@@ -77,58 +77,21 @@ def overhangs(records: DataFrame, optical: DataFrame) -> DataFrame:
 
 
 def place_to_fixpoint(candidates: DataFrame, optical: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
-    """``candidates`` (map_id, record, contig_id, op_start, op_end, start_hang, end_hang) with status ``placed``, ``conflict`` or ``rest``.
+    """``candidates`` (map_id, record, contig_id, op_start, op_end) with status ``placed``, ``conflict`` or ``rest``.
 
     In turns: candidates that meet an occupied fragment, or stick out into one that is too short, go; the first query with exactly one candidate left is placed and occupies
-    its fragments.  Each map is a group of its own; a turn depends on all before it, so a map's candidates are worked off in order.
+    its fragments.  ``fixed`` ones are placed before.  What sticks out is worked out anew as fragments become shorter, from the columns of :func:`with_ends` (c_start, c_end, o_first, o_last); without
+    these, it is start_hang and end_hang throughout.  See :mod:`fixpoint`.
     """
-    ship_package(candidates.sparkSession)
-    columns = ["map_id", "record", "contig_id", "op_start", "op_end", "start_hang", "end_hang"]
-    c = candidates.select(*columns, F.lit(0).alias("kind"), F.lit(None).cast("double").alias("size"), F.lit(None).cast("double").alias("sd"))
-    o = optical.select("map_id", F.col("place").cast("bigint").alias("record"), F.lit("").alias("contig_id"), *[F.lit(0).alias(x) for x in columns[3:]], F.lit(1).alias("kind"), F.col("size").cast("double"), F.col("sd").cast("double"))
-    rows = c.withColumn("record", F.col("record").cast("bigint")).unionByName(o)
-    if fixed is not None:
-        rows = rows.unionByName(fixed.select(*columns, F.lit(2).alias("kind"), F.lit(None).cast("double").alias("size"), F.lit(None).cast("double").alias("sd")).withColumn("record", F.col("record").cast("bigint")))
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        frags = df[df.kind == 1].sort_values("record")
-        size, sd = frags["size"].tolist(), frags["sd"].tolist()
-        n = len(size)
-        cands = df[df.kind == 0].sort_values("record")
-        status = dict.fromkeys(cands["record"].tolist(), "rest")
-
-        def occupy(r) -> None:
-            size[r.op_start % n] = max(size[r.op_start % n] - r.start_hang, 0)
-            size[r.op_end % n] = max(size[r.op_end % n] - r.end_hang, 0)
-            for k in range(r.op_start + 1, r.op_end):
-                sd[k % n] = 0
-
-        def clashes(r) -> bool:
-            if any(sd[k % n] == 0 for k in range(r.op_start, r.op_end + 1)):
-                return True
-            return any(size[k % n] + TOLERANCE * sd[k % n] < h for k, h in ((r.op_start, r.start_hang), (r.op_end, r.end_hang)))
-
-        for r in df[df.kind == 2].sort_values("record").itertuples():
-            occupy(r)
-        open_ = list(cands.itertuples())
-        while open_ and n:
-            left, copies = [], {}
-            for r in open_:
-                if clashes(r):
-                    status[r.record] = "conflict"
-                else:
-                    left.append(r)
-                    copies[r.contig_id] = copies.get(r.contig_id, 0) + 1
-            one = next((r for r in left if copies[r.contig_id] == 1), None)
-            open_ = [r for r in left if r is not one]
-            if one is None:
-                break
-            status[one.record] = "placed"
-            occupy(one)
-        numbers = cands["record"].tolist()
-        return pd.DataFrame({"map_id": [str(x) for x in cands["map_id"]], "record": numbers, "contig_id": [str(x) for x in cands["contig_id"]], "status": [status[k] for k in numbers]}, dtype=object).astype({"record": "int64"})
-
-    return rows.groupBy("map_id").applyInPandas(run, "map_id string, record bigint, contig_id string, status string")
+
+    def shaped(rows: DataFrame, is_fixed: bool) -> DataFrame:
+        if "o_first" not in rows.columns:
+            rows = rows.withColumns({"c_start": F.col("start_hang"), "c_end": F.col("end_hang"), "o_first": F.col("op_start") + 1, "o_last": F.col("op_end")})
+        ends = [F.col(c).cast("double" if c[0] == "c" else "int").alias(c) for c in ("c_start", "c_end", "o_first", "o_last")]
+        return rows.select("map_id", F.col("record").cast("bigint").alias("record"), "contig_id", "op_start", "op_end", *ends, F.lit(is_fixed).alias("fixed"))
+
+    rows = shaped(candidates, False)
+    return fixpoint.settled(rows if fixed is None else rows.unionByName(shaped(fixed, True)), optical)
 
 
 def scaffolds(records: DataFrame, optical: DataFrame) -> DataFrame:
@@ -302,7 +265,7 @@ def placed_records(records: DataFrame, optical: DataFrame) -> DataFrame:
     """
     once = records.withColumn("_n", F.count("*").over(Window.partitionBy("map_id", "contig_id")))
     single, several = once.filter("_n = 1").drop("_n"), once.filter("_n > 1").drop("_n")
-    status = place_to_fixpoint(overhangs(several, optical), optical, overhangs(single, optical)).select("map_id", "record", "status")
+    status = place_to_fixpoint(with_ends(several), optical, with_ends(single)).select("map_id", "record", "status")
     later = several.drop("type").join(status, ["map_id", "record"]).withColumn("type", F.when(F.col("status") == "placed", "FILTER").otherwise(F.col("status"))).drop("status")
     return single.drop("type").withColumn("type", F.lit("MATCH")).unionByName(later)
 

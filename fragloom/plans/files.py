@@ -162,10 +162,80 @@ def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return records, optical
 
 
-@query()
+#: Four kinds of records: the strings, the sites of matched fragments, and, as the SQL states it, the query bp outside the outermost matched sites forward and reversed, and the
+#: map's fragments before the first and the last matched site.
+KINDS = (
+    ("3000 ;4000 5000 ;1000", "1500 ;4000 5000 ;1500", (1500, 5500, 10500), (1500, 1500), (1500, 1500), (1, 3)),
+    ("3000 2000 ;4000 5000 ;1000 900", "500 1500 ;4000 ;3000 3000", (500, 2000, 6000, 9000), (2000, 6000), (6000, 2000), (2, 4)),
+    ("3000 ;4000 5000 ;1000", "1500 ;4000 5000 ;1500", (1500, 1900, 5500, 10500), (1500, 1500), (1500, 1500), (1, 3)),
+    ("3000 ;4000 5000 ;1000", "9000 ;1000 1500 ;500", (9000, 10000, 11500), (9000, 500), (500, 9000), (1, 3)),
+)
+
+
+def _ambiguous(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Placement records of four kinds, crowded into the first fragments of each map, where neighbouring suppliers' queries go by one name; and the maps."""
+    _, optical = _records(spark, sf_dir)
+    m = bridge.placements(spark, sf_dir)
+    k = F.substring("contig_id", 7, 20).cast("bigint")
+    number = F.row_number().over(bridge.Window.partitionBy("chromosome").orderBy("match_id")) - 1
+    of = lambda i, shown: F.element_at(F.array(*[shown(x[i]) for x in KINDS]), (F.pmod(k, F.lit(4)) + 1).cast("int"))
+    start = F.pmod("op_start_index", F.lit(50))
+    rows = m.select(
+        F.col("chromosome").alias("map_id"), number.cast("bigint").alias("record"), F.concat(F.lit("contig"), F.floor(k / 6)).alias("contig_id"), F.lit(12000).alias("size"), "forward", start.alias("op_start"),
+        (start + F.col("op_end_index") - F.col("op_start_index")).alias("op_end"), of(0, F.lit).alias("optical_string"), of(1, F.lit).alias("contig_string"),
+        of(2, lambda x: F.array(*[F.lit(v) for v in x])).alias("sites"), F.lit("").alias("type"),
+    )
+    return rows, optical
+
+
+def _turns_sql(select: str) -> str:
+    """The turns of each map as a recursion on its state: sizes, deviations, fixed records still to come, open ones, and the one placed last."""
+    by_kind = ", ".join(f"({i}, {fw[0]}, {fw[1]}, {rv[0]}, {rv[1]}, {at[0]}, {at[1]})" for i, (_, _, _, fw, rv, at) in enumerate(KINDS))
+    room = lambda a, b: f"coalesce(list_sum(list_transform(range({a}, {b}), lambda k: sz[k + 1])), 0) + 12 * sqrt(coalesce(list_sum(list_transform(range({a}, {b}), lambda k: sd[k + 1] * sd[k + 1])), 0))"
+    head = lambda r: f"greatest(0, trunc({r}.cs - ({room(f'{r}.s + 1', f'{r}.o1')})))"
+    tail = lambda r: f"greatest(0, trunc({r}.ce - ({room(f'{r}.o2', f'{r}.e')})))"
+    return f"""WITH RECURSIVE {PLACEMENTS},
+kinds(kind, fs, fe, rs, re, o1, o2) AS (VALUES {by_kind}),
+rec AS (SELECT chromosome AS map_id, row_number() OVER (PARTITION BY chromosome ORDER BY match_id) - 1 AS record, CAST(substr(contig_id, 7) AS BIGINT) AS k, forward, op_start_index % 50 AS s, op_start_index % 50 + op_end_index - op_start_index AS e FROM matches),
+full_ AS (SELECT map_id, CAST(record AS BIGINT) AS record, 'contig' || (k // 6) AS contig_id, forward, s, e, CASE WHEN forward THEN fs ELSE rs END AS cs, CASE WHEN forward THEN fe ELSE re END AS ce, s + o1 AS o1, s + o2 AS o2,
+  count(*) OVER (PARTITION BY map_id, k // 6) AS copies FROM rec JOIN kinds ON kind = k % 4),
+packed AS (SELECT map_id, list(struct_pack(record, contig_id, s, e, cs, ce, o1, o2) ORDER BY record) FILTER (copies = 1) AS fixed, list(struct_pack(record, contig_id, s, e, cs, ce, o1, o2) ORDER BY record) FILTER (copies > 1) AS open FROM full_ GROUP BY 1),
+state AS (SELECT map_id, list(CAST(size AS DOUBLE) ORDER BY frag_idx) AS sz, list(CASE WHEN frag_idx % 100 = 99 THEN 0.0::DOUBLE ELSE 50.0::DOUBLE END ORDER BY frag_idx) AS sd FROM frags GROUP BY 1),
+turns AS (
+  SELECT map_id, 0 AS t, sz, sd, coalesce(fixed, []) AS fixed, coalesce(open, []) AS open, -1::BIGINT AS one, FALSE AS was_fixed, TRUE AS more FROM state JOIN packed USING (map_id)
+  UNION ALL
+  SELECT map_id, t + 1,
+    CASE WHEN r IS NULL THEN sz ELSE list_transform(sz, lambda x, i: CASE WHEN i = r.s + 1 THEN greatest(x - hs, 0) WHEN i = r.e + 1 THEN greatest(x - he, 0) ELSE x END) END,
+    CASE WHEN r IS NULL THEN sd ELSE list_transform(sd, lambda x, i: CASE WHEN i > r.s + 1 AND i < r.e + 1 THEN 0.0::DOUBLE ELSE x END) END,
+    fixed[2:], CASE WHEN r IS NULL OR len(fixed) > 0 THEN stay ELSE list_filter(stay, lambda x: x.record <> r.record) END, coalesce(r.record, -1), len(fixed) > 0, r IS NOT NULL
+  FROM (SELECT *, {head("r")} AS hs, {tail("r")} AS he FROM (
+    SELECT *, CASE WHEN len(fixed) > 0 THEN fixed[1] ELSE list_filter(stay, lambda x: len(list_filter(stay, lambda y: y.contig_id = x.contig_id)) = 1)[1] END AS r FROM (
+      SELECT *, CASE WHEN len(fixed) > 0 THEN open ELSE list_filter(open, lambda x: NOT (len(list_filter(range(x.s, x.e + 1), lambda k: sd[k + 1] = 0)) > 0
+        OR sz[x.s + 1] + 12 * sd[x.s + 1] < {head("x")} OR sz[x.e + 1] + 12 * sd[x.e + 1] < {tail("x")})) END AS stay FROM turns WHERE more)))),
+ended AS (SELECT map_id, unnest(list_transform(open, lambda x: x.record)) AS record FROM turns WHERE NOT more),
+typed AS (SELECT f.*, CASE WHEN t.was_fixed THEN 'MATCH' WHEN t.one IS NOT NULL THEN 'FILTER' WHEN e.record IS NOT NULL THEN 'rest' ELSE 'conflict' END AS type
+  FROM full_ f LEFT JOIN turns t ON t.map_id = f.map_id AND t.one = f.record LEFT JOIN ended e ON e.map_id = f.map_id AND e.record = f.record){select}"""
+
+
+@query(_turns_sql(" SELECT map_id, record, contig_id, type FROM typed"))
+def legacy_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each ambiguous placement record: placed at once, placed in turns, in conflict, or left over."""
+    return joint.placed_records(*_ambiguous(spark, sf_dir)).select("map_id", "record", "contig_id", "type")
+
+
+@query(_turns_sql(""", p AS (SELECT map_id, record, contig_id, forward, s, cs, ce, z.end_bp - z.size AS b1, y.end_bp - y.size AS b2, o1 // 100 AS z1, o2 // 100 AS z2
+  FROM typed t JOIN ends z USING (map_id) JOIN ends y USING (map_id) WHERE type IN ('MATCH', 'FILTER') AND z.frag_idx = o1 AND y.frag_idx = o2),
+g AS (SELECT *, coalesce(z1 > lag(z2) OVER w, TRUE) AS breaks, greatest(1, greatest(0, b1 - lag(b2) OVER w) - lag(ce) OVER w - cs) AS gap_in FROM p WINDOW w AS (PARTITION BY map_id ORDER BY s, record)),
+h AS (SELECT *, sum(CAST(breaks AS INTEGER)) OVER (PARTITION BY map_id ORDER BY s, record) - 1 AS scaffold FROM g),
+r AS (SELECT map_id || '_scaff' || scaffold AS object, contig_id, forward, row_number() OVER w AS o, coalesce(lead(gap_in) OVER w, 0) AS gap FROM h WINDOW w AS (PARTITION BY map_id, scaffold ORDER BY s, record)),
+q AS (SELECT object, o, 0 AS k, contig_id, forward, 12000 AS span FROM r UNION ALL SELECT object, o, 1, contig_id, forward, gap FROM r WHERE gap > 0)
+SELECT object, CAST(sum(span) OVER w - span + 1 AS BIGINT) AS object_begin, CAST(sum(span) OVER w AS BIGINT) AS object_end, CAST(row_number() OVER w AS INTEGER) AS part_number, CASE k WHEN 0 THEN 'W' ELSE 'N' END AS component_type,
+  CASE k WHEN 0 THEN contig_id ELSE CAST(span AS VARCHAR) END AS component, CASE k WHEN 0 THEN '1' ELSE 'fragment' END AS component_begin, CASE k WHEN 0 THEN '12000' ELSE 'No' END AS component_end,
+  CASE k WHEN 0 THEN CASE WHEN forward THEN '+' ELSE '-' END ELSE '' END AS orientation
+FROM q WINDOW w AS (PARTITION BY object ORDER BY o, k)"""))
 def legacy_scaffolds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain from placement records over the fixpoint to scaffolds, as AGP rows."""
-    return joint.legacy_chain(*_records(spark, sf_dir))["agp"]
+    return joint.legacy_chain(*_ambiguous(spark, sf_dir))["agp"]
 
 
 @query()

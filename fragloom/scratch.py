@@ -33,4 +33,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`cut` that nothing will read any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.cut_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
