@@ -60,7 +60,7 @@ def with_queries(maps: DataFrame, contigs: DataFrame, block_frags: int = 20_000,
     return pairs.repartition(min(tasks, 200_000), "map_id", "block", *more).join(tables, ["group", "block"]).select("map_id", "frags", "queries", *more)
 
 
-def _row(contig_id: str, contig: np.ndarray, map_id: str, optical: np.ndarray, forward: bool, sd: int, m: Match) -> dict:
+def match_row(contig_id: str, contig: np.ndarray, map_id: str, optical: np.ndarray, forward: bool, sd: int, m: Match) -> dict:
     sizes = contig if forward else contig[::-1]
     chunks = []
     for x in m.chunks:
@@ -91,7 +91,7 @@ def place(contigs: DataFrame, maps: DataFrame, p: Params, by: str | None = None)
                 shown = np.concatenate([optical, optical]) if p.circular else optical
                 for q in block:
                     contig = np.array(q["q_frags"], dtype=np.int64)
-                    rows += [_row(q["q_id"], contig, map_id, shown, f, sd, m) for f, sd, m in align_pair(contig, optical, p)]
+                    rows += [match_row(q["q_id"], contig, map_id, shown, f, sd, m) for f, sd, m in align_pair(contig, optical, p)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return with_queries(maps, queries, by=by).mapInArrow(run, PLACED)

@@ -132,7 +132,7 @@ def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best placements, written as alignment XML and read back."""
     path = new_path(spark, "alignments")
-    writers.write_alignments(bridge.matches(spark, sf_dir).filter("rank = 1"), path)
+    writers.write_alignments(bridge.best(spark, sf_dir), path)
     back = readers.read_alignments(spark, path)
     bases = F.aggregate("alignment", F.lit(0).cast("bigint"), lambda a, x: a + F.aggregate(x["optical"]["frags"], F.lit(0).cast("bigint"), lambda b, y: b + y))
     return back.select("contig_id", "chromosome", "forward", "op_start_index", "op_end_index", "num_frags", "contig_hits", "c_aligned_bases", F.size("alignment").alias("n_chunks"), bases.alias("optical_bases"), "contig_aligned_index")

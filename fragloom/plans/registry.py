@@ -242,7 +242,13 @@ def _best(matches: DataFrame) -> DataFrame:
 @query(on(TRUTH, BEST.format(score="sum(optical - CASE WHEN boundary AND c < o THEN 0.0::DOUBLE ELSE chi2 END)", where="TRUE")))
 def align_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best placement of every query over all maps of its genome and both strands; the SQL states where each query was taken from and what its known changes cost."""
-    return _best(bridge.matches(spark, sf_dir))
+    return _best(bridge.best(spark, sf_dir))
+
+
+@query(on(TRUTH, BEST.format(score="sum(optical - CASE WHEN boundary AND c < o THEN 0.0::DOUBLE ELSE chi2 END)", where="TRUE")))
+def align_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best placement of every query over all maps of all genomes: none on another one is as good as that on the map that it was taken from."""
+    return _best(bridge.best(spark, sf_dir, by=None))
 
 
 @query(on(TRUTH, BEST.format(score="sum(-1.25::DOUBLE * (chi2 - 4.0::DOUBLE) + optical)", where="NOT boundary")))
@@ -254,14 +260,14 @@ def align_local(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(on(TRUTH, " SELECT match_id, CAST(i AS INTEGER) AS chunk, CAST(i AS INTEGER) AS c_start, CAST(i + 1 AS INTEGER) AS c_end, CAST(o_start AS INTEGER) AS o_start, CAST(o_end AS INTEGER) AS o_end, FALSE AS is_contig_gap, boundary AS is_boundary_chunk FROM truth"))
 def align_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of every query's best placement."""
-    rows = bridge.matches(spark, sf_dir).filter("rank = 1").select("match_id", F.posexplode("alignment").alias("chunk", "x"))
+    rows = bridge.best(spark, sf_dir).select("match_id", F.posexplode("alignment").alias("chunk", "x"))
     return rows.select("match_id", "chunk", F.col("x.contig.start").alias("c_start"), F.col("x.contig.end").alias("c_end"), F.col("x.optical.start").alias("o_start"), F.col("x.optical.end").alias("o_end"), "x.is_contig_gap", "x.is_boundary_chunk")
 
 
 @query(on(TRUTH, " SELECT match_id, CAST(i AS INTEGER) AS chunk, 0.0::DOUBLE AS contig, optical, round(CASE WHEN boundary AND c < o THEN 0.0::DOUBLE ELSE -chi2 END + 1e-9::DOUBLE, 6) AS sizing FROM truth"))
 def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three parts of the score of each chunk of every query's best placement, the end chunks' too."""
-    rows = bridge.matches(spark, sf_dir).filter("rank = 1").select("match_id", F.posexplode("alignment").alias("chunk", "x"))
+    rows = bridge.best(spark, sf_dir).select("match_id", F.posexplode("alignment").alias("chunk", "x"))
     return rows.select("match_id", "chunk", (F.col("x.score.contig") + 0.0).alias("contig"), (F.col("x.score.optical") + 0.0).alias("optical"), F.round(F.col("x.score.sizing") + TIE, 6).alias("sizing"))
 
 
@@ -273,14 +279,14 @@ def match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every query's best placement."""
     columns = ["total_hits", "total_misses", "contig_unaligned_frags", "contig_unaligned_bases", "c_aligned_bases", "op_aligned_bases"]
     rounded = [F.round(F.col(c) + TIE, 6).alias(c) for c in ("chi2", "total_miss_rate", "aligned_length_ratio")]
-    return bridge.matches(spark, sf_dir).filter("rank = 1").select("match_id", *columns, *rounded)
+    return bridge.best(spark, sf_dir).select("match_id", *columns, *rounded)
 
 
 @query(on(TRUTH, """ SELECT match_id, string_agg(' ' || o_text || ' ', '; ' ORDER BY i) AS optical_match_string, string_agg(array_to_string(range(o_start, o_end), ','), ';' ORDER BY i) AS optical_aligned_index,
   string_agg(' ' || c || ', ', '; ' ORDER BY i) AS contig_match_string, string_agg(CAST(i AS VARCHAR), ';' ORDER BY i) AS contig_aligned_index, '' AS contig_lost_index FROM truth GROUP BY 1"""))
 def match_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query's best placement as strings; that of the scores is held against its format in a test."""
-    return placement.match_strings(bridge.matches(spark, sf_dir).filter("rank = 1")).drop("score_string")
+    return placement.match_strings(bridge.best(spark, sf_dir)).drop("score_string")
 
 
 @query()
@@ -291,13 +297,13 @@ def alignment_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(on(TRUTH, " SELECT match_id, CAST(i AS INTEGER) AS chunk, CAST(c AS INTEGER) AS contig, CAST(o AS INTEGER) AS optical FROM truth WHERE NOT boundary"))
 def inner_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths of the blocks between two sites of every query's best placement."""
-    return placement.inner_chunks(bridge.matches(spark, sf_dir).filter("rank = 1"))
+    return placement.inner_chunks(bridge.best(spark, sf_dir))
 
 
 @query()
 def loess_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All maps corrected by what the unique good matches say."""
-    best = bridge.matches(spark, sf_dir).filter("rank = 1")
+    best = bridge.best(spark, sf_dir)
     chunks = placement.inner_chunks(placement.adjustment_matches(best))
     out = adjust.adjust_maps(bridge.reference_maps(spark, sf_dir), chunks)
     return out.select("map_id", "num_frags", "length")
