@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from ..params import Params
 from ..session import ship_package
 from .kernel import Match, align_pair, best_score
+from .ranges import islands
 
 I, D, B, S = T.IntegerType(), T.DoubleType(), T.BooleanType(), T.StringType()  # noqa: E741
 SIDE = T.StructType([T.StructField("start", I), T.StructField("end", I), T.StructField("start_bp", I), T.StructField("end_bp", I), T.StructField("frags", T.ArrayType(I))])
@@ -205,31 +206,24 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return ~((a_end <= b_start) | (a_start >= b_end))
 
 
-def islands(matches: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """``matches`` with island: numbers, within ``by``, of the runs of intervals that no gap divides; intervals of different islands don't overlap."""
-    w = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col(start) >= reach), 1).otherwise(0)
-    return matches.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+def greedy_ids(matches: DataFrame, by: list[str], order: list[Column], start: str, end: str) -> DataFrame:
+    """(match_id) of the ``matches`` that stay when taken in ``order`` within ``by``: one goes if its interval overlaps that of any that stayed.
 
-
-def greedy_ids(ranked: DataFrame, by: list[str]) -> DataFrame:
-    """(match_id) of the rows of ``ranked`` (by, rank, s, e, match_id) that stay when taken by rank within ``by``: one goes if it overlaps any that stayed.
-
-    Islands are sorted by rank and read as a stream; what stayed in the island at hand, intervals without overlap, is all that is held in memory, and each row is
-    tested against its neighbours there only.
+    Islands of intervals are found over ranges, so that many tasks share a map.  Each is sorted by the order and read as a stream; what stayed in the island at hand, intervals without
+    overlap, is all that is held in memory, and each row is tested against its neighbours there only.
     """
-    ship_package(ranked.sparkSession)
-    kind = ranked.schema["match_id"].dataType
-    rows = islands(ranked, by, "s", "e").select(F.xxhash64(*by).alias("g"), *[F.col(c).cast("string").alias(f"b{i}") for i, c in enumerate(by)], "island", "rank", "s", "e", "match_id")
-    keys = ["g", *[f"b{i}" for i in range(len(by))], "island"]
+    ship_package(matches.sparkSession)
+    kind = matches.schema["match_id"].dataType
+    rows = islands(matches.drop("alignment", "island"), by, F.col(start), F.col(end), [F.col("match_id")])
+    keys = [F.xxhash64(*by).alias("g_"), *[F.col(c).cast("string").alias(f"b{i}_") for i, c in enumerate(by)], F.col("island")]
+    names = ["g_", *[f"b{i}_" for i in range(len(by))], "island"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, stayed = None, []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[: len(keys) + 3]]
+            columns = [c.to_pylist() for c in batch.columns[: len(names) + 2]]
             good = np.zeros(batch.num_rows, dtype=bool)
-            for i, (*key, _, s, e) in enumerate(zip(*columns, strict=True)):
+            for i, (*key, s, e) in enumerate(zip(*columns, strict=True)):
                 if key != last:
                     last, stayed = key, []
                 k = bisect_right(stayed, (s, e))
@@ -240,18 +234,18 @@ def greedy_ids(ranked: DataFrame, by: list[str]) -> DataFrame:
                 stayed.insert(k, (s, e))
             yield batch.select([batch.num_columns - 1]).filter(pa.array(good))
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "rank")
-    return dealt.mapInArrow(run, T.StructType([T.StructField("match_id", kind)]))
+    dealt = rows.select("*", *keys[:-1]).repartition(*names).sortWithinPartitions(*names, *order)
+    return dealt.select(*names, start, end, "match_id").mapInArrow(run, T.StructType([T.StructField("match_id", kind)]))
 
 
 def non_overlapping(matches: DataFrame, by: list[str] | None = None, k: int = -1) -> DataFrame:
     """Greedy selection, best score first, within ``by`` (query, map and strand): a match stays unless it overlaps one that stayed; at most ``k`` stay if that isn't negative."""
     by = by or ["contig_id", "chromosome", "forward"]
-    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "op_start_index", "op_end_index", "match_id")
-    ranked = matches.select(*by, "match_id", F.row_number().over(order).alias("rank"), F.col("op_start_index").alias("s"), F.col("op_end_index").alias("e"))
-    stay = greedy_ids(ranked, by)
+    order = [F.col("score").desc(), F.col("op_start_index"), F.col("op_end_index"), F.col("match_id")]
+    short = matches.select("match_id", "score", "op_start_index", "op_end_index", *[c for c in by if c not in ("score", "op_start_index", "op_end_index")])
+    stay = greedy_ids(short, by, order, "op_start_index", "op_end_index")
     if k >= 0:
-        best = ranked.join(stay, "match_id", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("rank")))
+        best = short.join(stay, "match_id", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
         stay = best.filter(F.col("place") <= k).select("match_id")
     return matches.join(stay, "match_id", "left_semi")
 

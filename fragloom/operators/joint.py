@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..scratch import cut
 from ..session import ship_package
 from . import fixpoint
+from .ranges import islands, ranged
 
 TOLERANCE = 12  # standard deviations
 
@@ -212,11 +213,9 @@ def emit_ordered(placed: DataFrame, tolerance: float = TOLERANCE, by: str = "sca
     """(by, order, contig_id, orientation, size, gap): queries in order of location; one that begins inside the last kept one is skipped unless it reaches beyond
     its end and its begin may, within tolerance, lie there.  Gaps are 1 at least, the last is 0.  ``placed``: by, contig_id, dir, loc, sd, size."""
     ship_package(placed.sparkSession)
-    w = Window.partitionBy(by).orderBy("loc", "contig_id")
     rows = placed.select(by, "contig_id", "dir", F.col("loc").cast("double").alias("loc"), F.col("sd").cast("double").alias("sd"), F.col("size").cast("double").alias("size"))
     # A query that begins behind all ends before it is kept whatever was kept there, so the scan may start anew with it.
-    reach = F.max(F.col("loc") + F.col("size")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("opens", (reach.isNull() | (F.col("loc") >= reach)).cast("int")).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+    rows = islands(rows, [by], F.col("loc"), F.col("loc") + F.col("size"), [F.col("contig_id")]).withColumnRenamed("island", "run")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, end, sd = None, 0.0, 0.0
@@ -231,10 +230,10 @@ def emit_ordered(placed: DataFrame, tolerance: float = TOLERANCE, by: str = "sca
             yield batch.filter(pa.array(good, pa.bool_()))
 
     rows = rows.repartition(by, "run").sortWithinPartitions(by, "run", "loc", "contig_id").mapInArrow(scan, rows.schema)
-    rows = rows.withColumn("order", F.row_number().over(w))
-    w = Window.partitionBy(by).orderBy("order")
-    after = F.lead("loc").over(w)
-    gap = F.when(after.isNull(), 0.0).otherwise(F.greatest(F.lit(1.0), after - F.col("loc") - F.col("size")))
+    kept = ranged(rows, [by], [F.col("loc"), F.col("contig_id")], "kept").running("order", "sum", F.lit(1), inclusive=True).plain()
+    rows = ranged(kept, [by], [F.col("order").desc()], "kept").running("after", "min", F.col("loc")).plain()
+    gap = F.when(F.col("after").isNull(), 0.0).otherwise(F.greatest(F.lit(1.0), F.col("after") - F.col("loc") - F.col("size")))
+    rows = rows.withColumn("order", F.col("order").cast("int"))
     return rows.select(by, "order", "contig_id", F.col("dir").alias("orientation"), F.col("size").cast("int").alias("size"), gap.cast("int").alias("gap"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .align import greedy_ids, top_matches
+from .ranges import ranged
 
 
 def significant(matches: DataFrame, p: float = 0.05) -> DataFrame:
@@ -69,8 +70,7 @@ def refine(matches: DataFrame) -> DataFrame:
 
 
 def _tiled(matches: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    ranked = matches.select("match_id", *by, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("rank"), F.col("op_start_bp").alias("s"), F.col("op_end_bp").alias("e"))
-    return matches.join(greedy_ids(ranked, by), "match_id", "left_semi")
+    return matches.join(greedy_ids(matches, by, order, "op_start_bp", "op_end_bp"), "match_id", "left_semi")
 
 
 def tiling(matches: DataFrame, overlap: str = "one-sided", allow_overlaps: bool = False) -> DataFrame:
@@ -78,7 +78,7 @@ def tiling(matches: DataFrame, overlap: str = "one-sided", allow_overlaps: bool
 
     ``one-sided``: a candidate goes if it begins behind the end of an accepted match and ends behind that one's start, so only what lies wholly to the right of an
     accepted match is left out; this reproduces tilings made so.  What goes ends behind the first end accepted so far, so the least end of all earlier candidates
-    is that of the accepted ones, and a window function decides.  ``interval``: a candidate goes if the two intervals overlap.
+    is that of the accepted ones, a running value over ranges.  ``interval``: a candidate goes if the two intervals overlap.
     """
     if overlap not in ("one-sided", "interval"):
         raise ValueError(overlap)
@@ -87,17 +87,17 @@ def tiling(matches: DataFrame, overlap: str = "one-sided", allow_overlaps: bool
     order = [F.col("c_aligned_bases").desc(), F.col("match_id").desc()]
     if overlap == "interval":
         return _tiled(matches, ["chromosome"], order)
-    w = Window.partitionBy("chromosome").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    first_end = F.min("op_end_bp").over(w)
-    return matches.withColumn("_end", first_end).filter(F.col("_end").isNull() | (F.col("op_start_bp") <= F.col("_end"))).drop("_end")
+    ends = ranged(matches, ["chromosome"], order).running("end_", "min", F.col("op_end_bp")).plain()
+    return ends.filter(F.col("end_").isNull() | (F.col("op_start_bp") <= F.col("end_"))).drop("end_")
 
 
 def scaffold_rows(placed: DataFrame, all_matches: DataFrame) -> DataFrame:
     """Tiled matches with gap_after (to the next start on the map, 0 at the end), placements (matches of the query) and orientation."""
-    w = Window.partitionBy("chromosome").orderBy("op_start_bp", "match_id")
     counts = all_matches.groupBy("contig_id").agg(F.count("*").alias("placements"))
-    gap = F.coalesce(F.lead("op_start_bp").over(w) - F.col("op_end_bp"), F.lit(0))
-    return placed.withColumn("gap_after", gap).join(counts, "contig_id").withColumn("orientation", F.when(F.col("forward"), "F").otherwise("R"))
+    # Backwards, the least start so far is that of the next one.
+    back = ranged(placed, ["chromosome"], [F.col("op_start_bp").desc(), F.col("match_id").desc()]).running("next_", "min", F.col("op_start_bp")).plain()
+    gap = F.coalesce(F.col("next_") - F.col("op_end_bp"), F.lit(0))
+    return back.withColumn("gap_after", gap).drop("next_").join(counts, "contig_id").withColumn("orientation", F.when(F.col("forward"), "F").otherwise("R"))
 
 
 def coverage(placed: DataFrame, maps: DataFrame) -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..params import Params
 from ..scratch import cut
-from ..session import ship_package
 from .align import null_scores
+from .ranges import share_reaching
 
 
 def pick(n: Column, *keys: Column) -> Column:
@@ -57,35 +55,6 @@ def null_table(contigs: DataFrame, maps: DataFrame, p: Params, sizes: DataFrame
     return drawn.select("map_id", "num_frags", "trial").join(null_scores(drawn, maps, p), "map_id").select("num_frags", "trial", "score")
 
 
-def share_reaching(rows: DataFrame, null: DataFrame, key: str, strict: bool = False, most: int = 20_000_000) -> DataFrame:
-    """``rows`` (``key``, score) with share: how much of the ``null`` (``key``, null_score) values of its key is not below its score (``strict``: is above it).
-
-    Null values count as below everything; a key without any gives null.  A null distribution is stated, not found in the data, so its size is a number of draws for each key:
-    up to ``most`` values it goes to the tasks as one sorted array for each key, which is searched in halves; beyond that a join counts.
-    """
-    values = null.select(F.col(key).alias("k"), F.coalesce(F.col("null_score").cast("double"), F.lit(float("-inf"))).alias("v"))
-    if values.count() > most:
-        table = values.groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("values"))
-        joined = rows.join(table, rows[key] == table["k"], "left").drop("k")
-        reach = F.size(F.filter("values", lambda v: (v > F.col("score")) if strict else (v >= F.col("score"))))
-        return joined.withColumn("share", F.when(F.col("values").isNotNull(), reach / F.size("values"))).drop("values")
-    ship_package(rows.sparkSession)
-    pairs = values.toPandas()
-    arrays = rows.sparkSession.sparkContext.broadcast({k: np.sort(v.to_numpy()) for k, v in pairs.groupby("k")["v"]})
-
-    @F.pandas_udf("double")
-    def share(keys: pd.Series, scores: pd.Series) -> pd.Series:
-        out = np.full(len(keys), np.nan)
-        kinds, score = keys.to_numpy(), scores.to_numpy(float)
-        for k in pd.unique(keys.dropna()):
-            at, v = kinds == k, arrays.value.get(k)
-            if v is not None:
-                out[at] = 1 - np.searchsorted(v, score[at], side="right" if strict else "left") / len(v)
-        return pd.Series(out).where(~np.isnan(out), None)
-
-    return rows.withColumn("share", share(F.col(key), F.col("score")))
-
-
 def empirical_pvalues(matches: DataFrame, null: DataFrame) -> DataFrame:
     """``matches`` with pval: the share of the null scores of its number of fragments that are not below its score; 0 where there are none.
 

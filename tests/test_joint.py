@@ -181,7 +181,7 @@ def test_p_values_and_starts(spark):
     matches = spark.createDataFrame([("a", 3, -2.0), ("b", 3, -1.0), ("c", 3, 0.0), ("d", 4, -9.0), ("e", 5, 1.0)], "match_id string, num_frags int, score double").withColumn("pval", F.lit(9.0))
     assert {r.match_id: r.pval for r in G.empirical_pvalues(matches, null).collect()} == {"a": 0.75, "b": 0.25, "c": 0.0, "d": 1.0, "e": 0.0}
     assert {r.match_id: r.pval for r in G.strict_pvalues(matches, null).collect()} == {"a": 0.25, "b": 0.0, "c": 0.0, "d": 1.0, "e": 0.0}
-    shared = G.share_reaching(matches, null.withColumnRenamed("score", "null_score"), "num_frags", most=0)
+    shared = G.share_reaching(matches, null.withColumnRenamed("score", "null_score"), "num_frags")
     assert {r.match_id: r.share for r in shared.collect()} == {"a": 0.75, "b": 0.25, "c": 0.0, "d": 1.0, "e": None}
     names = spark.createDataFrame([(f"contig{k}", [1] * (k % 4)) for k in range(300)], "map_id string, frags array<int>")
     want, total = {}, 0
