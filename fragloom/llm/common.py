@@ -69,6 +69,18 @@ def bound_batches(spark: SparkSession, rows: int = 256, megabytes: int = 16) ->
         conf.set(name, megabytes << 20)
 
 
+@contextlib.contextmanager
+def short_rows(spark: SparkSession, rows: int = 1 << 14):
+    """Larger Arrow batches for what is written within: rows of a few numbers each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tidy() -> None:
     """Give memory that a Python worker no longer uses back to the machine: workers live on from stage to stage."""
     import pyarrow as pa

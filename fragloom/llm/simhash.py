@@ -5,8 +5,9 @@
    Manhattan distance of two embeddings is never larger than the number of differing bits, and in one of the halves it is half of that at most.
 3. A grid over each half: a point goes to the cell of its counts and to all cells at distance one (for four bits).  Two points at Manhattan distance two or less in a
    half share a cell, the one between them, so an equal-key join on cells meets every pair in question, without any pair of cells.
-4. A cell's points are first held against its least one; what that links forms components, which leave few cells with more than one.
-5. In those, points outside a cell's main component are joined with the others, in pairs of blocks of bounded size; counted bits verify each pair.
+4. Cells are read as sorted streams.  A cell of few points is settled at once, all its pairs by counted bits, and only a forest of what is linked goes on.
+5. The points of a crowded cell are first held against its least one; what that links forms components, which leave few crowded cells with more than one.
+6. In those, points outside a cell's main component are joined with the others, in pairs of blocks of bounded size; counted bits verify each pair.
 
 No pairs are kept but links; the number of cells of a point is a constant, so tables grow with the number of points.
 """
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, forget, id_type, keep, lean, only, with_id
+from .common import bound_batches, forget, id_type, keep, lean, only, short_rows, with_id
 from .components import components
 
 BITS = 64
@@ -133,19 +134,117 @@ def split_links(mixed: DataFrame, distance: int, block: int) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def linked_points(points: DataFrame, distance: int, block: int = 1024) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that it is linked with) for the linked nodes that aren't the least themselves."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        before = label.copy()
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+        if (label == before).all():
+            own = label != np.arange(len(nodes))
+            return nodes[own], nodes[label[own]]
+
+
+class Cells:
+    """Points (cell, fp) in the order of their cells, as they arrive: connections of cells with up to ``crowd`` points, and the points of the others."""
+
+    def __init__(self, distance: int, crowd: int, hold: int = 1 << 20):
+        self.distance, self.crowd, self.hold = distance, crowd, hold
+        self.cell = self.fp = np.zeros(0, np.int64)
+        self.full: int | None = None  # the crowded cell at hand
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take up more points; gives those of crowded cells, as far as they are known to be in one."""
+        self.cell, self.fp = np.concatenate([self.cell, cell]), np.concatenate([self.fp, fp])
+        if not len(self.cell):
+            return self.cell, self.fp
+        last = int(np.searchsorted(self.cell, self.cell[-1], "left"))
+        open_ = len(self.cell) - last
+        cut = len(self.cell) if open_ > self.crowd or self.cell[-1] == self.full else last
+        return self._settle(cut)
+
+    def end(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._settle(len(self.cell))
+
+    def _settle(self, cut: int) -> tuple[np.ndarray, np.ndarray]:
+        cell, fp = self.cell[:cut], self.fp[:cut]
+        self.cell, self.fp = self.cell[cut:], self.fp[cut:]
+        if not cut:
+            return cell, fp
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        sizes = np.diff(np.append(starts, cut))
+        crowded = np.repeat((sizes > self.crowd) | (cell[starts] == self.full if self.full is not None else False), sizes)
+        self.full = int(cell[-1]) if crowded[-1] else None
+        at, step = np.flatnonzero(~crowded[:-1]), 1
+        while len(at):
+            at = at[at + step < cut]
+            at = at[cell[at + step] == cell[at]]
+            near = at[np.bitwise_count((fp[at] ^ fp[at + step]).view(np.uint64)) <= self.distance]
+            if len(near):
+                self.links.append((fp[near], fp[near + step]))
+                if sum(len(x) for x, _ in self.links) > self.hold:
+                    self.links = [forest(*map(np.concatenate, zip(*self.links, strict=True)))]
+            step += 1
+        return cell[crowded], fp[crowded]
+
+    def connections(self) -> tuple[np.ndarray, np.ndarray]:
+        """What has been linked since the last call."""
+        out = forest(*map(np.concatenate, zip(*self.links, strict=True))) if self.links else (np.zeros(0, np.int64),) * 2
+        self.links = []
+        return out
+
+
+def settled_cells(placed: DataFrame, distance: int, crowd: int) -> DataFrame:
+    """(cell, a, b) of ``placed`` (cell, fp): connections a - b, with a null cell, and the points a of crowded cells, with a null b."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells_ = Cells(distance, crowd)
+
+        def table(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            x, y = cells_.connections()
+            nothing = lambda n: pa.nulls(n, pa.int64())
+            columns = ([nothing(len(x)), pa.array(cell)], [pa.array(x), pa.array(fp)], [pa.array(y), nothing(len(fp))])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["cell", "a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= 1 << 16:
+                yield table(*cells_.add(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2))))
+                held = []
+        if held:
+            yield table(*cells_.add(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2))))
+        yield table(*cells_.end())
+
+    return placed.repartition("cell").sortWithinPartitions("cell").select("cell", "fp").mapInArrow(run, "cell long, a long, b long")
+
+
+def linked_points(points: DataFrame, distance: int, block: int = 1024, crowd: int = 256) -> DataFrame:
     """(fp, label): for each of ``points`` (fp, distinct) that any other is within ``distance`` bits of, the least point that such links reach."""
-    placed = keep(cells(points, distance), "cells")
-    shared = placed.groupBy("cell").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("cell", "hub")
-    met = keep(placed.join(shared, "cell"), "met")
-    star = keep(met.filter((F.col("fp") != F.col("hub")) & (bits_apart("fp", "hub") <= distance)).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), "star")
-    labels = components(star)
-    known = met.select("cell", "fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    known = keep(known, "known")
+    with short_rows(points.sparkSession):
+        settled = keep(settled_cells(cells(points, distance), distance, crowd), "settled-cells")
+    simple = settled.filter("b IS NOT NULL").select("a", "b").distinct()
+    crowded = settled.filter("b IS NULL").select("cell", F.col("a").alias("fp"))
+    hubs = crowded.groupBy("cell").agg(F.min("fp").alias("hub"))
+    star = crowded.join(hubs, "cell").filter((F.col("fp") != F.col("hub")) & (bits_apart("fp", "hub") <= distance)).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    links = keep(simple.union(star), "links")
+    labels = components(links)
+    if not crowded.limit(1).count():
+        forget(settled, links)
+        return labels.withColumnRenamed("node", "fp")
+    known = crowded.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    known = keep(known.select("cell", "fp", "label"), "known")
     several = known.groupBy("cell").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("cell")
-    links = keep(split_links(known.join(several, "cell"), distance, block).unionByName(star), "links")
-    out = components(links)
-    forget(placed, met, star, labels, known, links)
+    more = keep(split_links(known.join(several, "cell"), distance, block).unionByName(links), "links")
+    out = components(more)
+    forget(settled, links, labels, known, more)
     return out.withColumnRenamed("node", "fp")
 
 
