@@ -300,11 +300,33 @@ def inner_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.inner_chunks(bridge.best(spark, sf_dir))
 
 
-@query()
+#: The curve over single pairs: vertices by halving ranks, weighted moments and a quadratic at each by determinants, cubics between them.
+LOESS = """, good AS (SELECT contig_id FROM truth GROUP BY 1 HAVING max(m) - 1 >= 10 AND sum(o_end - o_start - 1)::DOUBLE / (max(m) - 1 + sum(o_end - o_start - 1)) <= 0.1),
+pts AS MATERIALIZED (SELECT CAST(o AS DOUBLE) AS x, CAST(c AS DOUBLE) AS y, row_number() OVER (ORDER BY o) AS r FROM truth JOIN good USING (contig_id) WHERE NOT boundary),
+facts AS (SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * 0.75::DOUBLE * 0.2::DOUBLE) AS BIGINT)) AS most, least(count(*), greatest(3, CAST(floor(count(*) * 0.75::DOUBLE + 0.00001::DOUBLE) AS BIGINT))) AS k, min(x) AS low, max(x) AS high FROM pts),
+halves AS (
+  SELECT 1::BIGINT AS a, n AS b, NULL::DOUBLE AS t FROM facts
+  UNION ALL
+  SELECT CASE s WHEN 0 THEN a ELSE last + 1 END, CASE s WHEN 0 THEN last ELSE b END, cut FROM (
+    SELECT h.a, h.b, (p.x + q.x) / 2 AS cut, (SELECT max(z.r) FROM pts z WHERE z.x <= (p.x + q.x) / 2) AS last
+    FROM halves h JOIN pts p ON p.r = (h.a + h.b) // 2 JOIN pts q ON q.r = (h.a + h.b) // 2 + 1, facts WHERE h.b - h.a + 1 > most), (VALUES (0), (1)) v(s) WHERE last < b),
+vertices AS (SELECT DISTINCT t AS v FROM halves WHERE t IS NOT NULL UNION SELECT low - 0.1::DOUBLE * (high - low) FROM facts UNION SELECT high + 0.1::DOUBLE * (high - low) FROM facts),
+reach AS (SELECT v, h FROM (SELECT v, abs(x - v) AS h, row_number() OVER (PARTITION BY v ORDER BY abs(x - v)) AS i FROM vertices, pts), facts WHERE i = k),
+w AS (SELECT v, h, y, (x - v) / h AS z, power(1 - power(abs(x - v) / h, 3), 3) AS w FROM reach, pts WHERE abs(x - v) < h),
+mo AS (SELECT v, h, sum(w) AS m0, sum(w * z) AS m1, sum(w * z * z) AS m2, sum(w * z * z * z) AS m3, sum(w * z * z * z * z) AS m4, sum(w * y) AS r0, sum(w * z * y) AS r1, sum(w * z * z * y) AS r2 FROM w GROUP BY 1, 2),
+fit AS (SELECT v, (r0 * (m2 * m4 - m3 * m3) - m1 * (r1 * m4 - m3 * r2) + m2 * (r1 * m3 - m2 * r2)) / det AS f, (m0 * (r1 * m4 - m3 * r2) - r0 * (m1 * m4 - m3 * m2) + m2 * (m1 * r2 - r1 * m2)) / det / h AS d
+  FROM (SELECT *, m0 * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m3 * m2) + m2 * (m1 * m3 - m2 * m2) AS det FROM mo)),
+cells AS (SELECT v AS a, lead(v) OVER (ORDER BY v) AS b, f, d, lead(f) OVER (ORDER BY v) AS g, lead(d) OVER (ORDER BY v) AS e FROM fit),
+sized AS (SELECT DISTINCT size FROM frags),
+curve AS (SELECT size, CAST(round_even(f * (1 - t) * (1 - t) * (1 + 2 * t) + g * t * t * (3 - 2 * t) + (d * t * (1 - t) * (1 - t) - e * t * t * (1 - t)) * (b - a), 0) AS BIGINT) AS y
+  FROM (SELECT *, (size - a) / (b - a) AS t FROM sized JOIN cells ON size > a AND size <= b, facts WHERE size BETWEEN low AND high))
+SELECT map_id, CAST(count(*) AS INTEGER) AS num_frags, CAST(sum(coalesce(y, size)) AS BIGINT) AS length FROM frags LEFT JOIN curve USING (size) GROUP BY 1"""
+
+
+@query(on(TRUTH, LOESS, recursive=True))
 def loess_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All maps corrected by what the unique good matches say."""
-    best = bridge.best(spark, sf_dir)
-    chunks = placement.inner_chunks(placement.adjustment_matches(best))
+    chunks = placement.inner_chunks(placement.adjustment_matches(bridge.best(spark, sf_dir)))
     out = adjust.adjust_maps(bridge.reference_maps(spark, sf_dir), chunks)
     return out.select("map_id", "num_frags", "length")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fragloom.functions import maps as M
 from fragloom.functions import probability as P
-from fragloom.operators import adjust, joint
+from fragloom.operators import joint
 from fragloom.operators import significance as G
 
 OPT = [(f"m{k}", i, float(1000 * (i % 5 + 1)), 0.0 if i == 12 else 50.0) for k in (1, 2) for i in range(20)]
@@ -229,35 +229,6 @@ def test_vectorised_and_likelihood(spark):
     assert row.v == pytest.approx(want) and row.lost == pytest.approx(math.log(0.5) + math.log(0.8))
 
 
-def test_local_regression(spark):
-    import numpy as np
-
-    x = np.array([1.0, 2, 3, 4, 5, 6, 7, 8, 9, 10])
-    assert adjust.local_fit(x, 3 * x * x - 2 * x + 1, np.array([2.5, 7.25])) == pytest.approx([3 * 2.5**2 - 4, 3 * 7.25**2 - 13.5])
-    assert np.isnan(adjust.local_fit(x, x, np.array([0.5, 10.5]))).all()
-    maps = spark.createDataFrame([("m", [100, 200, 5000], 5300)], "map_id string, frags array<int>, length bigint")
-    chunks = spark.createDataFrame([(k + 10, k) for k in range(50, 1000, 50)], "contig int, optical int")
-    r = adjust.adjust_maps(maps, chunks).first()
-    assert (r.frags, r.length) == ([110, 210, 5000], 5320)
-
-
-def test_local_regression_weighs_lengths_by_their_pairs(spark):
-    import numpy as np
-
-    # 240,000 pairs; every fourth stands at one of 20 lengths whose sizing error differs from the others'.
-    k, one = F.col("id"), F.col("id") % 4 == 0
-    optical = F.when(one, 1000 + k % 20 * 10).otherwise(500 + k % 997)
-    chunks = spark.range(240_000).select(optical.cast("int").alias("optical"), (optical + F.when(one, 90).otherwise(k % 7 * 5)).cast("int").alias("contig"))
-    pairs = chunks.toPandas()
-    x, y = pairs["optical"].to_numpy(float), pairs["contig"].to_numpy(float)
-    frags = [600, 900, 1050, 1300, 5000]
-    want = [int(v) for v in np.rint(adjust.local_fit(x, y, np.array(frags[:4], float)))] + [5000]
-    maps = spark.createDataFrame([("m", frags, sum(frags))], "map_id string, frags array<int>, length bigint")
-    r = adjust.adjust_maps(maps, chunks).first()
-    assert (r.frags, r.length) == (want, sum(want))
-    assert adjust.adjust_maps(maps, chunks.limit(0)).first().frags == frags
-
-
 def test_quantiles_and_pool(spark):
     df = spark.createDataFrame([("g", float(k)) for k in (1, 2, 3, 4)] + [("h", 5.0)], "g string, v double")
     got = {r.g: r.quantile for r in G.plotting_quantile(df, "g", "v", 0.5).collect()}
