@@ -31,39 +31,43 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(PARTING).split()
 
 
-def term_counts(docs: DataFrame, most_held: int = 200_000) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of a term in a group and documents that hold it; a row with a null term counts the group's documents.
+def term_counts(docs: DataFrame, most_held: int = 400_000) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences of a term in a group and documents that hold it, several rows of a kind; rows with a null term count the group's documents.
 
-    Sums are made in each task, of at most about ``most_held`` different terms at a time and those of one text, then by a shuffle of the sums.
+    Sums are made in each task, of at most about ``most_held`` different terms of groups at a time and those of one text.
     """
     bound_batches(docs.sparkSession)
-    schema = "lang string, source string, term string, n long, docs long"
-
-    def table(n: Counter, docs_: Counter) -> pa.RecordBatch:
-        keys = list(docs_)
-        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(2)]
-        term = pa.array([None if k[2] is None else k[2].decode("utf-8", "surrogatepass") for k in keys], pa.string())
-        return pa.RecordBatch.from_arrays([*columns, term, pa.array([n[k] for k in keys], pa.int64()), pa.array([docs_[k] for k in keys], pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        seen: Counter = Counter()
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        texts: Counter = Counter()
+        held = 0
+
+        def tables() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, seen) in groups.items():
+                term = pa.concat_arrays([pa.array(list(n), pa.binary()).cast(pa.string()), pa.nulls(1, pa.string())])
+                names = [pa.repeat(pa.scalar(x), len(term)) for x in (lang, source)]
+                sums = [pa.array([*n.values(), 0], pa.int64()), pa.array([*map(seen.__getitem__, n), texts[lang, source]], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*names, term, *sums], names=["lang", "source", "term", "n", "docs"])
+            groups.clear()
+            texts.clear()
+
         for batch in batches:
             for lang, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                seen[lang, source, None] += 1
-                for term, k in Counter(terms_of(text)).items():
-                    key = (lang, source, term)
-                    n[key] += k
-                    seen[key] += 1
-                if len(seen) > most_held:
-                    yield table(n, seen)
-                    n.clear()
-                    seen.clear()
-        yield table(n, seen)
+                n, seen = groups.setdefault((lang, source), (Counter(), Counter()))
+                terms, held = terms_of(text), held - len(n)
+                n.update(terms)
+                seen.update(set(terms))
+                texts[lang, source] += 1
+                held += len(n)
+                if held > most_held:
+                    yield from tables()
+                    held = 0
+        yield from tables()
 
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return rows.mapInArrow(count, schema).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return rows.mapInArrow(count, "lang string, source string, term string, n long, docs long")
 
 
 def share_of(n: Column, total: Column, kept: Column) -> Column:
@@ -77,11 +81,14 @@ def distance_of(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def wide_terms(counts: DataFrame, groups: DataFrame, least_docs: int) -> DataFrame:
-    """(lang, term, total, at): kept terms with a map from the places of the sources that hold them, in the order of ``groups``, to their counts."""
-    placed = counts.filter(F.col("term").isNotNull()).join(groups.select("lang", "source", "place"), ["lang", "source"])
-    each = placed.groupBy("lang", "term").agg(F.sum("docs").alias("in_docs"), F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("at"))
-    return each.filter(F.col("in_docs") >= least_docs).drop("in_docs")
+def wide_terms(counts: DataFrame) -> DataFrame:
+    """(lang, term, docs, total, at): a row for each term of a language, with a map from the sources that hold it to their counts; for the null term, to 0.
+
+    One shuffle serves the sums of (lang, source, term) and those of (lang, term).
+    """
+    parts = counts.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    each = counts.repartition(int(parts), "lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return each.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("at"))
 
 
 def source_divergence(docs: DataFrame, least_docs: int = 3, most_terms: int = 200, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -96,42 +103,41 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, most_terms: int = 20
     both results have at least as many rows for a source.
     """
     docs = only(docs, lang=lang_col, source=source_col, text=text_col)
-    counts = keep(term_counts(docs), "term-counts")
-    order = Window.partitionBy("lang").orderBy("source")
-    groups = keep(counts.filter(F.col("term").isNull()).select("lang", "source", (F.row_number().over(order) - 1).alias("place")), "groups")
-    wide = keep(wide_terms(counts, groups, least_docs), "wide-terms")
-
-    own = wide.select("lang", F.explode("at").alias("place", "n")).groupBy("lang", "place").agg(F.sum("n").alias("n"))
-    own = groups.join(own, ["lang", "place"], "left").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("ns"))
-    langs = keep(wide.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("n_lang")).join(own, "lang"), "languages")
-
-    # A place of shares for each source; ``rest`` holds the share of a term that a source doesn't have.
-    rest = F.transform("ns", lambda n: share_of(F.lit(0), n, F.col("kept")))
-    vectors = wide.join(langs.withColumn("rest", rest), "lang")
-    held = lambda i: F.element_at("at", i)
-    shares = F.transform("ns", lambda n, i: F.when(held(i).isNull(), F.get("rest", i)).otherwise(share_of(held(i), n, F.col("kept"))))
-    missing = F.filter(F.sequence(F.lit(0), F.size("ns") - 1), lambda j: ~F.map_contains_key("at", j))
-    vectors = vectors.select("lang", "term", F.map_keys("at").alias("holders"), missing.alias("missing"), "rest", shares.alias("p"), share_of(F.col("total"), F.col("n_lang"), F.col("kept")).alias("q"))
-
-    # One row for each source that has the term, then what it adds to its pairs with all others, beyond what two empty places do.
-    firsts = vectors.select("lang", "missing", "rest", "p", F.explode("holders").alias("i"))
-    more = lambda a, b: distance_of(F.get("p", a), F.get("p", b)) - distance_of(F.get("rest", a), F.get("rest", b))
-    emit = lambda a, b: F.struct(a.alias("a"), b.alias("b"), more(a, b).alias("value"))
-    i = F.col("i")
-    forward = F.transform("p", lambda _, j: emit(i, j))
-    back = F.transform("missing", lambda j: emit(j, i))  # a source that has the term emits this direction itself
-    sums = firsts.select("lang", F.explode(F.concat(forward, back)).alias("x")).filter("x.a <> x.b").groupBy("lang", "x.a", "x.b").agg(F.sum("x.value").alias("value"))
-    base = groups.select("lang", F.col("source"), F.col("place").alias("a")).join(groups.select("lang", F.col("source").alias("item"), F.col("place").alias("b")), "lang").filter("a <> b")
-    empty = langs.select("lang", "kept", rest.alias("rest"))
-    pairs = base.join(empty, "lang", "left").join(sums, ["lang", "a", "b"], "left")
-    constant = F.col("kept") * distance_of(F.get("rest", F.col("a")), F.get("rest", F.col("b")))
-    pairs = keep(pairs.select("lang", "source", "item", (F.coalesce(constant, F.lit(0)) + F.coalesce("value", F.lit(0))).alias("value")), "pairs")
-
-    marks = vectors.select("lang", "term", "q", F.explode("holders").alias("place"), "p").select("lang", "place", "term", F.get("p", F.col("place")).alias("p"), "q").filter("p > q")
+    every = keep(wide_terms(term_counts(docs)).filter(F.col("term").isNull() | (F.col("docs") >= least_docs)), "terms")
+    wide = every.filter(F.col("term").isNotNull())
+    groups = every.filter(F.col("term").isNull()).select("lang", F.array_sort(F.map_keys("at")).alias("sources"))
+
+    own = wide.select("lang", F.explode("at").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("n_of"))
+    whole = wide.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("n_lang"))
+    sums = groups.join(own, "lang", "left").join(whole, "lang", "left")
+    ns = F.transform("sources", lambda x: F.coalesce(F.element_at("n_of", x), F.lit(0)))
+    langs = keep(sums.select("lang", "sources", ns.alias("ns"), F.coalesce("kept", F.lit(0)).alias("kept"), "n_lang"), "languages")
+
+    # ``rest`` is the share of a term that a source doesn't have (of no account where no term is kept), ``p`` has a place for each source.
+    rest = F.transform("ns", lambda n: share_of(F.lit(0), n, F.greatest("kept", F.lit(1))))
+    vectors = wide.join(langs.filter("kept > 0").withColumn("rest", rest), "lang").withColumn("cs", F.transform("sources", lambda x: F.element_at("at", x)))
+    shares = F.transform("cs", lambda c, k: F.when(c.isNull(), F.get("rest", k)).otherwise(share_of(c, F.get("ns", k), F.col("kept"))))
+    holders = F.filter(F.transform("cs", lambda c, k: F.when(c.isNotNull(), k)), lambda k: k.isNotNull())
+    vectors = vectors.select("lang", "term", shares.alias("p"), holders.alias("holders"), share_of(F.col("total"), F.col("n_lang"), F.col("kept")).alias("q"))
+
+    # One row for each source, with what it adds to its pairs: with all others if it has the term, else with those that have it.
+    firsts = vectors.select("lang", "p", "holders", F.transform("holders", lambda k: F.get("p", k)).alias("held"), F.posexplode("p").alias("a", "p_a"))
+    has = F.array_contains("holders", F.col("a"))
+    values = F.transform(F.when(has, F.col("p")).otherwise(F.col("held")), lambda q: distance_of(F.col("p_a"), q))
+    emitted = firsts.select("lang", "a", has.alias("has"), "holders", F.posexplode(values).alias("k", "value"))
+    other = F.when(F.col("has"), F.col("k")).otherwise(F.get("holders", F.col("k")))
+    summed = emitted.select("lang", "a", other.alias("b"), "value").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+    # Terms that neither of a pair has all add the same.
+    base = langs.select("lang", "sources", "kept", rest.alias("rest"), F.posexplode("sources").alias("a", "source")).select("*", F.posexplode("sources").alias("b", "item")).filter("a <> b")
+    constant = (F.col("kept") - F.coalesce("n", F.lit(0))) * distance_of(F.get("rest", F.col("a")), F.get("rest", F.col("b")))
+    value = constant + F.coalesce("value", F.lit(0))
+    pairs = keep(base.join(summed, ["lang", "a", "b"], "left").select("lang", "source", "item", value.alias("value")), "pairs")
+
+    marks = vectors.select("lang", "q", F.explode("holders").alias("place"), "p", "term").select("lang", "place", "term", F.get("p", F.col("place")).alias("p"), "q").filter("p > q")
     best = Window.partitionBy("lang", "place").orderBy(F.col("value").desc(), "item")
     ranked = marks.select("lang", "place", F.col("term").alias("item"), distance_of(F.col("p"), F.col("q")).alias("value")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most_terms)
-    terms = keep(ranked.join(groups, ["lang", "place"]).select("lang", "source", "item", "value", "rank"), "marks")
-    forget(counts, groups, wide, langs)
+    terms = keep(ranked.join(langs, "lang").select("lang", F.get("sources", F.col("place")).alias("source"), "item", "value", "rank"), "marks")
+    forget(every, langs)
     return pairs, terms
 
 
