@@ -9,16 +9,21 @@ from pyspark.sql.window import Window
 
 from ..functions.maps import kb_to_bp
 from ..operators.align import CHUNK
+from ..operators.ranges import ranged
 
 
-def _whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+def _lines(spark: SparkSession, paths: str | list[str], blank: bool = True) -> DataFrame:
+    """(file, line_no, value) of all lines, numbered from 0 in their file; without ``blank``, those of white space alone are left out first.
 
-
-def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, line_no, value) of all lines; only for formats whose lines are told apart by their number, so a file is one row first (2 GB at most)."""
-    rows = _whole(spark, paths).select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return rows
+    Large files are read in blocks.  Each block counts its lines; the sums of the blocks before it, a row for each block, give the number of its first one.
+    """
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "\r$", "").alias("value"))
+    rows = rows if blank else rows.filter(F.trim("value") != "")
+    counts = rows.groupBy("path", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("path", "block").orderBy("row")) - 1
+    return rows.withColumn("within", within).join(starts, ["path", "block"]).select("file", (F.col("before") + F.col("within")).alias("line_no"), "value")
 
 
 def _single_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -81,8 +86,7 @@ def _gathered(rows: DataFrame, order: str, *more: str) -> DataFrame:
 
 def read_pair_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A name line, then ``enzyme B kb kb ...``; blank lines are skipped, sizes are truncated to bp."""
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = _lines(spark, paths).filter(F.trim("value") != "").withColumn("k", F.row_number().over(w) - 1)
+    rows = _lines(spark, paths, blank=False).withColumnRenamed("line_no", "k")
     pairs = rows.groupBy("file", F.floor(F.col("k") / 2).alias("pair")).agg(F.max(F.when(F.col("k") % 2 == 0, F.trim("value"))).alias("map_id"), F.max(F.when(F.col("k") % 2 == 1, F.split(F.trim("value"), r"\s+"))).alias("f"))
     frags = F.transform(F.slice("f", 3, F.greatest(F.size("f") - 2, F.lit(0))), lambda x: kb_to_bp(x.cast("double"), False))
     out = pairs.filter(F.col("f").isNotNull()).select("map_id", frags.alias("frags"), F.get("f", F.lit(0)).alias("enzyme"))
@@ -91,7 +95,8 @@ def read_pair_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_map_xml(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``RESTRICTION_MAP`` elements with ID and ENZYME, and fragments with S (bp) and STDDEV; those with a deviation of 0 are left out."""
-    maps = _whole(spark, paths).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<RESTRICTION_MAP .*?</RESTRICTION_MAP>)"), F.lit(1))).alias("x"))
+    ended = spark.read.option("lineSep", "</RESTRICTION_MAP>").text(paths)  # a record for each element, read in blocks
+    maps = ended.select(F.regexp_extract("value", r"(?s)(<RESTRICTION_MAP .*)", 1).alias("x")).filter("x <> ''")
     sizes = F.regexp_extract_all("x", F.lit(r'S="(\d+)" STDDEV="([\d.]+)"'), F.lit(1))
     sds = F.regexp_extract_all("x", F.lit(r'S="(\d+)" STDDEV="([\d.]+)"'), F.lit(2))
     pairs = F.filter(F.arrays_zip(sizes.alias("s"), sds.alias("d")), lambda p: p["d"].cast("double") != 0)
@@ -105,7 +110,8 @@ def kb_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     rows = _lines(spark, paths)
     plain = F.regexp_extract("value", r"\d+\s+([\d.]+)\s+([\d.]+)", 1)
     xml = F.regexp_extract("value", r'S="(\d+)" STDDEV="([\d.]+)"', 1)
-    rows = rows.withColumn("ended", F.max(F.when(F.contains(F.col("value"), F.lit("</RESTRICTION_MAP>")), 1).otherwise(0)).over(Window.partitionBy("file").orderBy("line_no")))
+    ends = F.contains(F.col("value"), F.lit("</RESTRICTION_MAP>")).cast("int")
+    rows = ranged(rows, ["file"], [F.col("line_no")], "lines").running("ended", "max", ends, inclusive=True).plain()
     lines = F.array_compact(F.array(
         F.when(plain != "", F.concat_ws(" ", plain, F.regexp_extract("value", r"\d+\s+([\d.]+)\s+([\d.]+)", 2))),
         F.when(xml != "", F.format_string("%.3f %s", xml.try_cast("double") / 1000, F.regexp_extract("value", r'S="(\d+)" STDDEV="([\d.]+)"', 2))),

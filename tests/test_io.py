@@ -133,3 +133,31 @@ def test_null_scores_round_trip(spark, tmp_path):
     W.null_lines(null).write.text(str(tmp_path / "n"))
     back = R.read_null_scores(spark, str(tmp_path / "n"))
     assert sorted((r.num_frags, r.score) for r in back.collect()) == sorted((r.num_frags, r.score) for r in null.collect())
+
+
+def test_records_of_one_file_are_read_in_blocks(spark, tmp_path):
+    """Pair lines, five-line records and elements that blocks cut through, with blank lines and both line ends, are the same as in one block."""
+    pairs, records, xml, lines = [], [], [], []
+    for k in range(400):
+        pairs += [f"map {k}", *[""] * (k % 3), f"XhoI B {k}.5 {k % 7}.25"]
+        records += [f"c{k} 100 {k % 2} {k} {k + 3} T{k}", "x" * (k % 50), f"{k} ;", f"; {k}", f"1 {k}"]
+        xml += [f'<RESTRICTION_MAP ID="m{k}" ENZYME="E{k % 3}" >', *[f'<F S="{k + j}" STDDEV="0.{j}"/>' for j in range(k % 6)], "</RESTRICTION_MAP>"]
+    read = {"pairs": R.read_pair_lines, "records": R.read_placements, "xml": R.read_map_xml, "kb": R.kb_lines}
+    paths = {"pairs": put(tmp_path, "pairs.txt", "\n".join(pairs)), "records": put(tmp_path, "records.txt", "\r\n".join(records) + "\r\n"), "xml": put(tmp_path, "maps.xml", "\n".join(xml))}
+    paths["kb"] = paths["xml"]
+    shown = lambda name: sorted(repr(r) for r in read[name](spark, paths[name]).collect())
+    whole = {name: shown(name) for name in read}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 1500)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        assert spark.read.text(paths["pairs"]).rdd.getNumPartitions() > 3
+        assert {name: shown(name) for name in read} == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [len(whole[x]) for x in ("pairs", "records", "xml")] == [400, 400, 400]
+    got = {r.map_id: r for r in R.read_pair_lines(spark, paths["pairs"]).collect()}
+    assert got["map 9"].frags == [9500, 2250] and got["map 399"].enzyme == "XhoI"
+    place = {r.contig_id: r for r in R.read_placements(spark, paths["records"]).collect()}
+    assert (place["c7"].forward, place["c7"].op_end, place["c7"].type, place["c7"].sites, place["c7"].optical_string) == (True, 10, "T7", [1, 7], "7 ;")
