@@ -70,46 +70,37 @@ steps AS (
 {select}"""
 
 
-def dp_sql(local: bool, most: int = 19, delta: int = 5, by_count: bool = False) -> str:
-    """The score table, a row of it for each query prefix, as a chain of queries over the rows before it."""
+def dp_sql(local: bool, delta: int = 5, by_count: bool = False) -> str:
+    """Score tables as a recursion over query prefixes: a query's state is the last rows of its table, as lists; a new row is worked out from them place by place."""
     reach = delta + 1 if local or by_count else delta
-    cost = "CASE WHEN d > 2000 THEN -3.0::DOUBLE WHEN d < 2000 THEN -d * 0.0015::DOUBLE + 0.000001::DOUBLE END"
-    blocks = f"""{CONTIGS},
-csum AS (SELECT *, CAST(sum(size) OVER (PARTITION BY contig_id ORDER BY idx) AS BIGINT) AS c_end FROM contigs),
-cblocks AS (
-  SELECT a.contig_id, a.map_id, a.m, a.idx AS k, z.idx + 1 AS i, z.c_end - (a.c_end - a.size) AS len, a.c_end - a.size AS c0
-  FROM csum a JOIN csum z ON z.contig_id = a.contig_id AND z.idx >= a.idx AND z.idx < a.idx + {reach}),
-inner_sites AS (
-  SELECT b.contig_id, b.k, b.i, least(s.c_end - b.c0, b.len - (s.c_end - b.c0)) AS d
-  FROM cblocks b JOIN csum s ON s.contig_id = b.contig_id AND s.idx >= b.k AND s.idx < b.i - 1),
-costs AS (SELECT contig_id, k, i, sum({cost}) AS cost, count(*) AS n, count({cost}) AS n_ok FROM inner_sites GROUP BY 1, 2, 3),
-cb AS (
-  SELECT b.*, {"-3.0::DOUBLE * (b.i - b.k - 1)" if local or by_count else "coalesce(c.cost, 0.0::DOUBLE)"} AS cost, b.k = 0 OR b.i = b.m AS edge
-  FROM cblocks b LEFT JOIN costs c USING (contig_id, k, i) WHERE {"b.k > 0 AND b.i < b.m" if local else "TRUE" if by_count else "coalesce(c.n = c.n_ok, TRUE)"}),
-ob AS (
-  SELECT a.map_id, a.frag_idx AS o0, z.frag_idx - a.frag_idx + 1 AS w, z.end_bp - (a.end_bp - a.size) AS o_len
-  FROM ends a JOIN ends z ON z.map_id = a.map_id AND z.frag_idx >= a.frag_idx AND z.frag_idx < a.frag_idx + {reach}
-  WHERE a.map_id IN (SELECT map_id FROM contigs)),
-facts AS (SELECT DISTINCT contig_id, map_id, m FROM contigs),
-cols AS (SELECT f.contig_id, j FROM facts f JOIN maps USING (map_id), unnest(range(num_frags + 1)) u(j)),
-r0 AS (SELECT contig_id, 0 AS i, j, 0.0::DOUBLE AS s FROM cols)"""
-    chi2 = "CAST((b.len - o.o_len) * (b.len - o.o_len) AS DOUBLE) / (CAST(b.len AS DOUBLE) * 100.0::DOUBLE)"
+    chi2 = "((x.len - (os[j + 1] - os[j - w + 1])) ** 2)::DOUBLE / (x.len * 100.0::DOUBLE)"
+    free = "(x.edge AND x.len < os[j + 1] - os[j - w + 1])"
     if local:
-        value = f"-1.25::DOUBLE * ({chi2} - 4.0::DOUBLE) + (b.cost - 5.0::DOUBLE * (o.w - 1))"
-        fits = f"{chi2} <= 16.0"
+        value, fits = f"-1.25::DOUBLE * ({chi2} - 4.0::DOUBLE) + (x.cost - 5.0::DOUBLE * (w - 1))", f"NOT x.edge AND {chi2} <= 16.0"
     else:
-        value = f"(b.cost + -5.0::DOUBLE * (o.w - 1)) + -1.0::DOUBLE * (CASE WHEN b.edge AND b.len < o.o_len THEN 0.0::DOUBLE ELSE {chi2} END)"
-        fits = f"((b.edge AND b.len < o.o_len) OR {chi2} <= 16.0)"
-    parts = []
-    for i in range(1, most + 1):
-        before = " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(max(0, i - reach), i))
-        block = f"SELECT b.contig_id, o.o0 + o.w AS j, r.s + ({value}) AS s FROM cb b JOIN ob o ON o.map_id = b.map_id JOIN ({before}) r ON r.contig_id = b.contig_id AND r.i = b.k AND r.j = o.o0 WHERE b.i = {i} AND {fits}"
-        other = (
-            f"SELECT c.contig_id, c.j, 0.0::DOUBLE AS s FROM cols c JOIN facts f USING (contig_id) WHERE f.m >= {i}"
-            if local
-            else f"SELECT r.contig_id, r.j, r.s + -(c.size * 0.0015::DOUBLE) AS s FROM r{i - 1} r JOIN contigs c ON c.contig_id = r.contig_id AND c.idx = {i - 1} WHERE c.size < 2000"
-        )
-        parts.append(f"r{i} AS MATERIALIZED (SELECT contig_id, {i} AS i, j, max(s) AS s FROM ({block} UNION ALL {other}) GROUP BY contig_id, j)")
-    every = " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(1, most + 1))
-    keep = "r.s > 0" if local else "r.i = f.m AND r.j >= 1"
-    return f"WITH {blocks},\n" + ",\n".join(parts) + f"\nSELECT f.contig_id, f.map_id, round(max(r.s) + 1e-9::DOUBLE, 6) AS score, count(*) AS cells FROM ({every}) r JOIN facts f USING (contig_id) WHERE {keep} GROUP BY 1, 2"
+        value, fits = f"(x.cost - 5.0::DOUBLE * (w - 1)) - CASE WHEN {free} THEN 0.0::DOUBLE ELSE {chi2} END", f"({free} OR {chi2} <= 16.0)"
+    near = "least(cs[i - k + t + 1] - cs[i - k + 1], cs[i + 1] - cs[i - k + t + 1])"
+    step = f"CASE WHEN {near} > 2000 THEN -3.0::DOUBLE WHEN {near} < 2000 THEN -({near}) * 0.0015::DOUBLE + 0.000001::DOUBLE END"
+    cost = "-3.0::DOUBLE * (k - 1)" if local or by_count else f"CASE WHEN k = 1 THEN 0.0::DOUBLE WHEN list_count(list_transform(range(1, k), lambda t: {step})) = k - 1 THEN list_sum(list_transform(range(1, k), lambda t: {step})) END"
+    best = f"list_max(list_transform(blocks, lambda x: list_max(list_transform(range(1, least(j, {reach}) + 1), lambda w: CASE WHEN {fits} THEN rows[x.k][j - w + 1] + ({value}) END))))"
+    if local:
+        cell = f"greatest(0.0::DOUBLE, coalesce({best}, 0.0::DOUBLE))"
+    else:
+        gap = "CASE WHEN c[i] < 2000 THEN rows[1][j + 1] - c[i] * 0.0015::DOUBLE END"
+        cell = f"list_max([{best}, {gap}])"
+    shown = (
+        "max(top) AS top, CAST(sum(found) AS BIGINT) AS cells" if local else "max(top) FILTER (i = m) AS top, CAST(max(found) FILTER (i = m) AS BIGINT) AS cells"
+    )
+    counted = "list_filter(r[2:], lambda y: y > 0)" if local else "list_filter(r[2:], lambda y: y IS NOT NULL)"
+    return f"""WITH RECURSIVE {CONTIGS},
+cq AS (SELECT contig_id, map_id, max(m) AS m, list(size ORDER BY idx) AS c FROM contigs GROUP BY 1, 2),
+oq AS (SELECT map_id, list_prepend(0, list(end_bp ORDER BY frag_idx)) AS os FROM ends GROUP BY 1),
+facts AS (SELECT contig_id, map_id, m, c, list_transform(range(0, m + 1), lambda j: coalesce(list_sum(c[1:j]), 0)) AS cs, os FROM cq JOIN oq USING (map_id)),
+fold AS (
+  SELECT contig_id, 0 AS i, [list_transform(os, lambda x: 0.0::DOUBLE)] AS rows, NULL::DOUBLE AS top, 0::BIGINT AS found FROM facts
+  UNION ALL
+  SELECT contig_id, i, list_prepend(r, rows)[1:{reach}], list_max({counted}), len({counted}) FROM (
+    SELECT contig_id, i, rows, list_transform(range(0, len(os)), lambda j: {cell}) AS r FROM (
+      SELECT *, list_filter(list_transform(range(1, least(i, {reach}) + 1), lambda k: struct_pack(k := k, len := cs[i + 1] - cs[i - k + 1], edge := i = m OR i = k, cost := {cost})), lambda x: x.cost IS NOT NULL AND x.len > 0) AS blocks
+      FROM (SELECT f.contig_id, f.i + 1 AS i, f.rows, z.m, z.c, z.cs, z.os FROM fold f JOIN facts z USING (contig_id) WHERE f.i < z.m))))
+SELECT contig_id, map_id, round(top + 1e-9::DOUBLE, 6) AS score, cells FROM (SELECT contig_id, map_id, {shown} FROM fold JOIN facts USING (contig_id) WHERE i > 0 GROUP BY 1, 2)"""
