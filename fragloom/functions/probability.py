@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,87 +14,125 @@ CUT, FALSE_RATE, MEDIAN_LOST, VARIANCE = 0.8, 5e-6, 1350.0, 300.0
 LOSS = math.log(2) / MEDIAN_LOST
 
 
-def ln_gamma(x: float) -> float:
-    return math.lgamma(x)
-
-
-def _series(a: float, x: float) -> float:
-    """Lower regularised incomplete gamma function, for x < a + 1."""
-    term = total = 1 / a
-    k = a
-    while term > total * 1e-16:
-        k += 1
-        term *= x / k
-        total += term
-    return total * math.exp(-x + a * math.log(x) - math.lgamma(a))
-
-
-def _fraction(a: float, x: float) -> float:
-    """Logarithm of the upper regularised incomplete gamma function, for x >= a + 1, by Lentz's method."""
-    tiny = 1e-300
-    b = x + 1 - a
-    c, d = 1 / tiny, 1 / b
-    h = d
-    for i in range(1, 10_000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b or tiny)
-        c = b + an / c or tiny
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
+#: Fixed values of Stirling's series: B(2k) / (2k (2k - 1)).
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
+SHIFT = 10
+TINY = 1e-300
+
+
+def _arrays(*values) -> tuple[list[np.ndarray], bool]:
+    """The values as arrays of one shape, and whether all were single numbers."""
+    out = np.broadcast_arrays(*[np.asarray(v, dtype=float) for v in values])
+    return [np.atleast_1d(v).astype(float) for v in out], all(np.ndim(v) == 0 for v in values)
+
+
+def _result(values: np.ndarray, single: bool):
+    return float(values[0]) if single else values
+
+
+def _open(state: list[np.ndarray], going: np.ndarray) -> list[np.ndarray]:
+    return [v[going] for v in state]
+
+
+def ln_gamma(x):
+    """Logarithm of the gamma function of numbers or arrays above 0: Stirling's series at ``x`` + 10, and the recurrence back."""
+    (x,), single = _arrays(x)
+    y = x + SHIFT
+    series = sum(c / y ** (2 * k + 1) for k, c in enumerate(STIRLING))
+    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - sum(np.log(x + k) for k in range(SHIFT))
+    return _result(out, single)
+
+
+def _series(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Lower regularised incomplete gamma function, for x < a + 1; what has converged is left alone."""
+    total = 1 / a
+    term, k, at = total.copy(), a.copy(), np.arange(len(a))
+    while len(at):
+        k, term = k + 1, term * x[at] / (k + 1)
+        total[at] += term
+        going = term > total[at] * 1e-16
+        k, term, at = _open([k, term, at], going)
+    return total * np.exp(-x + a * np.log(x) - ln_gamma(a))
+
+
+def _lentz(b0: np.ndarray, step, most: int = 10_000) -> np.ndarray:
+    """A continued fraction 1 / (b0 + a1 / (b1 + ...)); ``step(i, at)`` gives a_i and b_i of the places that are still going."""
+    d = 1 / np.where(b0 == 0, TINY, b0)
+    h, at = d.copy(), np.arange(len(b0))
+    c = np.full(len(b0), 1 / TINY)
+    for i in range(1, most):
+        top, below = step(i, at)
+        d = top * d + below
+        d = 1 / np.where(d == 0, TINY, d)
+        c = below + top / c
+        c = np.where(c == 0, TINY, c)
+        h[at] *= c * d
+        going = np.abs(c * d - 1) >= 1e-15
+        if not going.any():
             break
-    return -x + a * math.log(x) - math.lgamma(a) + math.log(h)
+        c, d, at = _open([c, d, at], going)
+    return h
 
 
-def ln_gamma_upper(a: float, x: float) -> float:
+def ln_gamma_upper(a, x):
     """Logarithm of the upper regularised incomplete gamma function; 0 for x <= 0 or a == 0."""
-    if a < 0 or x < -1e-10:
+    (a, x), single = _arrays(a, x)
+    if (a < 0).any() or (x < -1e-10).any():
         raise ValueError("a and x must not be negative")
-    if x <= 0 or a == 0:
-        return 0.0
-    return _fraction(a, x) if x >= a + 1 else math.log1p(-_series(a, x))
+    out, some = np.zeros(len(a)), (x > 0) & (a > 0)
+    low, high = some & (x < a + 1), some & (x >= a + 1)
+    out[low] = np.log1p(-np.minimum(_series(a[low], x[low]), 1 - 2**-53))
+    p, q = a[high], x[high]
+    h = _lentz(q + 1 - p, lambda i, at: (-i * (i - p[at]), q[at] + 1 - p[at] + 2 * i))
+    out[high] = -q + p * np.log(q) - ln_gamma(p) + np.log(h)
+    return _result(out, single)
 
 
-def ln_chi_tail(df: float, x: float) -> float:
+def ln_chi_tail(df, x):
     """Logarithm of the upper tail of chi squared, less that of the gamma function of half its degrees."""
-    return ln_gamma_upper(df / 2, x / 2) - math.lgamma(df / 2)
+    (df, x), single = _arrays(df, x)
+    return _result(ln_gamma_upper(df / 2, x / 2) - ln_gamma(df / 2), single)
 
 
-def ln_normal_tail(x: float, mean: float, variance: float) -> float:
-    """Logarithm of the upper tail of a normal distribution."""
-    z = (x - mean) / math.sqrt(2 * variance)
-    tail = math.erfc(z) / 2
-    return math.log(tail) if tail > 1e-300 else -math.log(2) + ln_gamma_upper(0.5, z * z)
+def ln_normal_tail(x, mean, variance):
+    """Logarithm of the upper tail of a normal distribution, however small."""
+    (x, mean, variance), single = _arrays(x, mean, variance)
+    z = (x - mean) / np.sqrt(2 * variance)
+    both = ln_gamma_upper(np.full(len(z), 0.5), z * z)  # of both tails beyond z
+    return _result(np.where(z > 0, both - math.log(2), np.log1p(-np.exp(both) / 2)), single)
 
 
-def beta_inc(a: float, b: float, x: float) -> float:
+def beta_inc(a, b, x):
     """Regularised incomplete beta function."""
-    if not 0 <= x <= 1:
+    (a, b, x), single = _arrays(a, b, x)
+    if not ((x >= 0) & (x <= 1)).all():
         raise ValueError("x must lie between 0 and 1")
-    if x in (0.0, 1.0):
-        return x
-    if x > (a + 1) / (a + b + 2):
-        return 1 - beta_inc(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    tiny, c = 1e-300, 1.0
-    d = 1 / (1 - (a + b) * x / (a + 1) or tiny)
-    h = d
-    for m in range(1, 10_000):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + top * d or tiny)
-            c = 1 + top / c or tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return front * h / a
+    turned = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    out, some = np.zeros(len(x)), (y > 0) & (y < 1)
+    p, q, y = p[some], q[some], y[some]
+
+    def step(i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, u, v, w = i // 2, p[at], q[at], y[at]
+        top = m * (v - m) * w / ((u + 2 * m - 1) * (u + 2 * m)) if i % 2 == 0 else -(u + m) * (u + v + m) * w / ((u + 2 * m) * (u + 2 * m + 1))
+        return top, np.ones(len(at))
+
+    front = np.exp(ln_gamma(p + q) - ln_gamma(p) - ln_gamma(q) + p * np.log(y) + q * np.log1p(-y))
+    out[some] = front * _lentz(np.ones(len(y)), step) / p
+    out[np.where(turned, 1 - x, x) >= 1] = 1.0
+    return _result(np.where(turned, 1 - out, out), single)
 
 
 def vectorised(f):
-    """A Pandas UDF of a function of floats; null where an argument is null."""
+    """A Pandas UDF of a function of arrays, one call for a batch; null where an argument is null."""
 
     @F.pandas_udf("double")
     def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if any(pd.isna(v) for v in row) else f(*row) for row in zip(*columns, strict=True)], dtype="float64")
+        known = ~np.any([c.isna().to_numpy() for c in columns], axis=0)
+        out = np.full(len(known), np.nan)
+        if known.any():
+            out[known] = f(*[c.to_numpy(float)[known] for c in columns])
+        return pd.Series(out).where(known, None)
 
     return run
 

@@ -141,12 +141,26 @@ def file_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- special functions and placement records
 
 
-@query("SELECT p_partkey, round(-p_size / 2.0 + 1e-9::DOUBLE, 6) AS chi_tail, round(lgamma(p_size / 2.0) + 1e-9::DOUBLE, 6) AS gamma, round(power(1 - p_size / 60.0, 3) + 1e-9::DOUBLE, 6) AS beta FROM part")
+#: Degrees 2 to 20 and arguments of either side of the two expansions; tails of normals by Simpson's rule; beta functions of whole numbers as sums.
+SPECIAL = """WITH p AS (SELECT p_partkey, p_size AS x, 1 + p_partkey % 10 AS k, 1 + p_partkey % 7 AS a, 1 + p_size % 5 AS b, (p_partkey % 161 - 80) / 20.0::DOUBLE AS z FROM part),
+f AS (SELECT list_prepend(1.0::DOUBLE, list_transform(range(1, 30), lambda n: list_product(list_transform(range(1, n + 1), lambda i: CAST(i AS DOUBLE))))) AS f)
+SELECT p_partkey, round(-x / 2.0::DOUBLE + ln(list_sum(list_transform(range(0, k), lambda i: power(x / 2.0::DOUBLE, i) / f[i + 1]))) - ln(f[k]) + 1e-9::DOUBLE, 6) AS chi_tail,
+  round(lgamma(x / 2.0::DOUBLE) + 1e-9::DOUBLE, 6) AS gamma,
+  round(list_sum(list_transform(range(a, a + b), lambda j: f[a + b] / (f[j + 1] * f[a + b - j]) * power(x / 51.0::DOUBLE, j) * power(1 - x / 51.0::DOUBLE, a + b - 1 - j))) + 1e-9::DOUBLE, 6) AS beta,
+  round(ln(0.5::DOUBLE - z / 1000 / 3 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 1001), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(z * i / 1000, 2) / 2)))) + 1e-9::DOUBLE, 5) AS normal_tail
+FROM p, f"""
+
+
+@query(SPECIAL)
 def special_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tails with closed forms: two degrees of freedom, and the beta function of (1, 3)."""
-    part = bridge.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"))
-    shown = lambda c: F.round(c + 1e-9, 6)
-    return part.select("p_partkey", shown(P.vectorised(P.ln_chi_tail)(F.lit(2.0), "x")).alias("chi_tail"), shown(P.vectorised(P.ln_gamma)(F.col("x") / 2)).alias("gamma"), shown(1 - P.vectorised(P.beta_inc)(F.lit(1.0), F.lit(3.0), F.col("x") / 60)).alias("beta"))
+    """Tails of chi squared of even degrees and of normals, the gamma function, and beta functions of whole numbers, where other ways lead to the same values."""
+    k, x = F.col("p_partkey"), F.col("p_size").cast("double")
+    part = bridge.table(spark, sf_dir, "part").select("p_partkey", x.alias("x"), (2.0 * (1 + k % 10)).alias("df"), (1 + k % 7).cast("double").alias("a"), (1 + F.col("p_size") % 5).cast("double").alias("b"), ((k % 161 - 80) / 20.0).alias("z"))
+    shown = lambda c, digits=6: F.round(c + 1e-9, digits)
+    return part.select(
+        "p_partkey", shown(P.vectorised(P.ln_chi_tail)("df", "x")).alias("chi_tail"), shown(P.vectorised(P.ln_gamma)(F.col("x") / 2)).alias("gamma"),
+        shown(P.vectorised(P.beta_inc)("a", "b", F.col("x") / 51)).alias("beta"), shown(P.vectorised(P.ln_normal_tail)("z", F.lit(0.0), F.lit(1.0)), 5).alias("normal_tail"),
+    )
 
 
 def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
