@@ -31,7 +31,7 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(PARTING).split()
 
 
-def term_counts(docs: DataFrame, most_held: int = 400_000) -> DataFrame:
+def term_counts(docs: DataFrame, most_held: int = 1_000_000) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of a term in a group and documents that hold it, several rows of a kind; rows with a null term count the group's documents.
 
     Sums are made in each task, of at most about ``most_held`` different terms of groups at a time and those of one text.
@@ -111,32 +111,33 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, most_terms: int = 20
     whole = wide.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("n_lang"))
     sums = groups.join(own, "lang", "left").join(whole, "lang", "left")
     ns = F.transform("sources", lambda x: F.coalesce(F.element_at("n_of", x), F.lit(0)))
-    langs = keep(sums.select("lang", "sources", ns.alias("ns"), F.coalesce("kept", F.lit(0)).alias("kept"), "n_lang"), "languages")
+    number = F.row_number().over(Window.orderBy("lang"))  # a row for each language
+    langs = keep(sums.select("lang", number.alias("no"), "sources", ns.alias("ns"), F.coalesce("kept", F.lit(0)).alias("kept"), "n_lang"), "languages")
 
     # ``rest`` is the share of a term that a source doesn't have (of no account where no term is kept), ``p`` has a place for each source.
     rest = F.transform("ns", lambda n: share_of(F.lit(0), n, F.greatest("kept", F.lit(1))))
     vectors = wide.join(langs.filter("kept > 0").withColumn("rest", rest), "lang").withColumn("cs", F.transform("sources", lambda x: F.element_at("at", x)))
     shares = F.transform("cs", lambda c, k: F.when(c.isNull(), F.get("rest", k)).otherwise(share_of(c, F.get("ns", k), F.col("kept"))))
     holders = F.filter(F.transform("cs", lambda c, k: F.when(c.isNotNull(), k)), lambda k: k.isNotNull())
-    vectors = vectors.select("lang", "term", shares.alias("p"), holders.alias("holders"), share_of(F.col("total"), F.col("n_lang"), F.col("kept")).alias("q"))
+    vectors = vectors.select("no", "term", shares.alias("p"), holders.alias("holders"), share_of(F.col("total"), F.col("n_lang"), F.col("kept")).alias("q"))
 
     # One row for each source, with what it adds to its pairs: with all others if it has the term, else with those that have it.
-    firsts = vectors.select("lang", "p", "holders", F.transform("holders", lambda k: F.get("p", k)).alias("held"), F.posexplode("p").alias("a", "p_a"))
+    firsts = vectors.select("no", "p", "holders", F.transform("holders", lambda k: F.get("p", k)).alias("held"), F.posexplode("p").alias("a", "p_a"))
     has = F.array_contains("holders", F.col("a"))
     values = F.transform(F.when(has, F.col("p")).otherwise(F.col("held")), lambda q: distance_of(F.col("p_a"), q))
-    emitted = firsts.select("lang", "a", has.alias("has"), "holders", F.posexplode(values).alias("k", "value"))
+    emitted = firsts.select("no", "a", has.alias("has"), "holders", F.posexplode(values).alias("k", "value"))
     other = F.when(F.col("has"), F.col("k")).otherwise(F.get("holders", F.col("k")))
-    summed = emitted.select("lang", "a", other.alias("b"), "value").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+    summed = emitted.select("no", "a", other.alias("b"), "value").groupBy("no", "a", "b").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
     # Terms that neither of a pair has all add the same.
-    base = langs.select("lang", "sources", "kept", rest.alias("rest"), F.posexplode("sources").alias("a", "source")).select("*", F.posexplode("sources").alias("b", "item")).filter("a <> b")
+    base = langs.select("lang", "no", "sources", "kept", rest.alias("rest"), F.posexplode("sources").alias("a", "source")).select("*", F.posexplode("sources").alias("b", "item")).filter("a <> b")
     constant = (F.col("kept") - F.coalesce("n", F.lit(0))) * distance_of(F.get("rest", F.col("a")), F.get("rest", F.col("b")))
     value = constant + F.coalesce("value", F.lit(0))
-    pairs = keep(base.join(summed, ["lang", "a", "b"], "left").select("lang", "source", "item", value.alias("value")), "pairs")
+    pairs = keep(base.join(summed, ["no", "a", "b"], "left").select("lang", "source", "item", value.alias("value")), "pairs")
 
-    marks = vectors.select("lang", "q", F.explode("holders").alias("place"), "p", "term").select("lang", "place", "term", F.get("p", F.col("place")).alias("p"), "q").filter("p > q")
-    best = Window.partitionBy("lang", "place").orderBy(F.col("value").desc(), "item")
-    ranked = marks.select("lang", "place", F.col("term").alias("item"), distance_of(F.col("p"), F.col("q")).alias("value")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most_terms)
-    terms = keep(ranked.join(langs, "lang").select("lang", F.get("sources", F.col("place")).alias("source"), "item", "value", "rank"), "marks")
+    marks = vectors.select("no", "q", F.explode("holders").alias("place"), "p", "term").select("no", "place", "term", F.get("p", F.col("place")).alias("p"), "q").filter("p > q")
+    best = Window.partitionBy("no", "place").orderBy(F.col("value").desc(), "item")
+    ranked = marks.select("no", "place", F.col("term").alias("item"), distance_of(F.col("p"), F.col("q")).alias("value")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most_terms)
+    terms = keep(ranked.join(langs, "no").select("lang", F.get("sources", F.col("place")).alias("source"), "item", "value", "rank"), "marks")
     forget(every, langs)
     return pairs, terms
 
