@@ -57,6 +57,17 @@ def file_pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_pair_lines(spark, _written(lines, "pairs")).select("map_id", "enzyme", "num_frags", "length", _checksum())
 
 
+@query(on(FRAGS, "SELECT map_id, CAST(count(*) AS INTEGER) AS n, CAST(sum(size * (frag_idx + 1)) AS BIGINT) AS checksum FROM frags GROUP BY 1"))
+def file_kb_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries with a line for each fragment (index, size, deviation), turned into lines of size and deviation; map and place are taken back from the deviation."""
+    frags = bridge.frag_rows(spark, sf_dir)
+    sd = F.concat(F.substring("map_id", 4, 20), F.lit("."), F.lpad((F.col("frag_idx") + 1).cast("string"), 6, "0"))
+    lines = frags.select(F.concat_ws("   ", (F.col("frag_idx") + 1).cast("string"), _kb()(F.col("size")), sd).alias("value"))
+    f = F.split("value", " ")
+    back = readers.kb_lines(spark, _written(lines, "kb-lines")).select(F.concat(F.lit("map"), F.split(f[1], r"\.")[0]).alias("map_id"), F.split(f[1], r"\.")[1].cast("int").alias("place"), M.kb_to_bp(f[0].cast("double"), True).alias("size"))
+    return back.groupBy("map_id").agg(F.count("*").cast("int").alias("n"), F.sum(F.col("size").cast("bigint") * F.col("place")).alias("checksum"))
+
+
 @query(on(FRAGS, f", kept AS (SELECT map_id, size, row_number() OVER (PARTITION BY map_id ORDER BY frag_idx) - 1 AS frag_idx FROM frags WHERE frag_idx % 7 <> 0) SELECT map_id, 'E1' AS enzyme, CAST(count(*) AS INTEGER) AS num_frags, CAST(sum(size) AS INTEGER) AS length, {CHECK} FROM kept GROUP BY 1"))
 def file_map_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh fragment has a deviation of 0 and is left out."""
@@ -97,6 +108,25 @@ def file_enzymes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("enzyme", F.size("motifs").alias("n_motifs"), F.array_join("motifs", ",").alias("motifs"))
 
 
+@query(f"SELECT p_partkey, 'enz' || p_partkey AS name, {MOTIF} AS motif FROM part")
+def file_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each enzyme's one motif, looked up by its name in a list that was written and read."""
+    part = bridge.table(spark, sf_dir, "part").select("p_partkey", F.translate(F.col("p_partkey").cast("string"), "0123456789", "ACGTACGTAC").alias("m"))
+    lines = part.select(F.concat(F.lit("Enz"), F.col("p_partkey"), F.lit("/'"), "m", F.lit("//")).alias("value"))
+    names = part.select(F.concat(F.lit("enz"), F.col("p_partkey")).alias("name"))
+    found = readers.motif_of(readers.read_enzymes(spark, _written(lines, "motifs")), names)
+    return found.select(F.substring("name", 4, 20).cast("bigint").alias("p_partkey"), "name", "motif")
+
+
+@query(on(TRUTH, " SELECT CAST(c AS INTEGER) AS contig, CAST(o AS INTEGER) AS optical, count(*) AS n FROM truth WHERE NOT boundary GROUP BY 1, 2"))
+def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of inner blocks, written as a tab-separated table and read back."""
+    path = new_path(spark, "chunks")
+    writers.write_matched_chunks(bridge.best(spark, sf_dir), path)
+    back = spark.read.option("header", "true").option("sep", "\t").schema("contig int, optical int").csv(path)
+    return back.groupBy("contig", "optical").agg(F.count("*").alias("n"))
+
+
 @query(on(PLACEMENTS, "SELECT contig_id, num_frags AS size, forward, op_start_index AS op_start, op_end_index AS op_end, 'MATCH' AS type, num_frags || ' ;' AS optical_string, ';' || num_frags AS contig_string, [1, num_frags] AS sites FROM matches"))
 def file_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of five lines."""
@@ -252,6 +282,19 @@ def legacy_scaffolds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joint.legacy_chain(*_ambiguous(spark, sf_dir))["agp"]
 
 
+@query(_turns_sql(""", p AS (SELECT map_id, record, contig_id, forward, type, s, cs, ce, z.end_bp - z.size AS b1, y.end_bp - y.size AS b2, o1, o2, o1 // 100 AS z1, o2 // 100 AS z2
+  FROM typed t JOIN ends z USING (map_id) JOIN ends y USING (map_id) WHERE type IN ('MATCH', 'FILTER') AND z.frag_idx = o1 AND y.frag_idx = o2),
+g AS (SELECT *, coalesce(z1 > lag(z2) OVER w, TRUE) AS breaks, greatest(1, greatest(0, b1 - lag(b2) OVER w) - lag(ce) OVER w - cs) AS gap_in,
+  trunc(sqrt(greatest(0, o1 - z1 - lag(o2 - z2) OVER w) * 2500.0::DOUBLE)) AS sd_in FROM p WINDOW w AS (PARTITION BY map_id ORDER BY s, record)),
+h AS (SELECT *, sum(CAST(breaks AS INTEGER)) OVER (PARTITION BY map_id ORDER BY s, record) - 1 AS scaffold FROM g),
+r AS (SELECT *, row_number() OVER w AS o, coalesce(lead(gap_in) OVER w, 0) AS gap, CAST(coalesce(lead(sd_in) OVER w, 0) AS INTEGER) AS gap_sd FROM h WINDOW w AS (PARTITION BY map_id, scaffold ORDER BY s, record))
+SELECT map_id, CAST(r.scaffold AS BIGINT) AS scaffold, '>scaff' || r.scaffold || ' ' || count(*) || ' ' || 12000 * count(*) || ' ' || CAST(12000 * count(*) + sum(gap) AS BIGINT) || chr(10)
+  || string_agg(contig_id || ' ' || CASE WHEN forward THEN 'BE' ELSE 'EB' END || ' 12000 ' || gap || ' ' || gap_sd || ' ' || type, chr(10) ORDER BY o) AS value FROM r GROUP BY map_id, r.scaffold"""))
+def legacy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scaffolds as their text: a header and a line for each query, with gaps and their deviations."""
+    return joint.legacy_chain(*_ambiguous(spark, sf_dir))["lines"].withColumn("scaffold", F.col("scaffold").cast("bigint"))
+
+
 @query()
 def joint_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All anchors that both of two maps place, tried in one plan."""
@@ -259,12 +302,15 @@ def joint_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joint.try_anchors(records.filter("forward"), optical, records.filter("NOT forward"), optical)
 
 
-@query(on(FRAGS, "SELECT map_id, CAST(floor((end_bp - size) / 1000000) AS BIGINT) AS page_row, count(*) AS boxes, CAST(sum(size) AS BIGINT) AS bp FROM ends GROUP BY 1, 2"))
+@query(on(PLACEMENTS, """, boxes AS (SELECT map_id, 'fragment' AS kind, end_bp - size AS a, size FROM ends
+  UNION ALL SELECT chromosome, 'contig', e.end_bp - e.size, 12000 FROM matches JOIN ends e ON e.map_id = chromosome AND e.frag_idx = op_start_index WHERE pval <= 0.04)
+SELECT map_id, kind, CAST(floor(a / 1000000) AS BIGINT) AS page_row, count(*) AS boxes, CAST(sum(size) AS BIGINT) AS bp, CAST(sum(a % 1000000) AS BIGINT) AS lefts, CAST(max(floor(a / 1000000) * 3 + CASE kind WHEN 'contig' THEN 1 ELSE 0 END) AS DOUBLE) AS y FROM boxes GROUP BY 1, 2, 3"""))
 def figure_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout of the maps' fragments in rows of a million bp, counted back."""
+    """Layout of the maps' fragments and of placed queries in rows of a million bp, counted back."""
     records, optical = _records(spark, sf_dir)
-    boxes = joint.figure_layout(records.limit(0), optical).filter("kind = 'fragment'")
-    return boxes.groupBy("map_id", "page_row").agg(F.count("*").alias("boxes"), F.round(F.sum(F.col("x1") - F.col("x0")) * 100).cast("bigint").alias("bp"))
+    boxes = joint.figure_layout(records, optical)
+    bp = lambda c: F.round(F.sum(c) * 100).cast("bigint")
+    return boxes.groupBy("map_id", "kind", "page_row").agg(F.count("*").alias("boxes"), bp(F.col("x1") - F.col("x0")).alias("bp"), bp(F.col("x0")).alias("lefts"), F.max("y").alias("y"))
 
 
 @query(on(FRAGS, "SELECT map_id, CAST(frag_idx AS INTEGER) AS frag_idx, frag_idx = 0 OR frag_idx = num_frags - 1 AS at_end, size FROM frags JOIN maps USING (map_id) WHERE frag_idx < 3 OR frag_idx >= num_frags - 3"))

@@ -289,9 +289,45 @@ def match_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.match_strings(bridge.best(spark, sf_dir)).drop("score_string")
 
 
-@query()
+#: What the parts of a score look like with three digits.
+SHOWN = "printf('%6.3f', CASE WHEN boundary AND c < o THEN 0.0::DOUBLE ELSE -chi2 END) || '  0.000 ' || printf('%6.3f', optical)"
+
+
+@query(on(TRUTH, f""", cells AS (SELECT match_id, i, c || ' = ' || c AS a, o || ' = ' || replace(o_text, '  ', ' + ') AS b, {SHOWN} AS d FROM truth),
+every AS (SELECT * FROM cells UNION ALL SELECT DISTINCT match_id, -1, 'Query Frags', 'Reference Frags', 'Chunk Score' FROM cells),
+wide AS (SELECT *, max(length(a)) OVER w AS wa, max(length(b)) OVER w AS wb, max(length(d)) OVER w AS wd FROM every WINDOW w AS (PARTITION BY match_id)),
+lines AS (SELECT match_id, string_agg(rpad(repeat(' ', (wa - length(a)) // 2) || a, CAST(wa AS INTEGER), ' ') || ' | ' || rpad(repeat(' ', (wb - length(b)) // 2) || b, CAST(wb AS INTEGER), ' ') || ' | ' || rpad(repeat(' ', (wd - length(d)) // 2) || d, CAST(wd AS INTEGER), ' '), chr(10) ORDER BY i) AS body FROM wide GROUP BY 1),
+ends_of AS (SELECT map_id AS chromosome, frag_idx, size, end_bp FROM ends),
+heads AS (SELECT match_id, contig_id, chromosome, CASE WHEN forward THEN 'Forward' ELSE 'Reverse' END AS way, min(o_start) AS s, max(o_end) - 1 AS e, CAST(sum(c) AS INTEGER) AS total, CAST(max(m) AS INTEGER) AS m,
+  CAST(sum(c) FILTER (i = 0) AS BIGINT) AS c0, CAST(sum(c) FILTER (i = m - 1) AS BIGINT) AS c1, min(o_end) AS e0, max(o_start) AS s1 FROM truth GROUP BY 1, 2, 3, 4)
+SELECT match_id, contig_id || ' ' || total || ' 0.000000' || chr(10) || h.chromosome || ' ' || s || ' to ' || e || ' ' || way || chr(10) || 'query_coords: ' || contig_id || ' (0, ' || (m - 1) || ') (0,' || total || ') ' || way || chr(10)
+  || 'ref_coords: ' || h.chromosome || ' (' || s || ', ' || e || ') (' || (x.end_bp - x.size - c0) || ',' || (y.end_bp - y.size + c1) || ') Forward' || chr(10) || body AS value
+FROM heads h JOIN lines USING (match_id) JOIN ends_of x ON x.chromosome = h.chromosome AND x.frag_idx = h.e0 JOIN ends_of y ON y.chromosome = h.chromosome AND y.frag_idx = h.s1"""))
 def alignment_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writers.alignment_tables(bridge.matches(spark, sf_dir).withColumn("pval", F.lit(0.0)))
+    """The readable table of every query's best placement."""
+    return writers.alignment_tables(bridge.best(spark, sf_dir))
+
+
+QUALITY = """, parts AS (SELECT *, abs(o - c) / (0.3::DOUBLE * sqrt(1000.0::DOUBLE) * sqrt(c)) AS off FROM truth),
+one AS (SELECT match_id, chromosome, max(m) AS m, min(o_start) AS s, max(o_end) - 1 AS e, sum(o_end - o_start - 1) AS misses, sum(c) FILTER (NOT boundary AND o_end - o_start = 1) AS pure, sum(c) FILTER (NOT boundary) AS inner_c, sum(o) FILTER (NOT boundary) AS inner_o,
+  avg(off) FILTER (NOT boundary) AS mean_sd, median(off) FILTER (NOT boundary) AS median_sd, min(off) FILTER (NOT boundary) AS min_sd, max(off) FILTER (NOT boundary) AS max_sd, round(sum(optical - CASE WHEN boundary AND c < o THEN 0.0::DOUBLE ELSE chi2 END) + 1e-9::DOUBLE, 6) AS score FROM parts GROUP BY 1, 2),
+rated AS (SELECT *, least(inner_c, inner_o)::DOUBLE / greatest(inner_c, inner_o) AS ratio, coalesce(pure, 0)::DOUBLE / inner_c AS pure_ratio FROM one),
+good AS (SELECT *, m >= 3 AND ratio >= 0.9 AND misses::DOUBLE / (2 * (m - 1) + misses) <= 1 AS quality FROM rated)
+SELECT match_id, quality, quality AND pure_ratio >= 0.7 AND coalesce(pure, 0) >= 5000 AS strict, CAST(coalesce(pure, 0) AS INTEGER) AS bases_one_to_one, round(pure_ratio + 1e-9::DOUBLE, 6) AS one_to_one_ratio,
+  round(mean_sd + 1e-9::DOUBLE, 6) AS mean_sd, round(median_sd + 1e-9::DOUBLE, 6) AS median_sd, round(min_sd + 1e-9::DOUBLE, 6) AS min_sd, round(max_sd + 1e-9::DOUBLE, 6) AS max_sd,
+  CAST(row_number() OVER (ORDER BY score DESC, misses, median_sd, ratio, match_id) AS INTEGER) AS by_quality, CAST(row_number() OVER (ORDER BY s, e, match_id) AS INTEGER) AS by_location, CAST(row_number() OVER (ORDER BY pure_ratio DESC, match_id) AS INTEGER) AS by_one_to_one FROM good"""
+
+
+@query(on(TRUTH, QUALITY))
+def match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality tests, the one-to-one statistics and the places in all three orders of every query's best placement."""
+    m = placement.one_to_one(bridge.best(spark, sf_dir)).withColumn("score", F.round(F.col("score") + TIE, 6))
+    place = lambda order: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # noqa: E731  the report is one list
+    shown = [F.round(F.col(c) + TIE, 6).alias(c) for c in ("one_to_one_ratio", "mean_sd", "median_sd", "min_sd", "max_sd")]
+    return m.select(
+        "match_id", placement.is_quality().alias("quality"), placement.is_strict_quality().alias("strict"), F.col("bases_one_to_one").cast("int").alias("bases_one_to_one"), *shown,
+        place(placement.quality_order()).alias("by_quality"), place(placement.chromosome_order()).alias("by_location"), place(placement.one_to_one_order()).alias("by_one_to_one"),
+    )
 
 
 @query(on(TRUTH, " SELECT match_id, CAST(i AS INTEGER) AS chunk, CAST(c AS INTEGER) AS contig, CAST(o AS INTEGER) AS optical FROM truth WHERE NOT boundary"))
@@ -455,6 +491,14 @@ def empirical_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("match_id", F.round("pval", 6).alias("pval"))
 
 
+@query(on(PLACEMENTS, f""", null_ AS (SELECT f AS num_frags, -({PICK.format(keys="concat_ws('|', f, t)", n="100")}) / 4.0::DOUBLE AS null_score FROM range(10, 20) a(f), range(1000) b(t))
+SELECT match_id, round(avg(CASE WHEN null_score > score THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS pval FROM matches JOIN null_ USING (num_frags) GROUP BY 1"""))
+def strict_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`empirical_pvalue`, counting only null scores above a placement's."""
+    out = significance.strict_pvalues(bridge.placements(spark, sf_dir), _stated_null(spark))
+    return out.select("match_id", F.round("pval", 6).alias("pval"))
+
+
 @query(on(FRAGS, f""", pool AS (SELECT CAST(row_number() OVER (ORDER BY map_id, frag_idx) - 1 AS BIGINT) AS place, -(size % 64) / 16.0::DOUBLE AS score FROM frags), n AS (SELECT count(*) AS n FROM pool),
 draws AS (SELECT f AS num_chunks, t AS sample, k FROM range(5, 10) a(f), range(10000) b(t), unnest(range(f)) c(k)),
 sums AS (SELECT num_chunks, sample, sum(score) AS null_score FROM (SELECT d.*, {PICK.format(keys="concat_ws('|', num_chunks, sample, k)", n="(SELECT n FROM n)")} AS place FROM draws d) JOIN pool USING (place) GROUP BY 1, 2)
