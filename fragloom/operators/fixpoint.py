@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,45 +28,65 @@ BATCH = 50_000
 RECORD = ("record", "contig_id", "op_start", "op_end", "c_start", "c_end", "o_first", "o_last")
 
 
+def _spans(base: np.ndarray, n: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> tuple[array, np.ndarray]:
+    """(bounds, fragments): the numbers, within ``codes``, of the fragments from ``start`` to ``end`` - 1 of each record, one record's behind another's."""
+    length = np.maximum(end - start, 0)
+    bounds = np.concatenate([[0], np.cumsum(length)])
+    place = np.repeat(start - bounds[:-1], length) + np.arange(bounds[-1])
+    return array("q", bounds.tolist()), np.searchsorted(codes, np.repeat(base, length) + place % np.repeat(np.maximum(n, 1), length)).astype(np.int32)
+
+
 class Board:
-    """The state of some fragments and the records on them."""
-
-    def __init__(self, fragments: list[tuple], records: list[tuple]):
-        """fragments: (map, place, n, size, sd), n the map's number of fragments; records: (map, *RECORD, fixed), in the order of (map, record)."""
-        self.at = {(m, place): k for k, (m, place, *_) in enumerate(fragments)}
-        around = {m: n for m, _, n, *_ in fragments}
-        self.size, self.sd = [f[3] for f in fragments], [f[4] for f in fragments]
-        self.records = records
-        self.query, self.runs, self.heads, self.tails = [], [], [], []
+    """The state of some fragments and the records on them, as flat arrays."""
+
+    def __init__(self, fragments: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], records: list[tuple]):
+        """fragments: arrays of map's number, place, n (the map's number of fragments), size and sd; records: (map's number, *RECORD, fixed), in the order of (map, record)."""
+        of_map, place, around, size, sd = fragments
+        order = np.lexsort((place, of_map))
+        codes = (of_map.astype(np.int64) << 40)[order] + place[order]
+        self.size, self.sd = array("d", size[order].tolist()), array("d", sd[order].tolist())
+        self.records, self.n = records, len(records)
+        column = lambda k: np.array([r[k] for r in records], np.int64)
+        base, start, end, first, last = column(0) << 40, column(3), column(4), column(7), column(8)
+        n = around[order][np.minimum(np.searchsorted(codes, base), max(0, len(codes) - 1))] if len(codes) else np.ones(len(records), np.int64)
+        self.runs, self.heads, self.tails = (_spans(base, n, x, y, codes) for x, y in ((start, end + 1), (start + 1, first), (last, end)))
         numbers: dict[tuple, int] = {}
-        for m, _, contig, start, end, _, _, first, last, _ in records:
-            n = around[m]
-            run = lambda a, b: [self.at[m, k % n] for k in range(a, b)]  # noqa: B023, E731
-            self.query.append(numbers.setdefault((m, contig), len(numbers)))
-            self.runs.append(run(start, end + 1))
-            self.heads.append(run(start + 1, first))
-            self.tails.append(run(last, end))
+        self.query = array("q", [numbers.setdefault((r[0], r[2]), len(numbers)) for r in records])
         self.status = ["rest"] * len(records)
-        self.open = [not r[-1] for r in records]
-        self.left, self.which = [0] * len(numbers), [0] * len(numbers)  # open records of a query: how many, and the exclusive or of their numbers
+        self.open = bytearray(not r[-1] for r in records)
+        # Open records of a query: how many, and the exclusive or of their numbers.
+        self.left, self.which = array("q", bytes(8 * len(numbers))), array("q", bytes(8 * len(numbers)))
+
+    @staticmethod
+    def of(spans: tuple[array, np.ndarray], r: int) -> list[int]:
+        return spans[1][spans[0][r] : spans[0][r + 1]].tolist()
+
+    def index(self, *kinds: tuple[array, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(bounds, records): the open records that have each fragment in one of their spans."""
+        owner = np.concatenate([np.repeat(np.arange(self.n, dtype=np.int32), np.diff(np.frombuffer(bounds, np.int64))) for bounds, _ in kinds])
+        fragment = np.concatenate([f for _, f in kinds])
+        good = np.frombuffer(self.open, np.uint8)[owner] > 0
+        owner, fragment = owner[good], fragment[good]
+        order = np.argsort(fragment, kind="stable")
+        return np.searchsorted(fragment[order], np.arange(len(self.size) + 1)), owner[order]
 
     def hangs(self, r: int) -> tuple[int, int]:
         """Query bp that stick out beyond the fragments next to the outermost matched sites, at both ends, as the map stands now."""
         out = []
-        for own, span in ((self.records[r][5], self.heads[r]), (self.records[r][6], self.tails[r])):
+        for own, span in ((self.records[r][5], self.of(self.heads, r)), (self.records[r][6], self.of(self.tails, r))):
             room = sum(self.size[f] for f in span) + TOLERANCE * math.sqrt(sum(self.sd[f] ** 2 for f in span))
             out.append(0 if own is None else max(int(own - room), 0))
         return out[0], out[1]
 
     def clashes(self, r: int) -> bool:
-        run = self.runs[r]
+        run = self.of(self.runs, r)
         if any(self.sd[f] == 0 for f in run):
             return True
         return any(self.size[f] + TOLERANCE * self.sd[f] < hang for f, hang in zip((run[0], run[-1]), self.hangs(r), strict=True))
 
     def occupy(self, r: int) -> tuple[list[int], list[int]]:
         """Take up a record's fragments; gives those that are taken now and weren't before, and those that are shorter now."""
-        run, taken, shorter = self.runs[r], [], []
+        run, taken, shorter = self.of(self.runs, r), [], []
         for f, hang in zip((run[0], run[-1]), self.hangs(r), strict=True):
             if hang and self.size[f] > 0:
                 self.size[f] = max(self.size[f] - hang, 0)
@@ -76,7 +98,7 @@ class Board:
         return taken, shorter
 
     def close(self, r: int, status: str) -> None:
-        self.status[r], self.open[r] = status, False
+        self.status[r], self.open[r] = status, 0
         q = self.query[r]
         self.left[q] -= 1
         self.which[q] ^= r
@@ -87,19 +109,14 @@ class Board:
             if record[-1]:
                 self.occupy(r)
                 self.status[r] = "fixed"
-        on: list[list[int]] = [[] for _ in self.size]
-        near: list[list[int]] = [[] for _ in self.size]
         for r, open_ in enumerate(self.open):
             if open_ and self.clashes(r):
-                self.status[r], self.open[r] = "conflict", False
+                self.status[r], self.open[r] = "conflict", 0
             elif open_:
                 self.left[self.query[r]] += 1
                 self.which[self.query[r]] ^= r
-                own = set(self.runs[r])
-                for f in own:
-                    on[f].append(r)
-                for f in {*self.heads[r], *self.tails[r]} - own:
-                    near[f].append(r)
+        on, near = self.index(self.runs), self.index(self.heads, self.tails)
+        at = lambda index, f: index[1][index[0][f] : index[0][f + 1]].tolist()
         ready = [r for r, open_ in enumerate(self.open) if open_ and self.left[self.query[r]] == 1]
         while ready:
             r = heapq.heappop(ready)
@@ -107,10 +124,8 @@ class Board:
                 continue
             self.close(r, "placed")
             taken, shorter = self.occupy(r)
-            gone = [x for f in taken for x in on[f]]
-            tested = {x for f in shorter for x in (*on[f], *near[f])} | {x for f in taken for x in near[f]}
-            for f in taken:
-                on[f] = []
+            gone = [x for f in taken for x in at(on, f)]  # a fragment is taken once
+            tested = {x for f in shorter for x in (*at(on, f), *at(near, f))} | {x for f in taken for x in at(near, f)}
             for x in (*gone, *(x for x in tested if self.open[x] and self.clashes(x))):
                 if self.open[x]:
                     self.close(x, "conflict")
@@ -151,31 +166,38 @@ def settled(records: DataFrame, optical: DataFrame) -> DataFrame:
     schema = ", ".join([*[f"{c} {k.simpleString()}" for c, k in kinds.items()], "status string"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fragments: list[tuple] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         mine: list[tuple] = []
-        last = None
+        numbers: dict = {}
+        last = types = None
 
         def done() -> pa.RecordBatch:
-            placed = [r for r in mine if r[1]]
-            placed.sort(key=lambda r: (r[0], r[2]))
+            names = list(numbers)
+            placed = sorted((r for r in mine if r[1]), key=lambda r: (r[0], r[2]))
+            fragments = tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
             status = Board(fragments, [(r[0], *r[2:]) for r in placed]).settle()
-            out = [(r[0], r[2], r[3], s) for r, s in zip(placed, status, strict=True) if not r[-1]]
-            out += [(r[0], r[2], r[3], "rest") for r in mine if not r[1] and not r[-1]]
+            out = [(names[r[0]], r[2], r[3], s) for r, s in zip(placed, status, strict=True) if not r[-1]]
+            out += [(names[r[0]], r[2], r[3], "rest") for r in mine if not r[1] and not r[-1]]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=[*kinds, "status"])
 
-        types = None
         for batch in batches:
-            if types is None:
-                types = [batch.schema.field(c).type for c in kinds] + [pa.string()]
-            for label, kind, m, around, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if label != last and len(mine) >= BATCH:
+            types = types or [batch.schema.field(c).type for c in kinds] + [pa.string()]
+            label = batch.column("label").fill_null(0).to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])).tolist()
+            for a, b in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+                if label[a] != last and len(mine) >= BATCH:
                     yield done()
-                    fragments, mine = [], []
-                last = label
-                if kind:
-                    mine.append((m, around, *rest[:-2]))
-                else:
-                    fragments.append((m, rest[0], around, rest[-2], rest[-1]))
+                    parts, mine, numbers = [], [], {}
+                last = label[a]
+                own = batch.slice(a, b - a)
+                is_record = own.column("kind").to_numpy(zero_copy_only=False) > 0
+                number = [numbers.setdefault(m, len(numbers)) for m in own.column("map_id").to_pylist()]
+                if not is_record.all():
+                    state = own.filter(pa.array(~is_record))
+                    parts.append((np.array(number)[~is_record], *[state.column(c).to_numpy(zero_copy_only=False) for c in ("record", "n", "size", "sd")]))
+                if is_record.any():
+                    rows = own.filter(pa.array(is_record))
+                    mine += zip(np.array(number)[is_record].tolist(), *[rows.column(c).to_pylist() for c in ("n", *RECORD, "fixed")], strict=True)
         if mine:
             yield done()
 

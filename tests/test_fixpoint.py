@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 
 from fragloom.operators import fixpoint
@@ -65,6 +66,13 @@ def made(rng, map_id, n, many):
     return records, frags
 
 
+def fragments(frags):
+    """Those of one map, in any order, as a board takes them."""
+    order = np.random.default_rng(len(frags)).permutation(len(frags))
+    size, sd = (np.array(x)[order] for x in zip(*frags, strict=True))
+    return np.zeros(len(frags), np.int64), order, np.full(len(frags), len(frags)), size, sd
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_same_statuses_as_the_loop(spark, seed, monkeypatch):
     rng = random.Random(seed)
@@ -85,7 +93,7 @@ def test_boards_against_the_loop():
     for seed in range(300):
         rng = random.Random(seed)
         records, frags = made(rng, "m", rng.choice([3, 12, 60]), rng.choice([5, 25, 60]))
-        board = fixpoint.Board([("m", k, len(frags), *f) for k, f in enumerate(frags)], records)
+        board = fixpoint.Board(fragments(frags), [(0, *r[1:]) for r in records])
         got = {r[1]: s for r, s in zip(records, board.settle(), strict=True) if not r[-1]}
         assert got == loop(records, frags), seed
         seen |= set(got.values())
@@ -99,10 +107,10 @@ def test_work_grows_with_the_records():
         records, k = [], 0
         for c in range(many):  # query c is at 4 c and, as a second choice, where query c + 1 is
             for start in (4 * c, 4 * c + 4) if c < many - 1 else (4 * c,):
-                records.append(("m", k, f"c{c:06}", start, start + 3, 0.0, 0.0, start + 1, start + 3, False))
+                records.append((0, k, f"c{c:06}", start, start + 3, 0.0, 0.0, start + 1, start + 3, False))
                 k += 1
         began = time.time()
-        status = fixpoint.Board([("m", j, 4 * many + 8, 1000.0, 50.0) for j in range(4 * many + 8)], records).settle()
+        status = fixpoint.Board(fragments([(1000.0, 50.0)] * (4 * many + 8)), records).settle()
         took[many] = time.time() - began
         assert status.count("placed") == many and status.count("rest") == 0
     assert took[20_000] < 40 * max(took[2_000], 0.02)
