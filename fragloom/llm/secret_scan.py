@@ -2,8 +2,9 @@
 
 A lexer with states (code, strings of all kinds with escapes, comments, urls) reads source and configuration syntax as pairs of
 a name and an expression of literals and other names: ``name = "x"``, ``name: 'x'``, ``"name" => x``, ``name := x``, ``<name>x</name>``, chained and
-annotated assignments, nested keys in brackets or by indentation, lists, pieces joined by operators or by standing side by side, and
-interpolated names.  Constants are propagated to a fixpoint, wherever they are defined: a literal weighs as much as the most sensitive
+annotated assignments, nested keys in brackets or by indentation, lists, pieces joined by operators or by standing side by side,
+interpolated names, calls whose first two arguments are a name and a literal, and the directives ``#define``, ``ENV`` and ``setenv``.  Strings and
+comments are read again by themselves, however deep, the former with one level of escapes undone.  Constants are propagated to a fixpoint, wherever they are defined: a literal weighs as much as the most sensitive
 name that it reaches.  A literal is reported where that and the look of the literal together reach the threshold.
 """
 
@@ -12,7 +13,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from itertools import accumulate
@@ -35,8 +37,8 @@ KINDS = ("assign", "access", "hex", "named")
 
 #: Tokens of code.  No alternative tries a place twice, so lexing is linear.
 TOKEN = re.compile(
-    r"""(?P<space>[\x20\t\r\f\v\\]++)|(?P<line>\n)|(?P<comment>\#++|//++|/\*++|<!--|--(?=\x20))|(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)|(?P<number>[0-9.-]++)"""
-    r"""|(?P<quote>\"{3}|'{3}|["'`])|(?P<assign>:=|=>|={1,2}|:|\?=)|(?P<open>[{(\[])|(?P<close>[})\]])|(?P<join>[+&|]++=?)|(?P<other>.)""",
+    r"""(?P<space>[\x20\t\r\f\v\\]++)|(?P<line>\n)|(?P<comment>\#++|//++|/\*++|<!--|--(?=\x20))|(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)|(?P<number>(?:[0-9.]|-(?!>))++)"""
+    r"""|(?P<quote>\"{3}|'{3}|["'`])|(?P<assign>:=|=>|->|={1,2}|:|\?=)|(?P<open>[{(\[])|(?P<close>[})\]])|(?P<join>[+&|]++=?)|(?P<other>.)""",
     re.DOTALL,
 )
 #: The inside of a string, up to its closing quote or, for quotes of one line, the line's end.
@@ -51,13 +53,20 @@ BARE = re.compile(r"""[^\s"',;(){}\[\]<>]*+""")
 BARE_IN_URL = re.compile(r"""[^\s"',;(){}\[\]<>&#]*+""")
 NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*+")
 #: A name inside a text: ``{name}``, ``${name}``, ``$name``, ``%(name)s``.
-INSERTED = re.compile(r"\$?\{++\s*+([A-Za-z_][A-Za-z0-9_.]*+)[^{}]*+\}++|\$([A-Za-z_][A-Za-z0-9_]*+)|%\(([A-Za-z_][A-Za-z0-9_]*+)\)s")
+INSERTED = re.compile(r"(?:\$\{++|(?<!\{)\{++)\s*+([A-Za-z_][A-Za-z0-9_.]*+)[^{}]*+\}++|\$([A-Za-z_][A-Za-z0-9_]*+)|%\(([A-Za-z_][A-Za-z0-9_]*+)\)s")
 SECTION = re.compile(r"[\x20\t]*+\[([A-Za-z_][A-Za-z0-9_.:\x20-]*+)\][\x20\t\r]*+(?=\n|\Z)")
 ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_:.-]*+)(?:\s[^<>]*+)?>\s*+([^<>\s](?:[^<>]*[^<>\s])?+)\s*+</")
 SPACES, LEAD, LAST_WORD = re.compile(r"[\x20\t]*+"), re.compile(r"(?:[\x20\t\r\n]|-\x20)*+"), re.compile(r"[A-Za-z]++$")
 QUOTES = ("'", '"')
-#: Parts of strings and comments are lexed again, so deep.
-DEEPEST = 3
+#: ``#define NAME value`` and the like: a name and a value without a sign between them.
+DIRECTIVE = re.compile(r"(?:\#[\x20\t]*+define|ENV|setenv)[\x20\t]++([A-Za-z_][A-Za-z0-9_.-]*+)[\x20\t]++(?=[^\s=:])")
+#: A region without any of these has no pair.
+SIGN = re.compile(r"""[=:]|->|["'`]\s*+,|(?:define|ENV|setenv)[\x20\t]|</""")
+#: In a region with escapes these may stand for a sign.
+SIGN_OR_ESCAPE = re.compile(SIGN.pattern + r"""|\\["'`ux]""")
+ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(.))", re.DOTALL)
+#: What escapes stand for, where it isn't the character itself.
+ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "\n": " "}
 #: How sensitive a part of a name is.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.6, "secret": 0.9, "token": 0.8, "apikey": 0.9, "credential": 0.8, "credentials": 0.8,
@@ -102,19 +111,71 @@ def base_spans(text: str) -> list[tuple[int, str, int, int, int]]:
     return out
 
 
+class Layer(NamedTuple):
+    """A text that is read, and how its places are found in the text around it."""
+
+    text: str
+    around: "Layer | None" = None
+    at: int = 0
+    escaped: array = array("q")
+    shift: array = array("q")
+
+    def inside(self, a: int, b: int) -> "Layer":
+        """What stands from a to b, with one level of escapes undone.  Each escape becomes one character."""
+        escaped, shift, parts, done = array("q"), array("q", [0]), [], a
+        for m in ESCAPE.finditer(self.text, a, b):
+            code = m[1] or m[2]
+            parts += self.text[done : m.start()], chr(int(code, 16)) if code else ESCAPED.get(m[3], m[3])
+            escaped.append(m.start() - a - shift[-1])
+            shift.append(shift[-1] + m.end() - m.start() - 1)
+            done = m.end()
+        parts.append(self.text[done:b])
+        return Layer("".join(parts), self, a, escaped, shift)
+
+    def place(self, i: int) -> int:
+        """Where the border before character ``i`` stands in the outermost text."""
+        layer = self
+        while layer.around is not None:
+            i += layer.at + layer.shift[bisect_left(layer.escaped, i)]
+            layer = layer.around
+        return i
+
+
+class Region(NamedTuple):
+    """Part of a layer that is read by itself.  ``sign`` is its first sign; the marks in ``absent`` do not occur in it."""
+
+    layer: Layer
+    start: int
+    stop: int
+    sign: int = -1
+    absent: frozenset[str] = frozenset()
+    escapes: bool = False
+
+
 class Lexer:
     """Tokens (kind, start, end) of one region, with a look ahead.  ``inner`` collects the strings and comments that are to be read by themselves.
 
     Kinds: name, string (the place of its inside), assign, join, open, close, line (end is where the next line's text begins), section, other.
+    A region's own lexer only skips what its inner regions hold, so each character is part of one region's tokens.
     """
 
-    def __init__(self, text: str, start: int, stop: int, depth: int):
-        self.text, self.at, self.stop, self.depth = text, start, stop, depth
-        self.inner: list[tuple[int, int, int]] = []
+    def __init__(self, region: Region):
+        self.layer, self.at, self.stop, self.sign, self.absent = region.layer, region.start, region.stop, region.sign, region.absent
+        self.text = text = region.layer.text
+        self.inner: list[Region] = []
         self.ahead: deque[tuple[str, int, int]] = deque()
-        self.url_end = start
-        if x := SECTION.match(text, start, stop):
-            self.ahead.append(("section", *x.span(1)))
+        self.waiting: deque[tuple[str, int, int]] = deque()
+        self.url_end = start = region.start
+        if x := SECTION.match(text, start, self.stop):
+            self.waiting.append(("section", *x.span(1)))
+            self.at = x.end()
+        else:
+            self._directive(LEAD.match(text, start, self.stop).end())
+
+    def _directive(self, at: int) -> None:
+        """Give the name and the value of a directive at this place as an assignment."""
+        if x := DIRECTIVE.match(self.text, at, self.stop):
+            self.waiting += ("name", *x.span(1)), ("assign", x.end(1), x.end(1))
             self.at = x.end()
 
     def peek(self, k: int = 0) -> tuple[str, int, int]:
@@ -128,6 +189,8 @@ class Lexer:
 
     def _read(self) -> tuple[str, int, int]:
         text, stop = self.text, self.stop
+        if self.waiting:
+            return self.waiting.popleft()
         while self.at < stop:
             start = self.at
             m = TOKEN.match(text, start, stop)
@@ -138,28 +201,29 @@ class Lexer:
                 if x := SECTION.match(text, self.at, stop):
                     self.at = x.end()
                     return ("section", *x.span(1))
-                self.at = LEAD.match(text, self.at, stop).end()
-                return ("line", start, self.at)
+                self.at = end = LEAD.match(text, self.at, stop).end()
+                self._directive(end)
+                return ("line", start, end)
             if kind == "quote":
-                before = text[start - 1] if start else " "
+                before, raw = text[start - 1] if start else " ", False
                 if before.isalnum() or before == "_":
                     word = LAST_WORD.search(text, max(0, start - 4), start)
                     if not word or word[0].lower() not in PREFIXES:
                         return ("other", start, self.at)  # an apostrophe
+                    raw = "r" in word[0].lower()
                 end = INSIDE[m[0]].match(text, self.at, stop).end()
                 inside = self.at, end
                 self.at = min(stop, end + len(m[0]))
-                self._later(*inside)
+                self._later(*inside, escapes=not raw and text.find("\\", *inside) >= 0)
                 return ("string", *inside)
             if kind == "comment":
                 if start < self.url_end or m[0][0] == "#" and start and text[start - 1] in "=:":
                     return ("other", start, self.at)
-                if self.depth < DEEPEST:
-                    mark = COMMENT_ENDS.get(m[0], "\n")
-                    end = text.find(mark, self.at, stop)
-                    end = stop if end < 0 else end
-                    self._later(self.at, end)
-                    self.at = end if mark == "\n" else min(stop, end + len(mark))
+                mark = COMMENT_ENDS.get(m[0], "\n")
+                end = -1 if mark in self.absent else text.find(mark, self.at, stop)
+                end = stop if end < 0 else end
+                self._later(self.at, end, mark)
+                self.at = end if mark == "\n" else min(stop, end + len(mark))
                 continue
             if m[0] == ":" and text.startswith("//", self.at):  # a url's scheme is no name
                 if start >= self.url_end:
@@ -171,59 +235,89 @@ class Lexer:
             return (kind, start, self.at)
         return ("end", stop, stop)
 
-    def _later(self, a: int, b: int) -> None:
-        if self.depth < DEEPEST and (self.text.find("=", a, b) >= 0 or self.text.find(":", a, b) >= 0):
-            self.inner.append((a, b, self.depth + 1))
+    def _later(self, a: int, b: int, *absent: str, escapes: bool = False) -> None:
+        """Keep a region for later, if it has a sign."""
+        if self.sign < a:
+            found = SIGN.search(self.text, a, self.stop)
+            self.sign = found.start() if found else self.stop
+        if escapes and SIGN_OR_ESCAPE.search(self.text, a, b):
+            self.inner.append(Region(self.layer, a, b, escapes=True))
+        elif self.sign < b:
+            self.inner.append(Region(self.layer, a, b, self.sign, self.absent.union(absent)))
 
 
 class Path(NamedTuple):
-    """The keys above a place: the last few of them, and the sensitivity of the most sensitive one."""
+    """The keys above a place, as a node of their tree, and the sensitivity of the most sensitive one."""
 
-    keys: tuple[str, ...] = ()
+    node: int = 0
     weight: float = 0.0
 
-    def to(self, *keys: str, most: int = 6) -> "Path":
-        return Path((*self.keys, *keys)[-most:], max([self.weight, *map(sensitivity, keys)]))
-
 
 class Pairs:
     """The name-expression pairs of a text.  An expression is a list of pieces: (start, end, None) is a literal, (start, end, name) a name there."""
 
     def __init__(self, text: str):
-        self.text = text
         self.expressions: list[list[tuple[int, int, str | None]]] = []
         self.of_name: defaultdict[str, list[int]] = defaultdict(list)
+        self.nodes: dict[tuple[int, str], int] = {}  # the tree of all keys: node above and key
+        self.of_node: defaultdict[int, list[int]] = defaultdict(list)
         self.weights: list[tuple[float, int]] = []
-        todo = [(0, len(text), 0)]
+        todo = [self._whole(Layer(text))]
         while todo:
-            todo += self._read(*todo.pop())
-        if "</" in text:
-            for m in ELEMENT.finditer(text):
-                self._add([m[1]], Path(), [(*m.span(2), None)])
-
-    def _add(self, targets: list[str], above: "Path", pieces: list[tuple[int, int, str | None]]) -> None:
+            region = todo.pop()
+            todo += self._read(self._whole(region.layer.inside(region.start, region.stop)) if region.escapes else region)
+
+    def _whole(self, layer: Layer) -> Region:
+        """The region of a new layer, whose elements are added at once."""
+        if "</" in layer.text:
+            for m in ELEMENT.finditer(layer.text):
+                self._add(layer, [m[1]], Path(), [(*m.span(2), None)])
+        return Region(layer, 0, len(layer.text))
+
+    def _below(self, above: Path, keys: list[str]) -> Path:
+        node = above.node
+        for key in keys:
+            node = self.nodes.setdefault((node, key), len(self.nodes) + 1)
+        return Path(node, max([above.weight, *map(sensitivity, keys)]))
+
+    def _add(self, layer: Layer, targets: list[str], above: Path, pieces: list[tuple[int, int, str | None]]) -> None:
         k = len(self.expressions)
-        self.expressions.append(pieces)
+        self.expressions.append([(layer.place(a), layer.place(b), name) for a, b, name in pieces])
         own = 0.0
         for name in targets:
-            for known in {name, name.rpartition(".")[2], ".".join([*above.keys, name])}:
+            for known in {name, name.rpartition(".")[2]}:
                 self.of_name[known].append(k)
+            if above.node:
+                self.of_node[self._below(above, name.split(".")).node].append(k)
             own = max(own, sensitivity(name))
         weight = max(own, 0.7 * above.weight)
         if weight:
             self.weights.append((weight, k))
 
-    def _string(self, a: int, b: int) -> list[tuple[int, int, str | None]]:
+    def defined(self, name: str) -> list[int]:
+        """Expressions of a name: those written so or with these keys above them, else those whose last key is the same."""
+        *above, last = name.split(".")
+        found = self.of_name.get(name, [])
+        if above:
+            node = 0
+            for key in (*above, last):
+                node = self.nodes.get((node, key), -1)
+            found = found + self.of_node.get(node, [])
+        return found or self.of_name.get(last, [])
+
+    @staticmethod
+    def _string(text: str, a: int, b: int) -> list[tuple[int, int, str | None]]:
         """A string's pieces: the names inserted into it, and the whole of it unless it is made of them alone."""
         if a == b:
             return []
-        found = list(INSERTED.finditer(self.text, a, b))
+        found = list(INSERTED.finditer(text, a, b))
         names = [(a, b, x[1] or x[2] or x[3]) for x in found]
         return names + [(a, b, None)] * (sum(x.end() - x.start() for x in found) < b - a)
 
-    def _read(self, a: int, b: int, depth: int) -> list[tuple[int, int, int]]:
+    def _read(self, region: Region) -> list[Region]:
         """Read one region; gives the regions inside it that are to be read by themselves."""
-        text, lexer = self.text, Lexer(self.text, a, b, depth)
+        layer, a, b = region[:3]
+        text, lexer = layer.text, Lexer(region)
         section = Path()
         indented: list[tuple[int, Path]] = []  # path of what stands further in, below a key without a value
         brackets: list[tuple[Path, list[str]]] = []  # path inside a bracket, targets of a list
@@ -231,7 +325,51 @@ class Pairs:
         def above() -> Path:
             return brackets[-1][0] if brackets else indented[-1][1] if indented else section
 
-        indent, first, bare_end, url_value_end, last = 0, True, a, a, ("", "")
+        def joined(pieces: list[tuple[int, int, str | None]], kind: str, within: int) -> None:
+            """Add what is joined to an expression, by operators or, for strings, by standing side by side."""
+            while pieces and (kind == "string" or pieces[0][2]):
+                step = 1 if lexer.peek()[0] == "line" else 0
+                what = lexer.peek(step)[0]
+                if what == "string" and lexer.peek(step + 1)[0] != "assign" and (not step or within) and kind == "string":
+                    step += 1
+                elif what == "join":
+                    step += 1
+                    if lexer.peek(step)[0] == "line":
+                        step += 1
+                    if lexer.peek(step)[0] not in ("string", "name"):
+                        return
+                    step += 1
+                else:
+                    return
+                for _ in range(step):
+                    more, start, end = lexer.next()
+                if more == "string":
+                    pieces += self._string(text, start, end)
+                    kind = "string"
+                else:
+                    pieces.append((start, start, text[start:end]))  # a name in an expression is no literal
+
+        def call(targets: list[str]) -> None:
+            """The pair of a call's first two arguments, if they are a name in quotes and a string; ``targets`` take what the call gives."""
+            places = []
+            k = 0
+            for wanted in ("string", "other", "string"):
+                k += lexer.peek(k)[0] == "line"
+                kind, start, end = lexer.peek(k)
+                if kind != wanted or kind == "other" and text[start] != ",":
+                    return
+                places.append((start, end))
+                k += 1
+            if NAME.fullmatch(text, *places[0]) and lexer.peek(k)[0] != "assign":
+                for _ in range(k):
+                    lexer.next()
+                pieces = self._string(text, *places[2])
+                joined(pieces, "string", 1)
+                if pieces:
+                    self._add(layer, [text[slice(*places[0])], *targets], above(), pieces)
+
+        indent, first, bare_end, url_value_end, last = 0, True, a, a, ("", a, a)
+        called: tuple[int, list[str]] = (-1, [])  # a bracket whose call gives the value of these names
         while True:
             kind, start, end = lexer.next()
             if kind == "end":
@@ -240,19 +378,21 @@ class Pairs:
                 indent, first = end - 1 - text.rfind("\n", start, end), True
                 continue
             if kind == "section":
-                section, indented = Path().to(*text[start:end].split(".")), []
+                section, indented = self._below(Path(), text[start:end].split(".")), []
                 continue
             leads, first = first, False
             if kind == "open":
                 brackets.append((above(), []))
+                if text[start] == "(" and start and (text[start - 1].isalnum() or text[start - 1] in "_$"):
+                    call(called[1] if called[0] == start else [])
             elif kind == "close":
                 if brackets:
                     brackets.pop()
             if kind not in ("name", "string"):
                 continue
-            if lexer.peek()[0] != "assign" or kind == "string" and (end - start > 200 or not NAME.search(text, start, end)):
+            if lexer.peek()[0] != "assign" or kind == "string" and not NAME.search(text, start, end):
                 if kind == "string" and brackets and brackets[-1][1]:  # an entry of a list is a value by itself
-                    self._add(brackets[-1][1], above(), self._string(start, end))
+                    self._add(layer, brackets[-1][1], above(), self._string(text, start, end))
                 continue
             if leads:
                 while indented and indented[-1][0] >= indent:
@@ -278,17 +418,17 @@ class Pairs:
                     kind, start, end = lexer.peek()
                 else:
                     if text[sign[1]] == ":":
-                        indented.append((indent, above().to(targets[-1])))
+                        indented.append((indent, self._below(above(), [targets[-1]])))
                     continue
             if kind == "open":
                 lexer.next()
-                brackets.append((above().to(targets[-1]), targets if text[start] == "[" else []))
+                brackets.append((self._below(above(), [targets[-1]]), targets if text[start] == "[" else []))
                 continue
             pieces: list[tuple[int, int, str | None]] = []
             start = SPACES.match(text, sign[2], b).end() if kind not in ("string", "line") and not within else start
             if kind == "string":
                 lexer.next()
-                pieces += self._string(start, end)
+                pieces += self._string(text, start, end)
             elif start < lexer.url_end:
                 if start >= url_value_end:
                     url_value_end = BARE_IN_URL.match(text, start, b).end()
@@ -296,7 +436,7 @@ class Pairs:
             else:
                 if start >= bare_end:
                     bare_end = BARE.match(text, start, b).end()
-                whole, inserted = NAME.match(text, start, bare_end), INSERTED.match(text, start, min(b, start + 200))
+                whole, inserted = NAME.match(text, start, bare_end), INSERTED.match(text, start, b)
                 if inserted and text[inserted.end() : inserted.end() + 1].strip(" ,;)\r\n"):
                     inserted = None  # more than a name
                 elif inserted:
@@ -306,38 +446,19 @@ class Pairs:
                 elif whole and whole.end() == bare_end:
                     if text[bare_end : bare_end + 1] not in ("(", "["):  # what a call or an index gives isn't in the text
                         pieces.append((start, bare_end, whole[0]))
+                    elif text[bare_end] == "(":
+                        called = bare_end, targets
                 elif start < bare_end:
                     pieces.append((start, bare_end, None))
                 if inserted or whole and whole.end() == bare_end:
                     while lexer.peek()[0] != "end" and lexer.peek()[1] < bare_end:
                         lexer.next()
-            while pieces and (kind == "string" or pieces[0][2]):  # what is joined to it
-                step = 1 if lexer.peek()[0] == "line" else 0
-                what = lexer.peek(step)[0]
-                if what == "string" and lexer.peek(step + 1)[0] != "assign" and (not step or within) and kind == "string":
-                    step += 1
-                elif what == "join":
-                    step += 1
-                    if lexer.peek(step)[0] == "line":
-                        step += 1
-                    if lexer.peek(step)[0] not in ("string", "name"):
-                        break
-                    step += 1
-                else:
-                    break
-                for _ in range(step):
-                    more, start, end = lexer.next()
-                pieces += self._string(start, end) if more == "string" else [(start, end, text[start:end])]
-                if more == "string":
-                    kind = "string"
-                else:
-                    pieces[-1] = (start, start, text[start:end])  # a name in an expression is no literal
+            joined(pieces, kind, within)
             if pieces:
-                said = text[pieces[0][0] : min(pieces[0][1], pieces[0][0] + 200)]
-                if targets[0].lower() == "value" and last[0] in ("name", "key") and NAME.fullmatch(last[1]):
-                    targets.append(last[1])  # name: X, value: Y
-                self._add(targets, above(), pieces)
-                last = (targets[0].lower(), said)
+                if targets[0].lower() == "value" and last[0] in ("name", "key") and NAME.fullmatch(text, *last[1:]):
+                    targets.append(text[slice(*last[1:])])  # name: X, value: Y
+                self._add(layer, targets, above(), pieces)
+                last = (targets[0].lower(), *pieces[0][:2])
 
     def literals(self) -> Iterator[tuple[float, list[tuple[int, int]]]]:
         """(weight, spans of an expression's literals), each expression once, by the most sensitive name that it reaches."""
@@ -351,7 +472,7 @@ class Pairs:
                 done[k] = 1
                 spans = []
                 for a, b, name in self.expressions[k]:
-                    found = self.of_name.get(name) or self.of_name.get(name.rpartition(".")[2]) if name else None
+                    found = self.defined(name) if name else None
                     if found and name:
                         if name not in names:
                             names.add(name)
@@ -364,7 +485,7 @@ class Pairs:
 
 def named_spans(text: str, threshold: float = 0.9) -> list[tuple[int, str, int, int, int]]:
     """Literals that reach a sensitive name, directly or through other names.  The pieces of a joined literal are judged together."""
-    if "=" not in text and ":" not in text and "</" not in text or not HINT.search(text):
+    if not SIGN.search(text) and not SIGN_OR_ESCAPE.search(text) or not HINT.search(text):
         return []
     weights: dict[tuple[int, int], float] = {}
     out = []

@@ -247,6 +247,20 @@ SYNTAXES = [
     ('private_key = """-----BEGIN\nabcDEF123\n-----END"""', "-----BEGIN\nabcDEF123\n-----END"),
     ('db_pwd=#Xk9mQ2vB!tail', '#Xk9mQ2vB!tail'),
     ("the users' pass: nothing here, see key: value", ()),
+    ("define('DB_PWD', 'Xk9!mQ2vB#tail');", "Xk9!mQ2vB#tail"),
+    ('cfg.set(\n  "db_pwd",\n  "Xk9!mQ" + "2vB#tail")', ("Xk9!mQ", "2vB#tail")),
+    ("db_pwd = os.environ.get('P', 'Xk9!mQ2vB#tail')", "Xk9!mQ2vB#tail"),
+    ("os.environ.get('P', 'Xk9!mQ2vB#tail')", ()),
+    ('#define DB_PWD "Xk9!mQ2vB#tail"\nint x;', "Xk9!mQ2vB#tail"),
+    ("FROM x\nENV DB_PWD Xk9!mQ2vB#tail\nENV A B", "Xk9!mQ2vB#tail"),
+    ("db_pwd -> 'Xk9!mQ2vB#tail'", "Xk9!mQ2vB#tail"),
+    ('{"log": "{\\"db_pwd\\": \\"Xk9!mQ2vB#tail\\"}"}', "Xk9!mQ2vB#tail"),
+    ('{"log": "\\u003cdb_pwd\\u003eXk9!mQ2vB#tail\\u003c/db_pwd\\u003e"}', "Xk9!mQ2vB#tail"),
+    ('{"log": "x\\ndb_pwd=Xk9!mQ\\u00412vB#tail\\ny"}', "Xk9!mQ\\u00412vB#tail"),
+    ("p = r'C:\\new; db_pwd=Xk9!mQ2vB#tail'", "Xk9!mQ2vB#tail"),
+    ('x = a.b.c.d.e.f.g.h\ndb_pwd = x\n{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":"Xk9!mQ2vB#tail"}}}}}}}}\nh = "Other literal 99!"', "Xk9!mQ2vB#tail"),
+    ('"' + "k" * 100_000 + '_pwd": "Xk9!mQ2vB#tail"', "Xk9!mQ2vB#tail"),
+    ("db_pwd=${" + " " * 5000 + "A}\nA=Xk9!mQ2vB#tail", "Xk9!mQ2vB#tail"),
 ]
 
 
@@ -288,13 +302,34 @@ def test_op3_constants_reach_sensitive_names_in_any_order(seed):
     assert {text[a:b] for _, kind, _, a, b in S.spans_of(text)[1] if kind == "named"} == want, text
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_op3_pairs_in_random_quoting(seed):
+    """A pair wrapped ten times in JSON, quotes with escapes, calls and comments is found where it stands, and its neighbour with another name is not."""
+    import json
+    import random
+
+    from fragloom.llm import secret_scan as S
+
+    rng = random.Random(seed)
+    value = "Q1" + "".join(rng.choice("abcDEF789#-!") for _ in range(14)) + "Z9"
+    inner = rng.choice(['db_pwd = "{v}"', "'db_pwd': '{v}'", "set('db_pwd', '{v}')", '{{"db_pwd": "{v}"}}', "<db_pwd>{v}</db_pwd>"])
+    text = inner.format(v=value) + "; " + inner.format(v="Zz" + value[::-1]).replace("db_pwd", "title")
+
+    def quoted(s: str, q: str) -> str:
+        return q + s.replace("\\", "\\\\").replace(q, "\\" + q).replace("\n", "\\n") + q
+
+    for _ in range(10):
+        text = rng.choice([lambda s: json.dumps({"log": s, "n": 1}), lambda s: "line = " + quoted(s, "'"), lambda s: "line: " + quoted(s, '"'), lambda s: "# " + s, lambda s: "// see " + s, lambda s: "put('line', " + quoted(s, "'") + ")", lambda s: "a = 1\nb = f(" + quoted(s, '"') + ")"])(text)
+    assert {text[a:b] for _, kind, _, a, b in S.spans_of(text)[1] if kind == "named"} == {value}, text
+
+
 def test_op3_lexing_takes_linear_time():
     import time
 
     from fragloom.llm import secret_scan as S
 
     start = time.process_time()
-    for bit in ('token="\\"', "token='''", "# token=1 ", "{token:", "token=(", "token:\n ", 'token="a"+', "/* token=b ", "token = ", "[a", "token=${", 'token = [ "x" ', "a:\n" + " " * 50):
+    for bit in ('token="\\"', "token='''", "# token=1 ", "{token:", "token=(", "token:\n ", 'token="a"+', "/* token=b ", "token = ", "[a", "token=${", 'token = [ "x" ', "# token=1 // a ", "// # key ", '\\"token=', "{", "f('token', ", "f('token', 'x" + "\\" * 9 + "', ", "name=value=", "ENV token ", "token.", "{'token': ", "-- a=`token", "a:\n" + " " * 50):
         S.spans_of(bit * 20000 + "token=1")
     assert time.process_time() - start < 40
 
