@@ -2,7 +2,7 @@
 
 N-grams are of one to three characters (code points) of the lower-cased text, hashed to a fixed number of features.  Document frequencies cover all rows that
 may be learned from.  The weights are trained by follow-the-regularised-leader with elastic-net penalties (many stay exactly 0)
-on a bounded sample of each language, a second bounded sample sets the temperature of the probabilities.
+on a bounded sample of each language's different texts, a second bounded sample sets the temperature of the probabilities.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,13 +95,18 @@ class Model:
 def fit(docs: DataFrame, per_language: int = 300, calibrate: int = 100, epochs: int = 3) -> Model:
     """Learn from text and lang of rows outside the held-out fold whose lang isn't null.
 
-    ``per_language`` rows of each language at most (by a hash of id and text) train, the next ``calibrate`` set the temperature; document frequencies
-    cover all rows.  Texts that are null or without a letter teach nothing.
+    ``per_language`` different texts of each language at most (the least by a hash of the text) train, the next ``calibrate`` set the temperature; document
+    frequencies cover all rows.  However often a text is repeated, it is drawn once, so a language of copies is learned like any other.  Texts that are null
+    or without a letter teach nothing.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.withColumn("order", F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40)))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    langs = sorted(counts)
+    rows = rows.select("lang", "text", F.xxhash64(F.lit("sample"), "text").alias("order"), F.hash("text").alias("more"))
+    want = per_language + calibrate
+    # Texts without a letter are left out first, so they take no places.  Equal texts meet as hashes; row_number keeps `want` of each task before the shuffle.
+    texts = rows.filter(F.col("text").rlike(r"\p{L}")).select("lang", "order", "more").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "more"))
+    drawn = texts.withColumn("place", place).filter(F.col("place") <= want).select("lang", "order", "more").collect()  # `want` rows of numbers for each language
+    langs = sorted({r.lang for r in drawn})
 
     @lean
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,28 +121,30 @@ def fit(docs: DataFrame, per_language: int = 300, calibrate: int = 100, epochs:
     if df is None or not df[-1]:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)), 1.0)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    # A share of each language's hash range that holds a few more rows than are wanted.
-    want = per_language + calibrate
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, (want + 6 * want**0.5 + 20) / counts[lang]) * (1 << 40))))])
-
     @lean
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            got = [ngrams(t) if has_letter(t) else (np.zeros(0, np.int64),) * 2 for t in batch.column(2).to_pylist()]
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tolist() for x, _ in got], kind), pa.array([x.tolist() for _, x in got], kind)], names=["lang", "order", "at", "counts"])
-
-    sample = rows.filter(F.col("order") < share[F.col("lang")]).select("lang", "order", "text")
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            new = {key: k for k, key in reversed(list(enumerate(keys))) if key not in seen}
+            seen.update(new)
+            found = [ngrams(batch.column(3)[k].as_py()) for k in new.values()]
+            columns = [pa.array([key[k] for key in new], batch.column(k).type) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k].astype("<i8").tobytes() for x in found], pa.binary()) for k in (0, 1))], names=["lang", "order", "more", "at", "counts"])
+
+    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in drawn], "lang string, order long, more int")
+    sample = rows.join(F.broadcast(wanted), ["lang", "order", "more"]).select("lang", "order", "more", "text")
+    once = sample.mapInArrow(sparse, "lang string, order long, more int, at binary, counts binary").groupBy("lang", "order", "more").agg(F.min(F.struct("at", "counts")).alias("x"))
     taken: dict[str, list] = {lang: [] for lang in langs}
-    for r in sample.mapInArrow(sparse, "lang string, order long, at array<int>, counts array<int>").collect():
-        if r.at:
-            taken[r.lang].append((r.order, np.array(r.at), weighted(np.array(r.at), np.array(r.counts), idf)))
+    for r in once.select("lang", "order", "more", "x.at", "x.counts").collect():
+        at, counts = np.frombuffer(r.at, "<i8"), np.frombuffer(r.counts, "<i8")
+        taken[r.lang].append((r.order, r.more, at, weighted(at, counts, idf)))
     train, tune = [], []
     for k, lang in enumerate(langs):
-        own = sorted(taken[lang], key=lambda x: (x[0], len(x[1])))[:want]
+        own = sorted(taken[lang], key=lambda x: x[:2])
         held = min(calibrate, len(own) // 4)
-        tune += [(at, x, k) for _, at, x in own[:held]]
-        train += [(o, at, x, k) for o, at, x in own[held:]]
+        tune += [(at, x, k) for _, _, at, x in own[:held]]
+        train += [(o, at, x, k) for o, _, at, x in own[held:]]
     leader = Leader(FEATURES, len(langs))
     train.sort(key=lambda x: (x[0], x[3]))
     for _ in range(epochs):

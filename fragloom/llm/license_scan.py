@@ -40,6 +40,8 @@ AFTER_TAG = re.compile(rb"""["']?[\x20\t]*:[\x20\t]*["']?([^\r\n]*)""")
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
 TOKEN = re.compile(r"[()]|(?<=[A-Za-z0-9.+)])/(?=[A-Za-z0-9(])|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.-]*\Z")
+#: What may be an id that isn't on the list: a name with a version or another part behind it.
+UNKNOWN_ID = re.compile(r"[a-z][a-z0-9]*(?:[.-][a-z0-9]+)*-[a-z0-9]+(?:[.-][a-z0-9]+)*\+?\Z")
 OWN_ID = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+\Z")
 #: Families of public licence ids and their versions; those of GNU come as they are, ``-only`` and ``-or-later``.
 GNU = {"agpl": "1.0 3.0", "gpl": "1.0 2.0 3.0", "lgpl": "2.0 2.1 3.0", "gfdl": "1.1 1.2 1.3"}
@@ -78,22 +80,33 @@ def strength_of(name: str) -> float:
 def postfix(expression: str) -> tuple[list[str], bool] | None:
     """Postfix form by the shunting-yard method and whether the expression was whole; None where it has no licence id.
 
-    ``WITH`` binds more strongly than ``AND``, and that than ``OR``; operators are read in either case.  What follows a complete expression ends it.  Where one breaks
-    off (a missing bracket, an operator without a right side, a word that is no id), what was read so far stands.
+    ``WITH`` binds more strongly than ``AND``, and that than ``OR``; operators are read in either case.  A well-formed id that isn't on the list is an operand where an
+    operator, a bracket or the line's end follows it.  Another word there is an operand without a label (an empty string) and breaks the expression, whichever side it
+    stands on.  What follows a complete expression ends it.  Where one breaks off (a missing bracket, an operator without a right side), what was read so far stands.
     """
     out: list[str] = []
     held: list[str] = []
+    tokens = TOKEN.findall(expression)
     want_name = whole = True
-    for token in TOKEN.findall(expression):
+    for k, token in enumerate(tokens):
         low = token.lower()
         if want_name:
+            after = tokens[k + 1].lower() if k + 1 < len(tokens) else ""
             if token == "(":
                 held.append(token)
-            elif strength_of(low) or held[-1:] == ["with"] and ID.match(token) and low not in STRENGTH:
+                continue
+            if strength_of(low) or held[-1:] == ["with"] and ID.match(token) and low not in STRENGTH:
                 out.append(low)
-                want_name = False
+            elif after not in (*STRENGTH, ")", "") or low in STRENGTH or token == ")":
+                break
+            elif UNKNOWN_ID.match(low):
+                out.append(low)
+            elif after in STRENGTH or after and "(" in held:
+                out.append("")
+                whole = False
             else:
                 break
+            want_name = False
         elif token == ")":
             if "(" not in held:
                 break
@@ -107,7 +120,7 @@ def postfix(expression: str) -> tuple[list[str], bool] | None:
             want_name = True
         else:
             break
-    if not out:
+    if not any(x and x not in STRENGTH for x in out):
         return None
     if want_name:  # the last operator has no right side
         whole = False
@@ -120,22 +133,24 @@ def postfix(expression: str) -> tuple[list[str], bool] | None:
 def evaluate(expression: str) -> tuple[set[str], float] | None:
     """(labels, strength) of an expression: ``OR`` takes the stronger side's strength, ``AND`` the weaker's, ``WITH`` the licence's; a broken one counts half.
 
-    The name after ``WITH`` is an exception and gives no label.  None where there is no licence id.
+    An id that isn't on the list has a strength of 0.5.  The name after ``WITH`` is an exception and gives no label.  None where there is no licence id.
     """
     found = postfix(expression)
     if found is None:
         return None
-    stack: list[tuple[set[str], float]] = []
+    stack: list[tuple[set[str], float] | None] = []
     for step in found[0]:
         if step not in STRENGTH:
-            stack.append(({step}, strength_of(step)))
+            stack.append(({step}, strength_of(step) or 0.5) if step else None)
             continue
         right, left = stack.pop(), stack.pop()
-        if step == "with":
+        if step == "with" or right is None:
             stack.append(left)
+        elif left is None:
+            stack.append(right)
         else:
             stack.append((left[0] | right[0], (min if step == "and" else max)(left[1], right[1])))
-    return stack[0][0], stack[0][1] * (1.0 if found[1] else 0.5)
+    return (stack[0][0], stack[0][1] * (1.0 if found[1] else 0.5)) if stack[0] else None
 
 
 def automaton(phrases: dict[str, object]):

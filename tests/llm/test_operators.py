@@ -124,7 +124,12 @@ def test_op2_places_and_expressions(spark):
     assert L.postfix("MIT AND ISC OR Zlib WITH d") == (["mit", "isc", "and", "zlib", "d", "with", "or"], True) and L.postfix("(MIT OR ISC) AND Zlib") == (["mit", "isc", "or", "zlib", "and"], True)
     assert [L.postfix(x) for x in ("", "AND MIT", "(", "see LICENSE file", "proprietary")] == [None] * 5 and L.postfix("MIT is what we use") == (["mit"], True)
     assert [L.postfix(x) for x in ("MIT OR", "(MIT", "MIT AND )", "MIT OR (")] == [(["mit"], False)] * 4 and L.postfix("MIT OR ISC AND") == (["mit", "isc", "or"], False)
-    assert L.evaluate("MIT AND Foo-1.0") == ({"mit"}, 0.5) and L.evaluate("MIT/Apache-2.0") == ({"mit", "apache-2.0"}, 1.0) and L.evaluate("GPL-2.0+") == ({"gpl-2.0+"}, 1.0)
+    assert L.evaluate("MIT AND Foo-1.0") == ({"mit", "foo-1.0"}, 0.5) and L.evaluate("MIT AND Foo") == L.evaluate("Foo AND MIT") == ({"mit"}, 0.5) and L.evaluate("MIT/Apache-2.0") == ({"mit", "apache-2.0"}, 1.0) and L.evaluate("GPL-2.0+") == ({"gpl-2.0+"}, 1.0)
+    for sign in ("OR", "AND"):
+        for one in ("RPL-1.5", "MIT", "Foo", "(ISC OR Foo)", "(Bar-2 AND ISC)", "GPL-2.0-only WITH Foo"):
+            for two in ("MIT", "NASA-1.3", "Foo", "(Zlib OR MIT)"):
+                assert L.evaluate(f"{one} {sign} {two}") == L.evaluate(f"{two} {sign} {one}"), (one, two)
+    assert L.evaluate("OGL-UK-3.0") == ({"ogl-uk-3.0"}, 0.5) and L.evaluate("well-known thing") is None and L.evaluate("this and that") is None
     assert L.evaluate("LicenseRef-Own OR MIT")[1] == 1.0 and L.evaluate("LicenseRef-Own AND MIT") == ({"licenseref-own", "mit"}, 0.6)
 
 
@@ -675,6 +680,21 @@ def test_op9_accuracy_and_cases(spark):
     assert {r.doc_id: (r.lang_pred, r.score) for r in L.identify(other, per_language=50, calibrate=20).collect()} == {k: (r.lang_pred, r.score) for k, r in got.items()}
 
 
+def test_op9_languages_of_repeated_texts(spark):
+    """A language most of whose rows are copies is learned, and what reaches the driver doesn't grow with the copies."""
+    from fragloom.llm import langid as G
+
+    words = {"xx": "qazu wuxo pliq zoxq vyxa", "de": "der die das und nicht eine haus", "en": "the and not house with from"}
+    rows = [(k, words["xx"], "xx") for k in range(2000)]
+    rows += [(5000 + k, " ".join(w.split()[(k + j) % 5] for j in range(4)) + f" {k}", lang) for k in range(60) for lang, w in words.items() if lang != "xx"]
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string").repartition(5)
+    got = G.identify(docs, per_language=20, calibrate=5).filter("doc_id < 2000").select("lang_pred").distinct().collect()
+    assert [r.lang_pred for r in got] == ["xx"]
+    # Copies change nothing but the frequencies: the same texts, once each and many times, give the same languages.
+    once = docs.dropDuplicates(["text", "lang"])
+    assert G.fit(once, 20, 5).langs == G.fit(docs, 20, 5).langs == ["de", "en", "xx"]
+
+
 def test_op9_ngrams_of_any_length():
     from fragloom.llm.langid import Leader, ngrams
 
