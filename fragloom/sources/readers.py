@@ -210,7 +210,9 @@ def read_placements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_null_scores(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(num_frags, trial, score) of lines ``num_frags score score ...``."""
     f = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(paths).filter(F.trim("value") != "").select(f[0].cast("int").alias("num_frags"), F.posexplode(F.slice(f, 2, F.size(f))).alias("trial", "s"))
+    # A line is split before its scores become rows, not once more for each of them.
+    lines = spark.read.text(paths).filter(F.trim("value") != "").select(f[0].cast("int").alias("num_frags"), F.slice(f, 2, F.size(f)).alias("scores"))
+    rows = lines.select("num_frags", F.posexplode("scores").alias("trial", "s"))
     return rows.select("num_frags", "trial", F.col("s").cast("double").alias("score"))
 
 
