@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 from ..session import ship_package
 from .components import components
+from .ranges import islands
 
 #: Standard deviations that a fragment may be longer than it was measured.
 TOLERANCE = 12
@@ -151,15 +152,23 @@ def settled(records: DataFrame, optical: DataFrame) -> DataFrame:
     n = optical.groupBy("map_id").agg(F.count("*").cast("int").alias("n"))
     rows = cut(records.select("map_id", *RECORD, "fixed").join(n, "map_id", "left"), "records")
     low, high = F.least("op_start", F.coalesce("o_last", "op_start")), F.greatest("op_end", F.coalesce("o_first", "op_end") - 1)
-    fragment = lambda k: _node("fragment", F.col("map_id"), F.pmod(k, F.col("n")))
     query = _node("query", F.col("map_id"), F.col("contig_id"))
-    reached = rows.filter("n > 0").select("map_id", "n", query.alias("q"), low.alias("low"), high.alias("high"))
-    steps = reached.filter("low < high").select("map_id", "n", F.explode(F.sequence("low", F.col("high") - 1)).alias("k")).withColumn("k", F.pmod("k", "n")).distinct()
-    edges = steps.select(fragment(F.col("k")).alias("a"), fragment(F.col("k") + 1).alias("b")).unionByName(reached.select(F.col("q").alias("a"), fragment(F.col("low")).alias("b")))
-    labels = components(edges)
+    # A record's run of fragments, or the two that it falls into where it goes past the map's end; runs that share a fragment are an island.
+    reached = rows.filter("n > 0").select("map_id", "n", query.alias("q"), F.pmod(low, F.col("n")).alias("low"), F.greatest(high - low, F.lit(0)).alias("more"))
+    run = lambda a, b: F.struct(a.cast("bigint").alias("a"), (b + 1).cast("bigint").alias("z"))
+    first, n_, end = F.col("low"), F.col("n"), F.col("low") + F.col("more")
+    runs = F.when(F.col("more") + 1 >= n_, F.array(run(F.lit(0), n_ - 1))).when(end < n_, F.array(run(first, end))).otherwise(F.array(run(first, n_ - 1), run(F.lit(0), end - n_)))
+    pieces = reached.select("map_id", "q", F.explode(runs).alias("x")).select("map_id", "q", "x.a", "x.z").distinct()
+    joined = cut(islands(pieces, ["map_id"], F.col("a"), F.col("z"), [F.col("q")]), "islands")
+    island = _node("island", F.col("map_id"), F.col("island"))
+    labels = components(joined.select(F.col("q").alias("a"), island.alias("b")))
 
     owned = rows.withColumn("node", query).join(labels, "node", "left").select("label", F.lit(1).alias("kind"), "map_id", "n", *RECORD, "fixed", F.lit(0.0).alias("size"), F.lit(0.0).alias("sd"))
-    state = optical.join(n, "map_id").withColumn("node", _node("fragment", F.col("map_id"), F.col("place"))).join(labels, "node")
+    # Fragments outside all islands are no record's; those between a map's first and last are held against the places that the islands cover.
+    covered = joined.groupBy("map_id", "island").agg(F.min("a").alias("a"), F.max("z").alias("z")).withColumn("node", island).join(labels, "node")
+    spans = joined.groupBy("map_id").agg(F.min("a").alias("a_"), F.max("z").alias("z_")).join(n, "map_id")
+    near = optical.join(spans, "map_id").filter((F.col("place") >= F.col("a_")) & (F.col("place") < F.col("z_"))).drop("a_", "z_")
+    state = near.join(covered.select("map_id", "label", F.explode(F.sequence("a", F.col("z") - 1)).alias("place")).hint("merge"), ["map_id", "place"])
     nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in RECORD[1:]]
     state = state.select("label", F.lit(0).alias("kind"), "map_id", "n", F.col("place").cast(rows.schema["record"].dataType).alias("record"), *nothing, F.lit(False).alias("fixed"), F.col("size").cast("double").alias("size"), F.col("sd").cast("double").alias("sd"))
     kinds = {c: rows.schema[c].dataType for c in ("map_id", "record", "contig_id")}

@@ -45,13 +45,28 @@ def with_ends(records: DataFrame, least: int = 700) -> DataFrame:
     }).drop("_s")
 
 
-def _prefix(optical: DataFrame) -> DataFrame:
-    """(map_id, place, before, var_before, zeros_before): sums of sizes, squared deviations and separators before each place, and one row past the end."""
-    w = Window.partitionBy("map_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    ends = optical.groupBy("map_id").agg((F.max("place") + 1).alias("place")).withColumns({"size": F.lit(0.0), "sd": F.lit(0.0)})
-    rows = optical.select("map_id", "place", "size", "sd").unionByName(ends)
-    total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
-    return rows.select("map_id", "place", total(F.col("size")).alias("before"), total(F.col("sd") * F.col("sd")).alias("var_before"), total((F.col("sd") == 0).cast("int")).alias("zeros_before"))
+def _sums_at(places: DataFrame, optical: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """(map_id, place and ``sums``) of the ``places`` (map_id, place) that are fragments of ``optical`` or one past a map's end: ``sums`` over the map's fragments before each, written.
+
+    Places stand among the fragments in one running sum for each map, so fragments are shuffled once and only what was asked for is joined afterwards.
+    """
+    asked = places.select("map_id", F.col("place").cast("bigint").alias("place")).filter(F.col("place").isNotNull()).distinct()
+    values = optical.select("map_id", F.col("place").cast("bigint").alias("place"), F.lit(1).alias("own"), *[v.alias(c) for c, v in sums.items()])
+    rows = values.unionByName(asked.withColumn("own", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("map_id").orderBy("place", "own")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last, next_ = F.max(F.when(F.col("own") == 1, F.col("place"))).over(before), F.min(F.when(F.col("own") == 1, F.col("place"))).over(w.rowsBetween(1, 1))
+    summed = rows.select("map_id", "place", "own", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in sums], last.alias("last_"), next_.alias("next_"))
+    return cut(summed.filter((F.col("own") == 0) & ((F.col("last_") == F.col("place") - 1) | (F.col("next_") == F.col("place")))).drop("own", "last_", "next_"), "sums")
+
+
+def _places(rows: DataFrame, *columns: str | Column) -> DataFrame:
+    return rows.select("map_id", F.explode(F.array(*columns)).alias("place"))
+
+
+def _spans(places: DataFrame, optical: DataFrame) -> DataFrame:
+    """:func:`_sums_at` of sizes, squared deviations and separators."""
+    return _sums_at(places, optical, {"before": F.col("size"), "var_before": F.col("sd") * F.col("sd"), "zeros_before": (F.col("sd") == 0).cast("int")})
 
 
 def overhangs(records: DataFrame, optical: DataFrame) -> DataFrame:
@@ -59,8 +74,8 @@ def overhangs(records: DataFrame, optical: DataFrame) -> DataFrame:
 
     ``optical`` has map_id, place, size and sd.  Spans come from prefix sums, so no span is walked.
     """
-    sums = _prefix(optical)
     rows = with_ends(records)
+    sums = _spans(_places(rows, F.col("op_start") + 1, "o_first", "o_last", "op_end"), optical)
 
     def at(df: DataFrame, place: Column, name: str) -> DataFrame:
         s = sums.select(F.col("map_id").alias("_m"), F.col("place").alias("_p"), F.col("before").alias(f"b_{name}"), F.col("var_before").alias(f"v_{name}"))
@@ -100,9 +115,11 @@ def scaffolds(records: DataFrame, optical: DataFrame) -> DataFrame:
 
     The gap is the reference span between the outermost matched sites less the overhangs, at least 1; a separator (a deviation of 0) in it ends the scaffold.
     """
-    sums = _prefix(optical)
     w = Window.partitionBy("map_id").orderBy("op_start", "record")
-    rows = with_ends(records).withColumns({"prev_last": F.lag("o_last").over(w), "prev_end": F.lag("c_end").over(w), "seq": F.row_number().over(w)})
+    ended = with_ends(records)
+    # A query's last site is where the next one's span begins.
+    sums = _spans(_places(ended, "o_first", "o_last"), optical)
+    rows = ended.withColumns({"prev_last": F.lag("o_last").over(w), "prev_end": F.lag("c_end").over(w), "seq": F.row_number().over(w)})
     for place, name in (("prev_last", "a"), ("o_first", "b")):
         s = sums.select(F.col("map_id").alias("_m"), F.col("place").alias("_p"), *[F.col(c).alias(f"{c}_{name}") for c in ("before", "var_before", "zeros_before")])
         rows = rows.join(s, (rows["map_id"] == F.col("_m")) & (rows[place] == F.col("_p")), "left").drop("_m", "_p")
@@ -154,9 +171,9 @@ def anchored(records: DataFrame, optical: DataFrame, anchor: str | DataFrame, le
     anchor's own is minus its size.  Spans are prefix sums modulo the map's length.
     """
     rows = with_ends(records, least)
-    n = optical.groupBy("map_id").agg(F.count("*").alias("n_opt"), F.sum("size").alias("whole"), F.sum(250 + F.col("size") * F.col("size") * 0.0004).alias("whole_var"))
-    w = Window.partitionBy("map_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    sums = optical.select("map_id", "place", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("b"), F.coalesce(F.sum(250 + F.col("size") * F.col("size") * 0.0004).over(w), F.lit(0)).alias("v"))
+    n = cut(optical.groupBy("map_id").agg(F.count("*").alias("n_opt"), F.sum("size").alias("whole"), F.sum(250 + F.col("size") * F.col("size") * 0.0004).alias("whole_var")), "map-sums")
+    asked = _places(rows.join(n, "map_id"), F.pmod("o_first", "n_opt"), F.pmod("o_last", "n_opt"))
+    sums = _sums_at(asked, optical, {"b": F.col("size"), "v": 250 + F.col("size") * F.col("size") * 0.0004})
     many = not isinstance(anchor, str)
     a = rows.join(anchor.select("contig_id").distinct(), "contig_id", "left_semi") if many else rows.filter(F.col("contig_id") == anchor)
     a = a.select("map_id", F.col("contig_id").alias("anchor"), F.when(F.col("forward"), 1).otherwise(-1).alias("way"), F.col("record").alias("a_record"), F.col("o_first").alias("a_first"), F.col("o_last").alias("a_last"), F.col("c_start").alias("a_start"), F.col("c_end").alias("a_end"))
@@ -262,7 +279,7 @@ def placed_records(records: DataFrame, optical: DataFrame) -> DataFrame:
 
     Queries with one record on a map are placed first and occupy its fragments; the others are worked off to a fixpoint.
     """
-    once = records.withColumn("_n", F.count("*").over(Window.partitionBy("map_id", "contig_id")))
+    once = cut(records.withColumn("_n", F.count("*").over(Window.partitionBy("map_id", "contig_id"))), "records")
     single, several = once.filter("_n = 1").drop("_n"), once.filter("_n > 1").drop("_n")
     status = place_to_fixpoint(with_ends(several), optical, with_ends(single)).select("map_id", "record", "status")
     later = several.drop("type").join(status, ["map_id", "record"]).withColumn("type", F.when(F.col("status") == "placed", "FILTER").otherwise(F.col("status"))).drop("status")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import maps as M
 from ..functions import probability as P
 from ..operators import joint, placement
-from ..scratch import new_path
+from ..scratch import cut, new_path
 from ..sources import readers, writers
 from . import bridge
 from .oracle import FRAGS, PLACEMENTS, TRUTH, on
@@ -194,7 +194,7 @@ def special_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Placement records with three sites each, and the optical maps with a separator at every hundredth fragment."""
+    """Placement records with three sites each, and the optical maps with a separator at every hundredth fragment, which are written: all steps read them."""
     m = bridge.placements(spark, sf_dir).filter("pval <= 0.04")
     number = F.row_number().over(bridge.Window.partitionBy("chromosome").orderBy("match_id")) - 1
     records = m.select(
@@ -203,7 +203,7 @@ def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     place = F.col("frag_idx")
     optical = bridge.frag_rows(spark, sf_dir).select("map_id", place.alias("place"), F.col("size").cast("double").alias("size"), F.when(place % 100 == 99, 0.0).otherwise(50.0).alias("sd"))
-    return records, optical
+    return records, cut(optical, "optical")
 
 
 #: Four kinds of records: the strings, the sites of matched fragments, and, as the SQL states it, the query bp outside the outermost matched sites forward and reversed, and the
