@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from array import array
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,19 +54,20 @@ def sites(dna: Column, motif: Column | str, first: int = 0) -> Column:
     """
     motif = F.lit(motif) if isinstance(motif, str) else motif
 
-    @F.pandas_udf("array<bigint>")
-    def find(texts: pd.Series, motifs: pd.Series) -> pd.Series:
-        out = []
+    @F.arrow_udf("array<bigint>")
+    def find(texts: pa.Array, motifs: pa.Array) -> pa.Array:
+        # One text at a time becomes a string; places stay numbers.
+        out, ends = array("q"), [0]
         for text, word in zip(texts, motifs, strict=True):
-            if text is None or word is None:
-                out.append(None)
-                continue
-            places, at = [], text.find(word, first) if word else -1
-            while at >= 0:
-                places.append(at)
-                at = text.find(word, at + 1)
-            out.append(np.array(places, dtype=np.int64))
-        return pd.Series(out, dtype=object)
+            text, word = text.as_py(), word.as_py()
+            if text is not None and word:
+                at = text.find(word, first)
+                while at >= 0:
+                    out.append(at)
+                    at = text.find(word, at + 1)
+            ends.append(len(out))
+        missing = np.array(texts.is_null()) | np.array(motifs.is_null())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(out, np.int64)), mask=pa.array(missing))
 
     return find(dna, motif)
 
@@ -75,6 +80,18 @@ def fragments(sites_: Column, length: Column) -> Column:
     return F.when(F.size(sites_) > 0, cut).otherwise(F.array().cast("array<bigint>"))
 
 
+def digested(dna: Column, motif: str) -> Column:
+    """:func:`fragments` of :func:`sites`, without the sites: the lengths of the parts before, between and from the places of ``motif``, overlapping ones too.
+
+    One split before each place, inside the JVM; a place at the very start has an empty part before it, which the split leaves out.
+    """
+    if not motif:
+        return F.when(dna.isNotNull(), F.array().cast("array<bigint>"))
+    sizes = F.transform(F.split(dna, f"(?={re.escape(motif)})"), lambda x: F.length(x).cast("bigint"))
+    sizes = F.when(F.startswith(dna, F.lit(motif)), F.concat(F.array(F.lit(0).cast("bigint")), sizes)).otherwise(sizes)
+    return F.when(F.size(sizes) > 1, sizes).when(dna.isNotNull(), F.array().cast("array<bigint>"))
+
+
 def replaced(values: Column, positions: Column, replacements: Column) -> Column:
     """``values`` with the k-th of ``replacements`` at the k-th of ``positions``; a later one wins, places outside are ignored."""
     pairs = F.reverse(F.arrays_zip(positions.alias("p"), replacements.alias("r")))
