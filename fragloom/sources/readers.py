@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 
 from ..functions.maps import kb_to_bp
 from ..operators.align import CHUNK
-from ..operators.ranges import ranged
 
 
 def _lines(spark: SparkSession, paths: str | list[str], blank: bool = True) -> DataFrame:
@@ -17,13 +16,14 @@ def _lines(spark: SparkSession, paths: str | list[str], blank: bool = True) -> D
 
     Large files are read in blocks.  Each block counts its lines; the sums of the blocks before it, a row for each block, give the number of its first one.
     """
-    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "\r$", "").alias("value"))
-    rows = rows if blank else rows.filter(F.trim("value") != "")
-    counts = rows.groupBy("path", "block").agg(F.count("*").alias("n"))
+    value, raw = F.regexp_replace("value", "\r$", ""), spark.read.text(paths)
+    raw = raw if blank else raw.filter(F.trim(value) != "")
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), value.alias("value"))
+    # A block is read by one task, line by line, so its ids have no holes: the least of them gives the number of a line within it, without a sort.
+    counts = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("row").alias("least"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("path", "block").orderBy("row")) - 1
-    return rows.withColumn("within", within).join(starts, ["path", "block"]).select("file", (F.col("before") + F.col("within")).alias("line_no"), "value")
+    starts = counts.select("path", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("least")).alias("ahead"))
+    return rows.join(starts, ["path", "block"]).select("file", (F.col("ahead") + F.col("row")).alias("line_no"), "value")
 
 
 def _single_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -110,12 +110,13 @@ def kb_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     rows = _lines(spark, paths)
     plain = F.regexp_extract("value", r"\d+\s+([\d.]+)\s+([\d.]+)", 1)
     xml = F.regexp_extract("value", r'S="(\d+)" STDDEV="([\d.]+)"', 1)
-    ends = F.contains(F.col("value"), F.lit("</RESTRICTION_MAP>")).cast("int")
-    rows = ranged(rows, ["file"], [F.col("line_no")], "lines").running("ended", "max", ends, inclusive=True).plain()
+    # Whether a map has ended by a line is a matter of its file's first end, a row for each file.
+    ends = rows.filter(F.contains(F.col("value"), F.lit("</RESTRICTION_MAP>"))).groupBy("file").agg(F.min("line_no").alias("end"))
+    rows = rows.join(ends, "file", "left")
     lines = F.array_compact(F.array(
         F.when(plain != "", F.concat_ws(" ", plain, F.regexp_extract("value", r"\d+\s+([\d.]+)\s+([\d.]+)", 2))),
         F.when(xml != "", F.format_string("%.3f %s", xml.try_cast("double") / 1000, F.regexp_extract("value", r'S="(\d+)" STDDEV="([\d.]+)"', 2))),
-        F.when((F.col("ended") == 1) & F.contains(F.col("value"), F.lit("<RESTRICTION_MAP")), F.lit("100.000 0.000")),
+        F.when((F.col("line_no") >= F.col("end")) & F.contains(F.col("value"), F.lit("<RESTRICTION_MAP")), F.lit("100.000 0.000")),
     ))
     return rows.select("file", "line_no", F.posexplode(lines).alias("k", "value"))
 
