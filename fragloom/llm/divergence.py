@@ -2,7 +2,7 @@
 
 1. Texts give terms; each task adds up its own occurrences and documents of (language, source, term), so only sums are shuffled.
 2. Each kept term is a row whose array has a place for every source of its language, and there the share of the term.
-3. Functions on these arrays, inside the JVM, give a contribution for each pair of sources, summed in each task before the shuffle.
+3. Arrow batches of these arrays give a contribution for each pair of sources, summed in each task before the shuffle.
    What the places without an occurrence contribute is a constant of a pair, so contributions are emitted only where one of the two has the term.
 
 All arithmetic is in whole numbers and exact: products of counts are decimals, shares are billionths.
@@ -13,12 +13,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, forget, keep, lean, only
+from .common import bound_batches, forget, keep, lean, only, short_rows
 
 #: Shares are given in billionths.
 UNIT = 1_000_000_000
@@ -81,6 +82,56 @@ def distance_of(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def pair_sums(vectors: DataFrame, most_cells: int = 1 << 20) -> DataFrame:
+    """(no, a, b, value, n), several rows of a kind: of the terms ``vectors`` (no, p, holders) that at least one of two sources has, the sum of floor((p_a - p_b)^2 / p_b) and their number.
+
+    A term's row gives twice as many contributions as it has sources times holders; they are array items, of at most about ``most_cells`` at a time, and each task adds up its own.  Shares are 1 at least and add up to
+    UNIT and the number of terms at most, so no sum of squares leaves a long.
+    """
+
+    @lean
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def tables() -> Iterator[pa.RecordBatch]:
+            for no, (value, n) in sums.items():
+                a, b = np.nonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((np.full(len(a), no), pa.int32()), (a, pa.int32()), (b, pa.int32()), (value[a, b], pa.int64()), (n[a, b], pa.int64()))], names=["no", "a", "b", "value", "n"])
+            sums.clear()
+
+        for batch in batches:
+            order = np.argsort(batch.column("no").to_numpy(), kind="stable")
+            rows = batch.take(pa.array(order))
+            numbers = rows.column("no").to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])).tolist() if len(numbers) else []
+            for begin, end in zip(begins, [*begins[1:], len(numbers)], strict=True):
+                own = rows.slice(begin, end - begin)
+                p = own.column("p").flatten().to_numpy().reshape(own.num_rows, -1)
+                row, holder = np.repeat(np.arange(own.num_rows), own.column("holders").value_lengths().to_numpy()), own.column("holders").flatten().to_numpy()
+                has = np.zeros(p.shape, bool)
+                has[row, holder] = True
+                if int(numbers[begin]) not in sums and sum(v.size for v, _ in sums.values()) > most_cells:
+                    yield from tables()
+                value, n = sums.setdefault(int(numbers[begin]), (np.zeros((p.shape[1],) * 2, np.int64), np.zeros((p.shape[1],) * 2, np.int64)))
+                by_holder = np.argsort(holder, kind="stable")
+                step = max(1, most_cells // p.shape[1])
+                for at in range(0, len(by_holder), step):
+                    part = by_holder[at : at + step]
+                    r, h = row[part], holder[part]
+                    mine, others, lacks = p[r, h][:, None], p[r], ~has[r]
+                    square = (mine - others) ** 2
+                    firsts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                    which = h[firsts]
+                    value[which] += np.add.reduceat(square // others, firsts)
+                    n[which] += np.diff(np.append(firsts, len(h)))[:, None]
+                    # A source without the term adds to its pairs with those that have it.
+                    value[:, which] += np.add.reduceat(square // mine * lacks, firsts).T
+                    n[:, which] += np.add.reduceat(lacks.astype(np.int64), firsts).T
+        yield from tables()
+
+    return vectors.mapInArrow(add, "no int, a int, b int, value long, n long")
+
+
 def wide_terms(counts: DataFrame) -> DataFrame:
     """(lang, term, docs, total, at): a row for each term of a language, with a map from the sources that hold it to their counts; for the null term, to 0.
 
@@ -121,18 +172,13 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, most_terms: int = 20
     holders = F.filter(F.transform("cs", lambda c, k: F.when(c.isNotNull(), k)), lambda k: k.isNotNull())
     vectors = vectors.select("no", "term", shares.alias("p"), holders.alias("holders"), share_of(F.col("total"), F.col("n_lang"), F.col("kept")).alias("q"))
 
-    # One row for each source, with what it adds to its pairs: with all others if it has the term, else with those that have it.
-    firsts = vectors.select("no", "p", "holders", F.transform("holders", lambda k: F.get("p", k)).alias("held"), F.posexplode("p").alias("a", "p_a"))
-    has = F.array_contains("holders", F.col("a"))
-    values = F.transform(F.when(has, F.col("p")).otherwise(F.col("held")), lambda q: distance_of(F.col("p_a"), q))
-    emitted = firsts.select("no", "a", has.alias("has"), "holders", F.posexplode(values).alias("k", "value"))
-    other = F.when(F.col("has"), F.col("k")).otherwise(F.get("holders", F.col("k")))
-    summed = emitted.select("no", "a", other.alias("b"), "value").groupBy("no", "a", "b").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+    summed = pair_sums(vectors.select("no", "p", "holders")).groupBy("no", "a", "b").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
     # Terms that neither of a pair has all add the same.
     base = langs.select("lang", "no", "sources", "kept", rest.alias("rest"), F.posexplode("sources").alias("a", "source")).select("*", F.posexplode("sources").alias("b", "item")).filter("a <> b")
     constant = (F.col("kept") - F.coalesce("n", F.lit(0))) * distance_of(F.get("rest", F.col("a")), F.get("rest", F.col("b")))
     value = constant + F.coalesce("value", F.lit(0))
-    pairs = keep(base.join(summed, ["no", "a", "b"], "left").select("lang", "source", "item", value.alias("value")), "pairs")
+    with short_rows(docs.sparkSession):
+        pairs = keep(base.join(summed, ["no", "a", "b"], "left").select("lang", "source", "item", value.alias("value")), "pairs")
 
     marks = vectors.select("no", "q", F.explode("holders").alias("place"), "p", "term").select("no", "place", "term", F.get("p", F.col("place")).alias("p"), "q").filter("p > q")
     best = Window.partitionBy("no", "place").orderBy(F.col("value").desc(), "item")
